@@ -19,6 +19,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.packing import pack
 
@@ -26,7 +32,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op4_token_counts, op9_minhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
