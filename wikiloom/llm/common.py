@@ -79,6 +79,12 @@ def attach(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int)
     )
 
 
+def ascii_lower(text):
+    """A-Z in lower case, all else as it is. lower() has a fast path for pure ASCII but folds other letters too."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
 def crc_fold(id_col, modulo: int):
     """crc32 of the id as text, modulo; a null id counts as the empty string."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulo

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wikiloom.llm.common import table
+from wikiloom.llm.common import crc_fold, table
 
 
 def _tokenizer(name: str) -> str:
@@ -13,12 +14,33 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    model = train(docs.filter(~held_out), "doc_id", "text", "lang")
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.minhash import near_duplicates
 
@@ -32,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op9_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op7_secrets, op8_decontamination, op9_minhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
