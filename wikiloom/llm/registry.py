@@ -23,6 +23,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    index = train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.tokens import token_counts
 
@@ -54,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op7_secrets, op8_decontamination, op9_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_token_counts, op7_secrets, op8_decontamination, op9_minhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
