@@ -38,6 +38,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.embeddings import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.secrets import secret_scan
 
@@ -63,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_token_counts, op7_secrets, op8_decontamination, op9_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_token_counts, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

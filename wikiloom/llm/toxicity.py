@@ -130,7 +130,9 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     few = named.filter(F.col("place") < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).withColumn("mass", F.when(F.col("label") == 1, 1 / share[1]).otherwise(1 / share[0]))
     few = few.select("doc", "label", "mass").limit(2 * sum(EXAMPLES.values()))
     texts = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(few), F.col(id_col) == F.col("doc"), "left_semi").groupBy(F.col(id_col).alias("doc")).agg(F.min(text_col).alias("text"))
-    return texts.join(F.broadcast(few), "doc").repartition(24, "doc")
+    # copies of one text are one example, or the words of a copied text would look sure
+    same = texts.join(F.broadcast(few), "doc").groupBy("text").agg(F.min("doc").alias("doc"), F.max("label").alias("label"), F.sum("mass").alias("mass"))
+    return same.select("doc", "label", "mass", "text").repartition(24, "doc")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
