@@ -20,6 +20,8 @@ RECALL, ROWS_A_BAND = 0.998, 64
 EPSILON = 5.0
 #: Vectors that one side of a block holds about.
 BLOCK_ROWS = 2048
+#: Pairs that a task estimates at a time.
+CHUNK_PAIRS = 100_000
 _PLANES = 4  # bits of the quantised query side of an estimate
 
 
@@ -69,20 +71,37 @@ class Codes:
         wide[:, : x.shape[1]] = x
         return np.packbits(wide, axis=1).view(np.uint64)
 
-    def upper(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Upper confidence bounds of <i, other>, from i's code and the others' quantised coordinates."""
-        both = np.zeros(len(others))
+    def upper(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper confidence bounds of the inner products of pairs (i, j), from i's code and j's quantised coordinates."""
+        both = np.zeros(len(i))
         for k, plane in enumerate(self.planes):
-            both += np.bitwise_count(plane[others] & self.bits[i]).sum(axis=1) * float(1 << k)
+            for word in range(plane.shape[1]):
+                both += np.bitwise_count(plane[j, word] & self.bits[i, word]) * float(1 << k)
         # <c, q> over axes with c > 0 less that over the rest
-        plus = both * self.step[others, 0] + self.ones[i] * self.low[others, 0]
-        whole = self.total[others] * self.step[others, 0] + self.dim * self.low[others, 0]
+        plus = both * self.step[j, 0] + self.ones[i] * self.low[j, 0]
+        whole = self.total[j] * self.step[j, 0] + self.dim * self.low[j, 0]
         f = self.factor[i]
         estimate = (2 * plus - whole) / math.sqrt(self.dim) / f
-        spread = math.sqrt(max(1 - f * f, 0) / max(self.dim - 1, 1)) / f + self.step[others, 0] / 2 / f / math.sqrt(self.dim) * 1.2
+        spread = np.sqrt(np.maximum(1 - f * f, 0) / max(self.dim - 1, 1)) / f + 0.6 * self.step[j, 0] / f
         return estimate + EPSILON * spread
 
 
+def _pairs(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket's block, or of two blocks, some rows of the first side at a time."""
+    if (own == own[0]).all():
+        left, right = np.arange(len(own)), np.arange(len(own))
+    else:
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+    step = max(1, CHUNK_PAIRS // len(right))
+    for a in range(0, len(left), step):
+        i, j = np.repeat(left[a : a + step], len(right)), np.tile(right, len(left[a : a + step]))
+        if (own == own[0]).all():
+            keep = j > i
+            i, j = i[keep], j[keep]
+        if len(i):
+            yield i, j
+
+
 def _linker(cosine: float):
     def link(group: pa.Table) -> pa.RecordBatch | None:
         """Of one bucket (or two of its blocks): links whose first common band this is, counted, and a spanning forest.
@@ -96,21 +115,23 @@ def _linker(cosine: float):
         keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int64).reshape(len(ids), -1)
         here, codes, forest, links = int(band[0]), Codes(unit), Forest(len(ids)), []
         more = np.zeros(len(ids), np.int64)
-        same = bool((own == own[0]).all())
-        for i in range(len(ids) - 1 if same else len(ids)):
-            other = np.arange(i + 1, len(ids)) if same else np.flatnonzero(own > own[i])
-            if here:  # met in an earlier band already
-                other = other[~(keys[other, :here] == keys[i, :here]).any(axis=1)]
-            if len(other):
-                other = other[codes.upper(i, other) >= cosine]
-            if len(other):
-                other = other[unit[other] @ unit[i] >= cosine]
-            if len(other):
-                more[i] += size[other].sum()
-                more[other] += size[i]
-                for j in other:
-                    if forest.join(i, int(j)):
-                        links.append((ids[i], ids[j]))
+        for i, j in _pairs(own):
+            may = codes.upper(i, j) >= cosine
+            i, j = i[may], j[may]
+            if here and len(i):  # what met in an earlier band is counted there
+                new = ~(keys[i, :here] == keys[j, :here]).any(axis=1)
+                i, j = i[new], j[new]
+            true = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+            i, j = i[true], j[true]
+            np.add.at(more, i, size[j])
+            np.add.at(more, j, size[i])
+            while len(i):
+                roots = forest.roots()
+                apart = roots[i] != roots[j]
+                i, j = i[apart], j[apart]
+                # one link for each two trees at a time
+                _, first = np.unique(np.stack([roots[i], roots[j]]), axis=1, return_index=True) if len(i) else (None, [])
+                links += [(ids[i[k]], ids[j[k]]) for k in first if forest.join(int(i[k]), int(j[k]))]
         at = np.flatnonzero(more)
         if not len(at):
             return None
