@@ -18,6 +18,8 @@ from wikiloom.llm.textgrid import byte_words, mix, slabs
 BANDS, ROWS = 32, 6
 #: Pairs go to the exact check when this share of their minima agrees: 0.8 less 4.5 standard errors.
 AGREE = 0.67
+#: Ids of duplicates up to which they are broadcast (16 bytes each); beyond it, by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Shingles, and signatures, that one side of a block holds about.
 BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2_000
 
@@ -218,3 +220,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     home = stage(rep.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id")), "homes")
     out = found.select("id", "n_shingles").join(home, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near_duplicates(), the one with the least id; all columns.
+
+    Documents with a null id or without words stay. Of rows that share an id one stays.
+    """
+    told = stage(near_duplicates(docs, id_col, text_col, words, percent).select(F.col(id_col).alias("__id"), "kept"), "told")
+    gone = told.filter("not kept").select("__id").distinct()
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    out = docs.join(side, F.col(id_col) == F.col("__id"), "left_anti")
+    twice = told.filter("kept and __id is not null").groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    if twice.head(1):
+        again = out.join(twice, F.col(id_col) == F.col("__id"), "left_semi")
+        # the least row of each id, without holding all rows of an id at once
+        row = F.struct(text_col, *[c for c in docs.columns if c not in (id_col, text_col)])
+        one = again.groupBy(id_col).agg(F.min(row).alias("__row")).select(id_col, "__row.*").select(*docs.columns)
+        out = out.join(twice, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wikiloom.llm.common import crc_fold, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.tokens import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +65,17 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_token_counts, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_token_counts, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
