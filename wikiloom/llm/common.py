@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
+#: Rows of an Arrow batch, unless the session sets another number: texts are long, and batches live beside the heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +52,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Column pruning applies to each later read. The folders go when the driver ends, or earlier by unstage().
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))

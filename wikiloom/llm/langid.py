@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wikiloom.llm.common import small_batches
 from wikiloom.llm.textgrid import BOUNDARY, LETTER, Grid, mix, slabs
 
 #: Hashed n-gram dimensions; n-gram orders; centroids per language.
@@ -114,6 +115,7 @@ def _sampled(docs: DataFrame, key: Column) -> DataFrame:
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     """Fit on a bounded sample of labelled rows: n-gram counts are made in tasks, the centroids from at most 2 * IN_ALL rows."""
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("k")).filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

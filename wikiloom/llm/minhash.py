@@ -45,10 +45,10 @@ def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
             if j - i >= words:
                 yield np.unique(long[i : j - words + 1])
             elif j > i:
-                whole = np.uint64(j - i)
+                whole = np.array([j - i], np.uint64)
                 for x in h[i:j]:
-                    whole = mix(np.array([whole * np.uint64(0xC2B2AE3D27D4EB4F) ^ x]))[0]
-                yield np.array([whole], np.uint64)
+                    whole = mix(whole * np.uint64(0xC2B2AE3D27D4EB4F) ^ x)
+                yield whole
             else:
                 yield h[:0]
 
@@ -186,7 +186,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(classes, "classes")
     member = stage(attach(full.select("id", "key"), classes, "key", "n", total).select("id", "rep").distinct(), "members")
 
-    one = stage(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "key"]), "ones")
+    one = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    twice = stage(full.groupBy("id", "key").count().filter("count > 1").select("id", "key"), "twice")
+    if twice.head(1):  # repeated rows, seldom
+        one = one.join(twice, ["id", "key"], "left_anti").unionByName(one.join(twice, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
+    one = stage(one, "ones")
     spread = one.select("id", F.explode("bands").alias("bucket"))
     bucket = stage(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).filter("n > 1"), "buckets")
     shared = stage(attach(spread, bucket, "bucket", "n", BANDS * total), "shared")
