@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.toxicity import toxicity, train
 
@@ -75,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_token_counts, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
