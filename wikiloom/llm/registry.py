@@ -44,6 +44,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.chat import chat_messages
+
+    return chat_messages(table(spark, sf_dir, "conversations"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.embeddings import embedding_duplicates
 
@@ -81,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op5_chat_format, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
