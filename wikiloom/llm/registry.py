@@ -91,4 +91,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from wikiloom.llm.oracles import SQL
+
+    return dict(SQL)
