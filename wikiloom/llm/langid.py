@@ -59,7 +59,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # all languages' centroids, one a row
     owner: np.ndarray  # of each centroid, the place of its language
-    floor: np.ndarray  # least cosine, by the logarithm of the number of letters
+    floor: np.ndarray  # least cosine, by the logarithm of the number of different n-grams
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
@@ -82,12 +82,13 @@ class Model:
             real = letters > 0
             place[a : a + 256] = np.where(real, top, -1)
             score[a : a + 256] = np.where(real, np.clip(1 / share.sum(axis=1), 0, 1), 0)
-            out[a : a + 256] = ~real | (near < self.floor[buckets(letters, len(self.floor))])
+            out[a : a + 256] = ~real | (near < self.floor[buckets(counts, len(self.floor))])
         return place, score, out
 
 
-def buckets(letters: np.ndarray, n: int) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), n - 1)
+def buckets(counts: np.ndarray, n: int) -> np.ndarray:
+    """By the logarithm of how many different n-grams a text has: a long text that repeats itself is like a short one."""
+    return np.minimum(np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int), n - 1)
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -140,10 +141,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     if parts:
         model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts])
         near = np.stack([(x @ p.T).max(axis=1) for p in parts], axis=1)[np.arange(len(x)), own]
-        at = buckets(letters, 20)
+        at = buckets(counts, 20)
         for j in range(20):
             close = near[np.abs(at - j) <= 1]
-            model.floor[j] = REJECT_SHARE * np.quantile(close, REJECT_QUANTILE) if len(close) >= 100 else 0
+            # too few such texts: what holds for shorter ones
+            model.floor[j] = REJECT_SHARE * np.quantile(close, REJECT_QUANTILE) if len(close) >= 100 else model.floor[j - 1] if j else 0
         model.floor = np.minimum.accumulate(model.floor[::-1])[::-1]  # shorter texts are never held to more
     return model
 
