@@ -2,14 +2,445 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wikiloom.functions import text as T
+from wikiloom.operators import audit, graph, links, retrieve, search, sync, usage
+from wikiloom.plans import corpus
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(tables: str, sql: str | None = None):
+    """Register a function of the named tables; sql states the same over them."""
+    names = tables.split()
+
+    def add(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(*[corpus.frame(spark, sf_dir, n) for n in names])
+        if sql is not None:
+            made, body = [n for n in names if n in corpus.SQL], sql.strip()
+            more = body.startswith("WITH ")
+            _sql[f.__name__] = f"{corpus.with_tables(*made)}{', ' if more else chr(10)}{body[5:] if more else body}" if made else body
+        return f
+
+    return add
+
+
+# index
+
+_MAIN = "namespace = 'Main' AND NOT is_redirect"
+_BROKEN = """SELECT DISTINCT source, target FROM (SELECT source, target FROM links UNION ALL SELECT title, redirect_target FROM pages WHERE is_redirect)
+  WHERE target NOT IN (SELECT title FROM pages)"""
+_DOUBLE = "SELECT a.title, a.redirect_target AS first_target, b.redirect_target AS final_target FROM pages AS a JOIN pages AS b ON a.redirect_target = b.title WHERE a.is_redirect AND b.is_redirect"
+_UNCATEGORIZED = f"SELECT title FROM pages WHERE {_MAIN} AND title NOT IN (SELECT source FROM members)"
+_ORPHANS = f"""SELECT p.title FROM (SELECT title FROM pages WHERE {_MAIN}) AS p WHERE NOT EXISTS (
+  SELECT 1 FROM links AS l JOIN (SELECT title FROM pages WHERE {_MAIN}) AS s ON s.title = l.source WHERE l.target = p.title AND l.source <> l.target)"""
+_VALIDATION = f"""problems AS (SELECT 'broken_link' AS kind, source AS title, target AS detail FROM ({_BROKEN})
+  UNION ALL SELECT 'double_redirect', title, concat(first_target, ' > ', final_target) FROM ({_DOUBLE})
+  UNION ALL SELECT 'uncategorized', title, '' FROM ({_UNCATEGORIZED}) UNION ALL SELECT 'orphan', title, '' FROM ({_ORPHANS}))"""
+
+
+@query("local_files ledger", """SELECT CAST(sum(CASE WHEN b.path IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN a.path IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN a.hash <> b.hash THEN 1 ELSE 0 END) AS BIGINT) AS changed, sum(CASE WHEN a.hash = b.hash THEN 0 ELSE 1 END) = 0 AS unchanged FROM local_files AS a FULL JOIN ledger AS b ON a.path = b.path""")
+def d2_unchanged(local_files, ledger):
+    return links.same_index(ledger, local_files)
+
+
+@query("pages", "SELECT namespace, count(*) AS pages, CAST(sum(CAST(is_redirect AS INT)) AS BIGINT) AS redirects, CAST(sum(bytes) AS BIGINT) AS bytes FROM pages GROUP BY namespace")
+def d3_index_stats(pages):
+    return links.index_stats(pages)
+
+
+_HOP = ", ".join(
+    f"h{k} AS (SELECT h.title, CASE WHEN a.redirect_target IS NULL OR list_contains(h.path, a.redirect_target) THEN h.last ELSE a.redirect_target END AS last,"
+    f" CASE WHEN a.redirect_target IS NULL OR list_contains(h.path, a.redirect_target) THEN h.path ELSE list_append(h.path, a.redirect_target) END AS path"
+    f" FROM h{k - 1} AS h LEFT JOIN (SELECT title, redirect_target FROM pages WHERE is_redirect) AS a ON h.last = a.title)"
+    for k in range(1, 7)
+)
+
+
+@query("pages", f"WITH h0 AS (SELECT title, title AS last, [title] AS path FROM pages), {_HOP} SELECT title, last AS resolved, CAST(len(path) - 1 AS BIGINT) AS hops FROM h6")
+def d5_aliases(pages):
+    return links.resolve_aliases(pages.select("title"), pages.filter("is_redirect").select(F.col("title").alias("alias"), F.col("redirect_target").alias("canonical")))
+
+
+@query("links", "SELECT source, count(*) AS n_links, min(target) AS first_target, max(target) AS last_target FROM links GROUP BY source")
+def d6_outgoing_links(rows):
+    return links.outgoing(rows)
+
+
+@query("links", "SELECT DISTINCT target, source FROM links")
+def d7_backlinks(rows):
+    return links.backlinks(rows)
+
+
+@query("pages links", _ORPHANS)
+def d8_orphans(pages, rows):
+    return links.orphans(pages, rows)
+
+
+@query("pages links", _BROKEN)
+def d9_broken_links(pages, rows):
+    return links.broken_links(pages, rows)
+
+
+@query("pages", _DOUBLE)
+def d10_double_redirects(pages):
+    return links.double_redirects(pages)
+
+
+@query("pages members", _UNCATEGORIZED)
+def d11_uncategorized(pages, members):
+    return links.uncategorized(pages, members)
+
+
+@query("categories members", "SELECT title FROM categories WHERE title NOT IN (SELECT target FROM members)")
+def d12_empty_categories(categories, members):
+    return links.empty_categories(categories, members)
+
+
+@query("pages links members", f"WITH {_VALIDATION} SELECT kind, title, detail FROM problems")
+def d13_validation(pages, rows, members):
+    return links.validation(pages, rows, members)
+
+
+@query("pages links members", f"""WITH {_VALIDATION} SELECT kind, title, detail, place FROM (SELECT kind, title, detail, CAST(row_number() OVER (PARTITION BY kind ORDER BY title, detail) AS INT) AS place FROM problems)
+  WHERE place <= 20""")
+def d14_validation_page(pages, rows, members):
+    return links.first_per_group(links.validation(pages, rows, members), ["kind"], [F.asc("title"), F.asc("detail")], 20)
+
+
+@query("pages links members remote", f"""WITH {_VALIDATION}, live AS (SELECT replace(title, 'Order', 'Part') AS title, changed_at % 2 = 0 AS is_redirect FROM remote)
+SELECT kind, p.title, detail, CASE WHEN kind = 'broken_link' AND l.title IS NOT NULL THEN 'local_only' WHEN l.title IS NULL AND kind <> 'broken_link' THEN 'missing_live' WHEN l.is_redirect THEN 'redirect_live' ELSE 'confirmed' END AS status
+FROM problems AS p LEFT JOIN live AS l ON l.title = CASE WHEN kind = 'broken_link' THEN detail ELSE p.title END""")
+def d15_verified(pages, rows, members, remote):
+    live = remote.select(F.expr("replace(title, 'Order', 'Part')").alias("title"), (F.col("changed_at") % 2 == 0).alias("is_redirect"))
+    return links.verified(links.validation(pages, rows, members), live)
+
+
+def _side(key, other, rows, name):
+    return f"LEFT JOIN (SELECT {key} AS title, count(DISTINCT {other}) AS n, min({other}) AS f FROM {rows} GROUP BY {key}) AS {name} ON p.title = {name}.title"
+
+
+@query("pages links members invocations", f"""SELECT p.title, coalesce(o.n, 0) AS n_links, o.f AS first_links, coalesce(b.n, 0) AS n_backlinks, b.f AS first_backlinks, coalesce(c.n, 0) AS n_categories, c.f AS first_categories,
+  coalesce(t.n, 0) AS n_templates, t.f AS first_templates FROM (SELECT title FROM pages WHERE {_MAIN}) AS p {_side("source", "target", "links", "o")} {_side("target", "source", "links", "b")} {_side("source", "target", "members", "c")} {_side("page", "template", "invocations", "t")}""")
+def d16_context(pages, rows, members, invocations):
+    return links.context(pages, rows, members, invocations)
+
+
+@query("examples", """WITH r AS (SELECT template, page, place, text, tokens, row_number() OVER w AS n, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM examples WINDOW w AS (PARTITION BY template, page ORDER BY place, text, tokens))
+SELECT template, page, place, text, tokens FROM r WHERE (n = 1 OR total <= 60) AND n <= 5""")
+def d17_budget_prefix(examples):
+    rows = examples.withColumnRenamed("place", "at")
+    return links.within_budget(rows, ["template", "page"], [F.asc("at"), F.asc("text"), F.asc("tokens")], "tokens", 60, 5).select("template", "page", F.col("at").alias("place"), "text", "tokens")
+
+
+@query("links pages", """WITH s AS (SELECT title AS source, type AS grp FROM pages), f AS (SELECT grp, target, count(DISTINCT links.source) AS n_sources FROM links JOIN s ON links.source = s.source GROUP BY grp, target),
+r AS (SELECT grp, target, n_sources, row_number() OVER (PARTITION BY grp ORDER BY n_sources DESC, target) AS place FROM f),
+e AS (SELECT grp, target, source, row_number() OVER (PARTITION BY grp, target ORDER BY source) AS k FROM (SELECT DISTINCT grp, target, links.source FROM links JOIN s ON links.source = s.source))
+SELECT r.grp AS topic, r.target, r.n_sources, CAST(r.place AS INT) AS place, string_agg(e.source, '; ' ORDER BY e.source) AS evidence FROM r JOIN e ON r.grp = e.grp AND r.target = e.target WHERE r.place <= 10 AND e.k <= 4 GROUP BY r.grp, r.target, r.n_sources, r.place""")
+def d21_suggestions(rows, pages):
+    return links.suggestions(pages.select(F.col("title").alias("source"), F.col("type").alias("group")), rows, 10).withColumnRenamed("group", "topic")
+
+
+@query("part", """WITH m AS (SELECT DISTINCT substr(p_name, 1, 3) AS prefix, upper(substr(p_name, 1, 3)) AS category FROM part WHERE p_partkey % 5 = 0 UNION SELECT DISTINCT substr(p_name, 1, 6), p_brand FROM part WHERE p_partkey = 10 OR p_partkey = 20),
+h AS (SELECT p_name, category, row_number() OVER (PARTITION BY p_name ORDER BY length(prefix) DESC, prefix DESC, category) AS k FROM (SELECT DISTINCT p_name FROM part) JOIN m ON starts_with(p_name, prefix))
+SELECT part.p_name AS title, coalesce(h.category, 'misc') AS category FROM part LEFT JOIN h ON part.p_name = h.p_name AND h.k = 1""")
+def a8_prefix_category(part):
+    short = part.filter("p_partkey % 5 = 0").select(F.substring("p_name", 1, 3).alias("prefix"), F.upper(F.substring("p_name", 1, 3)).alias("category"))
+    long = part.filter("p_partkey = 10 or p_partkey = 20").groupBy(F.substring("p_name", 1, 6).alias("prefix")).agg(F.min("p_brand").alias("category"))
+    return links.prefix_category(part.select(F.col("p_name").alias("title")), short.distinct().unionByName(long))
+
+
+# text
+
+_SPACES = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query("documents", rf"""WITH t AS (SELECT doc_id, text, {_SPACES} AS plain FROM documents)
+SELECT doc_id, substr(sha256(text), 1, 16) AS hash, CAST(CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS BIGINT) AS words, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens,
+  CAST(ceil(strlen(plain) / 4) AS BIGINT) AS byte_tokens, array_to_string(string_split(plain, ' ')[1:36], ' ') AS summary, CASE WHEN length(text) > 40 THEN concat(substr(text, 1, 40), '...') ELSE text END AS preview FROM t""")
+def b_text_measures(documents):
+    t = F.col("text")
+    return documents.select("doc_id", T.short_hash(t).alias("hash"), T.count_words(t).alias("words"), T.token_estimate(t).alias("tokens"), T.byte_token_estimate(t).alias("byte_tokens"), T.summary(t).alias("summary"), T.preview(t, 40).alias("preview"))
+
+
+@query("documents", r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), lambda w: length(w) >= 3)) AS a FROM documents)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_terms, array_to_string(list_sort(a)[1:5], ' ') AS first_terms FROM t""")
+def b24_lexical_terms(documents):
+    a = T.lexical_terms(F.col("text"))
+    return documents.select("doc_id", F.size(a).cast("long").alias("n_terms"), F.array_join(F.slice(a, 1, 5), " ").alias("first_terms"))
+
+
+@query("pages", """SELECT title, concat(CASE WHEN is_redirect THEN 'Image' ELSE namespace END, ':', name) AS raw, CASE WHEN is_redirect THEN concat('File:', name) WHEN namespace = 'Main' THEN concat('Main:', name) ELSE concat('Template:', name) END AS canonical,
+  CASE WHEN is_redirect THEN 'File' WHEN namespace = 'Main' THEN 'Main' ELSE 'Template' END AS found FROM pages""")
+def b4_titles(pages):
+    raw = F.concat(F.when(F.col("is_redirect"), "Image").otherwise(F.col("namespace")), F.lit(":"), F.col("name"))
+    return pages.select("title", raw.alias("raw"), T.canonical_title(raw).alias("canonical"), T.namespace_of(raw).alias("found"))
+
+
+@query("citations", r"""SELECT page, place, regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '^www\.', '') AS domain, CASE WHEN doi IS NULL THEN NULL ELSE lower(doi) END AS doi, isbn FROM citations""")
+def b18_identifiers(citations):
+    return citations.select("page", "place", T.domain(F.col("url")).alias("domain"), T.identifier(F.lit("doi"), F.concat(F.lit("https://doi.org/"), F.col("doi"))).alias("doi"), T.identifier(F.lit("isbn"), F.col("isbn")).alias("isbn"))
+
+
+@query("documents", r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+k AS (SELECT doc_id, w, unnest(range(0, (len(w) + 95) // 96)) AS place FROM w), c AS (SELECT doc_id, place, array_to_string(w[96 * place + 1 : 96 * place + 96], ' ') AS text FROM k)
+SELECT doc_id AS "row", CAST(place AS INT) AS place, text, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM c""")
+def c3_chunks(documents):
+    return retrieve.chunks(documents)
+
+
+# graphs
+
+
+@query("pages links members", f"""WITH titles AS (SELECT title FROM pages), every AS (SELECT source, target, 'link' AS kind FROM links UNION SELECT title, redirect_target, 'redirect' FROM pages WHERE is_redirect UNION SELECT source, target, 'category' FROM members)
+SELECT source, target, kind FROM every WHERE source IN (SELECT title FROM titles) AND target IN (SELECT title FROM titles UNION SELECT target FROM members)""")
+def g1_graph(pages, rows, members):
+    return graph.build_graph(pages, rows, members)
+
+
+_REDIRECTS = "e AS (SELECT title AS source, redirect_target AS target FROM pages WHERE is_redirect AND redirect_target IN (SELECT title FROM pages))"
+_SCC = f"""WITH RECURSIVE pages AS ({corpus.SQL["pages"].format(part="part")}), {_REDIRECTS},
+n AS (SELECT source AS node FROM e UNION SELECT target FROM e), r(a, b) AS (SELECT source, target FROM e UNION SELECT r.a, e.target FROM r JOIN e ON r.b = e.source),
+c AS (SELECT n.node, least(n.node, coalesce((SELECT min(x.b) FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a WHERE x.a = n.node), n.node)) AS component FROM n),
+s AS (SELECT component, count(*) AS size FROM c GROUP BY component)"""
+
+
+def _redirect_edges(pages):
+    return graph.build_graph(pages, pages.select(F.col("title").alias("source"), F.col("title").alias("target")).limit(0), pages.select(F.col("title").alias("source"), F.col("title").alias("target")).limit(0), ("redirect",)).select("source", "target")
+
+
+@query("pages")
+def g3_components(pages):
+    return graph.components(_redirect_edges(pages))
+
+
+@query("pages")
+def g4_condensation(pages):
+    edges = _redirect_edges(pages)
+    return graph.condensation(edges, graph.components(edges))
+
+
+_sql["g3_components"] = f"{_SCC} SELECT c.node, c.component, s.size, s.size > 1 OR EXISTS (SELECT 1 FROM e WHERE e.source = c.node AND e.target = c.node) AS is_cyclic FROM c JOIN s ON c.component = s.component"
+_sql["g4_condensation"] = f"""{_SCC}, b AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c AS x ON e.source = x.node JOIN c AS y ON e.target = y.node WHERE x.component <> y.component)
+SELECT s.component, s.size, (SELECT count(*) FROM b WHERE b.b = s.component) AS n_in, (SELECT count(*) FROM b WHERE b.a = s.component) AS n_out FROM s"""
+
+# usage
+
+_KEYS = "SELECT DISTINCT template, page, keys FROM invocations"
+_USAGE = f"""u AS ({_KEYS}), t AS (SELECT template, count(*) AS uses, count(DISTINCT page) AS pages FROM u GROUP BY template),
+k AS (SELECT template, key, count(*) AS n FROM (SELECT template, unnest(string_split(keys, ',')) AS key FROM u) GROUP BY template, key),
+kr AS (SELECT template, key, n, row_number() OVER (PARTITION BY template ORDER BY n DESC, key) AS p FROM k),
+ks AS (SELECT template, string_agg(concat(key, ':', n), ',' ORDER BY p) AS keys FROM kr WHERE p <= 12 GROUP BY template),
+pr AS (SELECT template, page, row_number() OVER (PARTITION BY template ORDER BY page) AS p FROM (SELECT DISTINCT template, page FROM u)),
+ps AS (SELECT template, string_agg(page, '; ' ORDER BY page) AS example_pages FROM pr WHERE p <= 3 GROUP BY template)"""
+
+
+@query("invocations", f"WITH {_USAGE} SELECT t.template, uses, pages, keys, example_pages FROM t JOIN ks ON t.template = ks.template JOIN ps ON t.template = ps.template")
+def h1_template_usage(invocations):
+    return usage.usage_summary(invocations)
+
+
+@query("invocations", f"WITH {_USAGE} SELECT t.template, uses, pages, keys, example_pages FROM t JOIN ks ON t.template = ks.template JOIN ps ON t.template = ps.template ORDER BY uses DESC, pages DESC, t.template LIMIT 10")
+def h2_active_templates(invocations):
+    return usage.ranked_usage(usage.usage_summary(invocations), "template", 10)
+
+
+@query("examples", "SELECT template, rank, page, place, text, tokens FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY tokens, page, place, text) AS rank FROM examples) WHERE rank <= 3")
+def h5_examples(examples):
+    return usage.examples(examples)
+
+
+@query("examples", """WITH f AS (SELECT template, 'supplier' AS key, substr(text, 10) AS value, min(struct_pack(page := page, place := place)) AS seen FROM examples GROUP BY template, text)
+SELECT template, key, rank, value FROM (SELECT *, row_number() OVER (PARTITION BY template, key ORDER BY seen, value) AS rank FROM f) WHERE rank <= 3""")
+def h6_value_examples(examples):
+    return usage.value_examples(examples)
+
+
+@query("pages invocations", """WITH u AS (SELECT template, count(*) AS uses FROM invocations GROUP BY template), l AS (SELECT concat('Template:', title) AS title FROM pages WHERE namespace = 'Template')
+SELECT coalesce(l.title, u.template) AS title, l.title IS NOT NULL AS local, coalesce(u.uses, 0) AS uses, CASE WHEN l.title IS NULL THEN 'missing' WHEN u.uses IS NULL THEN 'unused' ELSE 'active' END AS status FROM l FULL JOIN u ON l.title = u.template""")
+def h10_catalog(pages, invocations):
+    return usage.catalog(pages, invocations.groupBy("template").agg(F.count("*").alias("uses")))
+
+
+@query("invocations pages", """WITH o AS (SELECT template, unnest(string_split(keys, ',')) AS key FROM invocations), ob AS (SELECT template, key, count(*) AS uses FROM o GROUP BY template, key),
+de AS (SELECT DISTINCT template, unnest(['amount', 'colour']) AS key FROM invocations), dc AS (SELECT DISTINCT template, unnest(['supplier', 'colour', 'notes']) AS key FROM invocations),
+e AS (SELECT template, key, 0 AS ord, 'documented' AS source, 0 AS uses FROM dc UNION ALL SELECT template, key, 1, 'declared', 0 FROM de UNION ALL SELECT template, key, 2, 'observed', uses FROM ob)
+SELECT template, key, string_agg(source, '+' ORDER BY ord) AS sources, CAST(sum(uses) AS BIGINT) AS uses FROM e GROUP BY template, key""")
+def h11_parameters(invocations, pages):
+    observed = invocations.select("template", F.explode(F.split("keys", ",")).alias("key")).groupBy("template", "key").agg(F.count("*").alias("uses"))
+    templates = invocations.select("template").distinct()
+    declared, documented = (templates.select("template", F.explode(F.array(*map(F.lit, keys))).alias("key")) for keys in (["amount", "colour"], ["supplier", "colour", "notes"]))
+    return usage.merged_parameters(declared, documented, observed)
+
+
+# citations
+
+_CITED = r"""x AS (SELECT *, regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '^www\.', '') AS domain, concat('isbn:', isbn) AS i1, concat('doi:', doi) AS i2 FROM citations),
+ids AS (SELECT page, concat('doi:', doi) AS id FROM citations WHERE doi IS NOT NULL UNION ALL SELECT page, concat('isbn:', isbn) FROM citations WHERE isbn IS NOT NULL)"""
+
+
+@query("citations", f"""WITH {_CITED} SELECT count(*) AS citations, count(DISTINCT page) AS pages, count(DISTINCT domain) AS domains, count(DISTINCT template) AS templates, count(DISTINCT kind) AS kinds, count(DISTINCT domain) AS authorities,
+  (SELECT count(DISTINCT id) FROM ids) AS identifiers FROM x""")
+def i3_citation_totals(rows):
+    return audit.totals(audit.citations(rows))
+
+
+@query("citations", f"""WITH {_CITED}, e AS (SELECT 'domain' AS list, domain AS key FROM x UNION ALL SELECT 'template', template FROM x UNION ALL SELECT 'kind', kind FROM x UNION ALL SELECT 'authority', domain FROM x UNION ALL SELECT 'identifier', split_part(id, ':', 1) FROM ids),
+n AS (SELECT list, key, count(*) AS n FROM e GROUP BY list, key) SELECT list, rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY n DESC, key) AS rank FROM n) WHERE rank <= 12""")
+def i3_citation_lists(rows):
+    return audit.top_lists(audit.citations(rows))
+
+
+@query("citations", f"""WITH {_CITED} SELECT page, place, url, doi, isbn, template, kind, wikitext FROM x WHERE domain = 'site7.example' AND isbn IS NOT NULL""")
+def i2_citation_filter(rows):
+    return audit.filtered(audit.citations(rows), domain="site7.example", id_key="isbn").select("page", "place", "url", "doi", "isbn", "template", "kind", "wikitext")
+
+
+@query("citations", f"""WITH {_CITED}, e AS (SELECT 'url' AS kind, regexp_replace(lower(url), '^https?://(www\\.)?', '') AS key, page FROM x UNION ALL SELECT 'wikitext', wikitext, page FROM x UNION ALL SELECT 'identifier', id, page FROM ids)
+SELECT kind, key, count(*) AS n, count(DISTINCT page) AS pages, min(page) AS first_page FROM e GROUP BY kind, key HAVING count(*) >= 2""")
+def i5_duplicate_citations(rows):
+    return audit.duplicates(audit.citations(rows))
+
+
+@query("citations", f"""WITH {_CITED}, b AS (SELECT kind, template, count(*) AS citations, count(DISTINCT page) AS pages, min(struct_pack(bare := CASE WHEN doi IS NULL AND isbn IS NULL THEN 1 ELSE 0 END, length := length(wikitext), page := page, place := place)) AS best FROM x GROUP BY kind, template),
+h AS (SELECT kind, template, domain, count(*) AS n FROM x GROUP BY kind, template, domain), r AS (SELECT *, row_number() OVER (PARTITION BY kind, template ORDER BY n DESC, domain) AS p FROM h),
+d AS (SELECT kind, template, string_agg(concat(domain, ':', n), ',' ORDER BY p) AS domains FROM r WHERE p <= 3 GROUP BY kind, template)
+SELECT b.kind, b.template, citations, pages, domains, best.page AS example_page, best.place AS example_place FROM b JOIN d ON b.kind = d.kind AND b.template = d.template""")
+def i6_citation_usage(rows):
+    return audit.profile_usage(audit.citations(rows))
+
+
+# sync
+
+_DIFF = """d AS (SELECT coalesce(a.title, concat('O', substr(b.title, 2))) AS key, CASE WHEN b.hash IS NULL THEN 'new' WHEN a.hash IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'modified' END AS change, coalesce(a.title, b.title) AS title, coalesce(a.path, b.path) AS path
+  FROM local_files AS a FULL JOIN ledger AS b ON a.title = concat('O', substr(b.title, 2)))"""
+_CONFLICT = f"""{_DIFF}, f AS (SELECT d.*, CASE WHEN r.changed_at IS NULL THEN FALSE WHEN d.change = 'new' THEN TRUE ELSE abs(r.changed_at - l.changed_at) > 30 END AS conflict FROM d
+  LEFT JOIN remote AS r ON r.title = d.key LEFT JOIN ledger AS l ON concat('O', substr(l.title, 2)) = d.key WHERE change IS NOT NULL)"""
+
+
+@query("local_files ledger", f"WITH {_DIFF} SELECT key, change, title, path FROM d WHERE change IS NOT NULL")
+def m1_sync_diff(local_files, ledger):
+    return sync.diff(local_files, ledger)
+
+
+@query("local_files ledger", f"WITH {_DIFF} SELECT key, change, title, path FROM d WHERE change IS NOT NULL AND (title IN ('Order 22', 'Order 13') OR starts_with(path, 'other/1'))")
+def m2_selection(local_files, ledger):
+    return sync.chosen(sync.diff(local_files, ledger), titles=["Order 22", "Order 13"], prefixes=["other/1"])
+
+
+@query("local_files ledger", f"WITH {_DIFF} SELECT DISTINCT d.path FROM d JOIN local_files AS f ON f.path = d.path WHERE change IN ('new', 'modified') AND f.namespace = 'Main' AND NOT f.is_redirect")
+def m3_changed_articles(local_files, ledger):
+    main = local_files.filter("namespace = 'Main' and not is_redirect").select("path")
+    return sync.diff(local_files, ledger).filter("change <> 'deleted'").join(main, "path", "left_semi").select("path").distinct()
+
+
+@query("local_files ledger remote", f"WITH {_CONFLICT} SELECT key, change, title, path, conflict FROM f")
+def m4_conflicts(local_files, ledger, remote):
+    return sync.conflicts(sync.diff(local_files, ledger), ledger, remote)
+
+
+@query("local_files ledger remote", f"WITH {_CONFLICT} SELECT change, count(*) AS pages, CAST(sum(CAST(conflict AS INT)) AS BIGINT) AS conflicts FROM f GROUP BY change")
+def m5_plan(local_files, ledger, remote):
+    return sync.plan_counts(sync.conflicts(sync.diff(local_files, ledger), ledger, remote))
+
+
+_PULL = """p AS (SELECT r.title AS key, CASE WHEN f.hash = r.hash THEN 'unchanged' WHEN f.hash IS NOT NULL AND (l.hash IS NULL OR f.hash <> l.hash) THEN 'skipped' WHEN f.hash IS NULL THEN 'created' ELSE 'updated' END AS action, r.changed_at, r.hash AS remote_hash
+  FROM remote AS r LEFT JOIN ledger AS l ON concat('O', substr(l.title, 2)) = r.title LEFT JOIN local_files AS f ON f.title = r.title)"""
+
+
+@query("remote ledger local_files", f"WITH {_PULL} SELECT key, action, changed_at, remote_hash FROM p")
+def m7_pull(remote, ledger, local_files):
+    return sync.pull(remote, ledger, local_files)
+
+
+@query("remote ledger local_files", f"""WITH {_PULL} SELECT CAST(sum(CAST(action = 'created' AS INT)) AS BIGINT) AS created, CAST(sum(CAST(action = 'updated' AS INT)) AS BIGINT) AS updated, CAST(sum(CAST(action = 'unchanged' AS INT)) AS BIGINT) AS unchanged,
+  CAST(sum(CAST(action = 'skipped' AS INT)) AS BIGINT) AS skipped, max(CASE WHEN action <> 'skipped' THEN changed_at END) AS checkpoint FROM p""")
+def m7_checkpoint(remote, ledger, local_files):
+    return sync.checkpoint_of(sync.pull(remote, ledger, local_files))
+
+
+# search
+
+
+def _asked(benchmark):
+    return benchmark.select(F.col("item_id").alias("query"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 6), " ").alias("text"))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_POSTS = rf"""dt AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents), p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM dt), tf AS (SELECT doc_id, term, length, count(*) AS tf FROM p GROUP BY doc_id, term, length)"""
+
+
+@query("documents", f"WITH {_POSTS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
+def e1_term_stats(documents):
+    return search.term_stats(search.postings(documents, "doc_id", {"text": 1.0})).withColumn("cf", F.col("cf").cast("long"))
+
+
+@query("documents benchmark", rf"""WITH {_POSTS}, q AS (SELECT item_id AS query, list_distinct(({_TOKENS.format("text")})[1:6]) AS t FROM benchmark), qt AS (SELECT query, unnest(t) AS term FROM q),
+st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT qt.query, tf.doc_id AS "row", round(sum(ln((st.n - df.df + 0.5) / (df.df + 0.5) + 1.0) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.length / st.mean))), 4) AS score, count(*) AS n_terms
+  FROM qt JOIN tf ON qt.term = tf.term JOIN df ON df.term = tf.term CROSS JOIN st GROUP BY qt.query, tf.doc_id)
+SELECT query, "row", score, n_terms, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, "row") AS rank FROM s) WHERE rank <= 10""")
+def e3_bm25(documents, benchmark):
+    posts = search.postings(documents, "doc_id", {"text": 1.0})
+    n, mean = documents.agg(F.count("*"), F.avg(F.size(search.tokens(F.col("text"))))).first()
+    asked = _asked(benchmark).select("query", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    return search.top(search.bm25(asked, posts, n, mean or 1.0).withColumn("score", F.round("score", 4)), 10)
+
+
+@query("documents benchmark", rf"""WITH {_POSTS}, q AS (SELECT item_id AS query, ({_TOKENS.format("text")})[1:2] AS t FROM benchmark), qt AS (SELECT DISTINCT query, unnest(t) AS term FROM q),
+w AS (SELECT DISTINCT term AS word FROM tf), h AS (SELECT query, term, word FROM qt JOIN w ON starts_with(word, term)), r AS (SELECT query, doc_id AS "row", count(DISTINCT h.term) AS have FROM h JOIN tf ON tf.term = h.word GROUP BY query, doc_id),
+nd AS (SELECT query, count(*) AS need FROM qt GROUP BY query) SELECT r.query, "row" FROM r JOIN nd ON r.query = nd.query AND have = need""")
+def e2_prefix_match(documents, benchmark):
+    asked = benchmark.select(F.col("item_id").alias("query"), F.explode(F.slice(search.tokens(F.col("text")), 1, 2)).alias("term")).distinct()
+    return search.match_prefix(asked, search.postings(documents, "doc_id", {"text": 1.0}))
+
+
+@query("documents benchmark", rf"""WITH dt AS (SELECT doc_id, concat(' ', array_to_string({_TOKENS.format("text")}, ' '), ' ') AS t FROM documents), q AS (SELECT item_id AS query, concat(' ', array_to_string(({_TOKENS.format("text")})[1:3], ' '), ' ') AS t FROM benchmark)
+SELECT query, doc_id AS "row" FROM q JOIN dt ON contains(dt.t, q.t)""")
+def e2_phrase_match(documents, benchmark):
+    asked = benchmark.select(F.col("item_id").alias("query"), F.posexplode(F.slice(search.tokens(F.col("text")), 1, 3)).alias("ord", "term"))
+    return search.match_phrase(asked, search.postings(documents, "doc_id", {"text": 1.0}))
+
+
+@query("part", """WITH q AS (SELECT p_size AS query, lower(min(substr(p_name, 1, 5))) AS text FROM part GROUP BY p_size), h AS (SELECT query, p_name AS title, CASE WHEN lower(p_name) = text THEN 0 WHEN starts_with(lower(p_name), text) THEN 1 ELSE 2 END AS tier FROM q JOIN (SELECT DISTINCT p_name FROM part) ON contains(lower(p_name), text))
+SELECT query, title, tier, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, title) AS rank FROM h) WHERE rank <= 5""")
+def e7_title_fallback(part):
+    asked = part.groupBy(F.col("p_size").alias("query")).agg(F.lower(F.min(F.substring("p_name", 1, 5))).alias("text"))
+    return search.title_like(asked, part.select(F.col("p_name").alias("title")).distinct(), 5)
+
+
+@query("part", """WITH t AS (SELECT p_size AS query, concat(p_brand, CASE p_partkey % 3 WHEN 0 THEN '/ko' WHEN 1 THEN '/pt-br' ELSE '' END) AS title, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS INT) AS rank FROM part),
+f AS (SELECT query, split_part(title, '/', 1) AS base, min(rank) AS first, string_agg(DISTINCT nullif(split_part(title, '/', 2), ''), ',' ORDER BY nullif(split_part(title, '/', 2), '')) AS languages FROM t GROUP BY query, split_part(title, '/', 1))
+SELECT query, base AS title, CAST(rank AS INT) AS rank, coalesce(languages, '') AS languages FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY first, base) AS rank FROM f) WHERE rank <= 5""")
+def e11_variants(part):
+    from pyspark.sql import Window
+
+    title = F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "/ko").when(F.col("p_partkey") % 3 == 1, "/pt-br").otherwise(""))
+    hits = part.select(F.col("p_size").alias("query"), title.alias("title"), F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("rank"))
+    return search.collapse_variants(hits, 5)
+
+
+# retrieval
+
+
+@query("documents benchmark")
+def f11_retrieval(documents, benchmark):
+    return retrieve.retrieve(_asked(benchmark), retrieve.chunks(documents))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queries["f11_retrieval"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
