@@ -14,9 +14,9 @@ from wikiloom.llm.common import small_batches
 from wikiloom.llm.textgrid import BOUNDARY, LETTER, Grid, mix, slabs
 
 #: Hashed n-gram dimensions; n-gram orders; centroids per language.
-DIMS, ORDERS, CENTROIDS = 4096, (1, 2, 3), 4
+DIMS, ORDERS, CENTROIDS = 2048, (1, 2, 3), 4
 #: Labelled rows that the classifier is fitted on, for each language and in all.
-PER_LANGUAGE, IN_ALL = 1000, 6000
+PER_LANGUAGE, IN_ALL = 500, 3000
 #: A text is rejected when its cosine is under this share of what nearly all labelled texts of about its length reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.7, 0.005
 
