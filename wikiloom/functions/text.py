@@ -31,30 +31,33 @@ def normal_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, r"\r?\n"), normal_spaces), lambda x: x != ""), "\n\n")
 
 
+def _once(c: Column, f) -> Column:
+    """f(c) with c worked out once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def namespace_of(title: Column) -> Column:
     """The namespace that a title's prefix names, in either case; else Main."""
-    prefix = ascii_lower(F.trim(F.substring_index(title, ":", 1)))
-    out = F.lit("Main")
-    for key, name in NAMESPACES.items():
-        out = F.when((F.locate(":", title) > 0) & (prefix == key), name).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
+    prefix = F.lower(F.trim(F.regexp_extract(title, r"\A([^:]*):", 1)))
+    return F.coalesce(F.try_element_at(known, prefix), F.lit("Main"))
+
+
+def _rest(title: Column) -> Column:
+    return F.trim(F.regexp_replace(title, r"\A[^:]*:", ""))
 
 
 def canonical_title(title: Column) -> Column:
     """Underscores are spaces, spaces normalised, a known namespace prefix in its canonical form."""
     plain = normal_spaces(F.translate(title, "_", " "))
-    rest = F.trim(F.regexp_replace(plain, r"^[^:]*:", ""))
-    ns = namespace_of(plain)
-    return F.when(ns == "Main", plain).otherwise(F.concat(ns, F.lit(":"), rest))
+    return _once(F.struct(plain.alias("t"), namespace_of(plain).alias("ns")), lambda x: F.when(x.ns == "Main", x.t).otherwise(F.concat(x.ns, F.lit(":"), _rest(x.t))))
 
 
 def title_key(title: Column) -> Column:
     """canonical_title() with the first character of the page name in upper case, by which sync compares."""
-    t = canonical_title(title)
-    ns = namespace_of(t)
-    name = F.when(ns == "Main", t).otherwise(F.regexp_replace(t, r"^[^:]*:", ""))
-    raised = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
-    return F.when(ns == "Main", raised).otherwise(F.concat(ns, F.lit(":"), raised))
+    plain = normal_spaces(F.translate(title, "_", " "))
+    parts = _once(F.struct(plain.alias("t"), namespace_of(plain).alias("ns")), lambda x: F.struct(x.ns.alias("ns"), F.when(x.ns == "Main", x.t).otherwise(_rest(x.t)).alias("name")))
+    return _once(parts, lambda x: F.concat(F.when(x.ns == "Main", "").otherwise(F.concat(x.ns, F.lit(":"))), F.upper(F.substring(x["name"], 1, 1)), F.substring(x["name"], 2, 1 << 30)))
 
 
 def short_hash(c: Column) -> Column:
@@ -126,9 +129,12 @@ def parameter_key(c: Column) -> Column:
 def template_title(c: Column) -> Column:
     """`Template:Name`, or null for what can't be a template's name."""
     bare = normal_spaces(F.translate(F.regexp_replace(c, r"\A\s*:", ""), "_", " "))
-    name = F.when(namespace_of(bare) == "Template", F.trim(F.regexp_replace(bare, r"^[^:]*:", ""))).otherwise(bare)
-    bad = (name == "") | name.rlike(r"[#!\[\]{}|<>]") | ((namespace_of(bare) != "Main") & (namespace_of(bare) != "Template"))
-    return F.when(~bad, F.concat(F.lit("Template:"), name))
+
+    def named(x):
+        name = F.when(x.ns == "Template", _rest(x.t)).otherwise(x.t)
+        return F.when(x.ns.isin("Main", "Template") & (name != "") & ~name.rlike(r"[#!\[\]{}|<>]"), F.concat(F.lit("Template:"), name))
+
+    return _once(F.struct(bare.alias("t"), namespace_of(bare).alias("ns")), named)
 
 
 def identifier(key: Column, value: Column) -> Column:
