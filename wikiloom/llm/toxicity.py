@@ -46,6 +46,13 @@ def terms(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             yield h[bound[i] : bound[i + 1]], times[bound[i] : bound[i + 1]], int(n_words[i])
 
 
+def _ranges(first: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All of first[i]..end[i] - 1, one range after another, and each range's value beside its members."""
+    n = end - first
+    stop = np.cumsum(n)
+    return np.repeat(first - stop + n, n) + np.arange(stop[-1] if len(stop) else 0), np.repeat(value, n)
+
+
 @dataclass
 class Index:
     """Examples' TF-IDF vectors by term, in blocks of BLOCK examples with each term's greatest weight in each block."""
@@ -58,6 +65,7 @@ class Index:
     block_first: np.ndarray  # of each term, its first (block, greatest weight)
     block: np.ndarray
     block_max: np.ndarray
+    cell_first: np.ndarray  # of each (term, block), its first posting; one more at the end
     label: np.ndarray  # of each example
     mass: np.ndarray  # labelled rows that an example stands for
     doc: np.ndarray  # ids of the examples, the evidence
@@ -76,27 +84,22 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The NEAREST examples by cosine, exactly: blocks are opened by falling upper bound until none can add to them."""
-        n_blocks = -(-len(self.label) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for t, x in zip(at, w, strict=True):
-            s = slice(self.block_first[t], self.block_first[t + 1])
-            bound[self.block[s]] += x * self.block_max[s]
+        cells, pull = _ranges(self.block_first[at], self.block_first[at + 1], w)
+        block = self.block[cells]
+        bound = np.bincount(block, pull * self.block_max[cells], minlength=1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        ids, cosines, k = np.zeros(0, int), np.zeros(0), 0
-        while k < len(order) and (len(ids) < NEAREST or bound[order[k]] >= cosines[-1]):
-            opened = np.sort(order[k : k + 4])  # a few at a time
-            k += 4
-            got = np.zeros(len(opened) * BLOCK)
-            for t, x in zip(at, w, strict=True):
-                lo, hi = self.first[t], self.first[t + 1]
-                e = self.example[lo:hi]
-                for j, blk in enumerate(opened):
-                    p, q = np.searchsorted(e, (blk * BLOCK, (blk + 1) * BLOCK))
-                    got[j * BLOCK + e[p:q] - blk * BLOCK] += x * self.weight[lo + p : lo + q]
+        ids, cosines, k, some = np.zeros(0, int), np.zeros(0), 0, 4
+        while k < len(order) and (len(ids) < NEAREST or bound[order[k]] + 1e-12 >= cosines[-1]):
+            opened = np.zeros(len(bound), bool)
+            opened[order[k : k + some]] = True
+            k, some = k + some, 2 * some  # a few at first, then more at a time
+            here = opened[block]
+            posts, pulls = _ranges(self.cell_first[cells[here]], self.cell_first[cells[here] + 1], pull[here])
+            got = np.bincount(self.example[posts], pulls * self.weight[posts])
             new = np.flatnonzero(got > 0)
-            new_ids = opened[new // BLOCK] * BLOCK + new % BLOCK
-            ids, cosines = np.concatenate([ids, new_ids[new_ids != skip]]), np.concatenate([cosines, got[new][new_ids != skip]])
+            new = new[new != skip]
+            ids, cosines = np.concatenate([ids, new]), np.concatenate([cosines, got[new]])
             best = np.lexsort((ids, -cosines))[:NEAREST]
             ids, cosines = ids[best], cosines[best]
         return ids, cosines
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     most = np.maximum.reduceat(w, new) if len(new) else np.zeros(0)
     steps = np.arange(len(term) + 1)
     index = Index(
-        term, idf, np.searchsorted(t, steps), e, w, np.searchsorted(t[new], steps), blk[new], most, label[held], weight_of[held], rows["doc"].to_numpy()[held], prior, np.zeros(0), np.zeros(0)
+        term, idf, np.searchsorted(t, steps), e, w, np.searchsorted(t[new], steps), blk[new], most, np.append(new, len(t)), label[held], weight_of[held], rows["doc"].to_numpy()[held], prior, np.zeros(0), np.zeros(0)
     )
     # each example is judged by the others; its votes tell what a vote is worth
     votes = np.array([index.vote(*index.nearest(*vectors[i], skip=k)) for k, i in enumerate(held)])
