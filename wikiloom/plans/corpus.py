@@ -27,6 +27,9 @@ SQL = {
   CASE WHEN o_orderkey % 5 = 0 THEN concat('10.1000/', CAST(o_orderkey % 70 AS STRING)) END AS doi, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderkey % 50 AS STRING) END AS isbn,
   concat('Template:Cite ', lower(substr(o_orderpriority, 3))) AS template, CASE o_orderstatus WHEN 'F' THEN 'news' WHEN 'O' THEN 'web' ELSE 'book' END AS kind,
   concat('ref ', CAST(o_custkey % 40 AS STRING), ' ', CAST(o_orderkey % 300 AS STRING)) AS wikitext FROM {orders}""",
+    "articles": """SELECT concat('Part ', CAST(p_partkey AS STRING)) AS title, concat('{{{{Short description|', p_name, '}}}}\nLead of [[Part ', CAST(p_partkey % 97 AS STRING), '|it]] and [[Category:', p_type, ']].\n== Details ==\nBrand ', p_brand,
+  '<ref>{{{{Cite web|url=https://www.Site', CAST(p_size AS STRING), '.example/x|title=T}}}}</ref>.\n', CASE WHEN p_partkey % 5 = 0 THEN '# Notes\n' ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN 'It is “quoted”.\n' ELSE '' END,
+  '== See also ==\n* [[Part ', CAST((p_partkey * 13) % 2600 AS STRING), ']]\n', CASE WHEN p_partkey % 3 = 0 THEN '== details ==\nagain [[broken\n' ELSE '' END) AS text, p_partkey AS k, p_name AS name, p_type AS type, p_size AS size FROM {part}""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",

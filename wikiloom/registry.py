@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, graph, links, retrieve, search, sync, usage
+from wikiloom.operators import audit, authoring, docs, graph, links, markup, retrieve, search, sync, usage, web
 from wikiloom.plans import corpus
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,6 +434,149 @@ def f11_retrieval(documents, benchmark):
     return retrieve.retrieve(_asked(benchmark), retrieve.chunks(documents))
 
 
+# extraction: the rules that make the articles state what must be found in them
+
+
+@query("articles", """SELECT DISTINCT title AS source, target, namespace, is_category FROM (SELECT title, concat('Part ', k % 97) AS target, 'Main' AS namespace, FALSE AS is_category FROM articles
+  UNION ALL SELECT title, concat('Category:', type), 'Category', TRUE FROM articles UNION ALL SELECT title, concat('Part ', (k * 13) % 2600), 'Main', FALSE FROM articles)""")
+def c4_wikilinks(articles):
+    return markup.wikilinks(articles)
+
+
+@query("articles", """SELECT title, 0 AS place, 1 AS level, NULL AS heading FROM articles UNION ALL SELECT title, 1, 2, 'Details' FROM articles UNION ALL SELECT title, 2, 2, 'See also' FROM articles UNION ALL SELECT title, 3, 2, 'details' FROM articles WHERE k % 3 = 0""")
+def c1_sections(articles):
+    return markup.sections(articles).select("title", "place", "level", "heading")
+
+
+@query("articles", """SELECT title AS page, 'Template:Short description' AS template, '$1' AS keys FROM articles UNION ALL SELECT title, 'Template:Cite web', 'title,url' FROM articles""")
+def c5_template_calls(articles):
+    return markup.template_calls(articles).select("page", "template", F.array_join("keys", ",").alias("keys"))
+
+
+@query("articles", """SELECT title AS page, 0 AS place, 'Template:Cite web' AS template, concat('https://www.Site', size, '.example/x') AS url, concat('site', size, '.example') AS domain FROM articles""")
+def c7_references(articles):
+    return markup.references(articles).select("page", "place", "template", "url", "domain")
+
+
+@query("articles", """SELECT title, rule, severity FROM (SELECT title, 'citation.after_punctuation' AS rule, 'warning' AS severity FROM articles UNION ALL SELECT title, 'structure.require_reflist', 'error' FROM articles UNION ALL SELECT title, 'structure.require_references_section', 'error' FROM articles
+  UNION ALL SELECT title, 'structure.markdown_heading', 'error' FROM articles WHERE k % 5 = 0 UNION ALL SELECT title, 'style.curly_quotes', 'info' FROM articles WHERE k % 7 = 0 UNION ALL SELECT title, 'structure.duplicate_heading', 'warning' FROM articles WHERE k % 3 = 0
+  UNION ALL SELECT title, 'wikitext.unbalanced', 'error' FROM articles WHERE k % 3 = 0 UNION ALL SELECT title, 'template.unavailable', 'error' FROM articles
+  UNION ALL SELECT title, 'integration.red_link_in_see_also', 'warning' FROM articles WHERE concat('Part ', (k * 13) % 2600) NOT IN (SELECT title FROM articles))""")
+def n_lint(articles):
+    known = articles.sparkSession.createDataFrame([("Template:Short description",)], "template string")
+    return markup.lint(articles, known, articles.select("title")).select("title", "rule", "severity")
+
+
+@query("articles", """SELECT title, CAST(3 + CAST(k % 5 = 0 AS INT) + CAST(k % 3 = 0 AS INT) AS BIGINT) AS errors, CAST(1 + CAST(k % 3 = 0 AS INT) + CAST(concat('Part ', (k * 13) % 2600) NOT IN (SELECT title FROM articles) AS INT) AS BIGINT) AS warnings, CAST(CAST(k % 7 = 0 AS INT) AS BIGINT) AS notes FROM articles""")
+def n16_lint_counts(articles):
+    known = articles.sparkSession.createDataFrame([("Template:Short description",)], "template string")
+    return markup.lint_counts(markup.lint(articles, known, articles.select("title")))
+
+
+@query("articles", r"""SELECT title, regexp_replace(regexp_replace(translate(text, '“”', '""'), '(?m)^# Notes$', '== Notes =='), '(<ref>[^<]*</ref>)\.', '.\1', 'g') AS text, TRUE AS fixed FROM articles""")
+def n16_safe_fixes(articles):
+    return markup.safe_fixes(articles)
+
+
+# web pages
+
+_DOMAIN = r"regexp_replace(regexp_extract(lower(url), '^(?:https?:)?//([^/:?#]+)', 1), '^(www\.)+', '')"
+
+
+def _decode(c):
+    for name, char in web.ENTITIES.items():
+        c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+def _clean(c):
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _web(sql: str | None = None):
+    """Like query(), over the table of web pages, whose name the wiki's own pages have here."""
+
+    def add(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_web(f"""SELECT page_id, {_DOMAIN} AS domain, {_clean(_decode("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)"))} AS title, {_clean(_decode("regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))} AS heading,
+  regexp_extract(html, '(?is)<html\\b[^>]*\\blang="([^"]*)', 1) AS language, '' AS description, '' AS canonical FROM pages""")
+def c28_metadata(pages):
+    return web.metadata(pages)
+
+
+@_web(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(regexp_replace(url, '[?#].*', ''), '^(.*/)', 1) AS base, unnest(regexp_extract_all(html, '(?is)\b(?:href|src)\s*=\s*["'']([^"''#][^"'']*)["'']', 1)) AS href FROM pages)
+SELECT page_id, url, count(*) AS n FROM (SELECT page_id, CASE WHEN starts_with(href, '/') THEN concat(root, href) ELSE href END AS url FROM h) GROUP BY page_id, url""")
+def c30_page_links(pages):
+    return web.page_links(pages)
+
+
+@_web()
+def c27_readable_text(pages):
+    return web.page_text(pages)
+
+
+@_web("SELECT page_id, 'content' AS status FROM pages")
+def c29_access(pages):
+    return web.access(pages)
+
+
+# documentation and writing
+
+
+@query("documents benchmark conversations")
+def j1_docs_search(documents, benchmark, conversations):
+    pages = documents.select(F.col("doc_id").alias("page"), F.lit(0).cast("long").alias("place"), F.col("source").alias("title"), "text")
+    sections = conversations.select(F.col("conv_id").alias("page"), F.col("turn").cast("long").alias("place"), F.col("role").alias("title"), "text")
+    return docs.search_docs(_asked(benchmark), {"page": pages, "section": sections})
+
+
+@query("documents", "SELECT lang AS kind, count(DISTINCT source) AS corpora, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY lang")
+def j6_docs_catalogue(documents):
+    return docs.catalogue(documents.select(F.col("source").alias("corpus"), F.col("lang").alias("kind"), F.col("doc_id").alias("page"), "text"))
+
+
+_COVER = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query("conversations", f"""WITH u AS (SELECT DISTINCT conv_id AS query, unnest({_COVER.format("text")}) AS term FROM conversations WHERE role = 'user'), a AS (SELECT DISTINCT conv_id AS query, unnest({_COVER.format("text")}) AS term, 1 AS have FROM conversations WHERE role = 'assistant')
+SELECT u.query, count(*) AS terms, count(a.have) AS covered, coalesce(string_agg(CASE WHEN a.have IS NULL THEN u.term END, ',' ORDER BY u.term), '') AS missing FROM u LEFT JOIN a ON u.query = a.query AND u.term = a.term GROUP BY u.query""")
+def k4_coverage(conversations):
+    said = conversations.select(F.col("conv_id").alias("query"), "text", "role")
+    return authoring.coverage(said.filter("role = 'user'"), said.filter("role = 'assistant'"))
+
+
+@query("part", """WITH h AS (SELECT p_brand AS topic, p_size AS page_rank, p_partkey AS place, lower(p_type) AS heading FROM part), n AS (SELECT topic, count(DISTINCT page_rank) AS n FROM h GROUP BY topic),
+f AS (SELECT topic, heading, count(DISTINCT page_rank) AS pages, min(struct_pack(a := page_rank, b := place)) AS first FROM h GROUP BY topic, heading),
+r AS (SELECT f.topic, heading, pages, row_number() OVER (PARTITION BY f.topic ORDER BY first, heading) AS rank FROM f JOIN n ON f.topic = n.topic WHERE pages >= 2 OR n = 1) SELECT topic, heading, pages, rank FROM r WHERE rank <= 8""")
+def k5_skeleton(part):
+    return authoring.section_skeleton(part.select(F.col("p_brand").alias("topic"), F.col("p_size").alias("page_rank"), F.col("p_partkey").alias("place"), F.col("p_type").alias("heading")))
+
+
+_CONTRACTS = "c AS (SELECT p_partkey AS contract, lower(p_name) AS title, lower(p_type) AS category, lower(p_brand) AS summary, CAST(p_size AS VARCHAR) AS keys, p_size AS uses FROM part), q AS (SELECT DISTINCT r_regionkey AS query, t AS term FROM region, (SELECT unnest(['a', 'brand#1', '4']) AS t))"
+
+
+@query("part region", f"""WITH {_CONTRACTS} SELECT query, contract, CAST(sum(CASE WHEN contains(title, term) THEN 150 WHEN contains(category, term) THEN 90 WHEN contains(summary, term) THEN 70 ELSE 48 END) + max(least(uses, 60)) AS BIGINT) AS score
+FROM c JOIN q ON contains(title, term) OR contains(category, term) OR contains(summary, term) OR contains(keys, term) GROUP BY query, contract""")
+def l1_contract_scores(part, region):
+    contracts = part.select(F.col("p_partkey").alias("contract"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_brand").alias("summary"), F.col("p_size").cast("string").alias("keys"), F.col("p_size").alias("uses"))
+    terms = region.select(F.col("r_regionkey").alias("query"), F.explode(F.array(*map(F.lit, ["a", "brand#1", "4"]))).alias("term"))
+    return authoring.contract_scores(terms, contracts)
+
+
+@query("part region")
+def l3_contract_plan(part, region):
+    contracts = part.select(F.col("p_partkey").alias("contract"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_brand").alias("summary"), F.col("p_size").cast("string").alias("keys"), F.col("p_size").alias("uses"), F.col("p_size").cast("long").alias("tokens"))
+    terms = region.select(F.col("r_regionkey").alias("query"), F.explode(F.array(*map(F.lit, ["a", "brand#1", "4"]))).alias("term"))
+    return authoring.contract_plan(authoring.contract_scores(terms, contracts), contracts, 12, 200)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["f11_retrieval"](spark, sf_dir)
 
