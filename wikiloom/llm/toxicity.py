@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from wikiloom.llm.textgrid import Grid, mix, prefix, slabs, span_hashes
 
 #: Labelled rows that the classifier is fitted on, of either label.
-EXAMPLES = {1: 5000, 0: 12000}
-#: Terms that the index holds at most, and how sure (chi-square with one degree of freedom) their link to a label must be.
-TERMS, SURE = 30_000, 45.0
+EXAMPLES = {1: 2500, 0: 10000}
+#: Terms that the index holds at most, how sure (chi-square with one degree of freedom) their link to label 1 must be, and
+#: how many times as often rows of label 1 must hold them: else, with more rows, more and more common words are sure.
+TERMS, SURE, LIFT = 30_000, 45.0, 4.0
 #: Neighbours that vote; examples in a block of the index; weight of the prior beside the votes.
 NEAREST, BLOCK, PRIOR = 25, 64, 0.2
 #: A word is a term, and so are its beginnings of these lengths.
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ones, zeros = float(n_of[1][0]), float(n_of[0][0])
     a, b = F.col("ones"), F.col("zeros")
     chi = (ones + zeros) * (a * (zeros - b) - b * (ones - a)) ** 2 / F.nullif(ones * zeros * (a + b) * ((ones - a) + (zeros - b)), F.lit(0.0))
-    picked = seen.filter((a + b >= 4) & (a * max(zeros, 1.0) > b * max(ones, 1.0))).withColumn("chi", chi).filter(F.col("chi") >= SURE).orderBy(F.desc("chi"), "term").limit(TERMS).toPandas()
+    picked = seen.filter((a + b >= 4) & (a * max(zeros, 1.0) >= LIFT * b * max(ones, 1.0))).withColumn("chi", chi).filter(F.col("chi") >= SURE).orderBy(F.desc("chi"), "term").limit(TERMS).toPandas()
     term = np.sort(picked["term"].to_numpy(np.int64))
     by = picked.set_index("term").reindex(term)
     df = by["ones"].to_numpy(float) * (n_of[1][1] / max(ones, 1)) + by["zeros"].to_numpy(float) * (n_of[0][1] / max(zeros, 1))
