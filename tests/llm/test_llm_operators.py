@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -75,6 +76,24 @@ def test_licenses(spark):
     assert licenses.license_report(docs(spark, texts).limit(0)).count() == 0
 
 
+def wrapped(text, width):
+    return "\n".join("# " + x for x in textwrap.wrap(text, width))
+
+
+def test_licenses_across_lines(spark):
+    notice = dict(licenses.TEMPLATES[5:6])["GPL-3.0"]
+    two = dict(licenses.BODIES[4:5])["GPL-2.0"]
+    bodies = [b for _, b in licenses.BODIES[:4]]
+    mit = "Released under the MIT License."
+    texts = [wrapped(notice, 70), f"{prose(2, 300)} {notice} {prose(3, 300)}", wrapped(bodies[0], 76), *(f"{prose(4, 50)}\n\n{wrapped(b, 60)}\n{prose(5, 50)}" for b in bodies), two, f"{prose(6, 80)}\n" + " ".join([mit] * 200)]
+    texts += [f"{wrapped(notice, 50)}\n{prose(7, 20)}\n{wrapped(notice, 40)}\n{mit}", prose(8, 400)]
+    got = {r["doc_id"]: r for r in licenses.license_report(docs(spark, texts)).collect()}
+    names = ["GPL-3.0", "GPL-3.0", "MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "MIT", "GPL-3.0,MIT", ""]
+    assert [got[i]["licenses"] for i in range(len(texts))] == names
+    assert [got[i]["n_passages"] for i in range(len(texts))] == [1] * 9 + [3, 0]
+    assert all(got[i]["best"] == 1.0 for i in range(8))
+
+
 # toxicity
 
 
