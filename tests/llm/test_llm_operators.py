@@ -282,6 +282,18 @@ def test_copied_examples_stay(spark):
     assert all(got[i] == rows[i][1] for i in range(30)) and got[100] == "é [secret] end" and got[102] is None
 
 
+def test_one_owner_in_many_documents_is_live(spark):
+    key = "Zx81kfLq0P99aaB27cdEf5"
+    rows = [(i, f"bare {key} here {i}", "own1") for i in range(20)] + [(20 + i, f"copy {key} end", f"own{i % 3 + 1}") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r["n_live"] == 1 and r["n_copied"] == 0 and r["spans"].startswith("token:5:") for r in secrets.secret_scan(table).collect())
+    assert all(key not in r["text"] and "[secret]" in r["text"] for r in secrets.mask_secrets(table).collect())
+    # without owners, exact copies are one document and other texts are not
+    alone = table.drop("source")
+    assert all(r["n_live"] == 1 for r in secrets.secret_scan(alone.filter("doc_id >= 20")).collect())
+    assert all(r["spans"] == "" for r in secrets.secret_scan(alone.filter("doc_id < 20")).collect())
+
+
 # benchmark
 
 

@@ -24,8 +24,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Any other stretch that may be a credential; it needs letters, digits and this many bits of entropy a character.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ENTROPY = 3.2
-#: A value is a copied example when as many owners, or as many repositories, hold it.
-COPIED_OWNERS, COPIED_REPOS = 4, 12
+#: A value is a copied example when as many owners hold it, in however many repositories.
+COPIED_OWNERS = 4
 
 _NAMES = ("pass", "secret", "token", "api")
 
@@ -75,18 +75,24 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Colum
     return bare.mapInArrow(run, f"id {kind}, mark long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,end:long,kind:int,value:string>>")
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def ownership(found: DataFrame, texts_once: bool = False) -> DataFrame:
     """value, n_rows, n_repos, n_owners, named (seen by a pattern of the contract), live.
 
+    texts_once: all rows of a text count for its least owner, as where each document is an owner of its own.
+
     Distinct repositories and owners are counted in two steps, so a value that a third of the corpus holds is summed
     before it is shuffled, and again before it meets in one row. A missing repository or owner counts as one.
     """
-    each = found.filter("size(found) > 0").select("repo", "owner", F.explode("found").alias("x")).select("repo", "owner", "x.value", (F.col("x.kind") < 3).alias("named"))
-    held = each.groupBy("value", "owner", "repo").agg(F.count("*").alias("rows"), F.max("named").alias("named"))
+    each = found.filter("size(found) > 0").select("mark", "repo", "owner", F.explode("found").alias("x")).select("mark", "repo", "owner", "x.value", (F.col("x.kind") < 3).alias("named"))
+    if texts_once:
+        each = each.groupBy("value", "mark").agg(F.min("owner").alias("owner"), F.min("repo").alias("repo"), F.count("*").alias("rows"), F.max("named").alias("named"))
+    else:
+        each = each.withColumn("rows", F.lit(1))
+    held = each.groupBy("value", "owner", "repo").agg(F.sum("rows").alias("rows"), F.max("named").alias("named"))
     by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("rows").alias("rows"), F.max("named").alias("named"))
     # a repository belongs to one owner; where several claim it, it counts for each
     total = by_owner.groupBy("value").agg(F.sum("rows").alias("n_rows"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("named").alias("named"))
-    return total.withColumn("live", (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repos") < COPIED_REPOS))
+    return total.withColumn("live", F.col("n_owners") < COPIED_OWNERS)
 
 
 def judged(found: DataFrame, values: DataFrame) -> DataFrame:
@@ -103,14 +109,16 @@ def judged(found: DataFrame, values: DataFrame) -> DataFrame:
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end", comma-joined), n_live, n_copied.
 
-    repo and owner default to the id and to `source` (the id where there is no such column). Null text counts as empty
+    repo and owner default to the text's hash, so that exact copies count once, and to `source` (the id where there is no
+    such column; there, too, exact copies count once). Null text counts as empty
     and has no spans; null ids are kept; repeated rows give one row each; an empty table gives none; other columns are
     ignored. Spans of live values look like credentials of one owner, those of copied values like examples.
     """
-    repo = F.col(id_col) if repo is None else repo
+    repo = F.xxhash64(text_col) if repo is None else repo
+    once = owner is None and "source" not in docs.columns
     owner = (F.col("source") if "source" in docs.columns else F.col(id_col)) if owner is None else owner
     found = stage(scan(docs, id_col, text_col, repo, owner), "secrets")
-    spans = judged(found, stage(ownership(found), "values"))
+    spans = judged(found, stage(ownership(found, once), "values"))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s["end"])), ",")
     told = spans.select(F.col("id").alias("i"), F.col("mark").alias("m"), text.alias("spans"), F.size(F.filter("spans", lambda s: s.live)).alias("n_live"), F.size("spans").alias("n"))
@@ -123,9 +131,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """docs with each owner-specific value (its whole span) replaced by mask; copied examples and all else stay."""
-    repo, owner = F.col(id_col), F.col("source") if "source" in docs.columns else F.col(id_col)
+    once = "source" not in docs.columns
+    repo, owner = F.xxhash64(text_col), F.col(id_col) if once else F.col("source")
     found = stage(scan(docs, id_col, text_col, repo, owner).filter("size(found) > 0"), "secrets")
-    spans = judged(found, stage(ownership(found), "values"))
+    spans = judged(found, stage(ownership(found, once), "values"))
     live = spans.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.filter("spans", lambda s: s.live).alias("__live")).filter("size(__live) > 0")
     rows = docs.withColumn("__fp", F.xxhash64(text_col)).join(live, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__mark")), "left")
     # what stands before each span that starts past all spans before it, then the mask; then the rest
