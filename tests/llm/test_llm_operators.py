@@ -208,6 +208,19 @@ def test_tool_calls(spark):
     assert chat.chat_messages(table.limit(0)).count() == 0
 
 
+def test_deep_chains_and_nested_calls(spark):
+    def turn(k, name, needs, **more):
+        return (1, k, "assistant", json.dumps({"tool_calls": [{"id": name, "type": "function", "function": {"name": "calculate", "arguments": json.dumps({"expression": "1", "of": [{"$ref": x} for x in needs]})}, **more}]}))
+
+    rows = [turn(k, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(1100)]
+    rows += [turn(1100, "d", ["c1099", "c3"]), turn(1101, "e", ["d"]), turn(1102, "f", ["e", "d"], note=[7]), turn(1103, "x", ["y"]), turn(1104, "y", ["x"]), turn(1105, "z", ["x", "c0"])]
+    got = {r["turn"]: json.loads(r["json"])["tool_calls"][0] for r in chat.chat_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[k]["level"] for k in range(1103)] == list(range(1103))
+    assert all(got[k]["level"] is None and got[k]["error"] == "cycle" for k in (1103, 1104, 1105))
+    assert got[0]["name"] == "calculate" and got[0]["arguments"] == {"expression": "1", "of": []} and got[0]["error"] == ""
+    assert got[1102]["extra"] == {"note": [7]} and "extra" not in got[0]
+
+
 # embeddings
 
 

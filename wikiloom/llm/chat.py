@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,6 @@ DEFAULT_SCHEMAS = {
     "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "additionalProperties": False},
     "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}},
 }
-#: Longest chain of calls that wait for one another; calls in a cycle, or behind one, have no level.
-MAX_LEVELS = 1000
 
 _TYPES = {
     "object": lambda x: isinstance(x, dict),
@@ -79,7 +78,8 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
     """Content, calls and the identifier of the call that a result answers.
 
     Structured messages are JSON objects: {"content", "tool_calls": [{"id", "name", "arguments"}]} from the assistant and
-    {"tool_call_id", "content"} from a tool. Any other text, JSON or not, is plain content.
+    {"tool_call_id", "content"} from a tool. Calls may also be {"id", "type", "function": {"name", "arguments"}}; what else
+    a call says is kept as "extra". Any other text, JSON or not, is plain content.
     """
     text = text or ""
     if not text.lstrip().startswith("{"):
@@ -96,8 +96,14 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
         return text, [], None
     calls = []
     for k, call in enumerate(said["tool_calls"]):
-        call = call if isinstance(call, dict) else {}
+        more = {} if isinstance(call, dict) else {"call": call}
+        call = dict(call) if isinstance(call, dict) else {}
+        nested = call.pop("function") if isinstance(call.get("function"), dict) else {}
+        inner = {x: nested[x] for x in nested if x not in ("name", "arguments") or x in call}
+        call = {x: nested[x] for x in ("name", "arguments") if x in nested} | call
         args = call.get("arguments", {})
+        more |= {x: call[x] for x in call if x != "arguments" and not (x in ("id", "name") and isinstance(call[x], str)) and (x, call[x]) != ("type", "function")}
+        more |= {"function": inner} if inner else {}
         if isinstance(args, str):  # JSON in JSON, as some APIs write it
             try:
                 args = json.loads(args)
@@ -106,13 +112,13 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
                 pass
         name = call.get("name") if isinstance(call.get("name"), str) else ""
         wrong = list(problems(args, schemas[name])) if name in schemas else [f"unknown tool: {name}"]
-        calls.append({"place": k, "id": call.get("id") if isinstance(call.get("id"), str) else None, "name": name, "arguments": canonical(args), "needs": sorted(set(_needs(args))), "error": "; ".join(wrong)})
+        calls.append({"place": k, "id": call.get("id") if isinstance(call.get("id"), str) else None, "name": name, "arguments": canonical(args), "needs": sorted(set(_needs(args))), "error": "; ".join(wrong), "extra": canonical(more) if more else None})
     return content, calls, None
 
 
 def messages(turns: DataFrame, schemas: dict, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """conv, turn, mark (hash of role and text), role, content, calls, answers: one row per distinct row of turns."""
-    call = pa.struct([("place", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string())), ("error", pa.string())])
+    call = pa.struct([("place", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string())), ("error", pa.string()), ("extra", pa.string())])
     kinds = [turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +128,48 @@ def messages(turns: DataFrame, schemas: dict, conv_col: str, turn_col: str, role
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["conv", "turn", "mark", "role", "content", "calls", "answers"])
 
     bare = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.xxhash64(role_col, text_col).alias("mark"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("t"))
-    return bare.mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, mark long, role string, content string, calls array<struct<place:int,id:string,name:string,arguments:string,needs:array<string>,error:string>>, answers string")
+    return bare.mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, mark long, role string, content string, calls array<struct<place:int,id:string,name:string,arguments:string,needs:array<string>,error:string,extra:string>>, answers string")
+
+
+def _levels(waits: DataFrame, roots: DataFrame) -> DataFrame:
+    """conv, id, level of the calls in waits (conv, id, need) that are not in or behind a cycle; roots have theirs.
+
+    Calls that need a single one are led past others of that kind, twice as far each round, so long chains take few
+    rounds; what is not through after as many rounds as any chain could take runs in a cycle. Calls that need several
+    take a round a level, until a round adds none; only the calls still open are carried.
+    """
+    same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("end") == F.col("i"))
+    n = waits.groupBy("conv", "id").agg(F.count("*").alias("n"), F.min("need").alias("end"))
+    led = stage(n.filter("n = 1").select("conv", "id", "end", F.lit(1).cast("long").alias("far")), "led")
+    for _ in range(led.count().bit_length() + 1):
+        on = led.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("end").alias("e"), F.col("far").alias("f"))
+        step = stage(led.join(on, same, "left").select("conv", "id", F.coalesce("e", "end").alias("end"), (F.col("far") + F.coalesce("f", F.lit(0))).alias("far"), F.col("e").isNotNull().alias("moved")), "led")
+        led = step.drop("moved")
+        if not step.filter("moved").head(1):
+            break
+    several = waits.join(n.filter("n > 1").select(F.col("conv").alias("c"), F.col("id").alias("i")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_semi").withColumnRenamed("need", "end")
+    on = led.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("end").alias("e"), F.col("far").alias("f"))
+    nothing = F.lit(None).cast("int")
+    rest = stage(several.join(on, same, "left").select("conv", "id", F.coalesce("e", "end").alias("end"), F.coalesce("f", F.lit(0)).alias("far"), nothing.alias("level")), "open")
+    new, parts = roots, [roots]
+    while rest.head(1):
+        met = new.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("level").alias("l"))
+        told = stage(rest.join(met, same, "left").select("conv", "id", "end", "far", F.coalesce("level", (F.col("l") + F.col("far")).cast("int")).alias("level")), "open")
+        new = stage(told.groupBy("conv", "id").agg(F.count("*").alias("n"), F.count("level").alias("k"), (F.max("level") + 1).alias("level")).filter("n = k").select("conv", "id", "level"), "ready")
+        if not new.head(1):
+            break
+        parts.append(new)
+        if len(parts) > 32:
+            parts = [stage(reduce(DataFrame.unionByName, parts), "level")]
+        rest = told.join(new.select(F.col("conv").alias("c"), F.col("id").alias("i")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti")
+    known = stage(reduce(DataFrame.unionByName, parts), "level")
+    by_end = known.select(F.col("conv").alias("c"), F.col("id").alias("i"), "level")
+    single = led.join(by_end, same).select("conv", "id", (F.col("level") + F.col("far")).cast("int").alias("level"))
+    return stage(known.join(roots.select(F.col("conv").alias("c"), F.col("id").alias("i")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti").unionByName(single), "level")
 
 
 def linked_calls(read: DataFrame) -> DataFrame:
-    """conv, turn, mark, place, id, name, arguments, error, result, level for each call of read (of messages()).
+    """conv, turn, mark, place, id, name, arguments, error, extra, result, level for each call of read (of messages()).
 
     A call's result is that of the earliest message of a tool that names its identifier; where an identifier is used
     twice in a conversation, the earliest call has it and the others are errors. level: 0 for calls that need no other,
@@ -143,7 +186,7 @@ def linked_calls(read: DataFrame) -> DataFrame:
     answers = read.filter("role = 'tool' and answers is not null").groupBy(F.col("conv").alias("c"), F.col("answers").alias("a")).agg(F.min(F.struct("turn", "content")).alias("r"))
     result = told.join(answers, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("a")) & F.col("own"), "left").withColumn("result", F.col("r.content")).drop("c", "a", "r")
 
-    # levels, one round each, over the calls that need others: those whose needs all have a level get theirs
+    # the calls that need others
     owned = told.filter("own")
     needing = owned.filter("size(needs) > 0").select("conv", "id", F.explode("needs").alias("need"))
     have = owned.select(F.col("conv").alias("c"), F.col("id").alias("i"))
@@ -153,15 +196,7 @@ def linked_calls(read: DataFrame) -> DataFrame:
     later = waits.select("conv", "id").distinct()
     level = stage(owned.select("conv", "id").join(later.select(F.col("conv").alias("c"), F.col("id").alias("i")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti").withColumn("level", F.lit(0)), "level")
     if waits.head(1):
-        for _ in range(MAX_LEVELS):
-            met = level.select(F.col("conv").alias("c"), F.col("id").alias("i"), "level")
-            state = waits.join(met, F.col("conv").eqNullSafe(F.col("c")) & (F.col("need") == F.col("i")), "left")
-            ready = state.groupBy("conv", "id").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max("level").alias("m")).filter("n = k").select("conv", "id", (F.col("m") + 1).alias("level"))
-            done = level.select(F.col("conv").alias("c"), F.col("id").alias("i"))
-            new = stage(ready.join(done, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti"), "ready")
-            if not new.head(1):
-                break
-            level = stage(level.unionByName(new), "level")
+        level = level.unionByName(_levels(waits, level))
     sides = (level.select(F.col("conv").alias("c"), F.col("id").alias("i"), "level"), missing.select(F.col("conv").alias("c"), F.col("id").alias("i"), "lost"))
     for side in sides:
         result = result.join(side, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")) & F.col("own"), "left").drop("c", "i")
@@ -172,8 +207,8 @@ def linked_calls(read: DataFrame) -> DataFrame:
 def chat_messages(turns: DataFrame, schemas: dict | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per distinct turn: conversation, turn, role, n_calls, n_linked, n_invalid, orphan, json.
 
-    json is the message in canonical form: {"content", "role"}, with "tool_calls" (arguments, error, id, level, name and
-    result, in the order of level, identifier and place) where there are calls, and "tool_call_id" for results. Levels
+    json is the message in canonical form: {"content", "role"}, with "tool_calls" (arguments, error, id, level, name,
+    result, and extra where a call says more, in the order of level, identifier and place) where there are calls, and "tool_call_id" for results. Levels
     give the order in which calls of a conversation can run. orphan: a result that answers no call. Nothing is held by
     conversation, so one that has a third of all turns is spread like any other; order by (conversation, turn) to write
     it out. Null roles and texts are empty strings; rows that are equal count once; null conversations and turns are
@@ -182,8 +217,8 @@ def chat_messages(turns: DataFrame, schemas: dict | None = None, conv_col: str =
     schemas = DEFAULT_SCHEMAS if schemas is None else schemas
     read = stage(messages(turns, schemas, conv_col, turn_col, role_col, text_col).dropDuplicates(["conv", "turn", "mark"]), "messages")
     calls = linked_calls(read)
-    text = F.to_json(F.struct("arguments", "error", "id", "level", "name", "place", "result"), {"ignoreNullFields": "false"})
-    rank = F.struct(F.coalesce("level", F.lit(MAX_LEVELS + 1)).alias("level"), F.coalesce("id", F.lit("")).alias("id"), "place", text.alias("text"))
+    text = F.to_json(F.struct("arguments", "error", "extra", "id", "level", "name", "place", "result"), {"ignoreNullFields": "false"})
+    rank = F.struct(F.col("level").isNull().alias("late"), "level", F.coalesce("id", F.lit("")).alias("id"), "place", text.alias("text"))
     by_turn = calls.groupBy("conv", "turn", "mark").agg(F.sort_array(F.collect_list(rank)).alias("tools"), F.count("result").alias("n_linked"), F.sum((F.col("error") != "").cast("long")).alias("n_invalid"))
     by_turn = by_turn.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("mark").alias("m"), F.col("tools.text").alias("tools"), "n_linked", "n_invalid")
     asked = calls.filter("id is not null").select(F.col("conv").alias("c2"), F.col("id").alias("i2")).distinct()
@@ -206,6 +241,9 @@ def chat_messages(turns: DataFrame, schemas: dict | None = None, conv_col: str =
                     for x in map(json.loads, tools):
                         x["arguments"] = json.loads(x["arguments"])
                         del x["place"]
+                        extra = x.pop("extra")
+                        if extra is not None:
+                            x["extra"] = json.loads(extra)
                         made["tool_calls"].append(x)
                 if answers is not None:
                     made["tool_call_id"] = answers
