@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +16,41 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-#: Rows of an Arrow batch, unless the session sets another number: texts are long, and batches live beside the heap.
+#: Rows of an Arrow batch in the registered queries, unless the session sets another number: batches live beside the heap.
 BATCH_ROWS = 1000
+#: Bytes of texts that a Python worker takes at a time, however long the rows of an Arrow batch are.
+SLICE_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's own default
-        spark.conf.set(key, BATCH_ROWS)
-    return spark
+def bounded(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES of their text column, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > SLICE_BYTES:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        yield batch.slice(start)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a registered query. Operators leave the session's settings alone; the registered queries, which own
+    their session, take smaller Arrow batches than Spark's default where the session has that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where that is unset) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, where driver and executors are
+    one process, a temporary folder stands in for it; on a cluster a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="wikiloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -52,7 +71,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Column pruning applies to each later read. The folders go when the driver ends, or earlier by unstage().
     """
-    spark = small_batches(df.sparkSession)
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))

@@ -15,21 +15,32 @@ import numpy as np
 OTHER, LETTER, NUMBER, SPACE, BOUNDARY = range(5)
 #: Code points that one numpy pass takes together; a single longer text is taken whole.
 GRID_CHARS = 400_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Stretches are hashed by two polynomials modulo this prime. Modulo a power of two, strings of the Thue-Morse kind meet
+#: whatever the base is.
+PRIME = (1 << 31) - 1
+_BASES = (1_103_515_245, 1_812_433_253 % PRIME)
+_powers = [np.ones(1, np.uint32) for _ in range(2 * len(_BASES))]
 
 # The White_Space property of Unicode.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, not yet least: below 2 ** 34 for any x, below 2 ** 32 for x below 2 ** 60."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.minimum(x, x - np.uint64(PRIME))  # what would be negative is a great number
+
+
 def powers(n: int) -> list[np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64 for i < n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, 1 << 19), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
+    """For each base its powers base ** i, and then base ** -i, modulo PRIME for i < n."""
+    for k, base in enumerate((*_BASES, *(pow(b, -1, PRIME) for b in _BASES))):
+        while len(_powers[k]) < n:
+            have = _powers[k].astype(np.uint64)
+            _powers[k] = np.concatenate([have, _least(have * np.uint64(pow(base, len(have), PRIME)))]).astype(np.uint32)
     return _powers
 
 
@@ -44,18 +55,35 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix(units: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hashes() takes the hash of any stretch."""
-    out = np.zeros(len(units) + 1, np.uint64)
-    terms = units.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= powers(len(units) + 1)[0][: len(units)]
-    np.cumsum(terms, out=out[1:])
+    """Prefix sums, one row a base, from which span_hashes() takes the hash of any stretch of units below 2 ** 30."""
+    n = len(units)
+    out = np.empty((len(_BASES), n + 1), np.uint64)
+    out[:, 0] = 0
+    power = powers(n + 1)
+    for a in range(0, n, 1 << 14):  # pieces that stay in the cache
+        plus = units[a : a + (1 << 14)].astype(np.uint64)
+        plus += np.uint64(1)
+        for k, sums in enumerate(out):
+            terms = plus * power[k][a : a + len(plus)]
+            high = terms >> np.uint64(31)
+            terms &= np.uint64(PRIME)
+            terms += high
+            np.cumsum(terms, out=terms)
+            np.add(terms, sums[a], out=sums[a + 1 : a + 1 + len(plus)])
     return out
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of units[start:end], equal for equal stretches at any place."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+    """64-bit hashes of units[start:end], equal for equal stretches at any place; the length is part of the hash."""
+    out = np.empty(len(start), np.uint64)
+    inverse = powers(sums.shape[1])[len(_BASES) :]
+    for a in range(0, len(start), 1 << 14):
+        i, j = start[a : a + (1 << 14)], end[a : a + (1 << 14)]
+        h = (j - i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for row, back, shift in zip(sums, inverse, (0, 31), strict=True):
+            h += _least(_folded(row[j] - row[i]) * back[i]) << np.uint64(shift)
+        out[a : a + len(i)] = mix(h)
+    return out
 
 
 @cache
