@@ -7,17 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import small_batches
+from wikiloom.llm.common import bounded
 from wikiloom.llm.textgrid import BOUNDARY, LETTER, Grid, mix, slabs
 
 #: Hashed n-gram dimensions; n-gram orders; centroids per language.
-DIMS, ORDERS, CENTROIDS = 2048, (1, 2, 3), 4
-#: Labelled rows that the classifier is fitted on, for each language and in all.
-PER_LANGUAGE, IN_ALL = 500, 3000
-#: A text is rejected when its cosine is under this share of what nearly all labelled texts of about its length reach.
+DIMS, ORDERS, CENTROIDS = 4096, (1, 2, 3), 4
+#: Labelled rows that the classifier is fitted on, for each language and (with few languages, of which each has a row) in all.
+PER_LANGUAGE, IN_ALL = 1000, 4000
+#: A text is rejected when its cosine is under this share of what nearly all labelled texts with about as many different
+#: n-grams reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.7, 0.005
 
 
@@ -62,8 +63,10 @@ class Model:
     floor: np.ndarray  # least cosine, by the logarithm of the number of different n-grams
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = np.log1p(counts)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return x
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the language (-1: no letter), score and whether it is rejected, for each text."""
@@ -88,7 +91,7 @@ class Model:
 
 def buckets(counts: np.ndarray, n: int) -> np.ndarray:
     """By the logarithm of how many different n-grams a text has: a long text that repeats itself is like a short one."""
-    return np.minimum(np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int), n - 1)
+    return np.minimum(np.log2(np.maximum(np.count_nonzero(counts, axis=1), 1)).astype(int), n - 1)
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -105,48 +108,51 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _sampled(docs: DataFrame, key: Column) -> DataFrame:
-    """lang, text of about PER_LANGUAGE labelled rows per language, IN_ALL at most, chosen by a hash of key."""
-    sizes = {r["lang"]: r["n"] for r in docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(IN_ALL).collect()}
-    each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, len(sizes))))
-    spark = docs.sparkSession
-    share = spark.createDataFrame([(k, float(each) / n) for k, n in sizes.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", "text").limit(2 * IN_ALL)
+    """lang, text of PER_LANGUAGE labelled rows per language (fewer where languages are many), those with the least hashes
+    of key. Every language has rows; a share that is surely enough is taken before rows are ranked."""
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, min(PER_LANGUAGE, IN_ALL // max(1, sizes.count())))
+    place = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30))
+    few = docs.join(F.broadcast(sizes), "lang").withColumn("place", place).filter(F.col("place") / float(1 << 30) < (2 * each + 40) / F.col("n"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "k"))
+    return few.withColumn("first", first).filter(F.col("first") <= each).select("lang", "text")
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
-    """Fit on a bounded sample of labelled rows: n-gram counts are made in tasks, the centroids from at most 2 * IN_ALL rows."""
-    small_batches(docs.sparkSession)
-    named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("k")).filter("text is not null")
+    """Fit on a bounded sample of labelled rows: n-gram counts are made in tasks and come as (slot, count) pairs; the
+    centroids are found among at most IN_ALL rows, or one a language."""
+    named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("k")).filter("text is not null and lang is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 128):
                 counts, letters = vectors(texts[a : a + 128])
-                rows = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 128), pa.array(rows, pa.binary()), pa.array(letters)], ["lang", "counts", "letters"])
-
-    found = _sampled(named, F.col("k")).mapInArrow(run, "lang string, counts binary, letters long").filter("letters > 0").toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.uint16).reshape(-1, DIMS).astype(np.float32)
-    own = np.array([langs.index(x) for x in found.column("lang").to_pylist()], int)
-    letters = found.column("letters").to_numpy()
+                slots, times = zip(*((np.flatnonzero(c).astype(np.uint16).tobytes(), np.minimum(c[c > 0], 65535).astype(np.uint16).tobytes()) for c in counts), strict=True) if len(counts) else ((), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 128), pa.array(slots, pa.binary()), pa.array(times, pa.binary()), pa.array(letters)], ["lang", "slots", "times", "letters"])
+
+    found = _sampled(named, F.col("k")).mapInArrow(run, "lang string, slots binary, times binary, letters long").filter("letters > 0").toArrow()
+    names, letters = found.column("lang").to_pylist(), found.column("letters").to_numpy()
+    langs = sorted(set(names))
+    own = np.searchsorted(langs, names) if langs else np.zeros(0, int)
+    counts = np.zeros((len(names), DIMS), np.float32)
+    for row, slots, times in zip(counts, found.column("slots").to_pylist(), found.column("times").to_pylist(), strict=True):
+        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(times, np.uint16)
     order = np.lexsort((counts.sum(axis=1), letters, own))  # the same fit in whatever order rows come
-    counts, own, letters = counts[order], own[order], letters[order]
+    counts, own = counts[order], own[order]
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     model = Model(langs, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(20))
+    at = buckets(counts, 20)
     x = model.weigh(counts)
+    del counts
     parts = [cluster(x[own == k], CENTROIDS) for k in range(len(langs))]
     if parts:
         model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-        near = np.stack([(x @ p.T).max(axis=1) for p in parts], axis=1)[np.arange(len(x)), own]
-        at = buckets(counts, 20)
+        near = np.concatenate([(x[own == k] @ p.T).max(axis=1) for k, p in enumerate(parts)])
         for j in range(20):
             close = near[np.abs(at - j) <= 1]
             # too few such texts: what holds for shorter ones
             model.floor[j] = REJECT_SHARE * np.quantile(close, REJECT_QUANTILE) if len(close) >= 100 else model.floor[j - 1] if j else 0
-        model.floor = np.minimum.accumulate(model.floor[::-1])[::-1]  # shorter texts are never held to more
     return model
 
 
@@ -154,14 +160,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """id, lang_pred, score, rejected for each row, and its columns `keep`.
 
     lang_pred is a learned language; `und` where the text is null or has no letter, or nothing could be learned. Rejected
-    are `und` and texts too far from all centroids for their length. Null ids are kept and repeated rows give one row
+    are `und` and texts too far from all centroids for their number of different n-grams; of equally near languages the
+    first by name is taken. Null ids are kept and repeated rows give one row
     each; an empty table gives none. Whole texts count. Map-only; the model has a fixed size for each language.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = np.array([*model.langs, "und"], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             place, score, out = model.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[place], pa.string()), pa.array(score), pa.array(out)], ["id", "lang_pred", "score", "rejected"])
 
@@ -169,11 +176,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the classifier doesn't reject."""
+    """The rows of docs, all columns, that the classifier doesn't reject: null and empty texts and texts without a letter go,
+    repeated rows stay or go together, null ids count like others; an empty table, or nothing learned, gives no rows."""
     text_at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, text_at):
             yield batch.filter(pa.array(~model.predict([t or "" for t in batch.column(text_at).to_pylist()])[2]))
 
     return docs.mapInArrow(run, schema)
