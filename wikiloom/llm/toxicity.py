@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wikiloom.llm.common import bounded
 from wikiloom.llm.textgrid import Grid, mix, prefix, slabs, span_hashes
 
 #: Labelled rows that the classifier is fitted on, of either label.
-EXAMPLES = {1: 2500, 0: 10000}
-#: Terms that the index holds at most, how sure (chi-square with one degree of freedom) their link to label 1 must be, and
-#: how many times as often rows of label 1 must hold them: else, with more rows, more and more common words are sure.
-TERMS, SURE, LIFT = 30_000, 45.0, 4.0
+EXAMPLES = {1: 5000, 0: 12000}
+#: Terms that the index holds at most and in how many examples a term must be. It must surely (standard errors of the
+#: smoothed log odds) be LIFT times as likely in label 1: rare terms count where they are pure, however many rows there
+#: are, common words that are a little more frequent don't.
+TERMS, SEEN, SURE, LIFT = 30_000, 3, 1.64, 1.35
 #: Neighbours that vote; examples in a block of the index; weight of the prior beside the votes.
-NEAREST, BLOCK, PRIOR = 25, 64, 0.2
+NEAREST, BLOCK, PRIOR = 50, 64, 0.2
 #: A word is a term, and so are its beginnings of these lengths.
 PREFIXES = (4, 5, 6, 7)
 
@@ -132,7 +135,7 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     n = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, EXAMPLES[k] / n[k]) if n.get(k) else 1.0 for k in EXAMPLES}
     few = named.filter(F.col("place") < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).withColumn("mass", F.when(F.col("label") == 1, 1 / share[1]).otherwise(1 / share[0]))
-    few = few.select("doc", "label", "mass").limit(2 * sum(EXAMPLES.values()))
+    few = few.select("doc", "label", "mass")  # about as many as EXAMPLES says, by chance of the hash
     texts = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(few), F.col(id_col) == F.col("doc"), "left_semi").groupBy(F.col(id_col).alias("doc")).agg(F.min(text_col).alias("text"))
     # copies of one text are one example, or the words of a copied text would look sure
     same = texts.join(F.broadcast(few), "doc").groupBy("text").agg(F.min("doc").alias("doc"), F.max("label").alias("label"), F.sum("mass").alias("mass"))
@@ -140,14 +143,18 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """Terms are chosen by their chi-square with the label over the sample; all its rows with a chosen term are indexed."""
+    """Terms are chosen by the log odds of label 1 over the sample; all its rows with a chosen term are indexed, of either label.
+
+    Documents whose id or label is null, and other labels than 0 and 1, teach nothing; an id with several rows is one
+    example (the least text, the greatest label), and so are equal texts. Without examples all scores are 0.
+    """
     chosen = _examples(docs, labels, id_col, text_col, label_col).persist()
     mass = {(r["label"]): (r["n"], r["m"]) for r in chosen.groupBy("label").agg(F.count("*").alias("n"), F.sum("mass").alias("m")).collect()}
     n_of = {k: mass.get(k, (0, 0.0)) for k in (0, 1)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {0: [], 1: []}
-        for batch in batches:
+        for batch in bounded(batches, 0):
             for label, (h, _, _) in zip(batch.column(1).to_pylist(), terms(batch.column(0).to_pylist()), strict=True):
                 rows[label].append(h)
         for label, parts in rows.items():
@@ -160,16 +167,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     seen = chosen.select("text", "label").mapInArrow(count, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     ones, zeros = float(n_of[1][0]), float(n_of[0][0])
-    a, b = F.col("ones"), F.col("zeros")
-    chi = (ones + zeros) * (a * (zeros - b) - b * (ones - a)) ** 2 / F.nullif(ones * zeros * (a + b) * ((ones - a) + (zeros - b)), F.lit(0.0))
-    picked = seen.filter((a + b >= 4) & (a * max(zeros, 1.0) >= LIFT * b * max(ones, 1.0))).withColumn("chi", chi).filter(F.col("chi") >= SURE).orderBy(F.desc("chi"), "term").limit(TERMS).toPandas()
+    a, b = F.col("ones") + 0.5, F.col("zeros") + 0.5
+    odds = F.log(a / (ones + 1) / (b / (zeros + 1)))
+    sure = odds - SURE * F.sqrt(1 / a + 1 / b)
+    picked = seen.filter(F.col("ones") + F.col("zeros") >= SEEN).withColumn("sure", sure).filter(F.col("sure") >= math.log(LIFT)).orderBy(F.desc("sure"), "term").limit(TERMS).toPandas()
     term = np.sort(picked["term"].to_numpy(np.int64))
     by = picked.set_index("term").reindex(term)
     df = by["ones"].to_numpy(float) * (n_of[1][1] / max(ones, 1)) + by["zeros"].to_numpy(float) * (n_of[0][1] / max(zeros, 1))
     idf = np.log1p((n_of[0][1] + n_of[1][1]) / np.maximum(df, 1))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             doc, at, times = [], [], []
             for i, (h, c, _) in enumerate(terms(batch.column(1).to_pylist())):
                 place = np.minimum(np.searchsorted(term, h), max(len(term) - 1, 0))
@@ -203,10 +211,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index = Index(
         term, idf, np.searchsorted(t, steps), e, w, np.searchsorted(t[new], steps), blk[new], most, np.append(new, len(t)), label[held], weight_of[held], rows["doc"].to_numpy()[held], prior, np.zeros(0), np.zeros(0)
     )
-    # each example is judged by the others; its votes tell what a vote is worth
-    votes = np.array([index.vote(*index.nearest(*vectors[i], skip=k)) for k, i in enumerate(held)])
-    if len(votes):
-        index.knots, index.share = isotonic(np.append(votes, prior), np.append(index.label, prior), np.append(index.mass, 1.0))
+    # each example is judged by the others, in tasks; its votes tell what a vote is worth
+    if held:
+        judged = [vectors[i] for i in held]
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                who = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.vote(*index.nearest(*judged[k], skip=k)) for k in who], pa.float64())], ["k", "vote"])
+
+        told = docs.sparkSession.range(len(held), numPartitions=24).mapInArrow(judge, "k long, vote double").toPandas().sort_values("k")
+        index.knots, index.share = isotonic(np.append(told["vote"].to_numpy(), prior), np.append(index.label, prior), np.append(index.mass, 1.0))
     return index
 
 
@@ -215,13 +230,13 @@ def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
 
     A text's score is the calibrated vote of its nearest examples, weighted by cosine; where no indexed term occurs (or
     the text is null or empty) it is the share of label 1 among labelled rows without one, and there is no evidence.
-    Null ids are kept; repeated rows give one row each; an empty table gives none. Whole texts count. Map-only.
+    Of equally near examples those that come first in the index vote. Null ids are kept; repeated rows give one row each; an empty table gives none. Whole texts count. Map-only.
     """
     kind, example = docs.schema[id_col].dataType.simpleString(), "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, list[str]]] = {}
-        for batch in batches:
+        for batch in bounded(batches):
             score, why = np.zeros(batch.num_rows), []
             for i, (h, times, _) in enumerate(terms([t or "" for t in batch.column(1).to_pylist()])):
                 at, w = index.vector(h, times)
