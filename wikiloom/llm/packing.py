@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import stage
+from wikiloom.llm.common import bounded, stage
 from wikiloom.llm.textgrid import Grid, Known, prefix, slabs, span_hashes
 from wikiloom.llm.tokens import library, specials
 
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in bounded(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, ids in enumerate(encoder.encode(texts)):
@@ -128,13 +128,13 @@ def patterns(bins: int, most: int) -> list[tuple[int, ...]]:
     return [p for p in out if len(p) > 1]
 
 
-def plan(counts: np.ndarray, size: int, bins: int = 256, most: int = 3, share: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, size: int, bins: int = 256, most: int = 3, slack: int = 2) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats): every piece of the histogram counts[length] in exactly one place.
 
     Lengths are grouped into `bins` classes, rounded up. Repeat counts of the patterns that fill all classes are fitted
-    to the class histogram by NNLS, scaled to `share` of the pieces (the others fill what the rounding of lengths leaves
-    open) and rounded down; of each class the longest pieces go first. What the patterns leave is packed by best fit,
-    longest first, into the room left in them and then into new sequences.
+    to the class histogram by NNLS and rounded down. Of each class the longest pieces go first; the last place of a
+    pattern takes the longest piece that fits exactly what the others leave, so that rounding lengths costs no room; a
+    pattern that would still leave `slack` tokens open is not repeated further. What the patterns leave is packed by best fit, longest first, into the room left in them and then into new sequences.
     """
     left = {n: int(c) for n, c in enumerate(counts) if n and c}
     out: list[list] = []
@@ -148,27 +148,31 @@ def plan(counts: np.ndarray, size: int, bins: int = 256, most: int = 3, share: f
     seen = np.zeros(bins + 1)
     for n, c in left.items():
         seen[-(-n // width)] += c
-    fit = np.floor(share * nnls(matrix, seen)).astype(np.int64) if seen.sum() >= 4 * bins else np.zeros(len(shape), np.int64)
-    by_bin = {k: sorted(n for n in left if -(-n // width) == k) for k in range(1, bins + 1)}
+    fit = np.floor(nnls(matrix, seen)).astype(np.int64)
+    alive = sorted(left)
 
-    def longest(k: int) -> int | None:
-        while by_bin[k] and not left.get(by_bin[k][-1]):
-            by_bin[k].pop()
-        return by_bin[k][-1] if by_bin[k] else None
+    def longest(limit: int, have: list[int]) -> int | None:
+        """The longest length up to limit of which pieces are left besides those in `have`."""
+        i = bisect_right(alive, limit) - 1
+        while i >= 0:
+            n = alive[i]
+            if left[n] > have.count(n):
+                return n
+            if not left[n]:
+                alive.pop(i)
+            i -= 1
+        return None
 
     for j in np.argsort(-fit, kind="stable"):
         repeats = int(fit[j])
         while repeats:
             take: list[int] = []
             for k in shape[j]:
-                n = longest(k)
-                while n is not None and left[n] <= take.count(n):  # all of this length are in the pattern already
-                    smaller = [m for m in by_bin[k] if left.get(m, 0) > take.count(m)]
-                    n = smaller[-1] if smaller else None
+                n = longest(k * width if len(take) + 1 < len(shape[j]) else size - sum(take), take)
                 if n is None:
                     break
                 take.append(n)
-            if len(take) < len(shape[j]):
+            if len(take) < len(shape[j]) or size - sum(take) >= slack:
                 break
             times = min(repeats, *(left[n] // take.count(n) for n in take))
             for n in take:
