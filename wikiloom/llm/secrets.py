@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import attach, stage
+from wikiloom.llm.common import attach, bounded, stage
 
 # The kinds and patterns of the contract. Kinds sort in this order where they start at one place.
 KINDS = ["assign", "access", "hex", "token"]
@@ -43,12 +43,14 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1, m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), 2, m[0]) for m in HEX.finditer(text)]
-    base = list(out)
+    # tokens don't overlap each other, so one walk along both lists finds those that meet no base span
+    base, k, reach = sorted(out), 0, 0
     for m in TOKEN.finditer(text):
+        while k < len(base) and base[k][0] < m.end():
+            reach, k = max(reach, base[k][1]), k + 1
         s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= ENTROPY:
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in base):
-                out.append((m.start(), m.end(), 3, s))
+        if reach <= m.start() and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= ENTROPY:
+            out.append((m.start(), m.end(), 3, s))
     return sorted(out)
 
 
@@ -59,7 +61,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Colum
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found, counts, digests = [], np.zeros((3, batch.num_rows), np.int64), []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 got = candidates(text) if text else []
@@ -130,7 +132,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """docs with each owner-specific value (its whole span) replaced by mask; copied examples and all else stay."""
+    """docs with each owner-specific value (its whole span) replaced by mask; copied examples and all else stay.
+
+    Null and empty texts and rows with null ids stay as they are but for their own secrets; repeated rows are masked alike;
+    spans that overlap are masked as one; an empty table gives none.
+    """
     once = "source" not in docs.columns
     repo, owner = F.xxhash64(text_col), F.col(id_col) if once else F.col("source")
     found = stage(scan(docs, id_col, text_col, repo, owner).filter("size(found) > 0"), "secrets")
