@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import ascii_lower
+from wikiloom.llm.common import ascii_lower, stage
 
 #: What parts words: ASCII that is neither digit nor lower-case letter, once A-Z are lower-cased.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: Test windows up to which their table is broadcast (about 200 bytes each); beyond it, windows are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of the table of test windows, item ids included, up to which it is broadcast; beyond it, windows are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Hits up to which the spans to remove are broadcast (about 40 bytes each); beyond it, by a shuffle.
 BROADCAST_HITS = 1_000_000
 _HEAD = 0
@@ -25,8 +25,9 @@ def _window(w: Column, at: Column, size) -> Column:
 
 
 def test_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """hash, len, gram (the window's text), items (sorted ids that hold it) for each distinct window of the test items."""
-    w = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0 and item is not null")
+    """hash, len, gram (the window's text), items (sorted ids that hold it; null ids aren't listed) for each distinct window of
+    the test items."""
+    w = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
     w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
     at = w.select("item", "len", "w", F.explode(F.expr("sequence(1, size(w) - len + 1)")).alias("at"))
     gram = at.select("item", "len", _window(F.col("w"), F.col("at"), F.col("len")).alias("g"))
@@ -39,13 +40,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     A window is n consecutive words of a test item; an item of fewer words, but not none, is one window. A span is a
     place where a window's words occur, found by hash and verified word by word. Null or empty texts have no words;
-    items with a null id or without words have no windows; an empty benchmark gives no spans. Repeated rows give one row
+    items without words have no windows, those with a null id have windows and aren't listed; an empty benchmark gives no spans. Repeated rows give one row
     each; null ids are kept. Documents are read once, and only one row per document and one per hit are shuffled.
     """
     spark = docs.sparkSession
-    tests = test_windows(benchmark, item_col, item_text_col, n).persist()
+    tests = stage(test_windows(benchmark, item_col, item_text_col, n), "test-windows")
     lengths = sorted((r[0] for r in tests.select("len").distinct().collect()), reverse=True)  # n at most
-    few = tests.count() <= BROADCAST_WINDOWS
+    weight = F.octet_length("gram") + 16 * F.size("items") + F.octet_length(F.array_join("items", "")) + 64
+    few = tests.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] <= BROADCAST_BYTES
     head = spark.range(1).select(F.lit(_HEAD).cast("long").alias("hash"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<string>").alias("items"))
     tests = tests.unionByName(head)
 
@@ -92,16 +94,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, drop_share: float = 0.5) -> DataFrame:
     """docs without their benchmark passages: hit words and what stands before them go; a document of which drop_share
-    or more of the words are hit goes altogether. All other rows and columns are as they were."""
+    or more of the words are hit goes altogether. All other rows and columns are as they were.
+
+    Null and empty texts stay; null ids are cut like others, repeated rows alike; an empty benchmark leaves all as it was.
+    """
     found = benchmark_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, n).filter("size(spans) > 0").dropDuplicates(["id", "mark"])
-    found = found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), hit_words(F.col("spans")).alias("__hit"), "n_words").withColumnRenamed("n_words", "__words").persist()
-    total = found.agg(F.coalesce(F.sum(F.size("__hit")), F.lit(0))).first()[0]
+    found = stage(found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), hit_words(F.col("spans")).alias("__hit"), F.col("n_words").alias("__words")), "hits")
+    total = found.agg(F.coalesce(F.sum(F.size("__hit") + 8), F.lit(0))).first()[0]
     side = F.broadcast(found) if total <= BROADCAST_HITS else found
     rows = docs.withColumn("__fp", F.xxhash64(text_col)).join(side, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__mark")), "left")
     rows = rows.filter(F.col("__hit").isNull() | (F.size("__hit") < drop_share * F.col("__words")))
     pieces = F.regexp_extract_all(text_col, F.lit("([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), F.lit(1))
     tail = F.regexp_extract(text_col, "([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)\\z", 1)
-    kept = F.filter(F.transform(F.col("__pieces"), lambda x, i: F.when(~F.array_contains(F.col("__hit"), i + 1), x)), lambda x: x.isNotNull())
     rows = rows.withColumn("__pieces", F.when(F.col("__hit").isNotNull(), pieces))
+    # one hashed difference and one walk, however many words are hit
+    left = F.array_except(F.sequence(F.lit(1), F.greatest(F.size("__pieces"), F.lit(1))), F.col("__hit"))
+    kept = F.transform(left, lambda i: F.get("__pieces", i - 1))
     rows = rows.withColumn("__cut", F.when(F.col("__hit").isNotNull(), F.concat(F.array_join(kept, ""), tail)))
     return rows.withColumn(text_col, F.coalesce("__cut", text_col)).select(*docs.columns)

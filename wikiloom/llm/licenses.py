@@ -124,7 +124,7 @@ def license_scan(docs: DataFrame, notices: DataFrame | None = None, id_col: str
     notices = templates(docs.sparkSession) if notices is None else notices
     whole = F.col("whole") if "whole" in notices.columns else F.lit(False)
     known = notices.filter("license is not null").select("license", normal_words(F.col("notice")).alias("w"), whole.alias("whole")).filter("size(w) > 0").distinct()
-    known = known.select("license", "whole", F.size("w").alias("n_words"), _grams(F.col("w")).alias("grams")).withColumn("n_there", F.size("grams")).withColumn("notice", F.xxhash64("license", "grams")).dropDuplicates(["notice"]).persist()
+    known = stage(known.select("license", "whole", F.size("w").alias("n_words"), _grams(F.col("w")).alias("grams")).withColumn("n_there", F.size("grams")).withColumn("notice", F.xxhash64("license", "grams")).dropDuplicates(["notice"]), "licence-templates")
     lone = known.filter("not whole")
     sizes = sorted(r[0] for r in lone.select("n_there").distinct().collect())  # as many as templates have lengths
     # sizes of passages that some template allows, as few ranges
