@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import attach, scaled_partitions, stage
+from wikiloom.llm.common import attach, bounded, scaled_partitions, stage
 from wikiloom.llm.components import Forest, block_pairs, components, each_group
 from wikiloom.llm.textgrid import byte_words, mix, slabs
 
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """id, n_shingles, key (128-bit hash of the set, null if empty), bands (a bucket for each band), sig (a byte a minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
             sizes, keys, bands, sigs = [], [], np.zeros((len(place), BANDS), np.uint64), []
@@ -118,7 +118,8 @@ def _bridges(group: pa.Table) -> pa.RecordBatch | None:
 
 def _confirmer(percent: int):
     def confirm(group: pa.Table) -> pa.RecordBatch | None:
-        """A spanning forest of the pairs whose full sets are similar enough; members joined already aren't compared."""
+        """A spanning forest of the pairs whose full sets are similar enough; members joined already aren't compared: those
+        that share a `joined`, or are led to each other here. Where `own` differs, only members with different ones meet."""
         own, ids = group.column("own").to_numpy(), group.column("id").to_numpy()
         if len(ids) < 2:
             return None
@@ -128,6 +129,8 @@ def _confirmer(percent: int):
         values, dense = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(size)
         forest, out, flag = Forest(len(ids)), [], np.zeros(len(values), bool)
+        _, first, label = np.unique(group.column("joined").to_numpy(), return_index=True, return_inverse=True)
+        forest.up = first[label]
         same = (own == own[0]).all()
         for i in range(len(ids)):
             other = np.arange(i + 1, len(ids)) if same else np.flatnonzero(own > own[i])
@@ -154,13 +157,52 @@ def _with_sets(rows: DataFrame, words: int) -> DataFrame:
     """rows (group, id, text, blocks) with the text's shingle set in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             sets = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(2).to_pylist()], words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), batch.column(3)], ["group", "id", "shingles", "blocks"])
 
     return rows.select("group", "id", "text", "blocks").mapInArrow(run, "group long, id long, shingles binary, blocks long")
 
 
+def _confirmed(texts: DataFrame, seats: DataFrame, words: int, percent: int) -> DataFrame:
+    """u, v: a spanning forest of the true links within each group of seats (component, node, blocks).
+
+    A group of one block is one task. Of a larger one, each block's members are compared with each other and with the
+    group's least member; mostly that joins all. Only what still stands apart from the group's greatest part is dealt to
+    meet all blocks of the group, so a group of copies is read about twice, however large it is.
+    """
+    spark = texts.sparkSession
+    column = "u long, v long"
+
+    def sets(of: DataFrame) -> DataFrame:
+        return _with_sets(texts.join(of, F.col("id") == F.col("node")).select(F.col("component").alias("group"), "id", "text", "blocks"), words)
+
+    one = sets(seats.filter("blocks <= 1")).select("group", F.lit(0).alias("own"), "id", F.col("id").alias("joined"), "shingles")
+    links = each_group(one, ["group"], scaled_partitions(spark, 2), _confirmer(percent), column)
+    large = seats.filter("blocks > 1")
+    if not large.head(1):
+        return links
+    links = stage(links, "links")
+    known = stage(sets(large).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "sets")
+    every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    met = known.withColumn("block", F.explode(F.when(F.col("id") == F.col("group"), every).otherwise(F.array("own"))))
+    near = stage(each_group(met.select("group", "block", F.col("block").alias("own"), "id", F.col("id").alias("joined"), "shingles"), ["group", "block"], scaled_partitions(spark, 2), _confirmer(percent), column), "links")
+    parts = components(near)
+    labelled = stage(known.select("group", "id", "own", "blocks", F.octet_length("shingles").alias("size")).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("joined", F.coalesce("component", "id")).drop("component"), "parts")
+    sizes = labelled.groupBy("group", "joined").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("joined", F.struct("n", -F.col("joined"))).alias("main"), F.count("*").alias("k")).filter("k > 1").select(F.col("group").alias("g"), "main")
+    if not main.head(1):
+        return links.unionByName(near)
+    members = labelled.join(F.broadcast(main) if main.count() <= BROADCAST_IDS else main, F.col("group") == F.col("g")).drop("g")
+    apart = members.filter("joined <> main")
+    width = apart.groupBy("group").agg(F.ceil(F.sum("size") / (8 * BLOCK_SHINGLES)).cast("int").alias("apart_blocks")).withColumnRenamed("group", "g")
+    left = apart.join(width, F.col("group") == F.col("g")).select("id", "joined", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(1)), "apart_blocks").cast("int").alias("block_a"), F.explode(every).alias("block_b"))
+    right = members.join(width, F.col("group") == F.col("g")).select("id", "joined", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("apart_blocks") - 1)).alias("block_a"), F.col("own").alias("block_b"))
+    dealt = known.select("group", "id", "shingles").join(left.unionByName(right), "id").select("group", "block_a", "block_b", F.col("side").alias("own"), "id", "joined", "shingles")
+    far = each_group(dealt, ["group", "block_a", "block_b"], scaled_partitions(spark, 2), _confirmer(percent), column)
+    return links.unionByName(near).unionByName(far)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: the id, n_shingles, component_id (least id that links reach), kept (id = component_id).
 
@@ -171,7 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Documents with equal sets form a class, of which one member goes on.
     2. In each bucket all members are compared with its least and greatest member by signature; what agrees is joined.
     3. In buckets that still hold several components, members of different components are compared, in blocks.
-    4. Within the components so found, full sets are compared in blocks, and components are taken of confirmed links.
+    4. Within the components so found, full sets are compared, in large ones with the least member and within blocks
+       first; components are taken of confirmed links.
 
     Ids are integers. A document with a null id, or without words (null or empty text), links with nothing; a null id
     has a null component and is kept. Rows that share an id are one document. An empty table gives none; further columns
@@ -213,9 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = joined.join(one.groupBy("id").agg(F.sum("n_shingles").alias("size")), F.col("node") == F.col("id")).drop("id")
     weight = sized.groupBy("component").agg(F.sum("size").alias("size"), F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_SHINGLES))
     seats = stage(attach(sized.select("component", "node"), weight, "component", "n", total).select("component", "node", "blocks"), "seats")
-    texts = bare.join(seats, F.col("id") == F.col("node")).select(F.col("component").alias("group"), "id", "text", "blocks")
-    dealt = block_pairs(_with_sets(texts, words), F.col("blocks"), F.col("id"))
-    links = each_group(dealt.select("group", "block_a", "block_b", "own", "id", "shingles"), ["group", "block_a", "block_b"], scaled_partitions(spark, 2), _confirmer(percent), "u long, v long")
+    links = _confirmed(bare, seats, words, percent)
     # ids whose rows have several texts join the classes of all of them
     joins = member.filter("id <> rep").join(member.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1"), "id", "left_semi")
     final = components(links.unionByName(joins.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
