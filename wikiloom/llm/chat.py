@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,9 +30,28 @@ _TYPES = {
 }
 
 
+#: Levels of JSON that a message or arguments may have; what is deeper is taken as plain text.
+DEEPEST = 200
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys and no blanks; non-finite numbers aren't JSON and raise ValueError."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys and no blanks; ValueError for what has none: non-finite numbers, halves of surrogate pairs."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
+
+
+def read_json(text: str):
+    """The value of a JSON text; ValueError where it isn't JSON, can't be written again or is deeper than DEEPEST."""
+    depth = top = 0
+    for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", text):
+        depth += (c in "[{") - (c in "]}")
+        top = max(top, depth)
+    if top > DEEPEST:
+        raise ValueError("too deep")
+    value = json.loads(text)
+    canonical(value)
+    return value
 
 
 def problems(value, schema: dict, at: str = "$") -> Iterator[str]:
@@ -64,14 +84,15 @@ def problems(value, schema: dict, at: str = "$") -> Iterator[str]:
 
 def _needs(value) -> Iterator[str]:
     """Identifiers that arguments refer to, as {"$ref": "<call id>"} at any depth."""
-    if isinstance(value, dict):
-        if isinstance(value.get("$ref"), str):
-            yield value["$ref"]
-        for x in value.values():
-            yield from _needs(x)
-    elif isinstance(value, list):
-        for x in value:
-            yield from _needs(x)
+    open_ = [value]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get("$ref"), str):
+                yield x["$ref"]
+            open_ += x.values()
+        elif isinstance(x, list):
+            open_ += x
 
 
 def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str, list[dict], str | None]:
@@ -79,15 +100,17 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
 
     Structured messages are JSON objects: {"content", "tool_calls": [{"id", "name", "arguments"}]} from the assistant and
     {"tool_call_id", "content"} from a tool. Calls may also be {"id", "type", "function": {"name", "arguments"}}; what else
-    a call says is kept as "extra". Any other text, JSON or not, is plain content.
+    a call says is kept as "extra". Any other text, JSON or not, is plain content: also what holds half a surrogate pair or
+    is nested deeper than DEEPEST. Arguments written as a string stay a string where the same holds for them.
     """
     text = text or ""
     if not text.lstrip().startswith("{"):
         return text, [], None
     try:
-        said = json.loads(text)
-        canonical(said)
-    except (ValueError, RecursionError):
+        said = read_json(text)
+    except ValueError:
+        return text, [], None
+    if not isinstance(said, dict):
         return text, [], None
     content = said.get("content") if isinstance(said.get("content"), str) else ("" if said.get("content") is None else canonical(said["content"]))
     if role == "tool" and isinstance(said.get("tool_call_id"), str):
@@ -106,9 +129,8 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
         more |= {"function": inner} if inner else {}
         if isinstance(args, str):  # JSON in JSON, as some APIs write it
             try:
-                args = json.loads(args)
-                canonical(args)
-            except (ValueError, RecursionError):
+                args = read_json(args)
+            except ValueError:
                 pass
         name = call.get("name") if isinstance(call.get("name"), str) else ""
         wrong = list(problems(args, schemas[name])) if name in schemas else [f"unknown tool: {name}"]
@@ -127,7 +149,7 @@ def messages(turns: DataFrame, schemas: dict, conv_col: str, turn_col: str, role
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(call)), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["conv", "turn", "mark", "role", "content", "calls", "answers"])
 
-    bare = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.xxhash64(role_col, text_col).alias("mark"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("t"))
+    bare = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.xxhash64(F.isnull(role_col), role_col, F.isnull(text_col), text_col).alias("mark"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("t"))
     return bare.mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, mark long, role string, content string, calls array<struct<place:int,id:string,name:string,arguments:string,needs:array<string>,error:string,extra:string>>, answers string")
 
 

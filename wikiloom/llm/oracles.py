@@ -23,7 +23,7 @@ dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
 hit AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, g)),
 place AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit),
 n AS (SELECT doc_id, count(*) AS n_hit FROM place GROUP BY doc_id),
-m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+m AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(m.items, '')) AS items_sha256, n.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
@@ -63,7 +63,7 @@ WITH t AS (SELECT license, {_words("notice", _PLAIN)} AS w FROM (VALUES {_NOTICE
 tg AS (SELECT row_number() OVER (ORDER BY license, w) AS notice, license, {_GRAMS} AS g FROM t),
 line AS (SELECT doc_id, {_words("t", _PLAIN)} AS w, n FROM (
   SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\r\n]+') AS l FROM documents))),
-lg AS (SELECT doc_id, n, {_GRAMS} AS g FROM line WHERE len(w) BETWEEN 1 AND 500),
+lg AS (SELECT doc_id, n, {_GRAMS} AS g FROM line WHERE len(w) >= 1),
 le AS (SELECT doc_id, n, len(g) AS size, unnest(g) AS g FROM lg),
 te AS (SELECT notice, license, len(g) AS size, unnest(g) AS g FROM tg),
 common AS (SELECT doc_id, n, notice, license, 2 * count(*) / (le.size + te.size) AS dice FROM le JOIN te ON le.g = te.g GROUP BY doc_id, n, notice, license, le.size, te.size),
@@ -75,4 +75,26 @@ SELECT d.doc_id, CAST(coalesce(n_licenses, 0) AS BIGINT) AS n_licenses, coalesce
 FROM documents AS d LEFT JOIN found ON d.doc_id = found.doc_id
 """
 
-SQL = {"op2_licenses": LICENSES, "op6_embedding_dedup": EMBEDDINGS, "op8_decontamination": DECONTAMINATION, "op9_minhash": MINHASH}
+CHAT = """
+WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+s AS (SELECT conv_id, turn AS n, coalesce(text, '') AS text, CASE WHEN turn % 5 = 0 THEN 'b0' ELSE concat('b', turn) END AS id FROM t WHERE role = 'assistant'),
+b AS (SELECT *, n = min(n) OVER (PARTITION BY conv_id, id) AS own, CASE WHEN n % 7 = 0 THEN id ELSE concat('b', n - 2) END AS need FROM s),
+known AS (SELECT DISTINCT conv_id, id FROM b),
+level(conv_id, id, level) AS (
+  SELECT conv_id, id, 0 FROM b WHERE own AND (conv_id, need) NOT IN (SELECT (conv_id, id) FROM known)
+  UNION ALL SELECT b.conv_id, b.id, level + 1 FROM b JOIN level ON b.conv_id = level.conv_id AND b.need = level.id WHERE own AND b.id <> b.need),
+f AS (SELECT b.*, CASE WHEN own THEN level END AS level, (b.conv_id, need) NOT IN (SELECT (conv_id, id) FROM known) AS lost,
+  CASE WHEN n % 2 = 0 THEN concat('"found ', n, '"') END AS result_a, CASE WHEN own AND n % 4 = 3 THEN concat('"found ', n, '"') END AS result_b
+  FROM b LEFT JOIN level ON b.conv_id = level.conv_id AND b.id = level.id),
+e AS (SELECT *, CASE WHEN n % 4 = 0 THEN '$.limit: under minimum' ELSE '' END AS error_a,
+  concat_ws('; ', CASE WHEN n % 3 = 1 THEN 'unknown tool: lookup' END, CASE WHEN NOT own THEN 'repeated id' END, CASE WHEN own AND lost THEN concat('needs unknown: ', need) WHEN own AND level IS NULL THEN 'cycle' END) AS error_b FROM f)
+SELECT conv_id, n AS turn, 'assistant' AS role, CAST(2 AS BIGINT) AS n_calls, CAST(count(result_a) + count(result_b) AS BIGINT) AS n_linked, CAST(sum((error_a <> '')::INT + (error_b <> '')::INT) AS BIGINT) AS n_invalid, FALSE AS orphan,
+  concat('{"content":', to_json(text), ',"role":"assistant","tool_calls":[{"arguments":{"limit":', n % 4, ',"query":', to_json(left(text, 20)), '},"error":"', error_a, '","id":"a', n, '","level":0,"name":"search","result":', coalesce(result_a, 'null'),
+    '},{"arguments":{"expression":"x","uses":{"$ref":"', need, '"}},"error":"', error_b, '","id":"', id, '","level":', coalesce(CAST(level AS VARCHAR), 'null'), ',"name":"', CASE WHEN n % 3 = 1 THEN 'lookup' ELSE 'calculate' END, '","result":', coalesce(result_b, 'null'), '}]}') AS json
+FROM e GROUP BY ALL
+UNION ALL SELECT DISTINCT conv_id, n, 'tool', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), n % 4 = 1,
+  concat('{"content":"found ', n, '","role":"tool","tool_call_id":"', CASE WHEN n % 2 = 0 THEN 'a' WHEN n % 4 = 3 THEN 'b' ELSE 'z' END, n, '"}') FROM e
+UNION ALL SELECT conv_id, turn, role, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, concat('{"content":', to_json(coalesce(text, '')), ',"role":"', coalesce(role, ''), '"}') FROM t WHERE role IS DISTINCT FROM 'assistant'
+"""
+
+SQL = {"op5_chat_format": CHAT, "op2_licenses": LICENSES, "op6_embedding_dedup": EMBEDDINGS, "op8_decontamination": DECONTAMINATION, "op9_minhash": MINHASH}

@@ -44,10 +44,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def with_tools(turns: DataFrame) -> DataFrame:
+    """All turns, those of the assistant with calls and each followed by a tool's message; both derived from the turn's number.
+
+    The table has no calls of its own, so the query couldn't show links, levels and faults on it. Call `a<n>` searches for
+    the text's beginning, at times with a limit under the minimum. Call `b<n>` (each fifth `b0`, so that identifiers come
+    twice) needs the one two turns before, which may not exist, or (each seventh) itself; each third names an unknown
+    tool. Results answer `a<n>` or `b<n>` or nothing that was asked. Texts stay whole, as the messages' content.
+    """
+    n, said = F.col("turn"), F.coalesce("text", F.lit(""))
+    b = F.when(n % 5 == 0, "b0").otherwise(F.concat(F.lit("b"), n))
+    need = F.when(n % 7 == 0, b).otherwise(F.concat(F.lit("b"), n - 2))
+    search = F.to_json(F.struct(F.left(said, F.lit(20)).alias("query"), (n % 4).alias("limit")))
+    compute = F.to_json(F.struct(F.lit("x").alias("expression"), F.struct(need.alias("$ref")).alias("uses")))
+    calls = F.array(
+        F.struct(F.concat(F.lit("a"), n).alias("id"), F.lit("search").alias("name"), search.alias("arguments")),
+        F.struct(b.alias("id"), F.when(n % 3 == 1, "lookup").otherwise("calculate").alias("name"), compute.alias("arguments")),
+    )
+    helper = F.col("role") == "assistant"
+    asked = turns.select("conv_id", "turn", "role", F.when(helper, F.to_json(F.struct(said.alias("content"), calls.alias("tool_calls")))).otherwise(F.col("text")).alias("text"))
+    answered = F.when(n % 2 == 0, F.concat(F.lit("a"), n)).when(n % 4 == 3, F.concat(F.lit("b"), n)).otherwise(F.concat(F.lit("z"), n))
+    told = F.to_json(F.struct(answered.alias("tool_call_id"), F.concat(F.lit("found "), n).alias("content")))
+    return asked.unionByName(turns.filter(helper).select("conv_id", "turn", F.lit("tool").alias("role"), told.alias("text")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.chat import chat_messages
 
-    return chat_messages(table(spark, sf_dir, "conversations"))
+    return chat_messages(with_tools(table(spark, sf_dir, "conversations")))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
