@@ -224,7 +224,9 @@ def test_deep_chains_and_nested_calls(spark):
 # embeddings
 
 
-def test_embedding_links(spark):
+@pytest.mark.parametrize("block", [2048, 4])
+def test_embedding_links(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 48))
     vectors = [b / np.linalg.norm(b) for b in base]
@@ -253,11 +255,13 @@ def test_estimates_are_near_and_bounds_hold():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes = embeddings.Codes(x)
+    codes = embeddings.Codes(embeddings.encoded(x), 64)
     i, j = np.repeat(np.arange(200), 200), np.tile(np.arange(200, 400), 200)
     true = np.einsum("ij,ij->i", x[i], x[j])
     upper = codes.upper(i, j)
     assert (upper >= true).mean() > 0.9999
+    least, most = codes.closer(i, j, codes.levels())
+    assert (least <= true).all() and (true <= most).all() and (most - least).max() < 0.05
     eps, embeddings.EPSILON = embeddings.EPSILON, 0.0
     try:
         assert abs((codes.upper(i, j) - true).mean()) < 0.01
@@ -313,14 +317,15 @@ def test_one_owner_in_many_documents_is_live(spark):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontamination(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(decontam, "BROADCAST_HITS", -1)
     r = random.Random(5)
     items = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (1, 3, 3, 9, 10, 11, 25, 40)] + [None, "", "!!"]
     items[0] = "zebra"
     texts = [None, "", "ZEBRA, zebra", "Été " + items[6].upper() + "; é"] + [" ".join([prose(i, 4), r.choice(items[:8]), prose(i + 1, 3), r.choice(items[:8])]) for i in range(60)] + [prose(1, 5000)]
     texts += texts[2:4]
-    bench = spark.createDataFrame([*enumerate(items), (None, "lazy")], "item_id long, text string")
+    texts.append("an unlisted item of a nameless test")
+    bench = spark.createDataFrame([*enumerate(items), (None, "unlisted item")], "item_id long, text string")
 
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -328,14 +333,14 @@ def test_decontamination(spark, monkeypatch, broadcast):
     got = {x["doc_id"]: x for x in decontam.contamination(docs(spark, texts), bench).collect()}
     for i, t in enumerate(texts):
         w, hit, found = words(t), set(), set()
-        for k, item in enumerate(items):
+        for k, item in [*enumerate(items), (None, "unlisted item")]:
             iw = words(item)
             n = min(10, len(iw))
             for a in range(len(iw) - n + 1 if n else 0):
                 for b in range(len(w) - n + 1):
                     if w[b : b + n] == iw[a : a + n]:
                         hit |= set(range(b, b + n))
-                        found.add(str(k))
+                        found |= {str(k)} - {"None"}
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (len(w), len(hit), len(found))
         assert got[i]["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and got[i]["contaminated"] == bool(hit)
     clean = decontam.remove_benchmark(docs(spark, texts), bench)
@@ -349,7 +354,9 @@ def test_decontamination(spark, monkeypatch, broadcast):
 # near duplicates
 
 
-def test_minhash_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_minhash_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     r = random.Random(8)
     texts = []
     for g in range(25):
@@ -386,10 +393,10 @@ def test_repeated_ids_leave_one_row(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "None", "None"]
 
 
-@pytest.mark.parametrize("name", ["op2_licenses", "op6_embedding_dedup", "op8_decontamination", "op9_minhash"])
+@pytest.mark.parametrize("name", ["op2_licenses", "op5_chat_format", "op6_embedding_dedup", "op8_decontamination", "op9_minhash"])
 def test_queries_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     made = registry.queries()[name](spark, sf)
     got = con.execute(registry.oracle_sql()[name])
