@@ -35,13 +35,19 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a registered query. Operators leave the session's settings alone; the registered queries, which own
-    their session, take smaller Arrow batches than Spark's default where the session has that."""
+def production(spark: SparkSession) -> SparkSession:
+    """The session of a registered query or stage, with smaller Arrow batches than Spark's default where it has that.
+
+    Operators leave the session's settings alone; registered queries own theirs.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, BATCH_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return production(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wikiloom.llm.common import attach, bounded, scaled_partitions, stage
@@ -154,53 +154,63 @@ def _confirmer(percent: int):
 
 
 def _with_sets(rows: DataFrame, words: int) -> DataFrame:
-    """rows (group, id, text, blocks) with the text's shingle set in its place."""
+    """rows with `shingles`, the sorted set of its text, in the place of `text`, which is the first column."""
+    kinds = dict(rows.dtypes)
+    rest = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 2):
-            sets = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(2).to_pylist()], words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), batch.column(3)], ["group", "id", "shingles", "blocks"])
+        for batch in bounded(batches, 0):
+            sets = [s.tobytes() for s in shingle_sets([t or "" for t in batch.column(0).to_pylist()], words)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], ["shingles", *rest])
 
-    return rows.select("group", "id", "text", "blocks").mapInArrow(run, "group long, id long, shingles binary, blocks long")
+    return rows.select("text", *rest).mapInArrow(run, ", ".join(["shingles binary", *(f"`{c}` {kinds[c]}" for c in rest)]))
 
 
 def _confirmed(texts: DataFrame, seats: DataFrame, words: int, percent: int) -> DataFrame:
-    """u, v: a spanning forest of the true links within each group of seats (component, node, blocks).
+    """u, v: a spanning forest of the true links within each group of seats (group, node, size, blocks).
 
     A group of one block is one task. Of a larger one, each block's members are compared with each other and with the
     group's least member; mostly that joins all. Only what still stands apart from the group's greatest part is dealt to
-    meet all blocks of the group, so a group of copies is read about twice, however large it is.
+    meet all blocks of the group, so a group of copies is read about twice, however large it is. Sets are made anew from
+    texts each time, as they take more room than these.
     """
     spark = texts.sparkSession
-    column = "u long, v long"
+    task = ["group", "block_a", "block_b"]
 
-    def sets(of: DataFrame) -> DataFrame:
-        return _with_sets(texts.join(of, F.col("id") == F.col("node")).select(F.col("component").alias("group"), "id", "text", "blocks"), words)
+    def linked(of: DataFrame, deals: Column) -> DataFrame:
+        """Links among the members of `of` (group, node); deals: for each the (block_a, block_b, own, joined) it goes to."""
+        dealt = _with_sets(texts.join(of.select("group", "node", deals.alias("deals")), F.col("id") == F.col("node")).select("text", "group", "id", "deals"), words)
+        each = dealt.select("group", "id", "shingles", F.explode("deals").alias("d")).select("group", "d.block_a", "d.block_b", "d.own", "id", "d.joined", "shingles")
+        return each_group(each, task, scaled_partitions(spark, 2), _confirmer(percent), "u long, v long")
 
-    one = sets(seats.filter("blocks <= 1")).select("group", F.lit(0).alias("own"), "id", F.col("id").alias("joined"), "shingles")
-    links = each_group(one, ["group"], scaled_partitions(spark, 2), _confirmer(percent), column)
-    large = seats.filter("blocks > 1")
+    def deal(a: Column, b: Column, own: Column, joined: Column) -> Column:
+        return F.struct(a.cast("int").alias("block_a"), b.cast("int").alias("block_b"), own.cast("int").alias("own"), joined.cast("long").alias("joined"))
+
+    zero = F.lit(0)
+    links = linked(seats.filter("blocks <= 1"), F.array(deal(zero, zero, zero, F.col("node"))))
+    large = seats.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     if not large.head(1):
         return links
     links = stage(links, "links")
-    known = stage(sets(large).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "sets")
-    every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
-    met = known.withColumn("block", F.explode(F.when(F.col("id") == F.col("group"), every).otherwise(F.array("own"))))
-    near = stage(each_group(met.select("group", "block", F.col("block").alias("own"), "id", F.col("id").alias("joined"), "shingles"), ["group", "block"], scaled_partitions(spark, 2), _confirmer(percent), column), "links")
+    every = F.sequence(zero, F.col("blocks").cast("int") - 1)
+    met = F.transform(F.when(F.col("node") == F.col("group"), every).otherwise(F.array("block")), lambda b: deal(b, zero, zero, F.col("node")))
+    near = stage(linked(large, met), "links")
     parts = components(near)
-    labelled = stage(known.select("group", "id", "own", "blocks", F.octet_length("shingles").alias("size")).join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("joined", F.coalesce("component", "id")).drop("component"), "parts")
+    labelled = large.join(parts, "node", "left").withColumn("joined", F.coalesce("component", "node")).drop("component")
+    labelled = stage(labelled, "parts")
     sizes = labelled.groupBy("group", "joined").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("group").agg(F.max_by("joined", F.struct("n", -F.col("joined"))).alias("main"), F.count("*").alias("k")).filter("k > 1").select(F.col("group").alias("g"), "main")
+    main = stage(sizes.groupBy("group").agg(F.max_by("joined", F.struct("n", -F.col("joined"))).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k"), "main")
+    links = links.unionByName(near)
     if not main.head(1):
-        return links.unionByName(near)
-    members = labelled.join(F.broadcast(main) if main.count() <= BROADCAST_IDS else main, F.col("group") == F.col("g")).drop("g")
-    apart = members.filter("joined <> main")
-    width = apart.groupBy("group").agg(F.ceil(F.sum("size") / (8 * BLOCK_SHINGLES)).cast("int").alias("apart_blocks")).withColumnRenamed("group", "g")
-    left = apart.join(width, F.col("group") == F.col("g")).select("id", "joined", F.lit(0).alias("side"), F.pmod(F.xxhash64("id", F.lit(1)), "apart_blocks").cast("int").alias("block_a"), F.explode(every).alias("block_b"))
-    right = members.join(width, F.col("group") == F.col("g")).select("id", "joined", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("apart_blocks") - 1)).alias("block_a"), F.col("own").alias("block_b"))
-    dealt = known.select("group", "id", "shingles").join(left.unionByName(right), "id").select("group", "block_a", "block_b", F.col("side").alias("own"), "id", "joined", "shingles")
-    far = each_group(dealt, ["group", "block_a", "block_b"], scaled_partitions(spark, 2), _confirmer(percent), column)
-    return links.unionByName(near).unionByName(far)
+        return links
+    # there are fewer such groups than blocks, as each has two blocks at least
+    members = labelled.join(main, "group").withColumn("apart", F.col("joined") != F.col("main"))
+    width = members.groupBy("group").agg(F.ceil(F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("width"))
+    members = members.join(width, "group")
+    left = F.transform(every, lambda b: deal(F.pmod(F.xxhash64("node", F.lit(1)), "width"), b, zero, F.col("joined")))
+    right = F.transform(F.sequence(zero, F.col("width") - 1), lambda a: deal(a, F.col("block"), F.lit(1), F.col("joined")))
+    far = linked(members, F.concat(F.when(F.col("apart"), left).otherwise(F.slice(left, 1, 0)), right))
+    return links.unionByName(far)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sized = joined.join(one.groupBy("id").agg(F.sum("n_shingles").alias("size")), F.col("node") == F.col("id")).drop("id")
     weight = sized.groupBy("component").agg(F.sum("size").alias("size"), F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_SHINGLES))
-    seats = stage(attach(sized.select("component", "node"), weight, "component", "n", total).select("component", "node", "blocks"), "seats")
+    seats = stage(attach(sized.select("component", "node", F.col("size").alias("own_size")), weight, "component", "n", total).select(F.col("component").alias("group"), "node", F.col("own_size").alias("size"), "blocks"), "seats")
     links = _confirmed(bare, seats, words, percent)
     # ids whose rows have several texts join the classes of all of them
     joins = member.filter("id <> rep").join(member.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1"), "id", "left_semi")
