@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.llm import decontam, langid, minhash, packing, secrets
-from wikiloom.llm.common import stage, table
+from wikiloom.llm.common import production, stage, table
 from wikiloom.llm.registry import tokenizer
 
 #: SQL can't express trained centroids, tokenizers and packing; tests hold run() against a brute-force version.
@@ -27,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts go, null ids don't matter; without a labelled row nothing can be learned and nothing stays.
     """
+    production(spark)
     return langid.accepted(docs, langid.train(docs, "doc_id", "text", "lang"))
 
 
@@ -35,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null ids and texts without words stay; the least id of a group is the one that stays.
     """
+    production(spark)
     return minhash.without_duplicates(docs)
 
 
@@ -51,6 +53,7 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts stay as they are; a null source is one owner; n_chars is counted anew.
     """
+    production(spark)
     return _sized(secrets.mask_secrets(docs))
 
 
@@ -59,6 +62,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the separator alone; null ids and repeated rows are packed like others.
     """
+    production(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
