@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import authoring, docs, graph, links, markup, retrieve, search, sync, usage, web
+from wikiloom.operators import authoring, docs, graph, links, markup, references, retrieve, search, sync, usage, web
 from wikiloom.streaming import pull
 
 
@@ -43,7 +43,7 @@ def test_wikitext(spark):
     assert {(r.target, r.is_category) for r in markup.wikilinks(pages).collect()} == {("T", False), ("Category:C", False), ("Category:D", True), ("p", False)}
     assert {(r.template, tuple(r["keys"])) for r in markup.template_calls(pages).collect()} == {("Template:B", ()), ("Template:A", ("$1", "$2", "k"))}
     assert [(r.module, r.function) for r in markup.module_calls(pages).collect()] == [("Module:M", "f")]
-    assert [(r.name, r.body) for r in markup.references(pages).collect()] == [("r", "")]
+    assert [(r["name"], r.body, r.heading) for r in references.tags(pages).collect()] == [("r", "", "H")]
 
 
 def test_web_text(spark):
@@ -86,6 +86,57 @@ def test_components(spark):
     assert {(r.component, r.n_in, r.n_out) for r in graph.condensation(edges, found).collect()} == {("A", 0, 1), ("C", 1, 0), ("D", 0, 0)}
 
 
+def test_chains_of_cycles_end(spark):
+    """Each cycle leads to the next, and the least names stand upstream."""
+    edges = []
+    for k in range(12):
+        a, b = f"n{10 + k}a", f"n{10 + k}b"
+        edges += [(a, b), (b, a)] + ([(f"n{9 + k}b", a)] if k else [])
+    found = graph.components(spark.createDataFrame(edges, "source string, target string")).collect()
+    assert len(found) == 24 and all(r.size == 2 and r.is_cyclic and r.component == r.node[:3] + "a" for r in found)
+
+
+def test_calls_nest_without_bound(spark):
+    text = "".join(f"{{{{T{k}|" for k in range(30)) + "x" + "}}" * 30
+    got = markup.template_calls(spark.createDataFrame([("P", text)], "title string, text string")).collect()
+    assert {r.template for r in got} == {f"Template:T{k}" for k in range(30)}
+
+
+def test_citations(spark):
+    text = """Lead<ref name='n1'>{{Cite web|url=https://www.Site1.example/x|title=[[T|Title]] one|last=Doe|first=Ann|archive-url=//web.example/a|quote=q|doi=https://doi.org/10.5/AB}}</ref>
+== H ==
+again<ref name=n1 /> <ref group="g">plain note</ref> <ref>[https://youtube.com/w clip]</ref> <ref>{{note}}{{sfn|Doe|1999}}</ref> <!-- <ref>no</ref> --> <references />"""
+    got = references.references(spark.createDataFrame([("P", text), ("N", None), ("E", "")], "title string, text string"), first_party=["site1.example"]).orderBy("place").collect()
+    assert [(r.heading, r.source_type, r.origin, r.template) for r in got] == [(None, "web", "first-party", "Template:Cite web"), ("H", "note", "unknown", None), ("H", "other", "unknown", None), ("H", "video", "external", None), ("H", "short-footnote", "unknown", "Template:sfn")]
+    assert (got[0].ref_title, got[0].author, got[0].ids, got[0].profile) == ("Title one", "Doe, Ann", ["doi:10.5/ab"], "first-party web / site1.example")
+    assert {"first-party", "has-archive", "has-quote", "identifier:archive-url"} <= set(got[0].signals) and got[0].urls == ["https://web.example/a", "https://www.Site1.example/x"]
+    assert got[1].authority_kind == "named-reference" and "reused-reference" in got[1].signals and got[3].summary == "clip" and got[4].family == "Template:sfn"
+
+
+def test_passages_for_readers(spark):
+    rows = [(1, "A", "Main", None, "{{Info|a={{b}}}} [[File:x.png|thumb|[[a]] b]] one two three four five"), (2, "A/ko", "Main", None, "one two three four five six"), (3, "A", "Main", "See also", "one two three four five six"), (4, "A", "Main", "H", "#REDIRECT [[B]]"), (5, "T", "Template", None, "one two three four five six"), (6, "A", "Main", "H", "{{Info|a}} one two")]
+    got = retrieve.for_audience(spark.createDataFrame([(*r, 9) for r in rows], "id int, title string, namespace string, heading string, text string, tokens long")).collect()
+    assert [(r.id, r.text) for r in got] == [(1, "one two three four five")]
+
+
+def test_containment_is_a_hash_join(spark):
+    rows, asked = spark.createDataFrame([("abcabc",), ("xbc",), ("a",), ("",)], "t string"), spark.createDataFrame([(1, "bca"), (2, "bc"), (3, "a"), (4, ""), (5, "zzz")], "query int, q string")
+    got = search.containing(rows, F.col("t"), asked, F.col("q"))
+    assert sorted((r.query, r.t) for r in got.collect()) == [(1, "abcabc"), (2, "abcabc"), (2, "xbc"), (3, "a"), (3, "abcabc")]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_deletes_and_readiness(spark):
+    pages, gone = spark.createDataFrame([("A",), ("B",)], "title string"), spark.createDataFrame([("B",)], "title string")
+    left = links.without_pages({"pages": pages, "links": spark.createDataFrame([("A", "B"), ("B", "A")], "source string, target string")}, gone, {"pages": "title", "links": "source"})
+    assert [r.title for r in left["pages"].collect()] == ["A"] and [r.source for r in left["links"].collect()] == ["A"]
+    art = spark.createDataFrame([("index",)], "kind string")
+    assert tuple(links.readiness({"pages": pages}, art, ["index", "docs"]).first()) == ("degraded", "docs", "")
+    assert links.readiness({"pages": pages.limit(0)}, art, ["index"]).first().status == "empty"
+    asked = spark.createDataFrame([(1, "b")], "query int, text string")
+    assert [r.title for r in links.page_by_title(pages, asked).collect()] == ["B"]
+
+
 def test_manifest_and_docs(spark):
     base, over = spark.createDataFrame([("Foo", "1"), ("Bar", None)], "name string, version string"), spark.createDataFrame([("FOO ", "2"), ("foo", None), ("Baz", "3")], "name string, version string")
     assert {(r.key, r.version) for r in usage.manifest_merge(base, over.filter("name <> 'FOO '")).collect()} == {("foo", "1"), ("bar", None), ("baz", "3")}

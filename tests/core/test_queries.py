@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from wikiloom import registry
+from wikiloom.operators import retrieve
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,6 +35,27 @@ def test_runs(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("limit,budget", [(6, 200), (3, 1000)])
+def test_choice_against_plain_python(spark, limit, budget):
+    import random
+
+    r = random.Random(4)
+    words = [f"w{k}xx" for k in range(12)]
+    rows = [(q, f"p{r.randrange(4)}", k, r.randrange(50), r.randrange(20, 90), k, " ".join(r.choice(words) for _ in range(4))) for q in range(6) for k in range(30)]
+    got = retrieve.selected(spark.createDataFrame(rows, "query int, page string, place int, score long, tokens long, turn int, text string"), limit, budget, 2).collect()
+    want = []
+    for q in range(6):
+        taken, used = [], 0
+        for x in [x for x in rows if x[0] == q]:
+            terms = set(x[6].split())
+            near = any(len(terms & t) / len(terms | t) >= retrieve.SAME for *_, t in taken)
+            if len(taken) < limit and sum(p == x[1] for p, *_ in taken) < 2 and (not taken or used + x[4] <= budget) and not near:
+                taken.append((x[1], x[2], terms))
+                used += x[4]
+        want += [(q, p, k, i + 1) for i, (p, k, _) in enumerate(taken)]
+    assert sorted((x["query"], x.page, x.place, x.chosen) for x in got) == sorted(want)
+
+
 def test_flagship_keeps_its_limits(spark, sf):
     rows = registry.flagship(spark, sf).collect()
     by = {}

@@ -12,8 +12,11 @@ NAMESPACES = {"category": "Category", "file": "File", "image": "File", "user": "
 # Last parts of titles that look like language codes and aren't.
 NOT_LANGUAGES = ["doc", "css", "js", "bar", "new", "old", "sub", "api", "faq"]
 # Hosts by kind.
-SOCIAL = ["twitter.com", "x.com", "facebook.com", "instagram.com", "reddit.com", "tiktok.com", "mastodon.social"]
+SOCIAL = ["twitter.com", "x.com", "farcaster.xyz", "instagram.com", "tiktok.com", "mastodon.social"]
 VIDEO = ["youtube.com", "youtu.be", "vimeo.com", "twitch.tv"]
+WIKI_ENDS = [".wikipedia.org", ".wiktionary.org", ".wikimedia.org", ".miraheze.org", ".fandom.com"]
+# Sections that hold no prose of their own.
+LOW_SIGNAL = ["references", "notes", "external links", "further reading", "bibliography", "gallery", "see also"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -158,14 +161,25 @@ def domain(url: Column) -> Column:
 
 
 def domain_kind(host: Column) -> Column:
-    def among(names):
-        hit = host.isin(names)
-        for n in names:
-            hit = hit | host.endswith("." + n)
-        return hit
+    """social, video, wiki, web, or none where there is no host; hosts of the lists count as they stand."""
+    wiki = host.startswith("wiki.")
+    for end in WIKI_ENDS:
+        wiki = wiki | host.endswith(end)
+    return F.when(host.isin(VIDEO), "video").when(host.isin(SOCIAL), "social").when(wiki, "wiki").when(host != "", "web").otherwise("none")
 
-    wiki = host.contains("wiki")
-    return F.when(among(SOCIAL), "social").when(among(VIDEO), "video").when(wiki, "wiki").when(host.isNotNull(), "web").otherwise("none")
+
+def normal_url(c: Column) -> Column:
+    """An http(s) address with normalised spaces, https: before one that begins with //; null for all else."""
+    return _once(normal_spaces(c), lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(u.rlike(r"\Ahttps?://"), u))
+
+
+def wiki_address(url: Column) -> Column:
+    """host, title and api of a wiki page's address, /wiki/Title or index.php?title=Title; a null title for others."""
+    path = F.regexp_extract(url, r"\Ahttps?://[^/?#]+(/[^?#]*)?", 1)
+    named = F.coalesce(F.nullif(F.regexp_extract(path, r"/wiki/(.+)\z", 1), F.lit("")), F.when(path.rlike(r"/(?:index\.php)?\z"), F.nullif(F.regexp_extract(url, r"[?&]title=([^&#]+)", 1), F.lit(""))))
+    root = F.regexp_extract(url, r"\A(https?://[^/?#]+)", 1)
+    before = F.regexp_extract(path, r"\A(.*?)/(?:wiki/.*|index\.php)?\z", 1)
+    return F.struct(domain(url).alias("host"), normal_spaces(F.translate(F.try_url_decode(named), "_", " ")).alias("title"), F.when(root != "", F.concat(root, before, F.lit("/api.php"))).alias("api"))
 
 
 def times_match(a: Column, b: Column, seconds: int = 30) -> Column:
@@ -203,3 +217,115 @@ def query_terms(c: Column, most: int = 8) -> Column:
     every = F.filter(F.concat(F.array(q, after), parts), lambda x: x.isNotNull() & (x != ""))
     low = F.transform(every, ascii_lower)
     return F.slice(F.filter(every, lambda x, i: F.array_position(low, ascii_lower(x)) == i + 1), 1, most)
+
+
+# markup within a text
+
+
+def without_comments(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+
+
+def call_depth(c: Column) -> Column:
+    """How deep {{ }} are nested at most."""
+    marks = F.regexp_extract_all(c, F.lit(r"(\{\{|\}\})"), F.lit(1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    step = lambda s, x: F.struct(F.greatest(s.now + F.when(x == "{{", 1).otherwise(-1), F.lit(0)).alias("now"), F.greatest(s.top, s.now + (x == "{{").cast("int")).alias("top"))
+    return F.coalesce(F.aggregate(marks, start, step, lambda s: s.top), F.lit(0))
+
+
+INNERMOST = r"\{\{([^{}]*)\}\}"
+#: Stands where a call was, within the text around it.
+HOLE = "\u0002"
+
+
+def inner_calls(c: Column) -> Column:
+    """What stands between {{ and }}, innermost calls first; of an outer call the inner ones are holes. However deep."""
+    bare = F.regexp_replace(c, r"\{\{\{[^{}]*\}\}\}", "")
+    none = F.struct(bare.alias("text"), F.array().cast("array<string>").alias("found"))
+    step = lambda s, _: F.struct(F.regexp_replace(s.text, INNERMOST, HOLE).alias("text"), F.concat(s.found, F.regexp_extract_all(s.text, F.lit(INNERMOST), F.lit(1))).alias("found"))
+    return F.when(bare.contains("{{"), F.aggregate(F.sequence(F.lit(0), call_depth(bare)), none, step, lambda s: s.found)).otherwise(F.array().cast("array<string>"))
+
+
+def without_calls(c: Column) -> Column:
+    return F.when(c.contains("{{"), F.aggregate(F.sequence(F.lit(0), call_depth(c)), c, lambda s, _: F.regexp_replace(s, INNERMOST, ""))).otherwise(c)
+
+
+def flat_excerpt(c: Column) -> Column:
+    """Prose of a piece of markup: no tags, calls or holes; links and addresses are their labels."""
+    t = F.regexp_replace(F.translate(without_calls(without_comments(c)), HOLE, ""), r"(?s)<[^>]*>", "")
+    t = F.regexp_replace(t, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1")
+    t = F.regexp_replace(t, r"\[\[([^\[\]]*)\]\]", "$1")
+    return normal_spaces(F.regexp_replace(t, r"\[(?:https?:)?//[^\s\]]+\s+([^\]]*)\]", "$1"))
+
+
+def call_parts(raw: Column) -> Column:
+    """A call's name and arguments, parted by pipes outside links."""
+    masked = F.regexp_replace(raw, r"\|(?=[^\[\]]*\]\])", "\u0003")
+    return F.transform(F.split(masked, r"\|"), lambda x: F.translate(x, "\u0003", "|"))
+
+
+def call_arguments(given: Column) -> Column:
+    """(key, value) of arguments in order: keys normalised, `$n` for the n-th unnamed one."""
+    unnamed = lambda i: F.size(F.filter(F.slice(given, 1, i + 1), lambda y: ~F.contains(y, F.lit("="))))
+    named = lambda x: F.contains(x, F.lit("="))
+    return F.transform(
+        given,
+        lambda x, i: F.struct(
+            F.when(named(x), parameter_key(F.substring_index(x, "=", 1))).otherwise(F.concat(F.lit("$"), unnamed(i).cast("string"))).alias("key"),
+            F.trim(F.when(named(x), F.regexp_replace(x, r"\A[^=]*=", "")).otherwise(x)).alias("value"),
+        ),
+    )
+
+
+def wordlike(c: Column) -> Column:
+    """How many words with a letter or digit."""
+    return F.size(F.filter(words(c), lambda w: w.rlike(r"[\p{IsAlphabetic}\p{N}]")))
+
+
+def is_noise(c: Column) -> Column:
+    """Passages that say nothing: redirects, few letters, few words, the tail of a citation, or mostly markup."""
+    t = normal_spaces(c)
+    letters = F.char_length(F.regexp_replace(t, r"[^\p{IsAlphabetic}\p{N}]", ""))
+    signs = F.char_length(F.regexp_replace(t, r"[^\[\]{}|=<>#*]", ""))
+    n = wordlike(t)
+    tail = t.endswith("</ref>") & (n < 5)
+    template_tail = t.contains("|") & t.endswith("}}</ref>") & (wordlike(F.substring_index(t, "|", 1)) < 5)
+    return F.coalesce((t == "") | F.startswith(ascii_lower(t), F.lit("#redirect")) | (letters < 10) | ((n < 3) & (letters < 24)) | tail | template_tail | ((3 * signs >= 2 * F.char_length(t)) & (n < 6)), F.lit(True))
+
+
+def low_signal(heading: Column) -> Column:
+    low = ascii_lower(F.coalesce(heading, F.lit("")))
+    out = F.lit(False)
+    for name in LOW_SIGNAL:
+        out = out | low.contains(name)
+    return out
+
+
+def leading_prose(c: Column) -> Column:
+    """A passage without the calls, files and categories that it begins with; null where fewer than five words then stay."""
+    t = normal_spaces(c)
+    bare = normal_spaces(F.regexp_replace(t, r"(?i)\A(?:\s*(?:\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}|\[\[(?:file|image|category):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]))+", ""))
+    return F.when(t == bare, F.nullif(t, F.lit(""))).when(wordlike(bare) >= 5, bare)
+
+
+def retrieval_key(c: Column) -> Column:
+    """A title by which documentation is looked up: underscores are spaces, spaces normalised, ASCII lower case."""
+    return ascii_lower(normal_spaces(F.translate(c, "_", " ")))
+
+
+# Pages of documentation that are an index or reference of their own kind, and kinds by how titles begin.
+DOCS_PAGES = {
+    "Manual:Hooks": "hooks_index", "Manual:Configuration settings": "config_index", "Help:Extension:ParserFunctions": "parser_reference",
+    "Help:Magic words": "magic_word_reference", "Help:Tags": "tag_reference", "Extension:Scribunto/Lua reference manual": "lua_reference",
+}
+DOCS_BEGINNINGS = [(r"Manual:Hooks/.*\S", "hook_page"), (r"Manual:\$wg", "config_page"), (r"API:.*/Sample code ", "api_example_page"), (r"API:", "api_page"), (r"Manual:", "manual_page"), (r"Extension:", "extension_page"), (r"Help:", "help_page")]
+
+
+def docs_page_kind(title: Column) -> Column:
+    """What a page of documentation is about, by its title: a named reference page, else by how the title begins."""
+    named = F.create_map(*[F.lit(x) for pair in DOCS_PAGES.items() for x in pair])
+    kind = F.lit("page")
+    for beginning, name in reversed(DOCS_BEGINNINGS):
+        kind = F.when(title.rlike(rf"\A{beginning}"), name).otherwise(kind)
+    return F.coalesce(F.try_element_at(named, title), kind)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.functions.text import ascii_lower, coverage_terms
 from wikiloom.operators.links import first_per_group
+from wikiloom.operators.search import containing
 
 # What a term's first match in a field adds, and the most that use adds.
 FIELDS = {"title": 150, "category": 90, "summary": 70, "keys": 48}
@@ -39,13 +40,13 @@ def comparable_pages(lanes: DataFrame, most: int) -> DataFrame:
 
 
 def contract_scores(terms: DataFrame, contracts: DataFrame) -> DataFrame:
-    """query, contract, score: each term (query, term; a small table) counts in the first field that holds it; and use."""
+    """query, contract, score: each term (query, term) counts in the first field that holds it; and use."""
     low = {f: ascii_lower(F.col(f)) for f in FIELDS}
     hit = F.coalesce(*[F.when(F.contains(low[f], F.col("term")), w) for f, w in FIELDS.items()])
     every = low["title"]
     for f in list(FIELDS)[1:]:
         every = F.concat_ws(" ", every, low[f])
-    near = contracts.withColumn("every", every).join(F.broadcast(terms), F.contains(F.col("every"), F.col("term")))
+    near = containing(contracts, every, terms.select("query", "term"), F.col("term"))
     told = near.withColumn("hit", hit).filter("hit is not null").groupBy("query", "contract").agg(F.sum("hit").alias("score"), F.max("uses").alias("uses"))
     return told.select("query", "contract", (F.col("score") + F.least("uses", F.lit(MOST_USE))).cast("long").alias("score"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wikiloom.staging import small
+
 
 def index_stats(pages: DataFrame) -> DataFrame:
     """namespace, pages, redirects, bytes."""
@@ -27,14 +29,16 @@ def backlinks(links: DataFrame) -> DataFrame:
 def resolve_aliases(titles: DataFrame, aliases: DataFrame, hops: int = 6) -> DataFrame:
     """title, resolved, hops: along alias -> canonical until there is none, a title comes again, or `hops` are made.
 
-    Each hop joins only the titles that still move; the paths are at most `hops` long.
+    Aliases are followed among themselves, their paths at most `hops` long; the titles are joined once.
     """
     step = aliases.groupBy("alias").agg(F.min("canonical").alias("canonical"))
-    now = titles.select("title", F.col("title").alias("at"), F.array("title").alias("path"))
+    go = F.col("canonical").isNotNull() & ~F.array_contains("path", F.col("canonical"))
+    now = step.select(F.col("alias").alias("title"), F.col("alias").alias("at"), F.array("alias").alias("path"))
     for _ in range(hops):
-        moved = now.join(step, F.col("at") == F.col("alias"), "left").withColumn("go", F.col("canonical").isNotNull() & ~F.array_contains("path", F.col("canonical")))
-        now = moved.select("title", F.when(F.col("go"), F.col("canonical")).otherwise(F.col("at")).alias("at"), F.when(F.col("go"), F.array_append("path", F.col("canonical"))).otherwise(F.col("path")).alias("path"))
-    return now.select("title", F.col("at").alias("resolved"), (F.size("path") - 1).cast("long").alias("hops"))
+        moved = now.join(step, F.col("at") == F.col("alias"), "left")
+        now = moved.select("title", F.when(go, F.col("canonical")).otherwise(F.col("at")).alias("at"), F.when(go, F.array_append("path", F.col("canonical"))).otherwise(F.col("path")).alias("path"))
+    told = titles.select("title").join(now, "title", "left")
+    return told.select("title", F.coalesce("at", "title").alias("resolved"), F.coalesce(F.size("path") - 1, F.lit(0)).cast("long").alias("hops"))
 
 
 def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -103,14 +107,24 @@ def within_budget(rows: DataFrame, keys: list[str], order: list[Column], tokens:
 
 
 def suggestions(sources: DataFrame, links: DataFrame, most: int, evidence: int = 4) -> DataFrame:
-    """target, n_sources, evidence: what the given pages (group, source) link to, by how many of a group's pages do."""
-    found = links.join(sources, "source").groupBy("group", "target").agg(F.count_distinct("source").alias("n_sources"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, evidence), "; ").alias("evidence"))
-    return first_per_group(found, ["group"], [F.desc("n_sources"), F.asc("target")], most)
+    """group, target, n_sources, place, evidence: what the given pages (group, source) link to, by how many of a group's
+    pages do, with the first `evidence` sources. A hub's sources are counted and ranked in their tasks, never gathered."""
+    pairs = links.join(sources, "source").select("group", "target", "source").distinct()
+    ranked = first_per_group(pairs.groupBy("group", "target").agg(F.count("*").alias("n_sources")), ["group"], [F.desc("n_sources"), F.asc("target")], most)
+    few = first_per_group(pairs, ["group", "target"], [F.asc("source")], evidence).groupBy("group", "target").agg(F.array_join(F.array_sort(F.collect_list("source")), "; ").alias("evidence"))
+    return ranked.join(few, ["group", "target"])
 
 
 def prefix_category(titles: DataFrame, mapping: DataFrame, default: str = "misc") -> DataFrame:
-    """title, category of the longest prefix (mapping: prefix, category; a small table) that the title begins with."""
-    hits = titles.select("title").distinct().join(F.broadcast(mapping), F.expr("startswith(title, prefix)"))
+    """title, category of the longest prefix (mapping: prefix, category) that the title begins with.
+
+    Titles are dealt to their beginnings of the lengths that prefixes have, so the match is a hash join; of equal prefixes
+    the greatest category counts.
+    """
+    lengths = [r[0] for r in mapping.select(F.char_length("prefix")).distinct().collect()]  # as many as prefixes have lengths
+    begins = F.explode(F.array(*[F.left("title", F.lit(n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>"))
+    best = mapping.groupBy("prefix").agg(F.max("category").alias("category"))
+    hits = titles.select("title").distinct().select("title", begins.alias("prefix")).join(small(best), "prefix")
     best = hits.groupBy("title").agg(F.max_by("category", F.struct(F.char_length("prefix"), "prefix")).alias("category"))
     return titles.join(best, "title", "left").withColumn("category", F.coalesce("category", F.lit(default)))
 
@@ -139,3 +153,27 @@ def same_index(before: DataFrame, now: DataFrame) -> DataFrame:
     both = before.select("path", F.col("hash").alias("old")).join(now.select("path", F.col("hash").alias("new")), "path", "full")
     n = both.agg(F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("removed"), F.count_if(F.col("old") != F.col("new")).alias("changed"))
     return n.withColumn("unchanged", (F.col("added") + F.col("removed") + F.col("changed")) == 0)
+
+
+def page_by_title(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, and the page of that title (query, text), whatever the case of its letters; the first by title where several are."""
+    found = asked.select("query", F.lower("text").alias("key")).join(pages.withColumn("key", F.lower("title")), "key").drop("key")
+    return first_per_group(found, ["query"], [F.asc("title")], 1).drop("place")
+
+
+def without_pages(tables: dict[str, DataFrame], gone: DataFrame, key: dict[str, str]) -> dict[str, DataFrame]:
+    """Each table without the rows whose key column names a page of gone (title): a delete that goes through all tables."""
+    return {name: t.join(gone.select(F.col("title").alias(key[name])), key[name], "left_anti").select(*t.columns) if name in key else t for name, t in tables.items()}
+
+
+def readiness(counts: dict[str, DataFrame], artifacts: DataFrame, needed: list[str]) -> DataFrame:
+    """One row: status (ready, degraded, empty), missing (needed artifacts that aren't there) and empty tables, comma-joined."""
+    n = None
+    for name, t in counts.items():
+        one = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        n = one if n is None else n.unionByName(one)
+    bare = n.agg(F.sum("n").alias("total"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("table")))), ",").alias("empty"))
+    have = artifacts.filter(F.col("kind").isin(needed)).agg(F.collect_set("kind").alias("have"))
+    told = bare.crossJoin(have).withColumn("missing", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, needed)), "have")), ","))
+    status = F.when(F.col("total") == 0, "empty").when((F.col("missing") != "") | (F.col("empty") != ""), "degraded").otherwise("ready")
+    return told.select(status.alias("status"), "missing", "empty")

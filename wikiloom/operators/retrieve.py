@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wikiloom.functions.text import ascii_lower, lexical_terms, normal_spaces, summary, token_estimate, words
-from wikiloom.operators.search import bm25, postings, tokens, top
+from wikiloom.functions.text import ascii_lower, is_noise, leading_prose, lexical_terms, low_signal, normal_spaces, query_terms, summary, token_estimate, variant_language, wordlike, words
+from wikiloom.operators.search import bm25, identifier_search, measured, postings, tokens, top
+from wikiloom.staging import small, staged
 
 # Base, step and floor of page weights by lane, and by how much base and floor fall for each further term.
 LANES = {"profile": (220, 18, 40, 14, 20), "authority": (200, 16, 36, 12, 18), "identifier": (240, 20, 48, 16, 24)}
@@ -52,15 +54,15 @@ def decayed(hits: DataFrame, lane: str) -> DataFrame:
 def reranked(candidates: DataFrame, queries: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFrame:
     """candidates (query, page, place, title, heading, text, tokens) with a score; equal passages count once.
 
-    queries (query, text), terms (query, term, ord) are small and broadcast; weights (query, page, weight) are joined.
+    queries (query, text) and terms (query, term, ord) are broadcast where they are small; weights (query, page, weight) are joined.
     """
     once = candidates.dropDuplicates(["query", "title", "heading", "text"])
     q, t, h, x = (ascii_lower(F.col(c)) for c in ("q", "title", "heading", "text"))
-    asked = once.join(F.broadcast(queries.select("query", F.col("text").alias("q"))), "query")
+    asked = once.join(small(queries.select("query", F.col("text").alias("q"))), "query")
     fixed = F.when(t == q, TITLE_EXACT).when(F.contains(t, q), TITLE_PART).otherwise(0) + F.coalesce(F.when(F.contains(h, q), HEADING), F.lit(0)) + F.when(F.contains(x, q), TEXT).otherwise(0)
     # the terms of a query are few: one array per query instead of a row per term and passage
     lists = terms.groupBy("query").agg(F.array_sort(F.collect_set(F.struct("ord", F.col("term").alias("t")))).alias("terms"))
-    told = asked.withColumn("fixed", fixed).join(F.broadcast(lists), "query", "left")
+    told = asked.withColumn("fixed", fixed).join(small(lists), "query", "left")
     all_text = F.concat_ws(" ", t, h, x)
     hit = F.filter("terms", lambda z: F.contains(F.col("all_text"), ascii_lower(z.t)))
     told = told.withColumn("all_text", all_text).withColumn("hit", F.coalesce(hit, F.array().cast("array<struct<ord:int,t:string>>")))
@@ -113,21 +115,92 @@ def selected(ordered: DataFrame, limit: int, budget: int, per_page: int, same: f
     return rows.groupBy("query").applyInPandas(lambda g: next(choose(iter([g]))), f"query {kinds['query']}, page {kinds['page']}, place {kinds['place']}, score long, tokens long, chosen int")
 
 
-def retrieve(queries: DataFrame, passages: DataFrame, limit: int = 6, budget: int = 400, max_pages: int = 4, per_page: int = 2, per_query: int = 40) -> DataFrame:
-    """Passages for each query (query, text) across pages (row, place, text, tokens), under a token budget.
-
-    BM25 over the passages gives candidates; the pages of the best of them get decaying weights and their first passages
-    join the candidates; then all are reranked, interleaved by page and chosen. Queries are a small table.
+def for_audience(passages: DataFrame, authoring: bool = True) -> DataFrame:
+    """passages (title, namespace, heading, text, tokens, ...) fit to be shown: prose of articles that are no translations, under
+    headings that hold prose. For authoring, what passages begin with (calls, files, categories) is cut away."""
+    kept = passages.filter((F.col("namespace") == "Main") & variant_language(F.col("title")).isNull() & ~is_noise(F.col("text")) & ~low_signal(F.col("heading")))
+    if not authoring:
+        return kept
+    low = ascii_lower(F.col("text"))
+    kept = kept.filter(~low.contains("{{reflist") & ~low.startswith("[[category:") & ~low.startswith("{{see also|"))
+    prose = kept.withColumn("text", leading_prose(F.col("text"))).filter(F.col("text").isNotNull() & (wordlike(F.col("text")) >= 5))
+    return prose.withColumn("tokens", token_estimate(F.col("text")))
+
+
+def page_profiles(pages: DataFrame, lists: list[DataFrame]) -> DataFrame:
+    """page, text: what a page (page, title, summary) is about: title, summary and the terms of lists (page, term), each once
+    whatever its case, with what stands behind a colon as a term of its own."""
+    own = pages.select("page", F.explode(F.array("title", "summary")).alias("term"))
+    for rows in lists:
+        own = own.unionByName(rows.select("page", "term"))
+    after = F.when(F.col("term").contains(":"), F.regexp_replace("term", r"\A[^:]*:", ""))
+    terms = own.select("page", F.explode(F.array("term", after)).alias("term")).select("page", normal_spaces(F.col("term")).alias("term")).filter("term <> ''")
+    once = terms.groupBy("page", ascii_lower(F.col("term")).alias("key")).agg(F.min("term").alias("term"))
+    return once.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("term")), "\n").alias("text"))
+
+
+def template_scores(wanted: DataFrame, invocations: DataFrame) -> DataFrame:
+    """query, page, score: pages by the templates (query, template, keys) that they also call (template, page, keys), more
+    for arguments in common."""
+    both = F.size(F.array_intersect("want", "keys"))
+    told = invocations.join(small(wanted.select("query", "template", F.col("keys").alias("want"))), "template")
+    score = F.lit(72) + 18 * both + F.when((F.size("want") > 0) & (both >= F.least(F.size("want"), F.lit(3))), 24).otherwise(0)
+    return told.groupBy("query", "page").agg(F.sum(score).cast("long").alias("score"))
+
+
+def related_weights(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query, page, weight: weights (query, page, weight) held within 1 and 240; seeds (query, page) that have none get 160."""
+    bounded = found.select("query", "page", F.least(F.greatest("weight", F.lit(1)), F.lit(240)).cast("long").alias("weight"))
+    return bounded.unionByName(seeds.select("query", "page").distinct().join(bounded, ["query", "page"], "left_anti").withColumn("weight", F.lit(160).cast("long")))
+
+
+def _lane(terms: DataFrame, rows: DataFrame, lane: str, most: int) -> DataFrame:
+    """query, page, weight: for each term of a query the best pages by BM25 over rows (page, text), decayed by rank."""
+    posts = staged(postings(rows, "page", {"text": 1.0}), f"lane-{lane}")
+    asked = terms.select(F.struct("query", "term_no").alias("query"), F.explode(F.array_distinct(tokens(F.col("term")))).alias("term"))
+    best = top(bm25(asked, posts, measured(posts)).withColumn("score", F.round("score", 6)), most)
+    return decayed(best.select("query.query", "query.term_no", F.col("row").alias("page"), (F.col("rank") - 1).alias("rank")), lane)
+
+
+def related_pages(queries: DataFrame, profiles: DataFrame | None, authorities: DataFrame | None, identifiers: DataFrame | None, most: int = 12) -> DataFrame:
+    """query, page, weight: pages that a query (query, text), or one of the terms it is expanded to, leads to by their profiles
+    (page, text), the authorities that they cite (page, text) and their identifiers (page, value)."""
+    terms = queries.select("query", F.posexplode(query_terms(F.col("text"))).alias("term_no", "term"))
+    lanes = []
+    if profiles is not None:
+        lanes.append(_lane(terms, profiles, "profile", most))
+    if authorities is not None:
+        lanes.append(_lane(terms, authorities.groupBy("page").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text")), "authority", most))
+    if identifiers is not None:
+        asked = terms.select(F.struct("query", "term_no").alias("query"), F.col("term").alias("text"))
+        hits = identifier_search(asked, identifiers, most)
+        lanes.append(decayed(hits.select("query.query", "query.term_no", "page", (F.col("rank") - 1).alias("rank")), "identifier"))
+    every = reduce(DataFrame.unionByName, lanes)
+    summed = every.groupBy("query", "page").agg(F.sum("weight").cast("long").alias("weight"))
+    return top(summed.withColumnRenamed("weight", "score"), most, tie="page").select("query", "page", F.col("score").alias("weight"))
+
+
+def retrieve(
+    queries: DataFrame, passages: DataFrame, profiles: DataFrame | None = None, authorities: DataFrame | None = None, identifiers: DataFrame | None = None,
+    limit: int = 6, budget: int = 400, max_pages: int = 4, per_page: int = 2, per_query: int = 40, authoring: bool = True,
+) -> DataFrame:
+    """Passages for each query (query, text) across pages (page, title, namespace, heading, place, text, tokens), within a budget.
+
+    BM25 over the passages gives candidates, for the query and each term it is expanded to; pages related by profile,
+    authority or identifier get weights, and their first two passages join the candidates. What isn't fit to be shown goes;
+    the rest is reranked, interleaved by page and chosen. Passages and their postings are made once.
     """
-    rows = passages.withColumn("key", F.struct("row", "place"))
-    posts = postings(rows, "key", {"text": 1.0})
-    n, mean = rows.agg(F.count("*"), F.avg(F.size(tokens(F.col("text"))))).first()
-    asked = queries.select("query", F.posexplode(F.array_distinct(tokens(F.col("text")))).alias("ord", "term"))
-    scored = top(bm25(asked, posts, n, mean or 1.0).select("query", "row", F.round("score", 6).alias("score")), per_query)
-    found = scored.select("query", F.col("row.row").alias("page"), F.col("row.place").alias("place"), "rank")
-    page_rank = found.groupBy("query", "page").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank", "page")) - 1)
-    weights = decayed(page_rank.filter("rank < 12").withColumn("term_no", F.lit(0)), "profile")
-    seeds = weights.select("query", "page").join(passages.select(F.col("row").alias("page"), "place").filter("place < 2"), "page").select("query", "page", "place")
-    wanted = found.select("query", "page", "place").unionByName(seeds).distinct()
-    told = wanted.join(passages.withColumnRenamed("row", "page"), ["page", "place"]).withColumn("title", F.col("page").cast("string")).withColumn("heading", F.lit(None).cast("string"))
-    return selected(interleaved(reranked(told, queries, asked, weights), max_pages), limit, budget, per_page)
+    held = staged(for_audience(passages, authoring), "passages")
+    posts = staged(postings(held.withColumn("key", F.struct("page", "place")), "key", {"text": 1.0}), "postings")
+    terms = queries.select("query", F.posexplode(query_terms(F.col("text"))).alias("term_no", "term"))
+    asked = terms.select(F.struct("query", "term_no").alias("query"), F.explode(F.array_distinct(tokens(F.col("term")))).alias("term"))
+    scored = top(bm25(asked, posts, measured(posts)).select("query", "row", F.round("score", 6).alias("score")), per_query)
+    found = scored.select("query.query", F.col("row.page").alias("page"), F.col("row.place").alias("place")).distinct()
+    if profiles is None and authorities is None and identifiers is None:
+        profiles = held.groupBy("page").agg(F.min_by(summary(F.col("text")), "place").alias("text"))
+    weights = staged(related_pages(queries, profiles, authorities, identifiers), "weights")
+    seeds = weights.select("query", "page").join(held.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("place"))).filter("nth <= 2").select("page", "place"), "page")
+    wanted = found.unionByName(seeds.select("query", "page", "place")).distinct()
+    told = wanted.join(held, ["page", "place"])
+    ords = terms.select("query", F.col("term_no").alias("ord"), "term")
+    return selected(interleaved(reranked(told, queries, ords, weights), max_pages), limit, budget, per_page)

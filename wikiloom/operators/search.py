@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import ascii_lower, variant_base, variant_language
+from wikiloom.staging import small
 
 #: Published constants of BM25.
 K1, B = 1.2, 0.75
@@ -33,18 +34,30 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, n_rows: int, mean_length: float) -> DataFrame:
-    """query, row, score, n_terms: for queries (query, term), a small table, against all postings.
+def measured(posts: DataFrame) -> DataFrame:
+    """One row: n_rows and mean_length of the rows that postings have."""
+    return posts.groupBy("row").agg(F.first("length").alias("length")).agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))
 
-    Query terms are broadcast, so postings of other terms never leave their scan.
+
+def bm25(queries: DataFrame, posts: DataFrame, totals: DataFrame) -> DataFrame:
+    """query, row, score, n_terms: for queries (query, term), against all postings; totals: one row of n_rows, mean_length.
+
+    Query terms are broadcast where they are few, so that other postings never leave their scan; totals are one row.
     """
-    asked = queries.select("query", "term").distinct()
-    wanted = posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean_length))))
-    weighed = wanted.join(df.withColumn("idf", idf), "term").select("row", "term", part.alias("part"))
-    return weighed.join(F.broadcast(asked), "term").groupBy("query", "row").agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
+    asked = small(queries.select("query", "term").distinct())
+    hits = posts.join(asked, "term").select("query", "row", "term", "tf", "length")
+    df = posts.join(small(queries.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    told = hits.join(df, "term").crossJoin(F.broadcast(totals))
+    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    return told.groupBy("query", "row").agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
+
+
+def _beginnings(words: DataFrame, word: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """words joined with the prefixes (any columns) that they begin with: a hash join on beginnings of the lengths that occur."""
+    lengths = [r[0] for r in prefixes.select(F.char_length(prefix)).distinct().collect()]  # as many as there are lengths
+    begins = F.array(*[F.when(F.char_length(word) >= n, F.left(word, F.lit(n))) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    return words.withColumn(prefix, F.explode(F.array_compact(begins))).join(prefixes, prefix)
 
 
 def match_prefix(queries: DataFrame, posts: DataFrame) -> DataFrame:
@@ -53,18 +66,50 @@ def match_prefix(queries: DataFrame, posts: DataFrame) -> DataFrame:
     Prefixes are matched against the distinct vocabulary, not against rows.
     """
     need = queries.groupBy("query").agg(F.count_distinct("term").alias("need"))
-    vocabulary = posts.select(F.col("term").alias("word")).distinct()
-    hits = vocabulary.join(F.broadcast(queries.select("query", F.col("term").alias("prefix")).distinct()), F.expr("startswith(word, prefix)"))
+    asked = small(queries.select("query", F.col("term").alias("prefix")).distinct())
+    hits = _beginnings(posts.select(F.col("term").alias("word")).distinct(), "word", asked, "prefix").select("word", "query", "prefix")
     rows = posts.select("row", F.col("term").alias("word")).join(hits, "word").groupBy("query", "row").agg(F.count_distinct("prefix").alias("have"))
-    return rows.join(F.broadcast(need), "query").filter("have = need").select("query", "row")
+    return rows.join(small(need), "query").filter("have = need").select("query", "row")
 
 
 def match_phrase(queries: DataFrame, posts: DataFrame) -> DataFrame:
     """query, row: rows in which the terms (query, term, ord from 0) stand one after the other."""
     need = queries.groupBy("query").agg(F.count("*").alias("need"))
-    starts = posts.join(F.broadcast(queries.select("query", "term", "ord")), "term").select("query", "row", "ord", F.explode(F.transform("places", lambda p: p - F.col("ord"))).alias("start"))
+    starts = posts.join(small(queries.select("query", "term", "ord")), "term").select("query", "row", "ord", F.explode(F.transform("places", lambda p: p - F.col("ord"))).alias("start"))
     runs = starts.groupBy("query", "row", "start").agg(F.count_distinct("ord").alias("have"))
-    return runs.join(F.broadcast(need), "query").filter("have = need").select("query", "row").distinct()
+    return runs.join(small(need), "query").filter("have = need").select("query", "row").distinct()
+
+
+def match_any(queries: DataFrame, posts: DataFrame) -> DataFrame:
+    """query, row: rows that hold the query's terms (query, term, ord) as a phrase, or words that begin with each of them."""
+    return match_phrase(queries, posts).unionByName(match_prefix(queries, posts)).distinct()
+
+
+def grams(text: Column, n: int) -> Column:
+    """The distinct stretches of n characters of a text."""
+    return F.when(F.char_length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def containing(rows: DataFrame, text: Column, queries: DataFrame, asked: Column, most: int = 3) -> DataFrame:
+    """rows joined with the queries whose text they contain (queries without text match nothing).
+
+    A query is looked up by its rarest stretch of three characters (fewer, where it is shorter), so the join is one of
+    hashes; what it brings is verified.
+    """
+    held = rows.withColumn("__text", text)
+    wanted = queries.withColumn("__asked", asked).filter("__asked <> ''").withColumn("__n", F.least(F.char_length("__asked"), F.lit(most)))
+    sizes = [r[0] for r in wanted.select("__n").distinct().collect()]  # at most `most`
+    if not sizes:
+        return held.drop("__text").crossJoin(queries.limit(0))
+    of = lambda c, n: F.coalesce(grams(c, n), F.array().cast("array<string>"))
+    each = held.withColumn("__gram", F.explode(F.concat(*[of(F.col("__text"), n) for n in sizes])))
+    mine = F.lit(None).cast("array<string>")
+    for n in sizes:
+        mine = F.when(F.col("__n") == n, of(F.col("__asked"), n)).otherwise(mine)
+    dealt = wanted.withColumn("__gram", F.explode(mine))
+    often = each.join(small(dealt.select("__gram").distinct()), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__df"))
+    rarest = dealt.join(often, "__gram").groupBy(*queries.columns, "__asked").agg(F.min_by("__gram", F.struct("__df", "__gram")).alias("__gram"))
+    return each.join(small(rarest), "__gram").filter(F.contains("__text", F.col("__asked"))).drop("__gram", "__text", "__asked")
 
 
 def top(scored: DataFrame, most: int, by: str = "query", tie: str = "row") -> DataFrame:
@@ -79,12 +124,51 @@ def like_rank(title: Column, term: Column) -> Column:
 
 
 def title_like(queries: DataFrame, pages: DataFrame, most: int) -> DataFrame:
-    """query, title, tier, rank: the fallback search, queries (query, text) being a small broadcast table."""
-    hits = pages.select("title").join(F.broadcast(queries), F.contains(ascii_lower(F.col("title")), ascii_lower(F.col("text")))).withColumn("tier", like_rank(F.col("title"), F.col("text")))
+    """query, title, tier, rank: the fallback search of queries (query, text): exact titles, beginnings, parts."""
+    hits = containing(pages.select("title"), ascii_lower(F.col("title")), queries.select("query", "text"), ascii_lower(F.col("text")))
+    hits = hits.withColumn("tier", like_rank(F.col("title"), F.col("text")))
     at = F.row_number().over(Window.partitionBy("query").orderBy("tier", "title"))
     return hits.withColumn("rank", at).filter(F.col("rank") <= most).select("query", "title", "tier", "rank")
 
 
+def alias_search(queries: DataFrame, aliases: DataFrame, most: int) -> DataFrame:
+    """query, title, tier, rank: pages (alias, canonical) by their best alias that contains the query."""
+    hits = containing(aliases.select("alias", "canonical"), ascii_lower(F.col("alias")), queries.select("query", "text"), ascii_lower(F.col("text")))
+    best = hits.groupBy("query", F.col("canonical").alias("title")).agg(F.min(like_rank(F.col("alias"), F.col("text"))).alias("tier"))
+    at = F.row_number().over(Window.partitionBy("query").orderBy("tier", "title"))
+    return best.withColumn("rank", at).filter(F.col("rank") <= most)
+
+
+def identifier_search(queries: DataFrame, identifiers: DataFrame, most: int) -> DataFrame:
+    """query, page, tier, n, rank: pages by their best identifier (page, value) that contains the query, then by how many do."""
+    plain = lambda c: F.regexp_replace(ascii_lower(c), r"[^a-z0-9./_-]", "")
+    hits = containing(identifiers.select("page", "value"), plain(F.col("value")), queries.select("query", "text"), plain(F.col("text")))
+    best = hits.groupBy("query", "page").agg(F.min(like_rank(plain(F.col("value")), plain(F.col("text")))).alias("tier"), F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("query").orderBy("tier", F.desc("n"), "page"))
+    return best.withColumn("rank", at).filter(F.col("rank") <= most)
+
+
+def by_hits(matches: DataFrame, owners: DataFrame, most: int) -> DataFrame:
+    """query, page, n, rank: matches (query, row) of rows that belong to pages (row, page), pages by how many of theirs match."""
+    n = matches.join(owners.select("row", "page"), "row").groupBy("query", "page").agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "page"))
+    return n.withColumn("rank", at).filter(F.col("rank") <= most)
+
+
+def per_token(queries: DataFrame, posts: DataFrame, totals: DataFrame, uses: DataFrame, each: int, most: int) -> DataFrame:
+    """query, row, rank: for each token the best `each` rows by BM25, then by use (row, uses) and name; their union by the
+    best place; queries (query, term) of which no token is found give the most used rows."""
+    keyed = queries.select(F.struct("query", "term").alias("query"), "term")
+    scored = bm25(keyed, posts, totals).withColumn("score", F.round("score", 6)).join(uses, "row", "left")
+    at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc(F.coalesce("uses", F.lit(0))), "row"))
+    found = scored.withColumn("at", at).filter(F.col("at") <= each).groupBy(F.col("query.query").alias("query"), "row").agg(F.min("at").alias("at"))
+    at = F.row_number().over(Window.orderBy(F.desc("uses"), "row"))
+    used = uses.orderBy(F.desc("uses"), "row").limit(most).withColumn("at", at)
+    none = queries.select("query").distinct().join(found.select("query").distinct(), "query", "left_anti").crossJoin(F.broadcast(used.select("row", "at")))
+    at = F.row_number().over(Window.partitionBy("query").orderBy("at", "row"))
+    return found.unionByName(none).withColumn("rank", at).filter(F.col("rank") <= most).select("query", "row", "rank")
+
+
 def first_tier(*tiers: DataFrame) -> DataFrame:
     """For each query the rows of the first tier (all with the same columns) that has any."""
     every = tiers[0].withColumn("at", F.lit(0))

@@ -8,6 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 TITLE = "concat('Part ', CAST({} AS STRING))"
 
+
+
+def _article() -> str:
+    """Markup of many kinds, dealt by the part's number: calls within calls, links, citations, media, faults of style."""
+    k, n = "p_partkey", "\n"
+    if_ = lambda test, *parts: f"CASE WHEN {test} THEN concat({', '.join(parts)}) ELSE '' END"
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    num = lambda e: f"CAST({e} AS STRING)"
+    lines = [
+        if_(f"{k} % 4 <> 3", text("{{Short description|"), "p_name", text("}}" + n)),
+        if_(f"{k} % 2 = 0", text("{{Infobox item|name="), "p_name", text("|size="), num("p_size"), text("|image=[[File:P"), num(f"{k} % 9"), text(".png|thumb|A view]]|style={{Colour|"), "p_brand", text("}}}}" + n)),
+        text("Lead of [[Part "), num(f"{k} % 97"), text("|it]] and [[:Category:Index]] near [[Part "), num(f"({k} * 3) % 150"), text("#Top]], with [[Category:"), "p_type", text("]]." + n),
+        if_(f"{k} % 6 = 0", text("{{#invoke:Tally|count|"), num("p_size"), text("|mode=x}} and {{#invoke:Tally|count|again|mode=y}}" + n)),
+        if_(f"{k} % 8 = 0", text("{{#if:x|y}} <!-- [[hidden]] -->" + n)),
+        text("== Details ==" + n + "Brand "), "p_brand", text('<ref name="b'), num(f"{k} % 5"), text('">{{Cite web|url=https://www.Site'), num("p_size"), text(".example/x|title=Title "), num(f"{k} % 13"), text("|website=Site "), num("p_size"), text("|date=2020|doi=https://doi.org/10.5/A"), num(f"{k} % 7"), text("}}</ref>." + n),
+        if_(f"{k} % 3 = 1", text("Shown.<ref>[https://youtube.com/w/"), num(f"{k} % 50"), text(" clip]</ref>" + n)),
+        if_(f"{k} % 3 = 2", text('Said again<ref name="b'), num(f"{k} % 5"), text('" />' + n)),
+        if_(f"{k} % 5 = 1", text('Aside<ref group="n">Plain note on [[Part '), num(f"{k} % 40"), text("]]</ref> here." + n)),
+        if_(f"{k} % 4 = 1", text("Read<ref>{{Cite book|title=Book "), num(f"{k} % 11"), text("|last=Doe|first=Ann"), num(f"{k} % 3"), text("|isbn=978-"), num(f"{k} % 10"), text("|year=1999|publisher=Press}}</ref>" + n)),
+        if_(f"{k} % 5 = 0", text("# Notes" + n)), if_(f"{k} % 7 = 0", text("It is “quoted”." + n)), if_(f"{k} % 9 = 0", text("=== Bad heading ==" + n)),
+        if_(f"{k} % 5 = 2", text("[[File:Q"), num(f"{k} % 6"), text(".jpg|thumb|left|Caption "), num(f"{k} % 3"), text("]]" + n)),
+        if_(f"{k} % 10 = 3", text("<gallery>" + n + "G1.png|First" + n + "File:G2.png" + n + "</gallery>" + n)), if_(f"{k} % 10 = 4", text("<gallery></gallery>" + n)),
+        if_(f"{k} % 11 = 0", text("TODO finish this" + n)), if_(f"{k} % 12 = 5", text("Doubtful.{{citation needed}}" + n)), if_(f"{k} % 13 = 0", text('<templatestyles src="Part/styles.css" /><templatestyles />' + n)),
+        text("== See also ==" + n + "* [[Part "), num(f"({k} * 13) % 2600"), text("]]" + n),
+        if_(f"{k} % 3 = 0", text("== details ==" + n + "again [[broken" + n)), if_(f"{k} % 14 = 1", text("== Further Odd Matters ==" + n + "x" + n)), if_(f"{k} % 6 = 1", text("== References ==" + n + "{{Reflist}}" + n)),
+    ]
+    return f"concat({', '.join(lines)})".replace("{", "{{").replace("}", "}}")
+
+
+ARTICLE = _article()
+
 SQL = {
     # a tenth redirects, some to titles that don't exist; a few are templates
     "pages": f"""SELECT p_partkey AS page_key, {TITLE.format("p_partkey")} AS title,
@@ -15,21 +46,23 @@ SQL = {
   CASE WHEN p_size = 25 THEN 'Template' ELSE 'Main' END AS namespace, p_partkey % 10 = 0 AS is_redirect,
   CASE WHEN p_partkey % 10 = 0 THEN {TITLE.format("(p_partkey * 7 + 30) % 2500")} END AS redirect_target,
   p_name AS name, p_type AS type, p_brand AS brand, CAST(p_size AS BIGINT) AS bytes FROM {{part}}""",
-    "links": f"""SELECT DISTINCT {TITLE.format("l_partkey")} AS source, {TITLE.format("(l_orderkey * 13 + l_linenumber * 7) % 2600")} AS target
-  FROM {{lineitem}} WHERE l_linenumber <= 3""",
+    "links": f"""SELECT DISTINCT {TITLE.format("l_partkey")} AS source, {TITLE.format("(l_orderkey * l_orderkey) % 211 * 7 + l_linenumber % 3 * 1000")} AS target
+  FROM {{lineitem}}""",
     "members": f"""SELECT {TITLE.format("p_partkey")} AS source, concat('Category:', p_type) AS target FROM {{part}} WHERE p_partkey % 7 <> 0""",
     "categories": "SELECT DISTINCT concat('Category:', p_type) AS title FROM {part} UNION SELECT DISTINCT concat('Category:', p_brand) AS title FROM {part}",
     "invocations": f"""SELECT DISTINCT concat('Template:', l_returnflag, l_linestatus, CAST(l_linenumber AS STRING)) AS template, {TITLE.format("l_partkey")} AS page,
   concat_ws(',', CASE WHEN l_quantity > 25 THEN 'amount' END, CASE WHEN l_discount > 0.05 THEN 'discount' END, 'supplier', CASE WHEN l_tax > 0.04 THEN 'tax' END) AS keys FROM {{lineitem}}""",
     "examples": """SELECT concat('Template:', l_returnflag, l_linestatus, CAST(l_linenumber AS STRING)) AS template, concat('Part ', CAST(l_partkey AS STRING)) AS page, l_orderkey AS place,
   concat('supplier=', CAST(l_suppkey AS STRING)) AS text, CAST(l_quantity AS BIGINT) AS tokens FROM {lineitem}""",
+    "transclusions": f"""SELECT {TITLE.format("p_partkey")} AS page, concat('Template:Part ', CAST((p_partkey * 11) % 400 AS STRING)) AS template FROM {{part}} WHERE p_partkey % 3 = 0""",
+    # cycles of two or three in a chain, trees beside them, and loops
+    "chains": """SELECT concat('N', CAST(100000 + r_regionkey * 10 + a AS STRING)) AS source, concat('N', CAST(100000 + r_regionkey * 10 + b AS STRING)) AS target
+  FROM {region}, (SELECT 0 AS a, 1 AS b UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 10 UNION ALL SELECT 11, 12 UNION ALL SELECT 2, 3 UNION ALL SELECT 3, 13 UNION ALL SELECT 4, 4) AS steps""",
     "citations": """SELECT concat('Part ', CAST(o_custkey AS STRING)) AS page, o_orderkey AS place, concat('https://www.site', CAST(o_custkey % 40 AS STRING), '.example/', CAST(o_orderkey % 300 AS STRING)) AS url,
   CASE WHEN o_orderkey % 5 = 0 THEN concat('10.1000/', CAST(o_orderkey % 70 AS STRING)) END AS doi, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderkey % 50 AS STRING) END AS isbn,
   concat('Template:Cite ', lower(substr(o_orderpriority, 3))) AS template, CASE o_orderstatus WHEN 'F' THEN 'news' WHEN 'O' THEN 'web' ELSE 'book' END AS kind,
   concat('ref ', CAST(o_custkey % 40 AS STRING), ' ', CAST(o_orderkey % 300 AS STRING)) AS wikitext FROM {orders}""",
-    "articles": """SELECT concat('Part ', CAST(p_partkey AS STRING)) AS title, concat('{{{{Short description|', p_name, '}}}}\nLead of [[Part ', CAST(p_partkey % 97 AS STRING), '|it]] and [[Category:', p_type, ']].\n== Details ==\nBrand ', p_brand,
-  '<ref>{{{{Cite web|url=https://www.Site', CAST(p_size AS STRING), '.example/x|title=T}}}}</ref>.\n', CASE WHEN p_partkey % 5 = 0 THEN '# Notes\n' ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN 'It is “quoted”.\n' ELSE '' END,
-  '== See also ==\n* [[Part ', CAST((p_partkey * 13) % 2600 AS STRING), ']]\n', CASE WHEN p_partkey % 3 = 0 THEN '== details ==\nagain [[broken\n' ELSE '' END) AS text, p_partkey AS k, p_name AS name, p_type AS type, p_size AS size FROM {part}""",
+    "articles": f"""SELECT concat('Part ', CAST(p_partkey AS STRING)) AS title, {ARTICLE} AS text, p_partkey AS k, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM {{part}}""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",
@@ -41,7 +74,7 @@ SQL = {
 
 
 def tables_of(sql: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql)))
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, docs, graph, links, markup, retrieve, search, sync, usage, web
+from wikiloom.operators import audit, authoring, docs, graph, links, markup, references, retrieve, search, sync, usage, web
 from wikiloom.plans import corpus
+from wikiloom.staging import staged
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -147,13 +148,13 @@ def d21_suggestions(rows, pages):
     return links.suggestions(pages.select(F.col("title").alias("source"), F.col("type").alias("group")), rows, 10).withColumnRenamed("group", "topic")
 
 
-@query("part", """WITH m AS (SELECT DISTINCT substr(p_name, 1, 3) AS prefix, upper(substr(p_name, 1, 3)) AS category FROM part WHERE p_partkey % 5 = 0 UNION SELECT DISTINCT substr(p_name, 1, 6), p_brand FROM part WHERE p_partkey = 10 OR p_partkey = 20),
-h AS (SELECT p_name, category, row_number() OVER (PARTITION BY p_name ORDER BY length(prefix) DESC, prefix DESC, category) AS k FROM (SELECT DISTINCT p_name FROM part) JOIN m ON starts_with(p_name, prefix))
+@query("part", """WITH m AS (SELECT substr(p_name, 1, 3) AS prefix, max(upper(substr(p_name, 1, 3))) AS category FROM part GROUP BY ALL UNION ALL SELECT substr(p_name, 1, 6), max(p_brand) FROM part GROUP BY ALL),
+h AS (SELECT p_name, category, row_number() OVER (PARTITION BY p_name ORDER BY length(prefix) DESC) AS k FROM (SELECT DISTINCT p_name FROM part) JOIN m ON starts_with(p_name, prefix))
 SELECT part.p_name AS title, coalesce(h.category, 'misc') AS category FROM part LEFT JOIN h ON part.p_name = h.p_name AND h.k = 1""")
 def a8_prefix_category(part):
-    short = part.filter("p_partkey % 5 = 0").select(F.substring("p_name", 1, 3).alias("prefix"), F.upper(F.substring("p_name", 1, 3)).alias("category"))
-    long = part.filter("p_partkey = 10 or p_partkey = 20").groupBy(F.substring("p_name", 1, 6).alias("prefix")).agg(F.min("p_brand").alias("category"))
-    return links.prefix_category(part.select(F.col("p_name").alias("title")), short.distinct().unionByName(long))
+    short = part.select(F.substring("p_name", 1, 3).alias("prefix"), F.upper(F.substring("p_name", 1, 3)).alias("category"))
+    long = part.select(F.substring("p_name", 1, 6).alias("prefix"), F.col("p_brand").alias("category"))
+    return links.prefix_category(part.select(F.col("p_name").alias("title")), short.unionByName(long))
 
 
 # text
@@ -198,37 +199,54 @@ def c3_chunks(documents):
 # graphs
 
 
-@query("pages links members", f"""WITH titles AS (SELECT title FROM pages), every AS (SELECT source, target, 'link' AS kind FROM links UNION SELECT title, redirect_target, 'redirect' FROM pages WHERE is_redirect UNION SELECT source, target, 'category' FROM members)
-SELECT source, target, kind FROM every WHERE source IN (SELECT title FROM titles) AND target IN (SELECT title FROM titles UNION SELECT target FROM members)""")
-def g1_graph(pages, rows, members):
-    return graph.build_graph(pages, rows, members)
+_EDGES = """ends AS (SELECT title FROM pages UNION ALL SELECT concat(namespace, ':', title) FROM pages WHERE namespace <> 'Main'), every AS (SELECT source, target, 'link' AS kind FROM links UNION SELECT title, redirect_target, 'redirect' FROM pages WHERE is_redirect
+  UNION SELECT source, target, 'category' FROM members UNION SELECT page, template, 'transclusion' FROM transclusions)"""
 
 
-_REDIRECTS = "e AS (SELECT title AS source, redirect_target AS target FROM pages WHERE is_redirect AND redirect_target IN (SELECT title FROM pages))"
-_SCC = f"""WITH RECURSIVE pages AS ({corpus.SQL["pages"].format(part="part")}), {_REDIRECTS},
+@query("pages links members transclusions", f"""WITH {_EDGES} SELECT source, target, kind FROM every WHERE source IN (SELECT title FROM ends) AND target IN (SELECT title FROM ends UNION SELECT target FROM members)""")
+def g1_graph(pages, rows, members, transclusions):
+    return graph.build_graph(pages, rows, members, transclusions)
+
+
+@query("pages links members transclusions", f"""WITH {_EDGES}, e AS (SELECT source, target, kind FROM every WHERE source IN (SELECT title FROM ends) AND target IN (SELECT title FROM ends UNION SELECT target FROM members)), main AS (SELECT title FROM pages WHERE namespace = 'Main')
+SELECT source, target, kind FROM e WHERE kind IN ('link', 'redirect') AND source IN (SELECT title FROM main) AND target IN (SELECT title FROM main) AND source <> target""")
+def g2_edge_filter(pages, rows, members, transclusions):
+    return graph.filter_edges(graph.build_graph(pages, rows, members, transclusions), pages, ["Main"], ["link", "redirect"], loops=False)
+
+
+def _edge_query(table: str) -> str:
+    return f"""WITH RECURSIVE {corpus.with_tables(table)[5:]}, e AS (SELECT DISTINCT source, target FROM {table}),
 n AS (SELECT source AS node FROM e UNION SELECT target FROM e), r(a, b) AS (SELECT source, target FROM e UNION SELECT r.a, e.target FROM r JOIN e ON r.b = e.source),
 c AS (SELECT n.node, least(n.node, coalesce((SELECT min(x.b) FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a WHERE x.a = n.node), n.node)) AS component FROM n),
 s AS (SELECT component, count(*) AS size FROM c GROUP BY component)"""
 
 
-def _redirect_edges(pages):
-    return graph.build_graph(pages, pages.select(F.col("title").alias("source"), F.col("title").alias("target")).limit(0), pages.select(F.col("title").alias("source"), F.col("title").alias("target")).limit(0), ("redirect",)).select("source", "target")
+@query("chains")
+def g3_components(chains):
+    return graph.components(chains)
 
 
-@query("pages")
-def g3_components(pages):
-    return graph.components(_redirect_edges(pages))
+@query("chains")
+def g4_condensation(chains):
+    return graph.condensation(chains, graph.components(chains))
 
 
-@query("pages")
-def g4_condensation(pages):
-    edges = _redirect_edges(pages)
-    return graph.condensation(edges, graph.components(edges))
+_sql["g3_components"] = f"{_edge_query('chains')} SELECT c.node, c.component, s.size, s.size > 1 OR EXISTS (SELECT 1 FROM e WHERE e.source = c.node AND e.target = c.node) AS is_cyclic FROM c JOIN s ON c.component = s.component"
+_sql["g4_condensation"] = f"""{_edge_query('chains')}, b AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c AS x ON e.source = x.node JOIN c AS y ON e.target = y.node WHERE x.component <> y.component)
+SELECT s.component, s.size, (SELECT count(*) FROM b WHERE b.b = s.component) AS n_in, (SELECT count(*) FROM b WHERE b.a = s.component) AS n_out FROM s"""
 
 
-_sql["g3_components"] = f"{_SCC} SELECT c.node, c.component, s.size, s.size > 1 OR EXISTS (SELECT 1 FROM e WHERE e.source = c.node AND e.target = c.node) AS is_cyclic FROM c JOIN s ON c.component = s.component"
-_sql["g4_condensation"] = f"""{_SCC}, b AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c AS x ON e.source = x.node JOIN c AS y ON e.target = y.node WHERE x.component <> y.component)
-SELECT s.component, s.size, (SELECT count(*) FROM b WHERE b.b = s.component) AS n_in, (SELECT count(*) FROM b WHERE b.a = s.component) AS n_out FROM s"""
+@query("pages links members transclusions")
+def g3_page_graph(pages, rows, members, transclusions):
+    return graph.components(graph.build_graph(pages, rows, members, transclusions))
+
+
+@query("chains", f"SELECT title, 'graph.redirect_loop' AS rule, evidence FROM ({_edge_query('chains')} SELECT c.node AS title, concat('component_size=', s.size) AS evidence FROM c JOIN s ON c.component = s.component WHERE s.size > 1)")
+def n14_cycles(chains):
+    return graph.cycle_issues(chains.withColumn("kind", F.lit("redirect"))).select("title", "rule", "evidence")
+
+
+_sql["n14_cycles"] = f"{_edge_query('chains')} SELECT c.node AS title, 'graph.redirect_loop' AS rule, concat('component_size=', s.size) AS evidence FROM c JOIN s ON c.component = s.component WHERE s.size > 1"
 
 # usage
 
@@ -369,11 +387,18 @@ def m7_checkpoint(remote, ledger, local_files):
 
 
 def _asked(benchmark):
-    return benchmark.select(F.col("item_id").alias("query"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 6), " ").alias("text"))
+    return benchmark.select(F.col("item_id").alias("query"), "text")
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _POSTS = rf"""dt AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents), p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM dt), tf AS (SELECT doc_id, term, length, count(*) AS tf FROM p GROUP BY doc_id, term, length)"""
+_BM25 = """st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt WHERE len(t) > 0), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT qt.query, tf.doc_id AS "row", round(sum(ln((st.n - df.df + 0.5) / (df.df + 0.5) + 1.0) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.length / st.mean))), 4) AS score, count(*) AS n_terms
+  FROM qt JOIN tf ON qt.term = tf.term JOIN df ON df.term = tf.term CROSS JOIN st GROUP BY qt.query, tf.doc_id)"""
+
+
+def _posted(documents):
+    return staged(search.postings(documents, "doc_id", {"text": 1.0}), "postings")
 
 
 @query("documents", f"WITH {_POSTS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
@@ -381,33 +406,78 @@ def e1_term_stats(documents):
     return search.term_stats(search.postings(documents, "doc_id", {"text": 1.0})).withColumn("cf", F.col("cf").cast("long"))
 
 
-@query("documents benchmark", rf"""WITH {_POSTS}, q AS (SELECT item_id AS query, list_distinct(({_TOKENS.format("text")})[1:6]) AS t FROM benchmark), qt AS (SELECT query, unnest(t) AS term FROM q),
-st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-s AS (SELECT qt.query, tf.doc_id AS "row", round(sum(ln((st.n - df.df + 0.5) / (df.df + 0.5) + 1.0) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.length / st.mean))), 4) AS score, count(*) AS n_terms
-  FROM qt JOIN tf ON qt.term = tf.term JOIN df ON df.term = tf.term CROSS JOIN st GROUP BY qt.query, tf.doc_id)
+@query("documents benchmark", rf"""WITH {_POSTS}, q AS (SELECT item_id AS query, list_distinct({_TOKENS.format("text")}) AS t FROM benchmark), qt AS (SELECT query, unnest(t) AS term FROM q), {_BM25}
 SELECT query, "row", score, n_terms, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, "row") AS rank FROM s) WHERE rank <= 10""")
 def e3_bm25(documents, benchmark):
-    posts = search.postings(documents, "doc_id", {"text": 1.0})
-    n, mean = documents.agg(F.count("*"), F.avg(F.size(search.tokens(F.col("text"))))).first()
+    posts = _posted(documents)
     asked = _asked(benchmark).select("query", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    return search.top(search.bm25(asked, posts, n, mean or 1.0).withColumn("score", F.round("score", 4)), 10)
+    return search.top(search.bm25(asked, posts, search.measured(posts)).withColumn("score", F.round("score", 4)), 10)
+
+
+_NAMES = """SELECT row_number() OVER (ORDER BY p_type, p_brand) AS query, * FROM (SELECT DISTINCT lower(concat(substr(p_type, 1, 4), ' ', p_brand)) AS text, p_type, p_brand FROM part)"""
+_NAMED = rf"""nt AS (SELECT p_partkey AS doc_id, {_TOKENS.format("concat(p_type, ' ', p_brand, ' ', p_name)")} AS t FROM part), q AS (SELECT query, {_TOKENS.format("text")} AS t FROM ({_NAMES}))"""
+
+
+def _named(part):
+    from pyspark.sql import Window
+
+    text = F.lower(F.concat(F.substring("p_type", 1, 4), F.lit(" "), "p_brand"))
+    asked = part.select(text.alias("text"), "p_type", "p_brand").distinct().withColumn("query", F.row_number().over(Window.orderBy("p_type", "p_brand")).cast("long"))
+    posts = search.postings(part.withColumn("text", F.concat_ws(" ", "p_type", "p_brand", "p_name")), "p_partkey", {"text": 1.0})
+    return asked.select("query", F.posexplode(search.tokens(F.col("text"))).alias("ord", "term")), posts
 
 
-@query("documents benchmark", rf"""WITH {_POSTS}, q AS (SELECT item_id AS query, ({_TOKENS.format("text")})[1:2] AS t FROM benchmark), qt AS (SELECT DISTINCT query, unnest(t) AS term FROM q),
-w AS (SELECT DISTINCT term AS word FROM tf), h AS (SELECT query, term, word FROM qt JOIN w ON starts_with(word, term)), r AS (SELECT query, doc_id AS "row", count(DISTINCT h.term) AS have FROM h JOIN tf ON tf.term = h.word GROUP BY query, doc_id),
+@query("part", rf"""WITH {_NAMED}, qt AS (SELECT DISTINCT query, unnest(t) AS term FROM q), w AS (SELECT DISTINCT doc_id, unnest(t) AS word FROM nt), r AS (SELECT query, doc_id AS "row", count(DISTINCT term) AS have FROM qt JOIN w ON starts_with(word, term) GROUP BY query, doc_id),
 nd AS (SELECT query, count(*) AS need FROM qt GROUP BY query) SELECT r.query, "row" FROM r JOIN nd ON r.query = nd.query AND have = need""")
-def e2_prefix_match(documents, benchmark):
-    asked = benchmark.select(F.col("item_id").alias("query"), F.explode(F.slice(search.tokens(F.col("text")), 1, 2)).alias("term")).distinct()
-    return search.match_prefix(asked, search.postings(documents, "doc_id", {"text": 1.0}))
+def e2_prefix_match(part):
+    asked, posts = _named(part)
+    return search.match_prefix(asked, posts)
 
 
-@query("documents benchmark", rf"""WITH dt AS (SELECT doc_id, concat(' ', array_to_string({_TOKENS.format("text")}, ' '), ' ') AS t FROM documents), q AS (SELECT item_id AS query, concat(' ', array_to_string(({_TOKENS.format("text")})[1:3], ' '), ' ') AS t FROM benchmark)
+@query("documents benchmark", rf"""WITH dt AS (SELECT doc_id, concat(' ', array_to_string({_TOKENS.format("text")}, ' '), ' ') AS t FROM documents), q AS (SELECT item_id AS query, concat(' ', array_to_string({_TOKENS.format("text")}, ' '), ' ') AS t FROM benchmark)
 SELECT query, doc_id AS "row" FROM q JOIN dt ON contains(dt.t, q.t)""")
 def e2_phrase_match(documents, benchmark):
-    asked = benchmark.select(F.col("item_id").alias("query"), F.posexplode(F.slice(search.tokens(F.col("text")), 1, 3)).alias("ord", "term"))
+    asked = _asked(benchmark).select("query", F.posexplode(search.tokens(F.col("text"))).alias("ord", "term"))
     return search.match_phrase(asked, search.postings(documents, "doc_id", {"text": 1.0}))
 
 
+@query("part", rf"""WITH {_NAMED}, qt AS (SELECT DISTINCT query, unnest(t) AS term FROM q), w AS (SELECT DISTINCT doc_id, unnest(t) AS word FROM nt), r AS (SELECT query, doc_id AS "row", count(DISTINCT term) AS have FROM qt JOIN w ON starts_with(word, term) GROUP BY query, doc_id),
+nd AS (SELECT query, count(*) AS need FROM qt GROUP BY query), m AS (SELECT r.query, "row" FROM r JOIN nd ON r.query = nd.query AND have = need UNION SELECT q.query, nt.doc_id FROM q JOIN nt ON contains(concat(' ', array_to_string(nt.t, ' '), ' '), concat(' ', array_to_string(q.t, ' '), ' '))),
+c AS (SELECT query, p_brand AS page, count(*) AS n FROM m JOIN part ON "row" = p_partkey GROUP BY query, p_brand) SELECT query, page, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, page) AS rank FROM c) WHERE rank <= 5""")
+def e5_pages_by_hits(part):
+    asked, posts = _named(part)
+    return search.by_hits(search.match_any(asked, posts), part.select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("page")), 5)
+
+
+@query("pages part", """WITH a AS (SELECT title AS alias, redirect_target AS canonical FROM pages WHERE is_redirect), q AS (SELECT p_size AS query, concat('part ', p_size) AS text FROM part GROUP BY p_size),
+h AS (SELECT query, canonical AS title, min(CASE WHEN lower(alias) = text THEN 0 WHEN starts_with(lower(alias), text) THEN 1 ELSE 2 END) AS tier FROM q JOIN a ON contains(lower(alias), text) GROUP BY query, canonical)
+SELECT query, title, tier, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, title) AS rank FROM h) WHERE rank <= 5""")
+def e8_alias_search(pages, part):
+    asked = part.select(F.col("p_size").alias("query"), F.concat(F.lit("part "), "p_size").alias("text")).distinct()
+    return search.alias_search(asked, pages.filter("is_redirect").select(F.col("title").alias("alias"), F.col("redirect_target").alias("canonical")), 5)
+
+
+@query("citations region", """WITH q AS (SELECT r_regionkey AS query, concat('10.1000/', r_regionkey) AS text FROM region), i AS (SELECT page, doi AS value FROM citations WHERE doi IS NOT NULL),
+h AS (SELECT query, page, min(CASE WHEN value = text THEN 0 WHEN starts_with(value, text) THEN 1 ELSE 2 END) AS tier, count(*) AS n FROM q JOIN i ON contains(value, text) GROUP BY query, page)
+SELECT query, page, tier, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, n DESC, page) AS rank FROM h) WHERE rank <= 8""")
+def e9_identifier_search(citations, region):
+    asked = region.select(F.col("r_regionkey").alias("query"), F.concat(F.lit("10.1000/"), "r_regionkey").alias("text"))
+    return search.identifier_search(asked, citations.filter("doi is not null").select("page", F.col("doi").alias("value")), 8)
+
+
+@query("documents benchmark")
+def e12_contract_tokens(documents, benchmark):
+    posts = _posted(documents)
+    asked = _asked(benchmark).select("query", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    uses = documents.select(F.col("doc_id").alias("row"), (F.col("n_chars") % 100).alias("uses"))
+    return search.per_token(asked, posts, search.measured(posts), uses, 4, 20)
+
+
+_sql["e12_contract_tokens"] = rf"""WITH {_POSTS}, q AS (SELECT item_id AS query0, list_distinct({_TOKENS.format("text")}) AS t FROM benchmark), qt AS (SELECT struct_pack(q := query0, term := term) AS query, term FROM (SELECT query0, unnest(t) AS term FROM q)), {_BM25.replace(", 4) AS score", ", 6) AS score")},
+u AS (SELECT s.*, coalesce(n_chars % 100, 0) AS uses FROM s JOIN documents ON doc_id = "row"), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, uses DESC, "row") AS nth FROM u),
+f AS (SELECT query.q AS query, "row", min(nth) AS nth FROM k WHERE nth <= 4 GROUP BY query.q, "row") SELECT query, "row", CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY nth, "row") AS rank FROM f) WHERE rank <= 20"""
+
+
 @query("part", """WITH q AS (SELECT p_size AS query, lower(min(substr(p_name, 1, 5))) AS text FROM part GROUP BY p_size), h AS (SELECT query, p_name AS title, CASE WHEN lower(p_name) = text THEN 0 WHEN starts_with(lower(p_name), text) THEN 1 ELSE 2 END AS tier FROM q JOIN (SELECT DISTINCT p_name FROM part) ON contains(lower(p_name), text))
 SELECT query, title, tier, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, title) AS rank FROM h) WHERE rank <= 5""")
 def e7_title_fallback(part):
@@ -429,48 +499,199 @@ def e11_variants(part):
 # retrieval
 
 
+def _document_passages(documents):
+    made = retrieve.chunks(documents).select(F.col("row").alias("page"), "place", "text", "tokens")
+    return made.select("page", F.col("page").cast("string").alias("title"), F.lit("Main").alias("namespace"), F.lit(None).cast("string").alias("heading"), "place", "text", "tokens")
+
+
 @query("documents benchmark")
 def f11_retrieval(documents, benchmark):
-    return retrieve.retrieve(_asked(benchmark), retrieve.chunks(documents))
+    sources = documents.select(F.col("doc_id").alias("page"), F.col("source").alias("text"))
+    profiles = documents.select(F.col("doc_id").alias("page"), T.summary(F.coalesce("text", F.lit(""))).alias("text"))
+    return retrieve.retrieve(_asked(benchmark), _document_passages(documents), profiles, sources)
+
 
+def _article_parts(articles):
+    """Passages, profiles, authorities and identifiers of the articles."""
+    cut = markup.sections(articles)
+    passages = cut.select(F.col("title").alias("page"), "title", F.lit("Main").alias("namespace"), "heading", "place", F.col("body").alias("text"), "tokens")
+    refs = staged(references.references(articles), "references")
+    named = markup.wikilinks(articles).select(F.col("source").alias("page"), F.col("target").alias("term"))
+    heads = cut.filter("heading is not null").select(F.col("title").alias("page"), F.col("heading").alias("term"))
+    cited = refs.select("page", F.explode(F.array("ref_title", "container", "domain", "source_family", "authority")).alias("term")).filter("term <> ''")
+    used = markup.template_calls(articles).select("page", F.explode(F.concat(F.array("template"), "keys")).alias("term"))
+    shown = markup.media(articles).select("page", F.explode(F.array("file", "caption")).alias("term"))
+    lead = cut.filter("heading is null").select(F.col("title").alias("page"), "title", "summary")
+    return passages, retrieve.page_profiles(lead, [heads, named, used, cited, shown]), references.authorities(refs).select("page", "text"), references.identifiers(refs).select("page", "value")
 
-# extraction: the rules that make the articles state what must be found in them
 
+@query("articles region")
+def f11_article_retrieval(articles, region):
+    asked = region.select(F.col("r_regionkey").alias("query"), F.concat(F.lit("Title "), "r_regionkey", F.lit(" Brand")).alias("text"))
+    return retrieve.retrieve(asked, *_article_parts(articles))
 
-@query("articles", """SELECT DISTINCT title AS source, target, namespace, is_category FROM (SELECT title, concat('Part ', k % 97) AS target, 'Main' AS namespace, FALSE AS is_category FROM articles
-  UNION ALL SELECT title, concat('Category:', type), 'Category', TRUE FROM articles UNION ALL SELECT title, concat('Part ', (k * 13) % 2600), 'Main', FALSE FROM articles)""")
+
+@query("articles")
+def c17_profiles(articles):
+    return _article_parts(articles)[1]
+
+
+@query("invocations part", """WITH w AS (SELECT DISTINCT p_size AS query, concat('Template:', 'A', 'F', '1') AS template, ['supplier', 'tax'] AS want FROM part), i AS (SELECT template, page, string_split(keys, ',') AS k FROM invocations),
+b AS (SELECT query, page, len(list_filter(want, lambda x: list_contains(k, x))) AS n FROM i JOIN w ON i.template = w.template) SELECT query, page, CAST(sum(72 + 18 * n + CASE WHEN n >= 2 THEN 24 ELSE 0 END) AS BIGINT) AS score FROM b GROUP BY query, page""")
+def f12_template_scores(invocations, part):
+    wanted = part.select(F.col("p_size").alias("query"), F.lit("Template:AF1").alias("template"), F.array(F.lit("supplier"), F.lit("tax")).alias("keys")).distinct()
+    return retrieve.template_scores(wanted, invocations.withColumn("keys", F.split("keys", ",")))
+
+
+@query("part", """WITH h AS (SELECT p_size AS query, p_partkey % 3 AS term_no, p_brand AS page, row_number() OVER (PARTITION BY p_size, p_partkey % 3 ORDER BY p_partkey) - 1 AS rank FROM part)
+SELECT query, page, CAST(sum(greatest(220 - term_no * 14 - rank * 18, greatest(40 - term_no * 20, 1))) AS BIGINT) AS weight FROM h GROUP BY query, page""")
+def f2_page_weights(part):
+    from pyspark.sql import Window
+
+    n = F.col("p_partkey") % 3
+    hits = part.select(F.col("p_size").alias("query"), n.alias("term_no"), F.col("p_brand").alias("page"), (F.row_number().over(Window.partitionBy("p_size", n).orderBy("p_partkey")) - 1).alias("rank"))
+    return retrieve.decayed(hits, "profile")
+
+
+@query("part", """WITH w AS (SELECT p_size AS query, p_brand AS page, CAST(sum(p_partkey % 97) AS BIGINT) AS weight FROM part WHERE p_size % 2 = 0 GROUP BY ALL), s AS (SELECT DISTINCT p_size AS query, p_brand AS page FROM part)
+SELECT query, page, least(greatest(weight, 1), 240) AS weight FROM w UNION ALL SELECT query, page, CAST(160 AS BIGINT) FROM s WHERE (query, page) NOT IN (SELECT (query, page) FROM w)""")
+def f13_related_weights(part):
+    found = part.filter("p_size % 2 = 0").groupBy(F.col("p_size").alias("query"), F.col("p_brand").alias("page")).agg(F.sum(F.col("p_partkey") % 97).alias("weight"))
+    return retrieve.related_weights(found, part.select(F.col("p_size").alias("query"), F.col("p_brand").alias("page")))
+
+
+# extraction: SQL that reads the same articles by regular expressions of its own
+
+_MASKED = "regexp_replace(text, '(?s)<!--.*?-->', '', 'g')"
+_TARGET = r"trim(regexp_replace(regexp_replace(raw, '^:', ''), '#.*', ''))"
+_LINKS = rf"""raws AS (SELECT title AS source, trim(unnest(regexp_extract_all({_MASKED}, '\[\[([^\[\]|\r\n]+)(?:\|[^\[\]]*)?\]\]', 1))) AS raw FROM articles)"""
+
+
+@query("articles", rf"""WITH {_LINKS} SELECT DISTINCT source, {_TARGET} AS target, CASE WHEN {_TARGET} LIKE 'Category:%' THEN 'Category' WHEN {_TARGET} LIKE 'File:%' THEN 'File' ELSE 'Main' END AS namespace,
+  {_TARGET} LIKE 'Category:%' AND NOT starts_with(raw, ':') AS is_category FROM raws""")
 def c4_wikilinks(articles):
     return markup.wikilinks(articles)
 
 
-@query("articles", """SELECT title, 0 AS place, 1 AS level, NULL AS heading FROM articles UNION ALL SELECT title, 1, 2, 'Details' FROM articles UNION ALL SELECT title, 2, 2, 'See also' FROM articles UNION ALL SELECT title, 3, 2, 'details' FROM articles WHERE k % 3 = 0""")
+_LINED = r"""lined AS (SELECT title, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM articles),
+headed AS (SELECT title, line, t, length(regexp_extract(t, '^(=+)', 1)) AS l, length(regexp_extract(t, '(=+)[ \t]*$', 1)) AS r, trim(regexp_replace(t, '^=+|=+[ \t]*$', '', 'g')) AS name FROM lined)"""
+
+
+@query("articles", rf"""WITH {_LINED}, h AS (SELECT title, line, l, name FROM headed WHERE l BETWEEN 2 AND 6 AND l = r AND name <> '' UNION ALL SELECT title, 0, 1, NULL FROM articles),
+s AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY line) - 1 AS place, coalesce(lead(line) OVER (PARTITION BY title ORDER BY line), 1000000) AS until FROM h),
+b AS (SELECT s.title, s.place, s.l, s.name, trim(string_agg(x.t, chr(10) ORDER BY x.line), chr(10) || ' ') AS body FROM s JOIN lined AS x ON x.title = s.title AND x.line > s.line AND x.line < s.until GROUP BY s.title, s.place, s.l, s.name)
+SELECT title, CAST(place AS INT) AS place, CAST(l AS INT) AS level, name AS heading, body, CAST(ceil(length(body) / 4) AS BIGINT) AS tokens FROM b WHERE body <> ''""")
 def c1_sections(articles):
-    return markup.sections(articles).select("title", "place", "level", "heading")
+    return markup.sections(articles).select("title", "place", "level", "heading", "body", "tokens")
+
+
+_ARGS = r"""list_transform(list_filter(range(2, len(p) + 1), lambda i: TRUE), lambda i: CASE WHEN contains(p[i], '=') THEN lower(trim(split_part(p[i], '=', 1))) ELSE concat('$', len(list_filter(p[2:i], lambda y: NOT contains(y, '=')))) END)"""
+_CALLS = rf"""c0 AS (SELECT title AS page, {_MASKED} AS t FROM articles), c1 AS (SELECT page, regexp_replace(t, '\{{\{{[^{{}}]*\}}\}}', '@', 'g') AS t FROM c0),
+raw AS (SELECT page, unnest(regexp_extract_all(t, '\{{\{{([^{{}}]*)\}}\}}', 1)) AS raw FROM c0 UNION ALL SELECT page, unnest(regexp_extract_all(t, '\{{\{{([^{{}}]*)\}}\}}', 1)) FROM c1),
+parts AS (SELECT page, raw, string_split(regexp_replace(raw, '\[\[[^\[\]]*\]\]', '@', 'g'), '|') AS p FROM raw), args AS (SELECT page, raw, trim(p[1]) AS name, {_ARGS} AS keys FROM parts)"""
 
 
-@query("articles", """SELECT title AS page, 'Template:Short description' AS template, '$1' AS keys FROM articles UNION ALL SELECT title, 'Template:Cite web', 'title,url' FROM articles""")
+@query("articles", f"""WITH {_CALLS} SELECT page, concat('Template:', name) AS template, array_to_string(list_sort(list_distinct(keys)), ',') AS keys, CAST(ceil((length(raw) + 4) / 4) AS BIGINT) AS tokens FROM args WHERE NOT starts_with(name, '#')""")
 def c5_template_calls(articles):
-    return markup.template_calls(articles).select("page", "template", F.array_join("keys", ",").alias("keys"))
+    return markup.template_calls(articles).select("page", "template", F.array_join("keys", ",").alias("keys"), "tokens")
 
 
-@query("articles", """SELECT title AS page, 0 AS place, 'Template:Cite web' AS template, concat('https://www.Site', size, '.example/x') AS url, concat('site', size, '.example') AS domain FROM articles""")
+_MODULES = f"""{_CALLS}, mods AS (SELECT page, concat('Module:', split_part(name, ':', 2)) AS module, trim(split_part(raw, '|', 2)) AS "function",
+  array_to_string(list_sort(list_distinct(list_transform(list_filter(keys, lambda k: k <> '$1'), lambda k: CASE WHEN k = '$2' THEN '$1' ELSE k END))), ',') AS keys, concat('{{{{', raw, '}}}}') AS raw FROM args WHERE starts_with(name, '#invoke:'))"""
+
+
+@query("articles", f"""WITH {_MODULES} SELECT page, module, "function", keys, min(raw) AS raw FROM mods GROUP BY ALL""")
+def c6_module_calls(articles):
+    return markup.module_calls(articles).select("page", "module", "function", F.array_join("keys", ",").alias("keys"), "raw")
+
+
+_arg = lambda key: rf"trim(regexp_extract(body, '\|{key}=([^|}}]*)', 1))"
+_REFS = rf"""tag AS (SELECT title AS page, unnest(t) AS wikitext, unnest(range(len(t))) AS place FROM (SELECT title, regexp_extract_all({_MASKED}, '(?s)<ref[^>]*/>|<ref[^>]*[^>/]>.*?</ref>|<ref>.*?</ref>') AS t FROM articles)),
+bod AS (SELECT *, nullif(regexp_extract(wikitext, '^<ref[^>]*name="([^"]*)"', 1), '') AS name, nullif(regexp_extract(wikitext, '^<ref[^>]*group="([^"]*)"', 1), '') AS "group", regexp_extract(wikitext, '(?s)^<ref[^>]*>(.*)</ref>$', 1) AS body FROM tag),
+arg AS (SELECT *, CASE WHEN contains(body, '{{{{') THEN concat('Template:', regexp_extract(body, '\{{\{{([^|{{}}]+)', 1)) END AS template, {_arg("title")} AS t, {_arg("website")} AS site, {_arg("publisher")} AS press, {_arg("last")} AS last_, {_arg("first")} AS first_,
+  concat({_arg("date")}, {_arg("year")}) AS date, lower(replace({_arg("doi")}, 'https://doi.org/', '')) AS doi, replace({_arg("isbn")}, '-', '') AS isbn, regexp_extract(body, '(https?://[^\s|}}\]<]+)', 1) AS u, regexp_extract(body, '\[\[([^\]|]*)', 1) AS link FROM bod),
+src AS (SELECT *, regexp_replace(regexp_extract(lower(CASE WHEN starts_with(u, 'https://doi.org') THEN '' ELSE u END), '^https?://([^/:?#]+)', 1), '^www\.', '') AS domain FROM arg),
+typ AS (SELECT *, CASE WHEN template LIKE '%book' THEN 'book' WHEN template LIKE '%web' THEN 'web' WHEN domain = 'youtube.com' THEN 'video' WHEN domain <> '' THEN 'web' WHEN body = '' THEN 'note' ELSE 'other' END AS source_type,
+  coalesce(nullif(t, ''), link) AS ref_title, CASE WHEN last_ = '' THEN '' ELSE concat(last_, ', ', first_) END AS author FROM src),
+con AS (SELECT *, CASE WHEN site <> '' THEN site WHEN press <> '' THEN press WHEN source_type IN ('web', 'video') THEN domain ELSE '' END AS container, coalesce(template, CASE WHEN "group" IS NOT NULL OR source_type = 'note' THEN 'note' WHEN source_type = 'web' THEN 'bare-url' ELSE '<ref>' END) AS family FROM typ),
+ref AS (SELECT *, CASE WHEN domain <> '' THEN 'domain' WHEN container <> '' THEN 'container' WHEN template IS NOT NULL THEN 'template' WHEN name IS NOT NULL THEN 'named-reference' ELSE 'source-type' END AS authority_kind,
+  CASE WHEN domain <> '' THEN domain WHEN container <> '' THEN container WHEN template IS NOT NULL THEN template WHEN name IS NOT NULL THEN name ELSE source_type END AS authority, CASE WHEN domain = '' THEN 'unknown' ELSE 'external' END AS origin,
+  CASE WHEN domain <> '' AND source_type IN ('web', 'video') THEN concat(source_type, ' / ', domain) WHEN container <> '' THEN concat(source_type, ' / ', container) WHEN family <> '<ref>' THEN concat(source_type, ' / ', family) ELSE source_type END AS profile FROM con),
+sig AS (SELECT *, list_sort(list_distinct(list_filter([CASE WHEN template IS NOT NULL THEN 'citation-template' END, CASE WHEN ref_title <> '' THEN 'has-title' END, CASE WHEN container <> '' THEN 'has-container' END, CASE WHEN author <> '' THEN 'has-author' END,
+  CASE WHEN domain <> '' THEN 'has-domain' END, CASE WHEN date <> '' THEN 'has-date' END, CASE WHEN doi <> '' OR isbn <> '' OR domain <> '' THEN 'has-identifier' END, CASE WHEN link <> '' THEN 'has-links' END, CASE WHEN name IS NOT NULL THEN 'named-reference' END,
+  CASE WHEN "group" IS NOT NULL THEN 'grouped-reference' END, CASE WHEN body = '' THEN 'reused-reference' END, CASE WHEN template IS NULL AND domain <> '' THEN 'bare-url' END, concat('source-family:', source_type), concat('authority:', authority_kind),
+  CASE WHEN source_type = 'video' THEN 'source-type:video' END, CASE WHEN doi <> '' THEN 'identifier:doi' END, CASE WHEN doi <> '' THEN 'identifier-entry:doi' END, CASE WHEN isbn <> '' THEN 'identifier:isbn' END, CASE WHEN isbn <> '' THEN 'identifier-entry:isbn' END, CASE WHEN domain <> '' THEN 'identifier:url' END],
+  lambda x: x IS NOT NULL))) AS signals FROM ref)"""
+
+
+@query("articles", f"""WITH {_REFS} SELECT page, CAST(place AS INT) AS place, name, "group", template, source_type, origin, domain, ref_title, container, author, date, wikitext, CAST(ceil(length(wikitext) / 4) AS BIGINT) AS tokens FROM ref""")
 def c7_references(articles):
-    return markup.references(articles).select("page", "place", "template", "url", "domain")
+    return references.references(articles).select("page", "place", "name", "group", "template", "source_type", "origin", "domain", "ref_title", "container", "author", "date", "wikitext", "tokens")
+
+
+@query("articles", f"""WITH {_REFS} SELECT page, CAST(place AS INT) AS place, authority_kind, authority, family, profile, array_to_string(list_filter([CASE WHEN doi <> '' THEN concat('doi:', doi) END, CASE WHEN isbn <> '' THEN concat('isbn:', isbn) END], lambda x: x IS NOT NULL), ',') AS ids,
+  array_to_string(signals, ',') AS signals FROM sig""")
+def c13_signals(articles):
+    return references.references(articles).select("page", "place", "authority_kind", "authority", "family", "profile", F.array_join("ids", ",").alias("ids"), F.array_join("signals", ",").alias("signals"))
+
+
+@query("articles", f"""WITH {_REFS}, e AS (SELECT page, place, 'doi' AS key, doi AS value FROM ref UNION ALL SELECT page, place, 'isbn', isbn FROM ref) SELECT page, CAST(place AS INT) AS place, key, value FROM e WHERE value <> ''""")
+def c12_identifiers(articles):
+    return references.identifiers(references.references(articles))
+
+
+@query("articles", f"""WITH {_REFS}, k AS (SELECT concat(authority_kind, ':', lower(authority)) AS authority_key, page FROM ref) SELECT authority_key, count(*) AS n, count(DISTINCT page) AS pages FROM k GROUP BY authority_key""")
+def c19_authorities(articles):
+    return references.authorities(references.references(articles)).groupBy("authority_key").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"))
+
+
+@query("articles", rf"""WITH i AS (SELECT title AS page, unnest(regexp_extract_all({_MASKED}, '\[\[(File:[^\[\]]+)\]\]', 1)) AS raw FROM articles), g AS (SELECT title AS page, unnest(string_split(regexp_extract(text, '(?s)<gallery>(.*?)</gallery>', 1), chr(10))) AS raw FROM articles)
+SELECT page, split_part(raw, '|', 1) AS file, 'inline' AS kind, string_split(raw, '|')[-1] AS caption FROM i
+UNION ALL SELECT page, concat('File:', regexp_replace(split_part(raw, '|', 1), '^File:', '')), 'gallery', split_part(raw, '|', 2) FROM g WHERE raw <> ''""")
+def c15_media(articles):
+    return markup.media(articles)
+
+
+def _surface(articles):
+    """What the wiki of the articles has: templates with their parameters, modules with their functions, no stylesheets."""
+    spark = articles.sparkSession
+    known = [("Template:Short description", ["$1"]), ("Template:Cite web", ["url", "title", "website", "date"]), ("Template:Infobox item", ["name", "size", "image", "style"]), ("Template:Cite book", None)]
+    templates = spark.createDataFrame(known, "template string, keys array<string>")
+    modules = spark.createDataFrame([("Module:Tally", ["total"])], "module string, functions array<string>")
+    return {"templates": templates, "titles": articles.select("title"), "modules": modules, "assets": spark.createDataFrame([], "title string"), "proper": markup.proper_words(articles.select("title"), ["Notes"]), "tags": ["ref", "gallery"]}
+
+
+_LINT = rf"""{_LINED}, {_MODULES}, m AS (SELECT title, {_MASKED} AS t FROM articles), w AS (SELECT title, t, 1 AS line FROM m), k(name, known) AS (VALUES ('Short description', ['$1']), ('Cite web', ['url', 'title', 'website', 'date']), ('Infobox item', ['name', 'size', 'image', 'style']), ('Cite book', NULL)),
+issues AS (SELECT title, 'structure.markdown_heading' AS rule, 'error' AS severity, line, t AS evidence FROM lined WHERE regexp_matches(t, '^#+\s+\S')
+  UNION ALL SELECT title, 'structure.malformed_heading', 'error', line, t FROM headed WHERE l >= 2 AND l <> r
+  UNION ALL SELECT title, 'structure.duplicate_heading', 'warning', line, name FROM (SELECT title, line, lower(name) AS name, row_number() OVER (PARTITION BY title, lower(name) ORDER BY line) AS n FROM headed WHERE l >= 2 AND r >= 2) WHERE n > 1
+  UNION ALL SELECT title, 'style.curly_quotes', 'info', line, regexp_extract(t, '([‘’“”])', 1) FROM lined WHERE regexp_matches(t, '[‘’“”]')
+  UNION ALL SELECT title, 'style.placeholder_fragment', 'warning', line, 'TODO' FROM lined WHERE regexp_matches(t, '\bTODO\b')
+  UNION ALL SELECT title, 'profile.no_citation_needed', 'warning', line, t FROM lined WHERE contains(lower(t), '{{{{citation needed')
+  UNION ALL SELECT title, 'citation.after_punctuation', 'warning', line, regexp_extract(t, '(<ref.*</ref>\.)', 1) FROM lined WHERE contains(t, '</ref>.')
+  UNION ALL SELECT title, 'wikitext.unbalanced', 'error', line, concat('links: ', len(string_split(t, '[[')) - len(string_split(t, ']]'))) FROM w WHERE len(string_split(t, '[[')) <> len(string_split(t, ']]'))
+  UNION ALL SELECT title, 'structure.require_reflist', 'error', line, '' FROM w WHERE contains(t, '<ref') AND NOT contains(lower(t), '{{{{reflist')
+  UNION ALL SELECT title, 'structure.require_references_section', 'error', line, '' FROM w WHERE contains(t, '<ref') AND NOT contains(t, '== References ==')
+  UNION ALL SELECT title, 'structure.require_short_description', 'warning', line, '' FROM w WHERE NOT contains(t, '{{{{Short description')
+  UNION ALL SELECT title, 'extension.gallery_empty', 'warning', line, '<gallery>' FROM w WHERE contains(t, '<gallery></gallery>')
+  UNION ALL SELECT title, 'asset.templatestyles_missing_src', 'error', line, unnest(regexp_extract_all(t, '<templatestyles />')) FROM w
+  UNION ALL SELECT title, 'asset.templatestyles_unavailable_source', 'error', line, concat('Template:', regexp_extract(t, 'src="([^"]*)"', 1)) FROM w WHERE contains(t, '<templatestyles src=')
+  UNION ALL SELECT DISTINCT title, 'capability.unsupported_extension_tag', 'warning', line, tag FROM (SELECT title, line, concat('<', unnest(regexp_extract_all(t, '<([a-z]+)', 1)), '>') AS tag FROM w) WHERE tag NOT IN ('<ref>', '<gallery>')
+  UNION ALL SELECT DISTINCT page, 'template.unavailable', 'error', 1, concat('Template:', name) FROM args WHERE NOT starts_with(name, '#') AND name NOT IN (SELECT name FROM k)
+  UNION ALL SELECT DISTINCT page, 'template.unknown_parameter', 'warning', 1, concat('Template:', args.name, ' unknown_parameters=', array_to_string(list_sort(list_filter(list_distinct(keys), lambda x: NOT list_contains(known, x))), ', ')) FROM args JOIN k ON args.name = k.name WHERE len(list_filter(keys, lambda x: NOT list_contains(known, x))) > 0
+  UNION ALL SELECT DISTINCT page, 'module.unavailable_function', 'error', 1, concat(module, ' function=', "function") FROM mods WHERE "function" <> 'total'
+  UNION ALL SELECT title, 'integration.red_link_in_see_also', 'warning', line, target FROM (SELECT title, line, regexp_extract(t, '== See also ==\n\* \[\[([^\]]*)', 1) AS target FROM w) WHERE target NOT IN (SELECT title FROM articles)
+  UNION ALL SELECT title, 'style.sentence_case_heading', 'warning', line, name FROM headed WHERE l >= 2 AND r >= 2 AND regexp_matches(name, '\s[A-Z][a-z]'))"""
 
 
-@query("articles", """SELECT title, rule, severity FROM (SELECT title, 'citation.after_punctuation' AS rule, 'warning' AS severity FROM articles UNION ALL SELECT title, 'structure.require_reflist', 'error' FROM articles UNION ALL SELECT title, 'structure.require_references_section', 'error' FROM articles
-  UNION ALL SELECT title, 'structure.markdown_heading', 'error' FROM articles WHERE k % 5 = 0 UNION ALL SELECT title, 'style.curly_quotes', 'info' FROM articles WHERE k % 7 = 0 UNION ALL SELECT title, 'structure.duplicate_heading', 'warning' FROM articles WHERE k % 3 = 0
-  UNION ALL SELECT title, 'wikitext.unbalanced', 'error' FROM articles WHERE k % 3 = 0 UNION ALL SELECT title, 'template.unavailable', 'error' FROM articles
-  UNION ALL SELECT title, 'integration.red_link_in_see_also', 'warning' FROM articles WHERE concat('Part ', (k * 13) % 2600) NOT IN (SELECT title FROM articles))""")
+@query("articles", f"WITH {_LINT} SELECT title, rule, severity, CAST(line AS INT) AS line, evidence FROM issues")
 def n_lint(articles):
-    known = articles.sparkSession.createDataFrame([("Template:Short description",)], "template string")
-    return markup.lint(articles, known, articles.select("title")).select("title", "rule", "severity")
+    return markup.lint(articles, **_surface(articles))
 
 
-@query("articles", """SELECT title, CAST(3 + CAST(k % 5 = 0 AS INT) + CAST(k % 3 = 0 AS INT) AS BIGINT) AS errors, CAST(1 + CAST(k % 3 = 0 AS INT) + CAST(concat('Part ', (k * 13) % 2600) NOT IN (SELECT title FROM articles) AS INT) AS BIGINT) AS warnings, CAST(CAST(k % 7 = 0 AS INT) AS BIGINT) AS notes FROM articles""")
+@query("articles", f"WITH {_LINT} SELECT title, CAST(count(*) FILTER (severity = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warnings, CAST(count(*) FILTER (severity = 'info') AS BIGINT) AS notes FROM issues GROUP BY title")
 def n16_lint_counts(articles):
-    known = articles.sparkSession.createDataFrame([("Template:Short description",)], "template string")
-    return markup.lint_counts(markup.lint(articles, known, articles.select("title")))
+    return markup.lint_counts(markup.lint(articles, **_surface(articles)))
 
 
 @query("articles", r"""SELECT title, regexp_replace(regexp_replace(translate(text, '“”', '""'), '(?m)^# Notes$', '== Notes =='), '(<ref>[^<]*</ref>)\.', '.\1', 'g') AS text, TRUE AS fixed FROM articles""")
