@@ -63,6 +63,28 @@ SQL = {
   concat('Template:Cite ', lower(substr(o_orderpriority, 3))) AS template, CASE o_orderstatus WHEN 'F' THEN 'news' WHEN 'O' THEN 'web' ELSE 'book' END AS kind,
   concat('ref ', CAST(o_custkey % 40 AS STRING), ' ', CAST(o_orderkey % 300 AS STRING)) AS wikitext FROM {orders}""",
     "articles": f"""SELECT concat('Part ', CAST(p_partkey AS STRING)) AS title, {ARTICLE} AS text, p_partkey AS k, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM {{part}}""",
+    # sources of templates, their documentation and modules
+    "sources": """SELECT concat('Template:T', CAST(s_suppkey AS STRING)) AS title, 'template' AS kind, concat('{{{{{{name|}}}}}} of {{{{{{size}}}}}} {{{{#invoke:M', CAST(s_suppkey % 12 AS STRING), '|show}}}}<noinclude>', CASE WHEN s_suppkey % 3 = 0 THEN concat('<templatedata>{{"params": {{"name": {{"type": "string", "required": true}}, "k',
+    CAST(s_suppkey % 4 AS STRING), '": {{"type": "number"}}}}}}</templatedata>') ELSE '' END, '</noinclude>') AS text FROM {supplier}
+  UNION ALL SELECT concat('Template:T', CAST(s_suppkey AS STRING), '/doc'), 'template', 'How to use it' FROM {supplier} WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT concat('Module:M', CAST(n_nationkey AS STRING)), 'module', concat('local p = {{}}
+local u = require("Module:M', CAST((n_nationkey + 1) % 15 AS STRING), '")
+-- function p.no() end
+function p.show(frame) end
+p.part', CAST(n_nationkey % 3 AS STRING), ' = function() end
+local function q() end
+return p
+') FROM {nation}""",
+    "manuals": """SELECT CASE s_suppkey % 3 WHEN 0 THEN concat('Manual:Hooks/Hook', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat('Manual:$wgSetting', CAST(s_suppkey AS STRING)) ELSE concat('Extension:E', CAST(s_suppkey AS STRING)) END AS title,
+  concat('About it.
+== Use ==
+Set $wgSetting', CAST(s_suppkey % 9 AS STRING), ' or {{{{#if:x|y}}}} and __NOTOC__ in &lt;tag&gt;.
+=== Code ===
+<syntaxhighlight lang="php">
+$x = ', CAST(s_suppkey AS STRING), ';
+</syntaxhighlight>
+', CASE WHEN s_suppkey % 4 = 0 THEN '<pre>ab</pre><pre>longer</pre>
+' ELSE '' END) AS text FROM {supplier}""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, docs, graph, links, markup, references, retrieve, search, sync, usage, web
+from wikiloom.operators import audit, authoring, docs, docs_parse, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.staging import staged
 
@@ -727,7 +727,8 @@ def _web(sql: str | None = None):
 
 
 @_web(f"""SELECT page_id, {_DOMAIN} AS domain, {_clean(_decode("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)"))} AS title, {_clean(_decode("regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))} AS heading,
-  regexp_extract(html, '(?is)<html\\b[^>]*\\blang="([^"]*)', 1) AS language, '' AS description, '' AS canonical FROM pages""")
+  regexp_extract(html, '(?is)<html\\b[^>]*\\blang="([^"]*)', 1) AS language, regexp_extract(html, '(?is)<meta[^>]*name="(?:og:)?description"[^>]*content="([^"]*)"', 1) AS description,
+  regexp_extract(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical FROM pages""")
 def c28_metadata(pages):
     return web.metadata(pages)
 
@@ -743,7 +744,10 @@ def c27_readable_text(pages):
     return web.page_text(pages)
 
 
-@_web("SELECT page_id, 'content' AS status FROM pages")
+_signs = lambda names: " + ".join(f"CAST(contains(html, '{n}') AS INT)" for n in names)
+
+
+@_web(f"SELECT page_id, CASE WHEN {_signs(web.CHALLENGE_SIGNS)} >= 1 THEN 'challenge' WHEN {_signs(web.SHELL_SIGNS)} >= 2 THEN 'app_shell' ELSE 'content' END AS status FROM pages")
 def c29_access(pages):
     return web.access(pages)
 
@@ -798,6 +802,195 @@ def l3_contract_plan(part, region):
     return authoring.contract_plan(authoring.contract_scores(terms, contracts), contracts, 12, 200)
 
 
+# templates, modules, documentation sources
+
+
+@query("articles", f"""WITH {_MODULES}, d AS (SELECT DISTINCT page, module, "function", keys, min(raw) OVER (PARTITION BY page, module, "function", keys) AS raw FROM mods), u AS (SELECT module, count(*) AS uses, count(DISTINCT page) AS pages FROM d GROUP BY module),
+n AS (SELECT module, "function", count(*) AS n FROM d GROUP BY ALL), f AS (SELECT module, string_agg(concat("function", ':', n), ',' ORDER BY n DESC, "function") AS functions FROM n GROUP BY module),
+r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY CAST(ceil(length(raw) / 4) AS BIGINT), page, raw) AS k FROM d), x AS (SELECT module, string_agg(raw, '; ' ORDER BY k) AS examples FROM r WHERE k <= 4 GROUP BY module)
+SELECT u.module, uses, pages, functions, examples FROM u JOIN f ON u.module = f.module JOIN x ON u.module = x.module""")
+def h4_module_usage(articles):
+    return templates.module_usage(markup.module_calls(articles))
+
+
+@query("sources", r"""SELECT title AS module, unnest(list_sort(list_distinct(list_concat(regexp_extract_all(regexp_replace(text, '--[^\n]*', '', 'g'), 'function p\.(\w+)', 1), regexp_extract_all(text, 'p\.(\w+) = function', 1))))) AS "function" FROM sources WHERE kind = 'module'""")
+def c26_exports(sources):
+    return templates.exported_functions(sources.filter("kind = 'module'"))
+
+
+@query("sources", r"""SELECT DISTINCT title AS template, lower(unnest(regexp_extract_all(text, '\{\{\{([a-z0-9 ]+)', 1))) AS key FROM sources WHERE kind = 'template'""")
+def c25_source_parameters(sources):
+    return templates.source_parameters(sources.filter("kind = 'template'"))
+
+
+@query("sources", r"""SELECT DISTINCT title, module FROM (SELECT title, concat('Module:', unnest(regexp_extract_all(text, '#invoke:([A-Za-z0-9 ]+)', 1))) AS module FROM sources UNION ALL SELECT title, unnest(regexp_extract_all(text, 'require\(.(Module:[A-Za-z0-9 ]+)', 1)) FROM sources)""")
+def c25_module_references(sources):
+    return templates.module_references(sources)
+
+
+@query("sources", r"""WITH j AS (SELECT title AS template, regexp_extract(text, '(?s)<templatedata>(.*)</templatedata>', 1) AS j FROM sources WHERE kind = 'template')
+SELECT template, key, coalesce(CAST(json_extract(j, concat('$.params.', key, '.required')) AS BOOLEAN), FALSE) AS required, coalesce(json_extract_string(j, concat('$.params.', key, '.type')), '') AS type FROM (SELECT template, j, unnest(json_keys(j, '$.params')) AS key FROM j WHERE j <> '')""")
+def c24_template_data(sources):
+    return templates.template_data(sources.filter("kind = 'template'")).select("template", "key", "required", "type")
+
+
+_REFS_OF = r"""mr AS (SELECT DISTINCT title, module FROM (SELECT title, concat('Module:', unnest(regexp_extract_all(text, '#invoke:([A-Za-z0-9 ]+)', 1))) AS module FROM sources UNION ALL SELECT title, unnest(regexp_extract_all(text, 'require\(.(Module:[A-Za-z0-9 ]+)', 1)) FROM sources)),
+t AS (SELECT title AS template FROM sources WHERE kind = 'template' AND title NOT LIKE '%/doc'), e AS (SELECT template, template AS page, 1 AS ord, 'template' AS role FROM t UNION ALL SELECT template, concat(template, '/doc'), 2, 'documentation' FROM t UNION ALL SELECT template, module, 3, 'module' FROM t JOIN mr ON template = title
+  UNION ALL SELECT template, b.module, 4, 'dependency' FROM t JOIN mr AS a ON template = a.title JOIN mr AS b ON a.module = b.title),
+ip AS (SELECT template, page, min(ord) AS ord, arg_min(role, ord) AS role FROM e WHERE page IN (SELECT title FROM sources) GROUP BY template, page)"""
+
+
+def _implementation(sources):
+    own = sources.filter("kind = 'template' and title not like '%/doc'").select(F.col("title").alias("template"))
+    return templates.implementation_pages(own, sources.select("title"), templates.module_references(sources))
+
+
+@query("sources", f"WITH {_REFS_OF} SELECT template, page, role, CAST(ord AS INT) AS ord FROM ip")
+def c18_implementation(sources):
+    return _implementation(sources)
+
+
+@query("sources", f"WITH {_REFS_OF} SELECT title AS template, module FROM mr WHERE title LIKE 'Template:%'")
+def k10_template_modules(sources):
+    return templates.template_module_edges(templates.module_references(sources))
+
+
+@query("manuals", r"""WITH s AS (SELECT title AS page, 'config' AS kind, unnest(regexp_extract_all(concat(title, ' ', text), '(\$wg[A-Z]\w*)', 1)) AS name FROM manuals UNION ALL SELECT title, 'hook', substr(title, 14) FROM manuals WHERE starts_with(title, 'Manual:Hooks/') UNION ALL SELECT title, 'parser_function', unnest(regexp_extract_all(text, '\{\{(#[a-z]+):', 1)) FROM manuals
+  UNION ALL SELECT title, 'magic_word', unnest(regexp_extract_all(text, '(__[A-Z]+__)', 1)) FROM manuals UNION ALL SELECT title, 'tag', unnest(regexp_extract_all(text, '&lt;([a-z]+)&gt;', 1)) FROM manuals) SELECT page, kind, min(name) AS name, lower(replace(name, '_', ' ')) AS key0 FROM s GROUP BY page, kind, key0""")
+def c22_symbols(manuals):
+    return docs_parse.docs_symbols(manuals).select("page", "kind", "name", F.lower(F.translate("name", "_", " ")).alias("key0"))
+
+
+@query("manuals", r"""SELECT title AS page, CAST(place AS INT) AS place, regexp_extract(b, 'lang="([a-z]+)"', 1) AS language, trim(regexp_replace(b, '^<[^>]*>|</[a-z]+>$', '', 'g'), ' ' || chr(10)) AS text FROM (SELECT title, unnest(l) AS b, unnest(range(len(l))) AS place FROM (SELECT title, regexp_extract_all(text, '(?s)<syntaxhighlight[^>]*>.*?</syntaxhighlight>|<pre>.*?</pre>') AS l FROM manuals))
+  WHERE length(trim(regexp_replace(b, '^<[^>]*>|</[a-z]+>$', '', 'g'), ' ' || chr(10))) >= 4""")
+def c23_examples(manuals):
+    return docs_parse.docs_examples(manuals)
+
+
+@query("manuals")
+def c21_docs_sections(manuals):
+    return docs_parse.docs_sections(manuals)
+
+
+@query("manuals region", r"""WITH s AS (SELECT DISTINCT title AS page, unnest(regexp_extract_all(concat(title, ' ', text), '(\$wg[A-Z]\w*)', 1)) AS name FROM manuals) SELECT r_regionkey AS query, page, name FROM region JOIN s ON lower(name) = lower(concat('$wgSetting', r_regionkey))""")
+def j4_symbol_lookup(manuals, region):
+    asked = region.select(F.col("r_regionkey").alias("query"), F.concat(F.lit("wgsetting"), "r_regionkey").alias("text"))
+    return docs_parse.symbol_lookup(asked, docs_parse.docs_symbols(manuals), "config").select("query", "page", "name")
+
+
+# knowledge about topics
+
+
+@query("articles links region", """WITH q AS (SELECT r_regionkey AS query, concat('part ', r_regionkey * 7) AS text FROM region), h AS (SELECT query, title, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN lower(title) = q.text THEN 0 WHEN starts_with(lower(title), q.text) THEN 1 ELSE 2 END, title) AS k FROM q JOIN articles ON contains(lower(title), q.text)),
+s AS (SELECT query, string_agg(title, '; ' ORDER BY k) AS hits FROM h WHERE k <= 8 GROUP BY query), n AS (SELECT query, count(DISTINCT source) AS n FROM q JOIN articles ON lower(title) = q.text JOIN links ON target = title GROUP BY query)
+SELECT q.query, q.text IN (SELECT lower(title) FROM articles) AS "exists", coalesce(hits, '') AS hits, coalesce(n, 0) AS n_backlinks FROM q LEFT JOIN s ON q.query = s.query LEFT JOIN n ON q.query = n.query""")
+def k1_topics(articles, rows, region):
+    asked = region.select(F.col("r_regionkey").alias("query"), F.concat(F.lit("part "), F.col("r_regionkey") * 7).alias("text"))
+    return knowledge.topic_assessment(asked, articles.select("title"), rows)
+
+
+@query("articles", rf"""WITH {_LINKS}, l AS (SELECT DISTINCT source, {_TARGET} AS target FROM raws WHERE NOT ({_TARGET} LIKE 'Category:%' AND NOT starts_with(raw, ':')))
+SELECT source AS title, coalesce(string_agg(CASE WHEN target IN (SELECT title FROM articles) THEN target END, '; ' ORDER BY target), '') AS existing, coalesce(string_agg(CASE WHEN target NOT IN (SELECT title FROM articles) THEN target END, '; ' ORDER BY target), '') AS missing FROM l GROUP BY source""")
+def k3_stub_links(articles):
+    return knowledge.stub_links(articles, articles)
+
+
+@query("articles", f"""WITH {_CALLS}, k AS (SELECT DISTINCT page, name, unnest(CASE WHEN len(keys) = 0 THEN [NULL] ELSE keys END) AS key FROM args WHERE NOT starts_with(name, '#'))
+SELECT page AS title, concat('Template:', name) AS template, coalesce(string_agg(key, ',' ORDER BY key), '') AS keys FROM k GROUP BY page, name""")
+def k3_stub_templates(articles):
+    return knowledge.stub_templates(articles)
+
+
+@query("articles region", rf"""WITH {_LINED}, a AS (SELECT r_regionkey AS query, CAST(g AS INT) AS ord, concat('Part ', r_regionkey * 10 + g) AS title FROM region, (SELECT unnest(range(1, 6)) AS g)),
+h AS (SELECT title, name, row_number() OVER (PARTITION BY title ORDER BY line) AS place, l FROM headed WHERE l BETWEEN 2 AND 6 AND l = r AND name <> '') SELECT query, ord, CAST(place AS INT) AS place, name AS heading FROM a JOIN h ON a.title = h.title WHERE l = 2""")
+def d20_headings(articles, region):
+    asked = region.select(F.col("r_regionkey").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ord"))
+    return knowledge.comparable_headings(asked.withColumn("title", F.concat(F.lit("Part "), F.col("query") * 10 + F.col("ord"))), articles)
+
+
+@query("local_files ledger remote", f"""WITH {_CONFLICT} SELECT CASE change WHEN 'new' THEN 0 WHEN 'modified' THEN 1 ELSE 2 END AS ord, key, path, CASE WHEN conflict OR change = 'deleted' THEN 'skip' WHEN change = 'new' THEN 'create' ELSE 'edit' END AS action,
+  CASE WHEN conflict THEN 'conflict' WHEN change = 'deleted' THEN 'deletions not asked for' ELSE '' END AS reason FROM f""")
+def m10_push_plan(local_files, ledger, remote):
+    return knowledge.push_plan(sync.conflicts(sync.diff(local_files, ledger), ledger, remote))
+
+
+@query("orders", """WITH r AS (SELECT o_custkey AS id, o_orderkey AS seen, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'done' END AS status FROM orders) SELECT id, max(seen) AS seen, arg_max(status, seen) AS status FROM r GROUP BY id""")
+def d25_open_items(orders):
+    return knowledge.latest_items(orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"))).withColumnRenamed("at", "seen")
+
+
+@query("customer orders", """WITH b AS (SELECT c_custkey AS brief, CASE WHEN c_custkey % 4 = 0 THEN 'incomplete' ELSE 'complete' END AS status FROM customer), n AS (SELECT o_custkey AS brief, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+SELECT status, count(*) AS briefs, CAST(coalesce(sum(n), 0) AS BIGINT) AS open_items FROM b LEFT JOIN n ON b.brief = n.brief GROUP BY status""")
+def d24_ledger_audit(customer, orders):
+    briefs = customer.select(F.col("c_custkey").alias("brief"), "c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("segment"))
+    items = orders.select(F.col("o_custkey").alias("brief"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"))
+    return knowledge.ledger_audit(briefs, items, ["c_name", "segment"])
+
+
+# what else there is: functions and steps on rows of the test tables
+
+
+@query("documents", r"""WITH q AS (SELECT doc_id, trim(regexp_replace(text[1:60], '\s+', ' ', 'g')) AS q FROM documents), p AS (SELECT doc_id, list_filter(list_concat([q], list_filter(string_split(q, ' '), lambda w: strlen(w) >= 4)), lambda x: x <> '') AS a FROM q WHERE NOT contains(q, ':')),
+d AS (SELECT doc_id, list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(list_transform(a[1:i - 1], lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), translate(a[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS keep, a FROM p)
+SELECT doc_id, array_to_string(list_transform(keep, lambda i: a[i])[1:8], '|') AS terms FROM d""")
+def b28_query_terms(documents):
+    plain = documents.withColumn("q", F.left("text", F.lit(60))).filter(~F.contains("q", F.lit(":")))
+    return plain.select("doc_id", F.array_join(T.query_terms(F.col("q")), "|").alias("terms"))
+
+
+@query("part", """SELECT p_partkey, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS similarity FROM (SELECT p_partkey, list_filter(list_distinct(string_split(p_name, ' ')), lambda x: length(x) >= 3) AS a, list_filter(list_distinct(string_split(lower(concat(p_type, ' ', p_name)), ' ')), lambda x: length(x) >= 3) AS b FROM part)""")
+def b25_similarity(part):
+    return part.select("p_partkey", T.jaccard(T.lexical_terms(F.col("p_name")), T.lexical_terms(F.lower(F.concat_ws(" ", "p_type", "p_name")))).alias("similarity"))
+
+
+@query("orders", """WITH t AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS s FROM orders) SELECT o_orderkey, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at, o_orderkey % 61 <= 30 AS near FROM t""")
+def b22_times(orders):
+    s = F.unix_timestamp("o_orderdate")
+    return orders.select("o_orderkey", T.iso_time(s).alias("at"), T.times_match(T.iso_time(s), T.iso_time(s + F.col("o_orderkey") % 61)).alias("near"))
+
+
+@query("links region", """WITH RECURSIVE {links}, r AS (SELECT concat('Part ', r_regionkey + 1) AS url, 0 AS depth FROM region UNION SELECT target, depth + 1 FROM r JOIN links ON source = url WHERE depth < 2) SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url""")
+def a21_crawl(rows, region):
+    return web.crawl_frontier(region.select(F.concat(F.lit("Part "), F.col("r_regionkey") + 1).alias("url")), rows, 2, same_host=False)
+
+
+_sql["a21_crawl"] = f"""WITH RECURSIVE {corpus.with_tables("links")[5:]}, r AS (SELECT concat('Part ', r_regionkey + 1) AS url, 0 AS depth FROM region UNION SELECT target, depth + 1 FROM r JOIN links ON source = url WHERE depth < 2) SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url"""
+
+
+@query("local_files remote", """SELECT f.title, CASE WHEN r.hash IS NULL THEN 'missing_baseline' WHEN r.hash = f.hash THEN 'same' ELSE 'changed' END AS status FROM local_files AS f LEFT JOIN remote AS r ON f.title = r.title""")
+def m6_content_diffs(local_files, remote):
+    both = local_files.select("title", F.col("hash").alias("after")).join(remote.select("title", F.col("hash").alias("before")), "title", "left")
+    return sync.content_diffs(both).select("title", "status")
+
+
+@query("part", """WITH p AS (SELECT p_partkey AS ord, concat(CASE WHEN p_partkey % 2 = 0 THEN 'part ' ELSE 'Part ' END, p_partkey // 2) AS title, concat('main/', CASE WHEN p_partkey % 2 = 0 THEN 'part' ELSE 'Part' END, '_', p_partkey // 2, '.wiki') AS path FROM part)
+SELECT title, CASE WHEN row_number() OVER (PARTITION BY lower(path) ORDER BY ord) = 1 THEN path ELSE concat(replace(path, '.wiki', ''), '~', lower(hex(title)), '.wiki') END AS path FROM p""")
+def m8_paths(part):
+    half, low = F.floor(F.col("p_partkey") / 2), F.col("p_partkey") % 2 == 0
+    pages = part.select(F.col("p_partkey").alias("ord"), F.concat(F.when(low, "part ").otherwise("Part "), half).alias("title"), F.concat(F.lit("main/"), F.when(low, "part").otherwise("Part"), F.lit("_"), half, F.lit(".wiki")).alias("path"))
+    return sync.chosen_paths(pages, part.sparkSession.createDataFrame([], "path string"))
+
+
+@query("part supplier", """WITH a AS (SELECT s_name AS name, CAST(s_nationkey AS VARCHAR) AS version FROM supplier WHERE s_suppkey % 3 > 0), b AS (SELECT upper(s_name) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'x' END AS version FROM supplier WHERE s_suppkey % 3 < 2)
+SELECT coalesce(lower(a.name), lower(b.name)) AS key, coalesce(a.name, b.name) AS name, coalesce(b.version, a.version) AS version FROM a FULL JOIN b ON lower(a.name) = lower(b.name)""")
+def h15_manifest(part, supplier):
+    base = supplier.filter("s_suppkey % 3 > 0").select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("version"))
+    over = supplier.filter("s_suppkey % 3 < 2").select(F.upper("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "x").alias("version"))
+    return usage.manifest_merge(base, over)
+
+
+@query("supplier", """WITH c AS (SELECT s_suppkey AS corpus, CAST(s_nationkey AS VARCHAR) AS profile, CASE s_suppkey % 4 WHEN 0 THEN 'profile' ELSE 'extension' END AS kind, CAST(s_suppkey % 10 AS INT) AS expires FROM supplier)
+SELECT * FROM c WHERE expires <= 5 AND (kind = 'profile' OR profile NOT IN (SELECT profile FROM c WHERE kind = 'profile' AND expires <= 5))""")
+def j7_outdated(supplier):
+    return docs.outdated(supplier.select(F.col("s_suppkey").alias("corpus"), F.col("s_nationkey").cast("string").alias("profile"), F.when(F.col("s_suppkey") % 4 == 0, "profile").otherwise("extension").alias("kind"), (F.col("s_suppkey") % 10).cast("int").alias("expires")), 5)
+
+
+@query("transclusions", """SELECT DISTINCT page AS source, template AS target, 'calls' AS relation FROM transclusions WHERE page = 'Part 12' OR template IN ('Template:Part 33', 'Template:Part 66')""")
+def l4_touching(transclusions):
+    keys = transclusions.sparkSession.createDataFrame([("Part 12",), ("Template:Part 33",), ("Template:Part 66",)], "key string")
+    return authoring.touching_edges(transclusions.select(F.col("page").alias("source"), F.col("template").alias("target"), F.lit("calls").alias("relation")), keys)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["f11_retrieval"](spark, sf_dir)
 
