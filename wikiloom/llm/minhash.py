@@ -179,22 +179,23 @@ def _confirmed(texts: DataFrame, seats: DataFrame, words: int, percent: int) ->
 
     def linked(of: DataFrame, deals: Column) -> DataFrame:
         """Links among the members of `of` (group, node); deals: for each the (block_a, block_b, own, joined) it goes to."""
-        dealt = _with_sets(texts.join(of.select("group", "node", deals.alias("deals")), F.col("id") == F.col("node")).select("text", "group", "id", "deals"), words)
-        each = dealt.select("group", "id", "shingles", F.explode("deals").alias("d")).select("group", "d.block_a", "d.block_b", "d.own", "id", "d.joined", "shingles")
+        side = F.broadcast(of) if of.count() <= BROADCAST_IDS else of  # a few numbers a row
+        dealt = _with_sets(texts.join(side, F.col("id") == F.col("node")).select("text", "id", *of.columns), words)
+        each = dealt.select("group", "id", "shingles", F.explode(deals).alias("d")).select("group", "d.block_a", "d.block_b", "d.own", "id", "d.joined", "shingles")
         return each_group(each, task, scaled_partitions(spark, 2), _confirmer(percent), "u long, v long")
 
     def deal(a: Column, b: Column, own: Column, joined: Column) -> Column:
         return F.struct(a.cast("int").alias("block_a"), b.cast("int").alias("block_b"), own.cast("int").alias("own"), joined.cast("long").alias("joined"))
 
     zero = F.lit(0)
-    links = linked(seats.filter("blocks <= 1"), F.array(deal(zero, zero, zero, F.col("node"))))
+    links = linked(seats.filter("blocks <= 1").select("group", "node"), F.array(deal(zero, zero, zero, F.col("node"))))
     large = seats.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     if not large.head(1):
         return links
     links = stage(links, "links")
     every = F.sequence(zero, F.col("blocks").cast("int") - 1)
     met = F.transform(F.when(F.col("node") == F.col("group"), every).otherwise(F.array("block")), lambda b: deal(b, zero, zero, F.col("node")))
-    near = stage(linked(large, met), "links")
+    near = stage(linked(large.select("group", "node", "blocks", "block"), met), "links")
     parts = components(near)
     labelled = large.join(parts, "node", "left").withColumn("joined", F.coalesce("component", "node")).drop("component")
     labelled = stage(labelled, "parts")
@@ -206,7 +207,7 @@ def _confirmed(texts: DataFrame, seats: DataFrame, words: int, percent: int) ->
     # there are fewer such groups than blocks, as each has two blocks at least
     members = labelled.join(main, "group").withColumn("apart", F.col("joined") != F.col("main"))
     width = members.groupBy("group").agg(F.ceil(F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("width"))
-    members = members.join(width, "group")
+    members = stage(members.join(width, "group").select("group", "node", "blocks", "block", "joined", "apart", "width"), "members")
     left = F.transform(every, lambda b: deal(F.pmod(F.xxhash64("node", F.lit(1)), "width"), b, zero, F.col("joined")))
     right = F.transform(F.sequence(zero, F.col("width") - 1), lambda a: deal(a, F.col("block"), F.lit(1), F.col("joined")))
     far = linked(members, F.concat(F.when(F.col("apart"), left).otherwise(F.slice(left, 1, 0)), right))
