@@ -103,13 +103,13 @@ def test_calls_nest_without_bound(spark):
 
 
 def test_citations(spark):
-    text = """Lead<ref name='n1'>{{Cite web|url=https://www.Site1.example/x|title=[[T|Title]] one|last=Doe|first=Ann|archive-url=//web.example/a|quote=q|doi=https://doi.org/10.5/AB}}</ref>
+    text = """Lead<ref name='n1'>{{Cite web|url=https://www.Site1.example/x|title=[[T|Title]] one|last=Doe|first=Ann|archive-url=//zz.example/a|quote=q|doi=https://doi.org/10.5/AB}}</ref>
 == H ==
 again<ref name=n1 /> <ref group="g">plain note</ref> <ref>[https://youtube.com/w clip]</ref> <ref>{{note}}{{sfn|Doe|1999}}</ref> <!-- <ref>no</ref> --> <references />"""
     got = references.references(spark.createDataFrame([("P", text), ("N", None), ("E", "")], "title string, text string"), first_party=["site1.example"]).orderBy("place").collect()
     assert [(r.heading, r.source_type, r.origin, r.template) for r in got] == [(None, "web", "first-party", "Template:Cite web"), ("H", "note", "unknown", None), ("H", "other", "unknown", None), ("H", "video", "external", None), ("H", "short-footnote", "unknown", "Template:sfn")]
     assert (got[0].ref_title, got[0].author, got[0].ids, got[0].profile) == ("Title one", "Doe, Ann", ["doi:10.5/ab"], "first-party web / site1.example")
-    assert {"first-party", "has-archive", "has-quote", "identifier:archive-url"} <= set(got[0].signals) and got[0].urls == ["https://web.example/a", "https://www.Site1.example/x"]
+    assert {"first-party", "has-archive", "has-quote", "identifier:archive-url"} <= set(got[0].signals) and got[0].urls == ["https://www.Site1.example/x", "https://zz.example/a"]
     assert got[1].authority_kind == "named-reference" and "reused-reference" in got[1].signals and got[3].summary == "clip" and got[4].family == "Template:sfn"
 
 

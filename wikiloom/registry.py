@@ -694,7 +694,7 @@ def n16_lint_counts(articles):
     return markup.lint_counts(markup.lint(articles, **_surface(articles)))
 
 
-@query("articles", r"""SELECT title, regexp_replace(regexp_replace(translate(text, '“”', '""'), '(?m)^# Notes$', '== Notes =='), '(<ref>[^<]*</ref>)\.', '.\1', 'g') AS text, TRUE AS fixed FROM articles""")
+@query("articles", r"""SELECT title, regexp_replace(regexp_replace(translate(text, '“”', '""'), '(?m)^# Notes$', '== Notes =='), '(<ref[^>]*>[^<]*</ref>)\.', '.\1', 'g') AS text, TRUE AS fixed FROM articles""")
 def n16_safe_fixes(articles):
     return markup.safe_fixes(articles)
 
