@@ -97,4 +97,18 @@ UNION ALL SELECT DISTINCT conv_id, n, 'tool', CAST(0 AS BIGINT), CAST(0 AS BIGIN
 UNION ALL SELECT conv_id, turn, role, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, concat('{"content":', to_json(coalesce(text, '')), ',"role":"', coalesce(role, ''), '"}') FROM t WHERE role IS DISTINCT FROM 'assistant'
 """
 
-SQL = {"op5_chat_format": CHAT, "op2_licenses": LICENSES, "op6_embedding_dedup": EMBEDDINGS, "op8_decontamination": DECONTAMINATION, "op9_minhash": MINHASH}
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', doc_id)) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, list_transform([1, 9, 17, 25], lambda i: CAST(concat('0x', substr(h, i, 8)) AS BIGINT)) AS r FROM d),
+c AS (SELECT doc_id, t, units, CAST(len(units) AS BIGINT) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS a, greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1 : a], '') AS prefix, array_to_string(units[a + 1 : b], '') AS middle, array_to_string(units[b + 1 : n], '') AS suffix FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END AS output FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN concat(substr(split_part(output, '<S>', 1), 4), split_part(output, '<M>', 2), split_part(split_part(output, '<S>', 2), '<M>', 1))
+    ELSE concat(split_part(split_part(output, '<P>', 2), '<M>', 1), split_part(output, '<M>', 2), substr(split_part(output, '<P>', 1), 4)) END) AS restored_sha256
+FROM o
+"""
+
+SQL = {"op11_fill_in_middle": FILL_IN_MIDDLE, "op5_chat_format": CHAT, "op2_licenses": LICENSES, "op6_embedding_dedup": EMBEDDINGS, "op8_decontamination": DECONTAMINATION, "op9_minhash": MINHASH}

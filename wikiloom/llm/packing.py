@@ -11,63 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wikiloom.llm.bpe import Encoder
 from wikiloom.llm.common import bounded, stage
-from wikiloom.llm.textgrid import Grid, Known, prefix, slabs, span_hashes
-from wikiloom.llm.tokens import library, specials
 
 #: Pieces of one length that are numbered by one task.
 RANK_ROWS = 50_000
-#: Ids of remembered pre-tokens that a worker holds before it starts afresh.
-POOL_IDS = 4_000_000
-
-
-class Encoder:
-    """Token ids of whole texts by byte-level BPE: pre-tokens seen before are copied, new ones go to the library."""
-
-    def __init__(self, path: str):
-        self.tok, self.special = library(path), specials(path)
-        self.known = Known(21, np.int64)  # offset in the pool * 2 ** 20 + number of ids
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, h: np.ndarray, words: list[str]) -> np.ndarray:
-        ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(size.sum())
-        if need > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(need, len(self.pool)), np.uint32)])
-        self.pool[self.used : need] = np.fromiter((i for x in ids for i in x), np.uint32, need - self.used)
-        value = ((self.used + np.cumsum(size) - size) << 20) + size
-        small = size < 1 << 20
-        self.known.put(h[small], value[small])
-        self.used = need
-        return value
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for a, b in slabs(texts):
-            yield from self._slab(texts[a:b])
-
-    def _slab(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.used > POOL_IDS:
-            self.known.clear()
-            self.used = 0
-        grid = Grid(texts)
-        start, end = grid.byte_level()
-        h = span_hashes(prefix(grid.cp), start, end)
-        value, known = self.known.look(h)
-        left = np.flatnonzero(~known)
-        if len(left):
-            new, first, back = np.unique(h[left], return_index=True, return_inverse=True)
-            value[left] = self._learn(new, [grid.joined[start[i] : end[i]] for i in left[first]])[back]
-        size, at = value & ((1 << 20) - 1), value >> 20
-        stop = np.cumsum(size)
-        ids = self.pool[np.repeat(at - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
-        bounds = np.concatenate([[0], stop])[np.searchsorted(start, np.concatenate([[0], grid.ends]))]
-        odd = grid.doubtful()
-        for i, t in enumerate(texts):
-            if odd[i] or len(t) > 1 << 20 or any(s in t for s in self.special):
-                yield np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-            else:
-                yield ids[bounds[i] : bounds[i + 1]]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, separator: int) -> DataFrame:
@@ -140,7 +88,8 @@ def plan(counts: np.ndarray, size: int, bins: int = 256, most: int = 3, slack: i
     out: list[list] = []
     if left.get(size):
         out.append([[size], left.pop(size)])
-    width = size // bins
+    width = -(-size // bins)
+    bins = -(-size // width)
     shape = patterns(bins, most)
     matrix = np.zeros((bins + 1, len(shape)))
     for j, p in enumerate(shape):
@@ -148,7 +97,7 @@ def plan(counts: np.ndarray, size: int, bins: int = 256, most: int = 3, slack: i
     seen = np.zeros(bins + 1)
     for n, c in left.items():
         seen[-(-n // width)] += c
-    fit = np.floor(nnls(matrix, seen)).astype(np.int64)
+    fit = np.floor(nnls(matrix, seen)).astype(np.int64) if shape else np.zeros(0, np.int64)
     alive = sorted(left)
 
     def longest(limit: int, have: list[int]) -> int | None:

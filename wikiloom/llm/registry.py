@@ -104,6 +104,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.infill import fill_in_middle, restored
+
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+        sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.bpe import encoded
+
+    out = encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op5_chat_format, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op5_chat_format, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, op11_fill_in_middle, op13_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

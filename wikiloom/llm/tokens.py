@@ -17,11 +17,14 @@ from wikiloom.llm.textgrid import Grid, Known, prefix, slabs, span_hashes
 
 
 @cache
-def library(path: str):
+def library(path: str, plain: bool = False):
+    """plain: special strings in texts are text like other."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = plain
+    return out
 
 
 def specials(path: str) -> list[str]:
