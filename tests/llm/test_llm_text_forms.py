@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wikiloom.llm import bpe, infill, packing, tokens
+from wikiloom.llm import alignment, bpe, infill, packing, tokens
 from wikiloom.llm.registry import tokenizer
 
 DOC = "doc_id long, text string, units string, n string, low string, t string, row string, id string, digest string, block string"
@@ -109,3 +109,74 @@ def test_packing_of_a_huge_pre_token_and_odd_sizes(spark):
             assert sum(lengths) <= size
             np.add.at(placed, list(lengths), times)
         assert (placed[1:] == counts[1 : size + 1]).all()
+
+
+A_PATH, B_PATH = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+
+
+def links_of(t, tok, model):
+    """A's and B's (id, end in bytes) by the libraries, one token at a time; None where bytes are lost."""
+    byte_of = tokens._byte_of()
+    a = [(i, bytes(byte_of[c] for c in tok.id_to_token(i))) for i in tok.encode(" " + t, add_special_tokens=False).ids]
+    b = [(i, bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("\u2581", " ").encode()) for i in model.encode(t)]
+    want = (" " + t).encode()
+    if not t or b"".join(x for _, x in a) != want or b"".join(x for _, x in b) != want:
+        return None
+    ends = []
+    for side in (a, b):
+        at, out = 0, []
+        for i, x in side:
+            at += len(x)
+            out.append((i, at))
+        ends.append(out)
+    return ends
+
+
+@pytest.mark.parametrize("stripes,digest", [(128, True), (3, False)])
+def test_alignment(spark, stripes, digest):
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    tok, (model, apart) = Tokenizer.from_file(A_PATH), alignment.pieces(B_PATH)
+    tok.encode_special_tokens = True
+    assert apart
+    texts = [None, "", " ", "a", "the cat  sat\n\n on   the mat ", "x \u2581 y", "\u2581", "<s> </s> <|endoftext|><0x41>", "\x00 a\x00", *(random_text(50_000 + i) for i in range(80)), "the " * 4000, "unsplit" * 900, "same words here", "same words here", " lead", "\ttab\u00a0nbsp \u3000", "ﬁ ① Ａ"]
+    made = {i: links_of(t or "", tok, model) for i, t in enumerate(texts)}
+    count, links = Counter(), {}
+    for i, x in made.items():
+        links[i] = [(p, q) for p, e in x[0] for q, f in [(q, f) for q, f in x[1] if f == e]] if x and len(x[0]) < 2500 else []
+        if x and len(x[0]) >= 2500:
+            at = {e: p for p, e in x[0]}
+            links[i] = [(at[f], q) for q, f in x[1] if f in at]
+        count.update(links[i])
+    best = {}
+    for (_, q), n in count.items():
+        best[q] = max(best.get(q, 0), n)
+    got = {r["doc_id"]: r for r in alignment.aligned(docs(spark, texts).repartition(3), A_PATH, B_PATH, stripes=stripes, digest=digest).collect()}
+    assert len(got) == len(texts)
+    for i, x in made.items():
+        r, groups = got[i], []
+        if x:
+            (a, b), both = x, sorted({e for _, e in x[0]} & {e for _, e in x[1]})
+            ia = ib = 0
+            for e in both:
+                ja, jb = ia, ib
+                while ja < len(a) and a[ja][1] <= e:
+                    ja += 1
+                while jb < len(b) and b[jb][1] <= e:
+                    jb += 1
+                groups.append(",".join(str(p) for p, _ in a[ia:ja]) + "|" + ",".join(str(q) for q, _ in b[ib:jb]))
+                ia, ib = ja, jb
+        said = ";".join(groups)
+        assert r["groups"] == (hashlib.sha256(said.encode()).hexdigest() if digest and said else said), texts[i]
+        want = (len(x[0]), len(x[1])) if x else (0, 0)
+        assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"]) == (*want, len(groups), len(links[i]))
+        assert (r["n_best"], r["count_sum"]) == (sum(count[p] == best[p[1]] for p in links[i]), sum(count[p] for p in links[i]))
+
+
+def test_alignment_of_odd_tables(spark):
+    assert alignment.aligned(docs(spark, TEXTS).limit(0), A_PATH, B_PATH).count() == 0
+    assert [tuple(r) for r in alignment.aligned(spark.createDataFrame([(None, None)], "doc_id int, text string"), A_PATH, B_PATH).collect()] == [(None, 0, 0, 0, 0, 0, 0, "")]
+    rows = alignment.aligned(spark.createDataFrame([(1, "same text")] * 3, "doc_id int, text string"), A_PATH, B_PATH).collect()
+    assert len(rows) == 3 and len(set(rows)) == 1 and rows[0]["count_sum"] == 3 * rows[0]["n_links"]

@@ -115,6 +115,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wikiloom.llm.alignment import aligned
+
+    out = aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wikiloom.llm.bpe import encoded
 
@@ -129,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op5_chat_format, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, op11_fill_in_middle, op13_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_licenses, op3_toxicity, op4_token_counts, op5_chat_format, op6_embedding_dedup, op7_secrets, op8_decontamination, op9_minhash, op10_packing, op11_fill_in_middle, op12_alignment, op13_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
