@@ -240,15 +240,20 @@ HOLE = "\u0002"
 
 
 def inner_calls(c: Column) -> Column:
-    """What stands between {{ and }}, innermost calls first; of an outer call the inner ones are holes. However deep."""
+    """What stands between {{ and }}, innermost calls first; of an outer call the inner ones are holes. However deep; what is
+    never closed ends the search."""
     bare = F.regexp_replace(c, r"\{\{\{[^{}]*\}\}\}", "")
-    none = F.struct(bare.alias("text"), F.array().cast("array<string>").alias("found"))
-    step = lambda s, _: F.struct(F.regexp_replace(s.text, INNERMOST, HOLE).alias("text"), F.concat(s.found, F.regexp_extract_all(s.text, F.lit(INNERMOST), F.lit(1))).alias("found"))
-    return F.when(bare.contains("{{"), F.aggregate(F.sequence(F.lit(0), call_depth(bare)), none, step, lambda s: s.found)).otherwise(F.array().cast("array<string>"))
+    none = F.struct(bare.alias("text"), F.array().cast("array<string>").alias("found"), F.lit(False).alias("done"))
+    go = lambda s: F.struct(
+        F.regexp_replace(s.text, INNERMOST, HOLE).alias("text"), F.concat(s.found, F.regexp_extract_all(s.text, F.lit(INNERMOST), F.lit(1))).alias("found"), (~s.text.rlike(INNERMOST)).alias("done")
+    )
+    return F.when(bare.contains("{{"), F.aggregate(F.sequence(F.lit(0), call_depth(bare)), none, lambda s, _: F.when(s.done, s).otherwise(go(s)), lambda s: s.found)).otherwise(F.array().cast("array<string>"))
 
 
 def without_calls(c: Column) -> Column:
-    return F.when(c.contains("{{"), F.aggregate(F.sequence(F.lit(0), call_depth(c)), c, lambda s, _: F.regexp_replace(s, INNERMOST, ""))).otherwise(c)
+    none = F.struct(c.alias("text"), F.lit(False).alias("done"))
+    go = lambda s: F.struct(F.regexp_replace(s.text, INNERMOST, "").alias("text"), (~s.text.rlike(INNERMOST)).alias("done"))
+    return F.when(c.contains("{{"), F.aggregate(F.sequence(F.lit(0), call_depth(c)), none, lambda s, _: F.when(s.done, s).otherwise(go(s)), lambda s: s.text)).otherwise(c)
 
 
 def flat_excerpt(c: Column) -> Column:

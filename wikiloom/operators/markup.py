@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.functions.text import ascii_lower, call_arguments, call_parts, canonical_title, inner_calls, namespace_of, normal_spaces, summary, template_title, token_estimate
+from wikiloom.functions.text import ascii_lower, canonical_title, namespace_of, normal_spaces, summary, template_title, token_estimate
+from wikiloom.operators.artifacts import artifacts, indexed, masked, rows_of
 
-# Regions whose text isn't markup.
-IGNORED = "nowiki|pre|source|code|syntaxhighlight|templatedata"
 # Fragments that mark unfinished text.
 PLACEHOLDERS = ["TODO", "TBD", "FIXME", "Lorem ipsum", "INSERT ", "PLACEHOLDER"]
 
 
-def masked(text: Column) -> Column:
-    """text without comments and ignored regions."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), rf"(?is)<({IGNORED})\b[^>/]*>.*?</\1>", "")
+def _bundle(pages: DataFrame, kind: str, id_col: str, text_col: str) -> DataFrame:
+    """The rows of one kind: out of a bundle of artifacts, which has no texts, or of the texts."""
+    return rows_of(pages if text_col not in pages.columns else artifacts(pages, id_col, text_col, (kind,)), kind)
 
 
 def sections(pages: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
@@ -23,33 +22,19 @@ def sections(pages: DataFrame, id_col: str = "title", text_col: str = "text") ->
 
     Headings split the text within its row: every heading line is marked, and the parts between marks are the sections.
     """
-    mark = "\u0001"
-    marked = F.regexp_replace(F.translate(text_col, mark, ""), r"(?m)^(={2,6})[ \t]*([^=\r\n](?:[^\r\n]*?[^=\r\n])??)[ \t]*\1[ \t]*\r?$", f"{mark}$1 $2{mark}")
-    parts = F.split(marked, mark)
-    # parts come as lead, heading, body, heading, body ...
-    each = pages.select(F.col(id_col).alias("title"), F.explode(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int"))).alias("place"), parts.alias("p"))
-    head = F.when(F.col("place") > 0, F.get("p", 2 * F.col("place") - 1))
-    body = F.trim(F.regexp_replace(F.get("p", 2 * F.col("place")), r"\A\s+|\s+\z", ""))
-    told = each.select("title", "place", F.coalesce(F.char_length(F.regexp_extract(head, r"\A(=+)", 1)), F.lit(1)).alias("level"), F.nullif(normal_spaces(F.regexp_replace(head, r"\A=+", "")), F.lit("")).alias("heading"), body.alias("body"))
-    return told.filter("body <> ''").select("title", "place", "level", "heading", "body", summary(F.col("body")).alias("summary"), token_estimate(F.col("body")).alias("tokens"))
+    told = _bundle(pages, "sections", id_col, text_col)
+    return told.select("title", "place", "level", "heading", "body", summary(F.col("body")).alias("summary"), token_estimate(F.col("body")).alias("tokens"))
 
 
 def wikilinks(pages: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
     """source, target, namespace, is_category: distinct; fragments are cut, addresses and parameters left out, a leading colon
     makes a category a plain link."""
-    raw = F.explode(F.regexp_extract_all(masked(F.col(text_col)), F.lit(r"\[\[([^\[\]|\r\n]+)(?:\|[^\[\]]*)?\]\]"), F.lit(1)))
-    each = pages.select(F.col(id_col).alias("source"), raw.alias("raw")).withColumn("raw", F.trim("raw"))
-    each = each.select("source", F.startswith("raw", F.lit(":")).alias("colon"), F.trim(F.regexp_replace(F.regexp_replace("raw", r"\A:", ""), r"#.*", "")).alias("t"))
-    each = each.filter("t <> ''").filter(~F.col("t").rlike(r"(?i)\A[a-z]+://|[{}<>%]|\$\d"))
-    told = each.select("source", canonical_title(F.col("t")).alias("target"), "colon")
-    return told.select("source", "target", namespace_of(F.col("target")).alias("namespace"), ((namespace_of(F.col("target")) == "Category") & ~F.col("colon")).alias("is_category")).distinct()
+    return _bundle(pages, "links", id_col, text_col).select(F.col("title").alias("source"), "target", "namespace", "is_category").distinct()
 
 
 def calls(pages: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
     """page, ord, name, given (arguments, each key and value), raw: every {{ }} of a page, innermost first, however deep."""
-    found = inner_calls(masked(F.col(text_col)))
-    each = pages.select(F.col(id_col).alias("page"), F.posexplode(found).alias("ord", "raw")).withColumn("parts", call_parts(F.col("raw")))
-    return each.select("page", "ord", F.trim(F.get("parts", 0)).alias("name"), call_arguments(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))).alias("given"), "raw")
+    return _bundle(pages, "calls", id_col, text_col).select(F.col("title").alias("page"), F.col("place").alias("ord"), "name", "given", "raw")
 
 
 def keys_of(given: Column) -> Column:
@@ -76,14 +61,7 @@ def module_calls(pages: DataFrame, id_col: str = "title", text_col: str = "text"
 
 def media(pages: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
     """page, file, kind, caption: inline images and gallery lines; the caption is the last part that is no option."""
-    text = masked(F.col(text_col))
-    inline = pages.select(F.col(id_col).alias("page"), F.explode(F.regexp_extract_all(text, F.lit(r"(?i)\[\[\s*((?:file|image):[^\[\]]+)\]\]"), F.lit(1))).alias("raw"), F.lit("inline").alias("kind"))
-    blocks = pages.select(F.col(id_col).alias("page"), F.explode(F.regexp_extract_all(text, F.lit(r"(?is)<gallery\b[^>]*>(.*?)</gallery>"), F.lit(1))).alias("b"))
-    lines = blocks.select("page", F.explode(F.split("b", r"\r?\n")).alias("raw"), F.lit("gallery").alias("kind")).filter("trim(raw) <> ''")
-    parts = F.split("raw", r"\|")
-    options = r"(?i)\A\s*(thumb|thumbnail|frame|frameless|border|left|right|center|none|upright.*|\d+(x\d+)?px|x\d+px|alt=.*|link=.*|class=.*|page=.*|lang=.*)\s*\z"
-    said = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: ~x.rlike(options))
-    return inline.unionByName(lines).select("page", canonical_title(F.when(F.get(parts, 0).rlike("(?i)^\\s*(file|image):"), F.get(parts, 0)).otherwise(F.concat(F.lit("File:"), F.get(parts, 0)))).alias("file"), "kind", F.coalesce(F.trim(F.get(said, F.size(said) - 1)), F.lit("")).alias("caption"))
+    return _bundle(pages, "media", id_col, text_col).select(F.col("title").alias("page"), "file", "kind", "caption")
 
 
 _LINE_ISSUE = "array<struct<rule:string,severity:string,line:int,evidence:string>>"
@@ -122,7 +100,16 @@ def _balance(t: Column, opening: str, closing: str) -> Column:
     return ((cut(opening) - cut(closing)) / 2).cast("int")
 
 
-def _text_issues(t: Column, banner: str | None, tags: list[str] | None, invoke: bool, short: bool) -> Column:
+def top_lines(lines: Column) -> Column:
+    """The first eight lines that aren't blank."""
+    return F.slice(F.filter(lines, lambda x: F.trim(x) != ""), 1, 8)
+
+
+def has_banner(lines: Column, banner: str) -> Column:
+    return F.exists(top_lines(lines), lambda x: F.ltrim(x).startswith("{{" + banner + "|"))
+
+
+def _text_issues(t: Column, lines: Column, banner: str | None, tags: list[str] | None, invoke: bool, short: bool) -> Column:
     first, cited = F.lit(1), t.rlike(r"(?i)<ref\b")
     described = t.rlike(r"(?i)\{\{\s*short description|\{\{\s*shortdesc:")
     one = [
@@ -140,7 +127,7 @@ def _text_issues(t: Column, banner: str | None, tags: list[str] | None, invoke:
     styles = F.regexp_extract_all(t, F.lit(r"(?i)(<templatestyles\b[^>]*>)"), F.lit(1))
     several = [_several(F.filter(styles, lambda x: ~x.rlike(r"""(?i)\bsrc\s*=\s*["']?[^\s"'/>]""")), "asset.templatestyles_missing_src", "error", first)]
     if banner:
-        one.append(_issue(~F.substring(t, 1, 2000).contains("{{" + banner + "|"), "structure.require_article_quality_banner", "warning", first, F.lit("")))
+        one.append(_issue(~has_banner(lines, banner), "structure.require_article_quality_banner", "warning", first, F.lit("")))
     if not short:
         one.append(_issue(described, "capability.short_description_unsupported", "warning", first, F.lit("")))
     if not invoke:
@@ -165,31 +152,35 @@ def lint(
 ) -> DataFrame:
     """title, rule, severity, line, evidence: issues of the line rules, of whole texts, and of what doesn't exist.
 
-    One pass over each text makes the issues of all rules that need nothing else. Rules about what exists are joins, and
-    rest where their table isn't given: templates (template, and keys where its parameters are known), titles (title),
+    One pass over each text makes the issues of all rules that need nothing else. Rules about what exists are joins with a
+    bundle of artifacts, which a second pass writes, and rest where their table isn't given: templates (template, and keys where its parameters are known), titles (title),
     modules (module, functions), assets (title), proper (word: what headings may capitalise). banner: a template that
     articles begin with; tags: those the wiki has; invoke and short_description: whether it has these.
     """
-    lines = F.split(text_col, r"\r?\n")
-    names = F.transform(lines, lambda t: F.nullif(ascii_lower(_heading(t)), F.lit("")))
-    twice = F.transform(lines, lambda t, i: _issue(F.get(names, i).isNotNull() & (F.array_position(names, F.get(names, i)) < i + 1), "structure.duplicate_heading", "warning", i + 1, F.get(names, i)))
-    by_line = F.flatten(F.transform(lines, lambda t, i: _line_issues(t, i + 1)))
-    every = F.concat(by_line, twice, _text_issues(masked(F.col(text_col)), banner, tags, invoke, short_description)).cast(_LINE_ISSUE)
-    out = pages.select(F.col(id_col).alias("title"), F.explode(F.array_compact(every)).alias("x")).select("title", "x.*")
+    rows = pages.select(F.col(id_col).alias("title"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"lines": F.split("text", r"\r?\n"), "masked": masked(F.col("text"))})
+    named = F.transform("lines", lambda t, i: F.struct(F.nullif(ascii_lower(_heading(t)), F.lit("")).alias("name"), (i + 1).alias("line")))
+    # headings in order of their names: one that stands behind its like comes again
+    rows = rows.withColumn("heads", F.array_sort(F.filter(named, lambda x: x["name"].isNotNull())))
+    again = F.transform("heads", lambda x, i: _issue(F.get(F.col("heads"), i - 1)["name"] == x["name"], "structure.duplicate_heading", "warning", x.line, x["name"]))
+    by_line = F.flatten(F.transform("lines", lambda t, i: _line_issues(t, i + 1)))
+    every = F.concat(by_line, again, _text_issues(F.col("masked"), F.col("lines"), banner, tags, invoke, short_description)).cast(_LINE_ISSUE)
+    out = rows.select("title", F.explode(F.array_compact(every)).alias("x")).select("title", "x.*")
+    bundle = indexed(pages, id_col, text_col, ("sections", "links", "calls")) if templates is not None or modules is not None or titles is not None else None
 
     def add(rows: DataFrame, rule: str, severity: str, evidence: Column, line: Column | None = None) -> None:
         nonlocal out
         out = out.unionByName(rows.select("title", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.lit(1) if line is None else line).cast("int").alias("line"), evidence.alias("evidence")))
 
     if templates is not None:
-        used = template_calls(pages, id_col, text_col).select(F.col("page").alias("title"), "template", "keys")
+        used = template_calls(bundle).select(F.col("page").alias("title"), "template", "keys")
         add(used.select("title", "template").distinct().join(templates.select("template"), "template", "left_anti"), "template.unavailable", "error", F.col("template"))
         if "keys" in templates.columns:
             unknown = F.array_except("keys", "known")
             told = used.join(templates.select("template", F.col("keys").alias("known")), "template").withColumn("unknown", unknown).filter("size(unknown) > 0 and known is not null").select("title", "template", "unknown").distinct()
             add(told, "template.unknown_parameter", "warning", F.concat("template", F.lit(" unknown_parameters="), F.array_join("unknown", ", ")))
     if modules is not None:
-        called = module_calls(pages, id_col, text_col).select(F.col("page").alias("title"), "module", "function").distinct()
+        called = module_calls(bundle).select(F.col("page").alias("title"), "module", "function").distinct()
         add(called.select("title", "module").distinct().join(modules.select("module"), "module", "left_anti"), "module.unavailable", "error", F.col("module"))
         lost = called.join(modules.select("module", "functions"), "module").filter(~F.array_contains("functions", F.col("function")))
         add(lost, "module.unavailable_function", "error", F.concat("module", F.lit(" function="), "function"))
@@ -199,11 +190,11 @@ def lint(
         named = named.withColumn("asset", F.when(namespace_of(F.col("t")) == "Main", F.concat(F.lit("Template:"), "t")).otherwise(F.col("t")))
         add(named.join(assets.select(F.lower("title").alias("key")), F.lower("asset") == F.col("key"), "left_anti"), "asset.templatestyles_unavailable_source", "error", F.col("asset"))
     if titles is not None:
-        see = sections(pages, id_col, text_col).filter("lower(heading) = 'see also'").select("title", F.col("body").alias("text"))
+        see = sections(bundle).filter("lower(heading) = 'see also'").select("title", F.col("body").alias("text"))
         red = wikilinks(see).select(F.col("source").alias("title"), "target").join(titles.select(F.col("title").alias("target")), "target", "left_anti")
         add(red, "integration.red_link_in_see_also", "warning", F.col("target"))
     if proper is not None:
-        heads = pages.select(F.col(id_col).alias("title"), F.posexplode(lines).alias("at", "t")).select("title", "at", _heading(F.col("t")).alias("heading")).filter(F.col("heading").rlike(r"\s\p{Lu}\p{Ll}"))
+        heads = pages.select(F.col(id_col).alias("title"), F.posexplode(F.split(text_col, r"\r?\n")).alias("at", "t")).select("title", "at", _heading(F.col("t")).alias("heading")).filter(F.col("heading").rlike(r"\s\p{Lu}\p{Ll}"))
         words = heads.withColumn("word", F.explode(F.split("heading", r"\s+"))).filter(F.col("word").rlike(r"^\p{Lu}\p{Ll}+$") & ~F.startswith("heading", F.col("word")))
         wrong = words.join(proper, "word", "left_anti").select("title", "at", "heading").distinct()
         add(wrong, "style.sentence_case_heading", "warning", F.col("heading"), F.col("at") + 1)

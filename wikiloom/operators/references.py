@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import (
-    ascii_lower, call_arguments, call_parts, canonical_title, domain, domain_kind, first_url, flat_excerpt, identifier, inner_calls, normal_spaces, normal_url, summary, template_title, token_estimate, without_comments,
+    ascii_lower, call_arguments, call_parts, canonical_title, domain, domain_kind, first_url, flat_excerpt, identifier, inner_calls, normal_spaces, normal_url, summary, template_title, token_estimate,
 )
+from wikiloom.operators.artifacts import artifacts, rows_of
 
 # Arguments that hold a citation's parts, in the order in which they are tried.
 TITLES = ["title", "chapter", "entry", "article", "script-title"]
@@ -22,10 +23,6 @@ TYPES = [("journal", "journal"), ("book", "book"), ("news", "news"), ("video", "
 #: Types of which the site stands for the container.
 SITES = ["web", "news", "social", "video", "wiki"]
 
-_HEADING = r"^={2,6}[ \t]*[^=\r\n](?:[^\r\n]*?[^=\r\n])??[ \t]*={2,6}[ \t]*\r?$"
-_REF = r"<[rR][eE][fF](?:\s[^>]*)?/>|<[rR][eE][fF](?:\s[^>]*?)?>(?s:.*?)</[rR][eE][fF]\s*>"
-
-
 def _first(*options: Column) -> Column:
     """The first that is neither null nor empty; else the empty string."""
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
@@ -33,13 +30,16 @@ def _first(*options: Column) -> Column:
 
 def _value(key: str) -> Column:
     """The argument of that name, the last where it comes twice; null where there is none."""
-    values = F.transform(F.filter("given", lambda g: g.key == key), lambda g: g.value)
-    return F.get(values, F.size(values) - 1)
+    return F.try_element_at("given", F.lit(key)).value
+
 
+def _flat(key: str) -> Column:
+    return F.try_element_at("given", F.lit(key)).flat
 
-def _argument(names: list[str], f=flat_excerpt) -> Column:
-    """The first of the named arguments of which f leaves anything."""
-    return _first(*[f(_value(n)) for n in names])
+
+def _argument(names: list[str]) -> Column:
+    """The first of the named arguments that isn't empty, in prose."""
+    return _first(*[_flat(n) for n in names])
 
 
 def _sorted_set(*flags: Column) -> Column:
@@ -49,17 +49,10 @@ def _sorted_set(*flags: Column) -> Column:
 def tags(pages: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
     """page, place, heading (of the section; null in the lead), wikitext, name, group, body: one row per <ref>.
 
-    Headings and tags are found in one walk along the text; the heading in force goes with each tag.
+    pages: texts, or a bundle of artifacts, which has none.
     """
-    marks = F.regexp_extract_all(without_comments(F.col(text_col)), F.lit(f"(?m)({_HEADING}|{_REF})"), F.lit(1))
-    none = F.struct(F.lit(None).cast("string").alias("heading"), F.array().cast("array<struct<heading:string,tag:string>>").alias("refs"))
-
-    def step(s: Column, x: Column) -> Column:
-        title = x.startswith("=")
-        name = normal_spaces(F.regexp_replace(x, r"\A=+|=+\s*\z", ""))
-        return F.struct(F.when(title, name).otherwise(s.heading).alias("heading"), F.when(title, s.refs).otherwise(F.array_append(s.refs, F.struct(s.heading.alias("heading"), x.alias("tag")))).alias("refs"))
-
-    each = pages.select(F.col(id_col).alias("page"), F.posexplode(F.aggregate(marks, none, step, lambda s: s.refs)).alias("place", "r")).select("page", "place", "r.heading", F.col("r.tag").alias("wikitext"))
+    bundle = artifacts(pages, id_col, text_col, ("refs",)) if text_col in pages.columns else pages
+    each = rows_of(bundle, "refs").select(F.col("title").alias("page"), "place", "heading", "wikitext")
     head = F.regexp_extract("wikitext", r"(?is)\A<ref\b([^>]*?)/?>", 1)
     body = F.regexp_extract("wikitext", r"(?is)\A<ref\b[^>]*?>(.*)</ref\s*>\z", 1)
 
@@ -85,6 +78,8 @@ def references(pages: DataFrame, id_col: str = "title", text_col: str = "text",
 
     best = F.get(F.array_sort(F.transform("templates", lambda t: F.struct(kind(t).alias("kind"), t.title.alias("title"), t.given.alias("given")))), 0)
     rows = rows.withColumn("best", best).withColumn("template", F.col("best.title")).withColumn("given", F.coalesce("best.given", F.array().cast("array<struct<key:string,value:string>>"))).drop("best")
+    rows = rows.withColumn("last", F.map_from_entries(F.filter("given", lambda g, i: ~F.exists(F.slice("given", i + 2, F.size("given")), lambda h: h.key == g.key))))
+    rows = rows.withColumn("given", F.transform_values("last", lambda k, v: F.struct(v.alias("value"), flat_excerpt(v).alias("flat")))).drop("last")
     links = F.filter(F.regexp_extract_all("body", F.lit(r"\[\[([^\[\]|#\r\n]+)"), F.lit(1)), lambda x: F.trim(x) != "")
     rows = rows.withColumn("links", F.array_distinct(F.transform(links, lambda x: canonical_title(F.regexp_replace(F.trim(x), r"\A:", "")))))
 
@@ -93,7 +88,7 @@ def references(pages: DataFrame, id_col: str = "title", text_col: str = "text",
     rows = rows.select(
         "page", "place", "heading", "name", "group", "wikitext", "body", "template", "templates", "links", "given",
         _first(_argument(TITLES), _argument(["$1"]), F.coalesce(F.get("links", 0), F.lit(""))).alias("ref_title"), _argument(CONTAINERS).alias("named_container"), author.alias("author"), _argument(DATES).alias("date"),
-        (_argument(QUOTES) != "").alias("has_quote"), F.array_sort(F.array_distinct(urls)).alias("urls"), F.nullif(_argument(ARCHIVES, normal_spaces), F.lit("")).alias("archive"),
+        (_argument(QUOTES) != "").alias("has_quote"), F.array_sort(F.array_distinct(urls)).alias("urls"), F.nullif(_first(*[normal_spaces(_value(n)) for n in ARCHIVES]), F.lit("")).alias("archive"),
     )
     rows = rows.withColumn("url", F.coalesce(F.get("urls", 0), F.lit(""))).withColumn("domain", _first(domain(F.col("url")), domain(F.col("archive"))))
     low, source = ascii_lower(F.coalesce("template", F.lit(""))), None
@@ -117,7 +112,7 @@ def references(pages: DataFrame, id_col: str = "title", text_col: str = "text",
     rows = rows.withColumn("profile", profile.when(F.col("family") != "<ref>", F.concat("source_type", F.lit(" / "), "family")).otherwise(F.col("source_type")))
     present = [(k, _value(k)) for k in IDENTIFIERS]
     rows = rows.withColumn("id_keys", _sorted_set(*[F.when(normal_spaces(v) != "", k) for k, v in present], F.when(F.size("urls") > 0, "url"), F.when(F.col("archive").isNotNull(), "archive-url")))
-    plain = [(k, F.when(F.lit(k == "id"), flat_excerpt(v)).otherwise(identifier(F.lit(k), flat_excerpt(v)))) for k, v in present]
+    plain = [(k, F.when(F.lit(k == "id"), _flat(k)).otherwise(identifier(F.lit(k), _flat(k)))) for k, _ in present]
     rows = rows.withColumn("ids", _sorted_set(*[F.when(v != "", F.concat(F.lit(f"{k}:"), v)) for k, v in plain]))
     held = F.col("template").isNotNull()
     flags = [
