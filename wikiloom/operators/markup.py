@@ -85,13 +85,13 @@ def _line_issues(t: Column, line: Column) -> Column:
     left, right = F.char_length(F.regexp_extract(t, r"^(=+)", 1)), F.char_length(F.regexp_extract(t, r"(=+)\s*$", 1))
     low = ascii_lower(t)
     one = [
-        _issue(t.rlike(r"^#{1,6}\s+\S"), "structure.markdown_heading", "error", line, t),
+        _issue(t.rlike(r"^#{2,6}\s+\S"), "structure.markdown_heading", "error", line, t),
         _issue((left >= 2) & (left != right), "structure.malformed_heading", "error", line, t),
         _issue(t.rlike("[‘’“”]"), "style.curly_quotes", "info", line, F.regexp_extract(t, "([‘’“”])", 1)),
         _issue(t.rlike(_PLACEHOLDER), "style.placeholder_fragment", "warning", line, F.regexp_extract(t, _PLACEHOLDER, 0)),
         _issue(low.contains("{{citation needed") | low.contains("{{cn}}"), "profile.no_citation_needed", "warning", line, t),
     ]
-    clusters = F.regexp_extract_all(t, F.lit(rf"(?is)((?:(?:{_PAIR})\s*)+[.,;:])"), F.lit(1))
+    clusters = F.regexp_extract_all(t, F.lit(rf"(?is)((?:{_PAIR})(?:\s*(?:{_PAIR}))*[.,;:!?])"), F.lit(1))
     return F.concat(F.array(*one), _several(clusters, "citation.after_punctuation", "warning", line))
 
 
@@ -204,13 +204,3 @@ def lint(
 def lint_counts(issues: DataFrame) -> DataFrame:
     """title, errors, warnings, notes."""
     return issues.groupBy("title").agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "notes"))])
-
-
-def safe_fixes(pages: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
-    """title, text, fixed: curly quotes straight, Markdown headings as wiki headings, citations behind punctuation."""
-    t = F.translate(text_col, "‘’“”", "''\"\"")
-    for k in range(6, 0, -1):
-        bar = "=" * max(2, k)
-        t = F.regexp_replace(t, rf"(?m)^#{{{k}}}[ \t]+(\S[^\r\n]*?)[ \t]*$", f"{bar} $1 {bar}")
-    t = F.regexp_replace(t, r"(?is)((?:<ref\b[^>/]*>(?:(?!</ref>).)*</ref>|<ref\b[^>]*/>)+)[ \t]*([.,;:])", "$2$1")
-    return pages.select(F.col(id_col).alias("title"), t.alias("text"), (t != F.col(text_col)).alias("fixed"))

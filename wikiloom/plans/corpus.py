@@ -30,9 +30,10 @@ def _article() -> str:
         if_(f"{k} % 5 = 0", text("# Notes" + n)), if_(f"{k} % 7 = 0", text("It is “quoted”." + n)), if_(f"{k} % 9 = 0", text("=== Bad heading ==" + n)),
         if_(f"{k} % 5 = 2", text("[[File:Q"), num(f"{k} % 6"), text(".jpg|thumb|left|Caption "), num(f"{k} % 3"), text("]]" + n)),
         if_(f"{k} % 10 = 3", text("<gallery>" + n + "G1.png|First" + n + "File:G2.png" + n + "</gallery>" + n)), if_(f"{k} % 10 = 4", text("<gallery></gallery>" + n)),
+        if_(f"{k} % 10 = 2", text("## Odds" + n)), if_(f"{k} % 15 = 4", text("Odd<ref>“Said” so</ref>," + n)),
         if_(f"{k} % 11 = 0", text("TODO finish this" + n)), if_(f"{k} % 12 = 5", text("Doubtful.{{citation needed}}" + n)), if_(f"{k} % 13 = 0", text('<templatestyles src="Part/styles.css" /><templatestyles />' + n)),
-        text("== See also ==" + n + "* [[Part "), num(f"({k} * 13) % 2600"), text("]]" + n),
-        if_(f"{k} % 3 = 0", text("== details ==" + n + "again [[broken" + n)), if_(f"{k} % 14 = 1", text("== Further Odd Matters ==" + n + "x" + n)), if_(f"{k} % 6 = 1", text("== References ==" + n + "{{Reflist}}" + n)),
+        f"CASE WHEN {k} % 16 = 3 THEN '== See Also ==' ELSE '== See also ==' END", text(n + "* [[Part "), num(f"({k} * 13) % 2600"), text("]]" + n),
+        if_(f"{k} % 3 = 0", text("== details ==" + n + "again [[broken" + n)), if_(f"{k} % 14 = 1", text("== Further Odd Matters ==" + n + "x" + n)), if_(f"{k} % 6 = 1", text("== References ==" + n + "{{Reflist}}" + n)), if_(f"{k} % 6 = 5", text("== References ==" + n)),
     ]
     return f"concat({', '.join(lines)})".replace("{", "{{").replace("}", "}}")
 

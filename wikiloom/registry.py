@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, docs, docs_parse, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.staging import staged
 
@@ -662,13 +662,13 @@ def _surface(articles):
 
 
 _LINT = rf"""{_LINED}, {_MODULES}, m AS (SELECT title, {_MASKED} AS t FROM articles), w AS (SELECT title, t, 1 AS line FROM m), k(name, known) AS (VALUES ('Short description', ['$1']), ('Cite web', ['url', 'title', 'website', 'date']), ('Infobox item', ['name', 'size', 'image', 'style']), ('Cite book', NULL)),
-issues AS (SELECT title, 'structure.markdown_heading' AS rule, 'error' AS severity, line, t AS evidence FROM lined WHERE regexp_matches(t, '^#+\s+\S')
+issues AS (SELECT title, 'structure.markdown_heading' AS rule, 'error' AS severity, line, t AS evidence FROM lined WHERE regexp_matches(t, '^##+\s+\S')
   UNION ALL SELECT title, 'structure.malformed_heading', 'error', line, t FROM headed WHERE l >= 2 AND l <> r
   UNION ALL SELECT title, 'structure.duplicate_heading', 'warning', line, name FROM (SELECT title, line, lower(name) AS name, row_number() OVER (PARTITION BY title, lower(name) ORDER BY line) AS n FROM headed WHERE l >= 2 AND r >= 2) WHERE n > 1
   UNION ALL SELECT title, 'style.curly_quotes', 'info', line, regexp_extract(t, '([‘’“”])', 1) FROM lined WHERE regexp_matches(t, '[‘’“”]')
   UNION ALL SELECT title, 'style.placeholder_fragment', 'warning', line, 'TODO' FROM lined WHERE regexp_matches(t, '\bTODO\b')
   UNION ALL SELECT title, 'profile.no_citation_needed', 'warning', line, t FROM lined WHERE contains(lower(t), '{{{{citation needed')
-  UNION ALL SELECT title, 'citation.after_punctuation', 'warning', line, regexp_extract(t, '(<ref.*</ref>\.)', 1) FROM lined WHERE contains(t, '</ref>.')
+  UNION ALL SELECT title, 'citation.after_punctuation', 'warning', line, regexp_extract(t, '(<ref.*</ref>[.,])', 1) FROM lined WHERE contains(t, '</ref>.') OR contains(t, '</ref>,')
   UNION ALL SELECT title, 'wikitext.unbalanced', 'error', line, concat('links: ', len(string_split(t, '[[')) - len(string_split(t, ']]'))) FROM w WHERE len(string_split(t, '[[')) <> len(string_split(t, ']]'))
   UNION ALL SELECT title, 'structure.require_reflist', 'error', line, '' FROM w WHERE contains(t, '<ref') AND NOT contains(lower(t), '{{{{reflist')
   UNION ALL SELECT title, 'structure.require_references_section', 'error', line, '' FROM w WHERE contains(t, '<ref') AND NOT contains(t, '== References ==')
@@ -680,7 +680,7 @@ issues AS (SELECT title, 'structure.markdown_heading' AS rule, 'error' AS severi
   UNION ALL SELECT DISTINCT page, 'template.unavailable', 'error', 1, concat('Template:', name) FROM args WHERE NOT starts_with(name, '#') AND name NOT IN (SELECT name FROM k)
   UNION ALL SELECT DISTINCT page, 'template.unknown_parameter', 'warning', 1, concat('Template:', args.name, ' unknown_parameters=', array_to_string(list_sort(list_filter(list_distinct(keys), lambda x: NOT list_contains(known, x))), ', ')) FROM args JOIN k ON args.name = k.name WHERE len(list_filter(keys, lambda x: NOT list_contains(known, x))) > 0
   UNION ALL SELECT DISTINCT page, 'module.unavailable_function', 'error', 1, concat(module, ' function=', "function") FROM mods WHERE "function" <> 'total'
-  UNION ALL SELECT title, 'integration.red_link_in_see_also', 'warning', line, target FROM (SELECT title, line, regexp_extract(t, '== See also ==\n\* \[\[([^\]]*)', 1) AS target FROM w) WHERE target NOT IN (SELECT title FROM articles)
+  UNION ALL SELECT title, 'integration.red_link_in_see_also', 'warning', line, target FROM (SELECT title, line, regexp_extract(t, '== See [Aa]lso ==\n\* \[\[([^\]]*)', 1) AS target FROM w) WHERE target NOT IN (SELECT title FROM articles)
   UNION ALL SELECT title, 'style.sentence_case_heading', 'warning', line, name FROM headed WHERE l >= 2 AND r >= 2 AND regexp_matches(name, '\s[A-Z][a-z]'))"""
 
 
@@ -694,9 +694,28 @@ def n16_lint_counts(articles):
     return markup.lint_counts(markup.lint(articles, **_surface(articles)))
 
 
-@query("articles", r"""SELECT title, regexp_replace(regexp_replace(translate(text, '“”', '""'), '(?m)^# Notes$', '== Notes =='), '(<ref[^>]*>[^<]*</ref>)\.', '.\1', 'g') AS text, TRUE AS fixed FROM articles""")
+_BANNER = "{{Article quality|unverified}}"
+_EDITS = rf"""spot AS (SELECT *, instr(text, chr(10)) AS nl, instr(text, '<ref name="b') - 1 AS ref, regexp_extract(text, '(<ref name="b\d">[^<]*</ref>)\.', 1) AS cited, length(text) AS n FROM articles),
+edits AS (SELECT title, i - 1 AS start, i AS "end", '"' AS replacement, 'style.curly_quotes' AS rule FROM (SELECT title, text, unnest(range(1, n + 1)) AS i FROM spot WHERE contains(text, '“')) WHERE text[i] IN ('“', '”')
+  UNION ALL SELECT title, instr(text, chr(10) || '## Odds'), instr(text, chr(10) || '## Odds') + 7, '== Odds ==', 'structure.markdown_heading' FROM spot WHERE contains(text, '## Odds')
+  UNION ALL SELECT title, instr(text, '== See Also ==') - 1, instr(text, '== See Also ==') + 13, '== See also ==', 'style.sentence_case_heading' FROM spot WHERE contains(text, '== See Also ==')
+  UNION ALL SELECT title, ref, ref + length(cited) + 1, '.' || cited, 'citation.after_punctuation' FROM spot
+  UNION ALL SELECT title, instr(text, '<ref>“') - 1, instr(text, '</ref>,') + 6, ',<ref>“Said” so</ref>', 'citation.after_punctuation' FROM spot WHERE contains(text, '<ref>“')
+  UNION ALL SELECT title, n, n, '{{{{Reflist}}}}' || chr(10), 'structure.require_reflist' FROM spot WHERE ends_with(text, '== References ==' || chr(10))
+  UNION ALL SELECT title, CASE WHEN k % 4 <> 3 THEN nl - 1 ELSE 0 END, CASE WHEN k % 4 <> 3 THEN nl - 1 ELSE 0 END, CASE WHEN k % 4 <> 3 THEN chr(10) || '{{{{Article quality|unverified}}}}' ELSE '{{{{Article quality|unverified}}}}' || chr(10) END, 'structure.require_article_quality_banner' FROM spot)"""
+
+
+@query("articles", f'WITH {_EDITS} SELECT title, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", replacement, rule FROM edits')
+def n16_edits(articles):
+    return fixes.edit_rows(fixes.edited(articles, banner="Article quality"))
+
+
+@query("articles", f"""WITH {_EDITS}, n AS (SELECT title, count(*) AS n_edits FROM edits GROUP BY title),
+f AS (SELECT articles.title, text, k, CAST(n_edits AS INT) AS n_edits, replace(replace(regexp_replace(translate(text, '“”', '""'), '(<ref name="b\\d">[^<]*</ref>)\\.', '.\\1'), '## Odds', '== Odds =='), '== See Also ==', '== See also ==') AS one FROM articles JOIN n ON articles.title = n.title),
+g AS (SELECT *, CASE WHEN ends_with(text, '== References ==' || chr(10)) THEN one || '{{{{Reflist}}}}' || chr(10) ELSE one END AS two FROM f)
+SELECT title, n_edits, k % 15 <> 4 AS fixed, CASE WHEN k % 15 = 4 THEN 'overlap' ELSE 'applied' END AS status, CASE WHEN k % 15 = 4 THEN text WHEN k % 4 <> 3 THEN concat(split_part(two, chr(10), 1), chr(10), '{_BANNER}', substr(two, instr(two, chr(10)))) ELSE concat('{_BANNER}', chr(10), two) END AS text FROM g""")
 def n16_safe_fixes(articles):
-    return markup.safe_fixes(articles)
+    return fixes.applied(fixes.edited(articles, banner="Article quality"))
 
 
 # web pages
