@@ -86,6 +86,15 @@ $x = ', CAST(s_suppkey AS STRING), ';
 </syntaxhighlight>
 ', CASE WHEN s_suppkey % 4 = 0 THEN '<pre>ab</pre><pre>longer</pre>
 ' ELSE '' END) AS text FROM {supplier}""",
+    # templates with their use, calls of modules, what authors ask for and what other lanes name for them
+    "catalog": """SELECT concat('Template:', p_name, ' ', CAST(p_partkey AS STRING)) AS title, lower(p_type) AS category, concat('Made by ', p_brand) AS summary, CAST(coalesce(n, 0) AS BIGINT) AS uses, CAST(coalesce(n_pages, 0) AS BIGINT) AS pages,
+  lower(p_name) AS name, p_brand AS brand, p_size AS size, p_partkey AS k FROM {part} AS p LEFT JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_orderkey) AS n_pages FROM {lineitem} GROUP BY l_partkey) AS u ON p.p_partkey = u.l_partkey""",
+    "module_uses": """SELECT concat('Order ', CAST(l_orderkey AS STRING)) AS page, concat('Module:', p_brand) AS module, concat('show', l_linestatus, CAST(p_size % 3 AS STRING)) AS fn FROM {lineitem} AS l JOIN {part} AS p ON l.l_partkey = p.p_partkey""",
+    "asked": """SELECT CAST(r_regionkey AS BIGINT) AS query, 'Ring' AS term FROM {region} UNION ALL SELECT r_regionkey, concat('brand#', CAST(r_regionkey AS STRING)) FROM {region} UNION ALL SELECT r_regionkey, 'showF' FROM {region} WHERE r_regionkey < 3
+  UNION ALL SELECT r_regionkey, 'size 3' FROM {region} WHERE r_regionkey > 1 UNION ALL SELECT r_regionkey, 'order 1' FROM {region} WHERE r_regionkey = 4 UNION ALL SELECT r_regionkey, lower(r_name) FROM {region} UNION ALL SELECT DISTINCT -1, 'zzzz' FROM {region}""",
+    "lanes": """SELECT CAST(p_partkey % 5 AS BIGINT) AS query, CASE WHEN p_partkey < 6 THEN 'stub_template' WHEN p_partkey % 60 = 7 THEN 'comparable_template' ELSE 'baseline_template' END AS lane, concat('Template:', p_name, ' ', CAST(p_partkey AS STRING)) AS title, CAST(p_size AS BIGINT) AS uses
+  FROM {part} WHERE p_partkey < 6 OR p_partkey % 60 = 7 OR p_partkey % 150 = 9 UNION ALL SELECT p_partkey % 5, 'module_pattern', concat('Module:', p_brand), p_size FROM {part} WHERE p_partkey % 70 = 3
+  UNION ALL SELECT -1, CASE WHEN p_partkey % 3 = 0 THEN 'module_pattern' ELSE 'comparable_template' END, concat('Lost_', p_brand), p_size FROM {part} WHERE p_partkey % 100 = 1""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, contracts, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.staging import staged
 
@@ -821,6 +821,113 @@ def l3_contract_plan(part, region):
     return authoring.contract_plan(authoring.contract_scores(terms, contracts), contracts, 12, 200)
 
 
+_sql["l3_contract_plan"] = f"""WITH RECURSIVE {_CONTRACTS}, s AS (SELECT query, contract, CAST(sum(CASE WHEN contains(title, term) THEN 150 WHEN contains(category, term) THEN 90 WHEN contains(summary, term) THEN 70 ELSE 48 END) + max(least(uses, 60)) AS BIGINT) AS score, max(uses) AS tokens
+  FROM c JOIN q ON contains(title, term) OR contains(category, term) OR contains(summary, term) OR contains(keys, term) GROUP BY query, contract),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, contract) AS place FROM s) WHERE place <= 256),
+w(query, place, used, n, fits) AS (SELECT DISTINCT query, CAST(0 AS BIGINT), 0, 0, FALSE FROM b
+  UNION ALL SELECT w.query, b.place, w.used + CASE WHEN w.n < 12 AND w.used + tokens <= 200 THEN tokens ELSE 0 END, w.n + CASE WHEN w.n < 12 AND w.used + tokens <= 200 THEN 1 ELSE 0 END, w.n < 12 AND w.used + tokens <= 200 FROM w JOIN b ON b.query = w.query AND b.place = w.place + 1)
+SELECT b.query, contract, score, CAST(tokens AS BIGINT) AS tokens, fits AS chosen, CASE WHEN fits THEN '' WHEN n >= 12 THEN 'limit' ELSE 'budget' END AS reason FROM b JOIN w ON b.query = w.query AND b.place = w.place"""
+_INDEX = """cat AS (SELECT title, category, summary, uses, pages, list_sort(list_distinct(list_concat(string_split(name, ' '), [concat('size ', size % 7)]))) AS p,
+  list_concat(CASE WHEN k % 4 <> 3 THEN [concat('Module:', brand)] ELSE [] END, CASE WHEN k % 10 = 0 THEN ['Module:Core'] ELSE [] END) AS m, [concat('Part ', k)] AS x FROM catalog),
+edge AS (SELECT DISTINCT concat('template:', title) AS source, title AS source_title, concat('module:', b) AS target, b AS target_title, 'implemented_by' AS relation FROM (SELECT title, unnest(m) AS b FROM cat)),
+use AS (SELECT lower(module) AS low, count(*) AS uses, count(DISTINCT page) AS pages, list_sort(list_distinct(list(fn))) AS f, list_sort(list_distinct(list(page)))[1:12] AS x FROM module_uses GROUP BY lower(module)),
+mods AS (SELECT target_title AS title, list_sort(list_distinct(list(source_title)))[1:12] AS templates FROM edge GROUP BY target_title),
+node AS (SELECT concat('template:', title) AS contract, 'template' AS kind, title, category, summary, uses, pages, p, CAST([] AS VARCHAR[]) AS f, m, x, concat_ws(' ', title, category, summary, nullif(array_to_string(m, ' '), ''), array_to_string(p, ' '), array_to_string(x, ' ')) AS terms FROM cat
+  UNION ALL SELECT concat('module:', title), 'module', title, 'module', '', coalesce(uses, 0), coalesce(pages, 0), CAST([] AS VARCHAR[]), coalesce(f, CAST([] AS VARCHAR[])), CAST([] AS VARCHAR[]), coalesce(x, CAST([] AS VARCHAR[])), concat_ws(' ', title, nullif(array_to_string(f, ' '), ''), nullif(array_to_string(x, ' '), ''), array_to_string(templates, ' ')) FROM mods LEFT JOIN use ON lower(title) = low),
+shown AS (SELECT contract, uses, greatest(CAST(ceil(length(concat_ws(' ', title, category, summary, array_to_string(p[1:32], ' '), array_to_string(f[1:20], ' '), array_to_string(m[1:12], ' '), array_to_string(x[1:6], ' '))) / 4) AS BIGINT), 1) AS tokens FROM node)"""
+_CANDIDATES = f"""{_INDEX}, term AS (SELECT DISTINCT query, lower(term) AS term FROM asked), low AS (SELECT contract, lower(title) AS t, lower(category) AS c, lower(summary) AS s, lower(array_to_string(p, ' ')) AS p, lower(array_to_string(f, ' ')) AS f, lower(terms) AS w FROM node),
+hit AS (SELECT query, contract, CASE WHEN contains(t, term) THEN 150 WHEN contains(c, term) THEN 90 WHEN contains(s, term) THEN 70 WHEN contains(p, term) THEN 48 WHEN contains(f, term) THEN 48 ELSE 24 END AS weight,
+  CASE WHEN contains(t, term) THEN 'title_match' WHEN contains(c, term) THEN 'category_match' WHEN contains(s, term) THEN 'summary_match' WHEN contains(p, term) THEN 'parameter_match' WHEN contains(f, term) THEN 'function_match' ELSE 'term_profile_match' END AS reason, term
+  FROM low JOIN term ON contains(t, term) OR contains(c, term) OR contains(s, term) OR contains(p, term) OR contains(f, term) OR contains(w, term)),
+named AS (SELECT query, lane, CASE WHEN lane = 'module_pattern' THEN concat('module:', replace(title, '_', ' ')) ELSE concat('template:', replace(title, '_', ' ')) END AS contract, uses,
+  CASE lane WHEN 'stub_template' THEN 520 WHEN 'comparable_template' THEN 260 WHEN 'baseline_template' THEN 80 ELSE 220 END AS weight FROM lanes),
+every AS (SELECT query, contract, weight, reason, term FROM hit UNION ALL SELECT DISTINCT query, contract, weight, lane, NULL FROM named WHERE contract IN (SELECT contract FROM node)),
+summed AS (SELECT query, contract, sum(weight) AS score, string_agg(concat(reason, ':', weight), ',' ORDER BY weight DESC, reason) AS reasons, coalesce(string_agg(DISTINCT term, ',' ORDER BY term), '') AS matched FROM every GROUP BY query, contract),
+rest AS (SELECT query, contract, max(CASE WHEN lane = 'module_pattern' THEN 110 ELSE 120 END) AS weight, max(CASE WHEN lane = 'module_pattern' THEN 'pack_module' ELSE 'pack_template' END) AS reason, max(uses) AS uses FROM named WHERE lane <> 'stub_template' AND query NOT IN (SELECT query FROM summed) GROUP BY query, contract),
+cand AS (SELECT query, summed.contract, CAST(score + least(uses, 60) AS BIGINT) AS score, uses, reasons, matched FROM summed JOIN node ON summed.contract = node.contract
+  UNION ALL SELECT query, contract, CAST(weight + least(uses, 60) AS BIGINT), uses, concat(reason, ':', weight), '' FROM rest)"""
+_PLAN = f"""{_CANDIDATES}, best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, uses DESC, contract) AS place FROM cand),
+cost AS (SELECT query, place, best.contract, score, coalesce(tokens, greatest(CAST(ceil(length(substr(best.contract, instr(best.contract, ':') + 1)) / 4) AS BIGINT), 1)) AS tokens FROM best LEFT JOIN shown ON best.contract = shown.contract WHERE place <= 256),
+walk(query, place, used, n, chosen) AS (SELECT query, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, FALSE FROM (SELECT DISTINCT query FROM cost)
+  UNION ALL SELECT w.query, c.place, w.used + CASE WHEN w.n < 16 AND (w.n = 0 OR w.used + c.tokens <= 300) THEN c.tokens ELSE 0 END, w.n + CASE WHEN w.n < 16 AND (w.n = 0 OR w.used + c.tokens <= 300) THEN 1 ELSE 0 END, w.n < 16 AND (w.n = 0 OR w.used + c.tokens <= 300)
+  FROM walk AS w JOIN cost AS c ON c.query = w.query AND c.place = w.place + 1),
+planned AS (SELECT c.query, c.place, c.contract, c.score, c.tokens, w.chosen, CASE WHEN w.chosen THEN '' WHEN w.n >= 16 THEN 'limit' ELSE 'budget' END AS reason FROM cost AS c JOIN walk AS w ON c.query = w.query AND c.place = w.place),
+met AS (SELECT DISTINCT query, source, target, relation FROM edge JOIN planned ON chosen AND (source = contract OR target = contract))"""
+
+
+def _contracts(catalog, module_uses):
+    """The contract index and its edges, of the catalogue as the tables have it."""
+    k = F.col("k")
+    none = F.array().cast("array<string>")
+    modules = F.concat(F.when(k % 4 != 3, F.array(F.concat(F.lit("Module:"), "brand"))).otherwise(none), F.when(k % 10 == 0, F.array(F.lit("Module:Core"))).otherwise(none))
+    parameters = F.concat(F.split("name", " "), F.array(F.concat(F.lit("Size_"), (F.col("size") % 7).cast("string"))))
+    rows = catalog.select("title", "category", "summary", "uses", "pages", parameters.alias("parameters"), modules.alias("modules"), F.array(F.concat(F.lit("Part "), k.cast("string"))).alias("examples"), none.alias("more"))
+    return contracts.nodes(rows, module_uses.withColumnRenamed("fn", "function")), contracts.edges(rows)
+
+
+@query("catalog module_uses", f"""WITH {_INDEX} SELECT contract, kind, title, category, summary, uses, pages, array_to_string(p, ',') AS parameters, array_to_string(f, ',') AS functions, array_to_string(m, ',') AS modules, array_to_string(x, ',') AS examples, terms FROM node""")
+def h13_contract_nodes(catalog, module_uses):
+    lists = [F.array_join(c, ",").alias(c) for c in ("parameters", "functions", "modules", "examples")]
+    return _contracts(catalog, module_uses)[0].select("contract", "kind", "title", "category", "summary", "uses", "pages", *lists, "terms")
+
+
+@query("catalog module_uses", f"WITH {_INDEX} SELECT source, source_title, target, target_title, relation FROM edge")
+def h13_contract_edges(catalog, module_uses):
+    return _contracts(catalog, module_uses)[1]
+
+
+@query("catalog module_uses asked lanes", f"WITH {_CANDIDATES} SELECT query, contract, score, uses, reasons, matched FROM cand")
+def l2_contract_candidates(catalog, module_uses, asked, lanes):
+    found = contracts.candidates(asked, lanes, _contracts(catalog, module_uses)[0])
+    return found.withColumn("reasons", F.array_join("reasons", ",")).withColumn("matched", F.array_join("matched", ","))
+
+
+def _planned(catalog, module_uses, asked, lanes):
+    index, linked = _contracts(catalog, module_uses)
+    index = staged(index, "contracts")
+    found = staged(contracts.candidates(asked, lanes, index), "candidates")
+    return found, staged(contracts.plan(found, contracts.view(index), 16, 300, 256), "planned"), linked
+
+
+@query("catalog module_uses asked lanes")
+def l5_contract_plan(catalog, module_uses, asked, lanes):
+    return _planned(catalog, module_uses, asked, lanes)[1].withColumn("place", F.col("place").cast("long"))
+
+
+@query("catalog module_uses asked lanes")
+def l5_contract_edges(catalog, module_uses, asked, lanes):
+    _, planned, linked = _planned(catalog, module_uses, asked, lanes)
+    return contracts.touched(planned, linked)
+
+
+@query("catalog module_uses asked lanes")
+def l5_contract_expansion(catalog, module_uses, asked, lanes):
+    _, planned, linked = _planned(catalog, module_uses, asked, lanes)
+    return contracts.expanded(planned, linked, 2)
+
+
+@query("catalog module_uses asked lanes")
+def l5_contract_report(catalog, module_uses, asked, lanes):
+    found, planned, linked = _planned(catalog, module_uses, asked, lanes)
+    return contracts.report(asked, found, planned, linked)
+
+
+def _plan_sql(rest: str) -> str:
+    return f"WITH RECURSIVE {corpus.with_tables('catalog', 'module_uses', 'asked', 'lanes')[5:]}, {_PLAN} {rest}"
+
+
+_sql["l5_contract_plan"] = _plan_sql("SELECT query, place, contract, score, tokens, chosen, reason FROM planned")
+_sql["l5_contract_edges"] = _plan_sql("SELECT query, source, target, relation FROM met")
+_sql["l5_contract_expansion"] = _plan_sql("""SELECT query, contract, CAST(min(hops) AS INT) AS hops FROM (SELECT query, contract, 0 AS hops FROM planned WHERE chosen
+  UNION ALL SELECT query, CASE WHEN side THEN target ELSE source END, 1 FROM planned JOIN (SELECT *, unnest([TRUE, FALSE]) AS side FROM edge) AS e ON contract = CASE WHEN side THEN source ELSE target END WHERE chosen
+  UNION ALL SELECT query, CASE WHEN side THEN f.source ELSE f.target END, 2 FROM planned JOIN (SELECT *, unnest([TRUE, FALSE]) AS side FROM edge) AS e ON contract = CASE WHEN side THEN e.source ELSE e.target END JOIN edge AS f ON CASE WHEN side THEN f.target = e.target ELSE f.source = e.source END WHERE chosen) GROUP BY query, contract""")
+_sql["l5_contract_report"] = _plan_sql("""SELECT q.query, CAST(coalesce(s.chosen, 0) AS BIGINT) AS chosen, CAST(coalesce(s.omitted, 0) AS BIGINT) AS omitted, CAST(coalesce(s.tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(m.n, 0) AS BIGINT) AS edges, coalesce(h.terms, '') AS matched, coalesce(l.terms, '') AS missing,
+  CASE WHEN coalesce(s.chosen, 0) = 0 THEN 'nothing matched' WHEN coalesce(l.terms, '') <> '' THEN 'terms missing' WHEN s.omitted > 0 THEN 'contracts omitted' ELSE '' END AS warning
+FROM (SELECT DISTINCT query FROM asked) AS q LEFT JOIN (SELECT query, count(*) FILTER (chosen) AS chosen, count(*) FILTER (NOT chosen) AS omitted, sum(tokens) FILTER (chosen) AS tokens FROM planned GROUP BY query) AS s ON q.query = s.query LEFT JOIN (SELECT query, count(*) AS n FROM met GROUP BY query) AS m ON q.query = m.query
+LEFT JOIN (SELECT query, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM hit JOIN planned USING (query, contract) WHERE chosen GROUP BY query) AS h ON q.query = h.query
+LEFT JOIN (SELECT query, string_agg(term, ',' ORDER BY term) AS terms FROM term WHERE (query, term) NOT IN (SELECT (query, term) FROM hit JOIN planned USING (query, contract) WHERE chosen) GROUP BY query) AS l ON q.query = l.query""")
+
+
 # templates, modules, documentation sources
 
 
