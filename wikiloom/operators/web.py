@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.functions.text import count_words, domain, normal_spaces
+from wikiloom.functions.text import ascii_lower, count_words, domain, normal_spaces
 
-# What separates blocks, what never is content, entities that are decoded, signs of empty shells and of
-# challenges, and word counts from which an extraction is good or fair.
+# What separates blocks, what never is content, entities that are decoded, signs of empty shells (two
+# make one), and word counts from which an extraction is good or fair.
 BLOCKS = "p|div|h[1-6]|li|ul|ol|tr|br|table|section|blockquote|pre|header|footer|article|main"
 SKIPPED = "script|style|noscript|svg|nav|footer|aside|form|iframe|template"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
-SHELL_SIGNS = ['id="root"', 'id="app"', "__NEXT_DATA__", "enable JavaScript", "window.__INITIAL_STATE__"]
-CHALLENGE_SIGNS = ["cf-challenge", "Just a moment", "captcha", "Access denied"]
+SHELL_SIGNS = ["__next_f.push(", "_next/static/", "__next_data__", "data-reactroot", "ng-version", "window.__nuxt__", 'id="app"', "id='app'"]
+# Signs of one vendor's challenge, and general ones, of which two make a challenge.
+VENDOR_SIGNS = {
+    "cloudflare": ["__cf_chl_", "cf-browser-verification", "just a moment..."],
+    "aws_waf": ["awswafintegration", "awswafcookiedomainlist"],
+    "anubis": ["anubis-auth", "anubis-cookie-verification", "/.within.website/x/cmd/anubis", "making sure you're not a bot", "proof-of-work challenge"],
+    "datadome": ["captcha-delivery", "datadome"],
+    "perimeterx": ["perimeterx", "px-captcha"],
+}
+CHALLENGE_SIGNS = ["verify that you're not a robot", "checking your browser", "challenge-container", "enable javascript and then reload the page", "javascript is disabled", "access denied", "captcha", "challenge.js"]
 GOOD_WORDS, FAIR_WORDS = 350, 40
 
 
@@ -81,11 +89,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def access(pages: DataFrame) -> DataFrame:
-    """page_id, status: challenge where a sign of one stands, app_shell for two signs of a shell, else content."""
-    def signs(names):
-        return sum((F.contains("html", F.lit(n)).cast("int") for n in names), F.lit(0))
-
-    return pages.select("page_id", F.when(signs(CHALLENGE_SIGNS) >= 1, "challenge").when(signs(SHELL_SIGNS) >= 2, "app_shell").otherwise("content").alias("status"))
+    """page_id, status, vendor: challenge for one sign of a vendor's or two general ones, app_shell for two signs of a shell,
+    else content; in either case of A-Z."""
+    rows = pages.select("page_id", ascii_lower(F.col("html")).alias("html"))
+    signs = lambda names: sum((F.contains("html", F.lit(n)).cast("int") for n in names), F.lit(0))
+    vendor = F.coalesce(*(F.when(signs(names) >= 1, name) for name, names in VENDOR_SIGNS.items()))
+    told = rows.select("page_id", "html", vendor.alias("vendor"))
+    return told.select("page_id", F.when(F.col("vendor").isNotNull() | (signs(CHALLENGE_SIGNS) >= 2), "challenge").when(signs(SHELL_SIGNS) >= 2, "app_shell").otherwise("content").alias("status"), "vendor")
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, depth: int, same_host: bool = True) -> DataFrame:

@@ -95,6 +95,17 @@ $x = ', CAST(s_suppkey AS STRING), ';
     "lanes": """SELECT CAST(p_partkey % 5 AS BIGINT) AS query, CASE WHEN p_partkey < 6 THEN 'stub_template' WHEN p_partkey % 60 = 7 THEN 'comparable_template' ELSE 'baseline_template' END AS lane, concat('Template:', p_name, ' ', CAST(p_partkey AS STRING)) AS title, CAST(p_size AS BIGINT) AS uses
   FROM {part} WHERE p_partkey < 6 OR p_partkey % 60 = 7 OR p_partkey % 150 = 9 UNION ALL SELECT p_partkey % 5, 'module_pattern', concat('Module:', p_brand), p_size FROM {part} WHERE p_partkey % 70 = 3
   UNION ALL SELECT -1, CASE WHEN p_partkey % 3 = 0 THEN 'module_pattern' ELSE 'comparable_template' END, concat('Lost_', p_brand), p_size FROM {part} WHERE p_partkey % 100 = 1""",
+    # what the hosts of the web pages say to machines: robots rules, sitemaps (an index of two, and one in a loop), pages with feeds
+    "robots": """SELECT concat(host, '/robots.txt') AS url, concat('# rules of ', host, chr(10), 'Sitemap: ', host, '/sitemap.xml', chr(10), 'User-agent: *', chr(10), 'Disallow: /de/', chr(10), 'Disallow: /*?page=', chr(10), 'Allow: /de/', CAST(n % 10 AS STRING), ' # but these', chr(10), chr(10),
+  'User-Agent: LoomBot', chr(10), 'user-agent: Other', chr(10), 'Disallow: /en/', chr(10), 'Allow: /en/*.html$', chr(10), 'Disallow:', chr(10), 'Content-Signal: search=yes, AI-train=', CASE WHEN n % 2 = 0 THEN 'no' ELSE 'yes' END, ', odd', chr(10), 'Sitemap: /relative.xml', chr(10)) AS text
+  FROM (SELECT lower(regexp_extract(url, '^(https?://[^/]+)', 1)) AS host, count(*) AS n FROM {pages} GROUP BY lower(regexp_extract(url, '^(https?://[^/]+)', 1))) AS hosts WHERE n > 1""",
+    "sitemaps": """SELECT concat(host, '/sitemap.xml') AS url, concat('<?xml version="1.0"?><sitemapindex><sitemap><loc>', host, '/even.xml</loc></sitemap><sitemap><loc> ', host, '/odd.xml </loc></sitemap><sitemap><LOC>', host, '/sitemap.xml</LOC></sitemap></sitemapindex>') AS text
+  FROM (SELECT DISTINCT lower(regexp_extract(url, '^(https?://[^/]+)', 1)) AS host FROM {pages}) AS hosts
+  UNION ALL SELECT concat(host, CASE WHEN odd = 0 THEN '/even.xml' ELSE '/odd.xml' END), concat('<urlset>', string_agg(concat('<url><loc>', replace(loc, '&', '&amp;'), '</loc></url>'), ''), '</urlset>')
+  FROM (SELECT lower(regexp_extract(url, '^(https?://[^/]+)', 1)) AS host, page_id % 2 AS odd, regexp_extract(url, '^([^#]+)', 1) AS loc FROM {pages}) AS locs GROUP BY host, odd""",
+    "web_pages": """SELECT page_id, url, concat(CASE WHEN page_id % 9 = 0 THEN '<p>captcha</p>' WHEN page_id % 9 = 1 THEN '<p>Captcha</p> Access Denied' WHEN page_id % 9 = 2 THEN 'DataDome' WHEN page_id % 9 = 3 THEN '<div id="app"></div><script src="/_next/static/x.js">' ELSE '' END,
+  replace(html, '</head>', concat(CASE WHEN page_id % 4 = 0 THEN '<link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="Alternate" type="application/atom+xml" href="atom?a=1&amp;b=2">' WHEN page_id % 4 = 1 THEN '<link rel="alternate" type="application/feed+json" href="//feeds.example/x.json"><link rel="alternate" type="text/html" href="/m">'
+  WHEN page_id % 4 = 2 THEN '<script type="application/ld+json">{{}}</script>' ELSE '<meta http-equiv="Refresh" content="1; URL=../next">' END, '</head>'))) AS html FROM {pages}""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, contracts, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.staging import staged
 
@@ -763,12 +763,81 @@ def c27_readable_text(pages):
     return web.page_text(pages)
 
 
-_signs = lambda names: " + ".join(f"CAST(contains(html, '{n}') AS INT)" for n in names)
+_signs = lambda names: " + ".join(f"CAST(contains(html, '{n.replace(chr(39), chr(39) * 2)}') AS INT)" for n in names)
 
 
-@_web(f"SELECT page_id, CASE WHEN {_signs(web.CHALLENGE_SIGNS)} >= 1 THEN 'challenge' WHEN {_signs(web.SHELL_SIGNS)} >= 2 THEN 'app_shell' ELSE 'content' END AS status FROM pages")
-def c29_access(pages):
-    return web.access(pages)
+_VENDORS = " ".join(f"WHEN {_signs(names)} >= 1 THEN '{v}'" for v, names in web.VENDOR_SIGNS.items())
+
+
+@query("web_pages", f"WITH s AS (SELECT page_id, lower(html) AS html FROM web_pages), v AS (SELECT page_id, html, CASE {_VENDORS} END AS vendor FROM s) SELECT page_id, CASE WHEN vendor IS NOT NULL OR {_signs(web.CHALLENGE_SIGNS)} >= 2 THEN 'challenge' WHEN {_signs(web.SHELL_SIGNS)} >= 2 THEN 'app_shell' ELSE 'content' END AS status, vendor FROM v")
+def c29_access(web_pages):
+    return web.access(web_pages)
+
+
+_DIRECTIVES = r"""line AS (SELECT url, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM robots),
+said AS (SELECT url, line, lower(trim(split_part(raw, ':', 1))) AS name, trim(regexp_replace(substr(raw, instr(raw, ':') + 1), '\s#.*', '')) AS value FROM line WHERE contains(raw, ':') AND NOT starts_with(raw, '#'))"""
+_ROBOTS = f"""{_DIRECTIVES}, step AS (SELECT *, CASE WHEN name = 'user-agent' AND coalesce(lag(name) OVER w, '') <> 'user-agent' THEN 1 ELSE 0 END AS b FROM said WHERE name IN ('user-agent', 'allow', 'disallow') WINDOW w AS (PARTITION BY url ORDER BY line)),
+grp AS (SELECT *, sum(b) OVER (PARTITION BY url ORDER BY line) AS g FROM step),
+rule AS (SELECT r.url, r.line, lower(a.value) AS agent, r.name = 'allow' AS allow, r.value AS pattern FROM grp AS r JOIN (SELECT DISTINCT url, g, value FROM grp WHERE name = 'user-agent') AS a ON r.url = a.url AND r.g = a.g WHERE r.name <> 'user-agent' AND r.value <> '')"""
+
+
+@query("robots", f"WITH {_ROBOTS} SELECT url, CAST(line AS INT) AS line, agent, allow, pattern FROM rule")
+def c31_robots_rules(robots):
+    return discovery.robots_rules(robots)
+
+
+@query("robots", f"WITH {_DIRECTIVES}, p AS (SELECT url, line, unnest(string_split(value, ',')) AS pair FROM said WHERE name = 'content-signal') SELECT url, CAST(line AS INT) AS line, lower(trim(split_part(pair, '=', 1))) AS key, lower(trim(split_part(pair, '=', 2))) AS value FROM p WHERE contains(pair, '=')")
+def c31_content_signals(robots):
+    return discovery.content_signals(robots)
+
+
+@query("robots", f"WITH {_DIRECTIVES} SELECT url, CAST(line AS INT) AS line, value AS sitemap FROM said WHERE name = 'sitemap' AND regexp_matches(value, '^[a-z]+://')")
+def c31_declared_sitemaps(robots):
+    return discovery.declared_sitemaps(robots)
+
+
+@query("robots web_pages", f"""WITH {_ROBOTS}, req AS (SELECT DISTINCT url, agent, lower(regexp_extract(url, '^(https?://[^/]+)', 1)) AS host, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '#.*', '') AS path FROM web_pages CROSS JOIN (SELECT unnest(['LoomBot', 'Reader']) AS agent)),
+met AS (SELECT req.url, req.agent, allow, pattern FROM req JOIN rule ON rule.url = concat(host, '/robots.txt') AND rule.agent = CASE WHEN lower(req.agent) = 'loombot' THEN 'loombot' ELSE '*' END
+  WHERE CASE pattern WHEN '/*?page=' THEN contains(path, '?page=') WHEN '/en/*.html$' THEN starts_with(path, '/en/') AND ends_with(path, '.html') ELSE starts_with(path, pattern) END),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, agent ORDER BY length(pattern) DESC, allow DESC) AS k FROM met) WHERE k = 1)
+SELECT req.url, req.agent, coalesce(best.allow, TRUE) AS allowed, best.pattern FROM req LEFT JOIN best ON req.url = best.url AND req.agent = best.agent""")
+def c31_allowed(robots, web_pages):
+    asked = web_pages.select("url", F.explode(F.array(F.lit("LoomBot"), F.lit("Reader"))).alias("agent"))
+    return discovery.allowed(asked, discovery.robots_rules(robots))
+
+
+_LOCATIONS = """loc AS (SELECT DISTINCT url, contains(text, '<sitemapindex') AS is_index, replace(trim(unnest(regexp_extract_all(text, '(?i)<loc>(.*?)</loc>', 1))), '&amp;', '&') AS loc FROM sitemaps)"""
+
+
+@query("sitemaps", f"WITH {_LOCATIONS} SELECT url, is_index, loc FROM loc")
+def c31_locations(sitemaps):
+    return discovery.sitemap_locations(sitemaps)
+
+
+@query("robots sitemaps", f"""WITH {_LOCATIONS}, root AS (SELECT DISTINCT replace(url, '/robots.txt', '/sitemap.xml') AS root FROM robots)
+SELECT b.loc AS url, root, CAST(2 AS INT) AS depth FROM root JOIN loc AS a ON a.url = root JOIN loc AS b ON b.url = a.loc WHERE NOT b.is_index GROUP BY ALL""")
+def c31_sitemap_pages(robots, sitemaps):
+    return discovery.sitemap_frontier(discovery.declared_sitemaps(robots).select(F.col("sitemap").alias("url")), sitemaps, 4)
+
+
+@query("web_pages sitemaps", rf"""WITH {_LOCATIONS}, l AS (SELECT DISTINCT loc FROM loc), p AS (SELECT page_id, lower(regexp_replace(url, '/+$', '')) AS key, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+/(?:.*/)?([^/]*)$', 1)) AS token FROM web_pages)
+SELECT page_id, loc, max(CASE WHEN key = lower(regexp_replace(loc, '/+$', '')) THEN 1 ELSE 0 END) = 1 AS exact FROM p JOIN l ON key = lower(regexp_replace(loc, '/+$', '')) OR (length(token) >= 4 AND contains(lower(loc), token)) GROUP BY page_id, loc""")
+def c31_in_sitemaps(web_pages, sitemaps):
+    return discovery.in_sitemaps(web_pages, discovery.sitemap_locations(sitemaps))
+
+
+_FOLDER = r"regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(https?://.*/)', 1)"
+
+
+@query("web_pages", rf"""SELECT page_id, 'rss_feed' AS kind, concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/feed.xml') AS url, 'application/rss+xml' AS type FROM web_pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'atom_feed', concat({_FOLDER}, 'atom?a=1&b=2'), 'application/atom+xml' FROM web_pages WHERE page_id % 4 = 0
+UNION ALL SELECT page_id, 'json_feed', concat(split_part(url, '//', 1), '//feeds.example/x.json'), 'application/feed+json' FROM web_pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'structured_data', url, 'application/ld+json' FROM web_pages WHERE page_id % 4 = 2""")
+def c31_surfaces(web_pages):
+    return discovery.surfaces(web_pages)
+
+
+@query("web_pages", rf"SELECT page_id, regexp_replace(concat({_FOLDER}, '../next'), '[^/]+/\.\./next$', 'next') AS target FROM web_pages WHERE page_id % 4 = 3")
+def c31_redirects(web_pages):
+    return discovery.redirects(web_pages)
 
 
 # documentation and writing
