@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from wikiloom.functions import text as T
 from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
 from wikiloom.plans import corpus
-from wikiloom.staging import staged
+from wikiloom.sources import versions
+from wikiloom.staging import shared_dir, staged
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -997,6 +999,30 @@ LEFT JOIN (SELECT query, string_agg(DISTINCT term, ',' ORDER BY term) AS terms F
 LEFT JOIN (SELECT query, string_agg(term, ',' ORDER BY term) AS terms FROM term WHERE (query, term) NOT IN (SELECT (query, term) FROM hit JOIN planned USING (query, contract) WHERE chosen) GROUP BY query) AS l ON q.query = l.query""")
 
 
+# tables that change together
+
+_MERGED = f"""gone AS (SELECT title FROM pages WHERE page_key % 17 = 3), fresh AS (SELECT * REPLACE (bytes + 1000 AS bytes) FROM pages WHERE page_key % 19 = 5 AND title NOT IN (SELECT title FROM gone)),
+p AS (SELECT title, bytes FROM pages WHERE title NOT IN (SELECT title FROM gone) AND title NOT IN (SELECT title FROM fresh) UNION ALL SELECT title, bytes FROM fresh),
+l AS (SELECT source, target FROM links WHERE source NOT IN (SELECT title FROM gone) AND source NOT IN (SELECT title FROM fresh) UNION ALL SELECT title, 'Part 1' FROM fresh), m AS (SELECT source, target FROM members WHERE source NOT IN (SELECT title FROM gone))"""
+
+
+@query("pages links members", f"""WITH {_MERGED} SELECT 'pages' AS name, title AS key, CAST(count(*) AS BIGINT) AS n, concat('', max(bytes)) AS last FROM p GROUP BY title UNION ALL SELECT 'links', source, count(*), max(target) FROM l GROUP BY source UNION ALL SELECT 'members', source, count(*), max(target) FROM m GROUP BY source""")
+def d22_changed_together(pages, rows, members):
+    """Pages deleted and rewritten with their links and categories, in one version."""
+    spark = pages.sparkSession
+    tables = versions.Tables(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", {"pages": "title", "links": "source", "members": "source"}, 16)
+    tables.commit({"pages": versions.Change(pages), "links": versions.Change(rows), "members": versions.Change(members)})
+    gone = pages.filter("page_key % 17 = 3").select("title")
+    fresh = pages.filter("page_key % 19 = 5").join(gone, "title", "left_anti").withColumn("bytes", F.col("bytes") + 1000).select(*pages.columns)
+    left = gone.select(F.col("title").alias("source"))
+    tables.commit({
+        "pages": versions.Change(fresh, gone), "links": versions.Change(fresh.select(F.col("title").alias("source"), F.lit("Part 1").alias("target")), left), "members": versions.Change(gone=left),
+    })
+    sides = [(tables.read("pages"), "pages", "title", F.col("bytes").cast("string")), (tables.read("links"), "links", "source", F.col("target")), (tables.read("members"), "members", "source", F.col("target"))]
+    out = [t.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.max(last).alias("last")).select(F.lit(name).alias("name"), "key", "n", "last") for t, name, key, last in sides]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # templates, modules, documentation sources
 
 
