@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import stage
+from wikiloom.llm.common import bounded, stage
 
 #: Schemas that arguments are held against where none are given: JSON Schema's types, by tool.
 DEFAULT_SCHEMAS = {
@@ -30,26 +30,103 @@ _TYPES = {
 }
 
 
-#: Levels of JSON that a message or arguments may have; what is deeper is taken as plain text.
-DEEPEST = 200
-
-
 def canonical(value) -> str:
     """JSON with sorted keys and no blanks; ValueError for what has none: non-finite numbers, halves of surrogate pairs."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    try:
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError:
+        text = _written(value)
     text.encode()
     return text
 
 
+def _written(value) -> str:
+    """What json.dumps() gives in canonical(), however deep."""
+    out, open_ = [], [(iter([value]), "")]
+    while open_:
+        items, end = open_[-1]
+        x = next(items, open_)
+        if x is open_:
+            open_.pop()
+            out.append(end)
+            continue
+        if end and out[-1] not in ("{", "["):
+            out.append(",")
+        if end == "}":
+            out.append(f"{json.dumps(x[0], ensure_ascii=False)}:")
+            x = x[1]
+        if isinstance(x, dict | list) and x:
+            out.append("{" if isinstance(x, dict) else "[")
+            open_.append((iter(sorted(x.items(), key=lambda e: e[0])), "}") if isinstance(x, dict) else (iter(x), "]"))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False, allow_nan=False))
+    return "".join(out)
+
+
+def loads(text: str):
+    """json.loads(), however deep the value."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _read(text)
+
+
+def _read(text: str):
+    scan, blank = json.JSONDecoder().scan_once, re.compile(r"[ \t\n\r]*")
+    at = lambda i: blank.match(text, i).end()
+    char = lambda i: text[i : i + 1]
+    i, open_, top = at(0), [], []
+
+    def key(i: int) -> tuple[str, int]:
+        if char(i) != '"':
+            raise ValueError("no key")
+        name, i = scan(text, i)
+        if char(i := at(i)) != ":":
+            raise ValueError("no colon")
+        return name, at(i + 1)
+
+    holder, name = top, None
+    while True:
+        c = char(i)
+        if c in ("{", "["):
+            new, end = ({}, "}") if c == "{" else ([], "]")
+            i = at(i + 1)
+            if char(i) != end:
+                open_.append((holder, name))
+                holder, name = new, None
+                if end == "}":
+                    name, i = key(i)
+                continue
+            value, i = new, i + 1
+        else:
+            try:
+                value, i = scan(text, i)
+            except StopIteration as e:
+                raise ValueError("no value") from e
+        while True:  # the value is whole: put it in, and close what ends here
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            i = at(i)
+            if not open_:
+                if i < len(text):
+                    raise ValueError("more behind the value")
+                return top[0]
+            c, end = char(i), "}" if isinstance(holder, dict) else "]"
+            i = at(i + 1)
+            if c == ",":
+                if end == "}":
+                    name, i = key(i)
+                break
+            if c != end:
+                raise ValueError("not closed")
+            value, (holder, name) = holder, open_.pop()
+
+
 def read_json(text: str):
-    """The value of a JSON text; ValueError where it isn't JSON, can't be written again or is deeper than DEEPEST."""
-    depth = top = 0
-    for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", text):
-        depth += (c in "[{") - (c in "]}")
-        top = max(top, depth)
-    if top > DEEPEST:
-        raise ValueError("too deep")
-    value = json.loads(text)
+    """The value of a JSON text; ValueError where it isn't JSON or can't be written again."""
+    value = loads(text)
     canonical(value)
     return value
 
@@ -100,8 +177,7 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
 
     Structured messages are JSON objects: {"content", "tool_calls": [{"id", "name", "arguments"}]} from the assistant and
     {"tool_call_id", "content"} from a tool. Calls may also be {"id", "type", "function": {"name", "arguments"}}; what else
-    a call says is kept as "extra". Any other text, JSON or not, is plain content: also what holds half a surrogate pair or
-    is nested deeper than DEEPEST. Arguments written as a string stay a string where the same holds for them.
+    a call says is kept as "extra". Any other text, JSON or not, is plain content: also what holds half a surrogate pair. Arguments written as a string stay a string where the same holds for them.
     """
     text = text or ""
     if not text.lstrip().startswith("{"):
@@ -144,7 +220,7 @@ def messages(turns: DataFrame, schemas: dict, conv_col: str, turn_col: str, role
     kinds = [turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 4):
             got = [read_message(r, t, schemas) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(call)), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["conv", "turn", "mark", "role", "content", "calls", "answers"])
@@ -254,18 +330,18 @@ def chat_messages(turns: DataFrame, schemas: dict | None = None, conv_col: str =
     kinds = {c: t for c, t in out.dtypes}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 3):
             said = []
             for role, content, answers, n, tools in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 9)), strict=True):
                 made: dict = {"role": role or "", "content": content}
                 if n:
                     made["tool_calls"] = []
                     for x in map(json.loads, tools):
-                        x["arguments"] = json.loads(x["arguments"])
+                        x["arguments"] = loads(x["arguments"])
                         del x["place"]
                         extra = x.pop("extra")
                         if extra is not None:
-                            x["extra"] = json.loads(extra)
+                            x["extra"] = loads(extra)
                         made["tool_calls"].append(x)
                 if answers is not None:
                     made["tool_call_id"] = answers

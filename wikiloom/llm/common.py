@@ -115,6 +115,17 @@ def attach(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int)
     )
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has as columns in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text):
     """A-Z in lower case, all else as it is. lower() has a fast path for pure ASCII but folds other letters too."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import ascii_lower, stage
+from wikiloom.llm.common import ascii_lower, fresh, stage
 
 #: What parts words: ASCII that is neither digit nor lower-case letter, once A-Z are lower-cased.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -41,16 +41,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     A window is n consecutive words of a test item; an item of fewer words, but not none, is one window. A span is a
     place where a window's words occur, found by hash and verified word by word. Null or empty texts have no words;
     items without words have no windows, those with a null id have windows and aren't listed; an empty benchmark gives no spans. Repeated rows give one row
-    each; null ids are kept. Documents are read once, and only one row per document and one per hit are shuffled.
+    each; null ids are kept. Where the windows are broadcast, documents are read once, and only one row per document and one per hit are shuffled.
     """
     spark = docs.sparkSession
     tests = stage(test_windows(benchmark, item_col, item_text_col, n), "test-windows")
     lengths = sorted((r[0] for r in tests.select("len").distinct().collect()), reverse=True)  # n at most
     weight = F.octet_length("gram") + 16 * F.size("items") + F.octet_length(F.array_join("items", "")) + 64
     few = tests.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    head = spark.range(1).select(F.lit(_HEAD).cast("long").alias("hash"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<string>").alias("items"))
-    tests = tests.unionByName(head)
-
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("w"))
     hashed = [f"if(size(w) >= {k}, transform(sequence(1, size(w) - {k} + 1), i -> xxhash64(slice(w, i, {k}))), cast(array() as array<bigint>))" for k in lengths]
     dealt = base.select("id", "mark", "w", F.size("w").cast("long").alias("n_words"), F.expr(f"concat(array({_HEAD}L), {', '.join(hashed)})" if hashed else f"array({_HEAD}L)").alias("hashes"))
@@ -62,14 +59,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         here = F.col("place") - before
         size, start = F.when(here > 0, k).otherwise(size), F.when(here > 0, here).otherwise(start)
         before = before + F.greatest(F.col("n_words") - k + 1, F.lit(0))
-    same = "(place = 0 and len = 0) or (place > 0 and len > 0 and size = len and {} = gram)"
-    words_at = F.array_join(F.slice("w", F.greatest("start", F.lit(1)).cast("int"), F.col("size")), " ")
-    if few:  # the words stay where they are and are compared only where a hash is found
-        found = seen.join(F.broadcast(tests), "hash").withColumn("size", size).withColumn("start", start.cast("int"))
-        true = found.filter(F.expr(same.format("array_join(slice(w, greatest(start, 1), size), ' ')")))
-    else:
-        text = seen.withColumn("size", size).withColumn("start", start.cast("int")).withColumn("words_at", words_at).drop("w")
-        true = text.join(tests, "hash").filter(same.format("words_at"))
+    if not few:
+        return _shuffled_hits(base, seen.withColumn("size", size).withColumn("start", start.cast("int")), tests)
+    # the words stay where they are and are compared only where a hash is found; each document's head is one row more
+    head = spark.range(1).select(F.lit(_HEAD).cast("long").alias("hash"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<string>").alias("items"))
+    found = seen.join(F.broadcast(tests.unionByName(head)), "hash").withColumn("size", size).withColumn("start", start.cast("int"))
+    true = found.filter(F.expr("(place = 0 and len = 0) or (place > 0 and len > 0 and size = len and array_join(slice(w, greatest(start, 1), size), ' ') = gram)"))
     span = F.when(F.col("len") > 0, F.struct("start", "len"))
     by_doc = true.groupBy("id", "mark", "n_words").agg(
         F.sum((F.col("len") == 0).cast("int")).alias("times"), F.sort_array(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
@@ -77,6 +72,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return by_doc.select("id", "mark", "n_words", "spans", "items", F.explode(F.expr("sequence(1, int(times))")).alias("copy")).drop("copy")
 
 
+def _shuffled_hits(base: DataFrame, seen: DataFrame, tests: DataFrame) -> DataFrame:
+    """benchmark_hits() where the windows are too many to broadcast: hashes and places meet them by a shuffle that carries no
+    words and no row for a document without windows; what is found goes back to its document, once, and is verified there."""
+    met = seen.filter("place > 0").select("id", "mark", "start", "size", "hash").join(tests, "hash").filter("size = len")
+    near = met.groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("start", "len", "gram", "items")).alias("near"))
+    rows = base.join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    true = F.filter(F.coalesce("near", F.array().cast(near.schema["near"].dataType)), lambda x: F.array_join(F.slice("w", x.start, x.len), " ") == x.gram)
+    told = rows.select("id", "mark", F.size("w").cast("long").alias("n_words"), true.alias("true"))
+    spans = F.array_sort(F.array_distinct(F.transform("true", lambda x: F.struct(x.start.alias("start"), x.len.alias("len")))))
+    return told.select("id", "mark", "n_words", spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda x: x["items"])))).alias("items"))
+
+
 def hit_words(spans: Column) -> Column:
     """The distinct places of words inside spans."""
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s.start, s.start + s.len - 1))))
@@ -99,16 +106,17 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     Null and empty texts stay; null ids are cut like others, repeated rows alike; an empty benchmark leaves all as it was.
     """
     found = benchmark_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, n).filter("size(spans) > 0").dropDuplicates(["id", "mark"])
-    found = stage(found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), hit_words(F.col("spans")).alias("__hit"), F.col("n_words").alias("__words")), "hits")
-    total = found.agg(F.coalesce(F.sum(F.size("__hit") + 8), F.lit(0))).first()[0]
+    own, mark, hit, words_in, fp, parts, cut = fresh(docs, "__id", "__mark", "__hit", "__words", "__fp", "__pieces", "__cut")
+    found = stage(found.select(F.col("id").alias(own), F.col("mark").alias(mark), hit_words(F.col("spans")).alias(hit), F.col("n_words").alias(words_in)), "hits")
+    total = found.agg(F.coalesce(F.sum(F.size(hit) + 8), F.lit(0))).first()[0]
     side = F.broadcast(found) if total <= BROADCAST_HITS else found
-    rows = docs.withColumn("__fp", F.xxhash64(text_col)).join(side, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__mark")), "left")
-    rows = rows.filter(F.col("__hit").isNull() | (F.size("__hit") < drop_share * F.col("__words")))
+    rows = docs.withColumn(fp, F.xxhash64(text_col)).join(side, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(fp) == F.col(mark)), "left")
+    rows = rows.filter(F.col(hit).isNull() | (F.size(hit) < drop_share * F.col(words_in)))
     pieces = F.regexp_extract_all(text_col, F.lit("([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), F.lit(1))
     tail = F.regexp_extract(text_col, "([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)\\z", 1)
-    rows = rows.withColumn("__pieces", F.when(F.col("__hit").isNotNull(), pieces))
+    rows = rows.withColumn(parts, F.when(F.col(hit).isNotNull(), pieces))
     # one hashed difference and one walk, however many words are hit
-    left = F.array_except(F.sequence(F.lit(1), F.greatest(F.size("__pieces"), F.lit(1))), F.col("__hit"))
-    kept = F.transform(left, lambda i: F.get("__pieces", i - 1))
-    rows = rows.withColumn("__cut", F.when(F.col("__hit").isNotNull(), F.concat(F.array_join(kept, ""), tail)))
-    return rows.withColumn(text_col, F.coalesce("__cut", text_col)).select(*docs.columns)
+    left = F.array_except(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), F.col(hit))
+    kept = F.transform(left, lambda i: F.get(parts, i - 1))
+    rows = rows.withColumn(cut, F.when(F.col(hit).isNotNull(), F.concat(F.array_join(kept, ""), tail)))
+    return rows.withColumn(text_col, F.coalesce(cut, text_col)).select(*docs.columns)

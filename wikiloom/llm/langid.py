@@ -128,7 +128,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 128):
                 counts, letters = vectors(texts[a : a + 128])
-                slots, times = zip(*((np.flatnonzero(c).astype(np.uint16).tobytes(), np.minimum(c[c > 0], 65535).astype(np.uint16).tobytes()) for c in counts), strict=True) if len(counts) else ((), ())
+                slots, times = zip(*((np.flatnonzero(c).astype(np.uint16).tobytes(), c[c > 0].astype(np.uint32).tobytes()) for c in counts), strict=True) if len(counts) else ((), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 128), pa.array(slots, pa.binary()), pa.array(times, pa.binary()), pa.array(letters)], ["lang", "slots", "times", "letters"])
 
     found = _sampled(named, F.col("k")).mapInArrow(run, "lang string, slots binary, times binary, letters long").filter("letters > 0").toArrow()
@@ -137,7 +137,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     own = np.searchsorted(langs, names) if langs else np.zeros(0, int)
     counts = np.zeros((len(names), DIMS), np.float32)
     for row, slots, times in zip(counts, found.column("slots").to_pylist(), found.column("times").to_pylist(), strict=True):
-        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(times, np.uint16)
+        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(times, np.uint32)
     order = np.lexsort((counts.sum(axis=1), letters, own))  # the same fit in whatever order rows come
     counts, own = counts[order], own[order]
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import attach, bounded, scaled_partitions, stage
+from wikiloom.llm.common import attach, bounded, fresh, scaled_partitions, stage
 from wikiloom.llm.components import Forest, block_pairs, components, each_group
 from wikiloom.llm.textgrid import byte_words, mix, slabs
 
@@ -283,15 +283,16 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents with a null id or without words stay. Of rows that share an id one stays.
     """
-    told = stage(near_duplicates(docs, id_col, text_col, words, percent).select(F.col(id_col).alias("__id"), "kept"), "told")
-    gone = told.filter("not kept").select("__id").distinct()
+    own, whole = fresh(docs, "__id", "__row")
+    told = stage(near_duplicates(docs, id_col, text_col, words, percent).select(F.col(id_col).alias(own), "kept"), "told")
+    gone = told.filter("not kept").select(own).distinct()
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    out = docs.join(side, F.col(id_col) == F.col("__id"), "left_anti")
-    twice = told.filter("kept and __id is not null").groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    out = docs.join(side, F.col(id_col) == F.col(own), "left_anti")
+    twice = told.filter(F.col("kept") & F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias("n")).filter("n > 1").select(own)
     if twice.head(1):
-        again = out.join(twice, F.col(id_col) == F.col("__id"), "left_semi")
+        again = out.join(twice, F.col(id_col) == F.col(own), "left_semi")
         # the least row of each id, without holding all rows of an id at once
         row = F.struct(text_col, *[c for c in docs.columns if c not in (id_col, text_col)])
-        one = again.groupBy(id_col).agg(F.min(row).alias("__row")).select(id_col, "__row.*").select(*docs.columns)
-        out = out.join(twice, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
+        one = again.groupBy(id_col).agg(F.min(row).alias(whole)).select(id_col, f"{whole}.*").select(*docs.columns)
+        out = out.join(twice, F.col(id_col) == F.col(own), "left_anti").unionByName(one)
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import attach, bounded, stage
+from wikiloom.llm.common import attach, bounded, fresh, stage
 
 # The kinds and patterns of the contract. Kinds sort in this order where they start at one place.
 KINDS = ["assign", "access", "hex", "token"]
@@ -141,17 +141,26 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repo, owner = F.xxhash64(text_col), F.col(id_col) if once else F.col("source")
     found = stage(scan(docs, id_col, text_col, repo, owner).filter("size(found) > 0"), "secrets")
     spans = judged(found, stage(ownership(found, once), "values"))
-    live = spans.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.filter("spans", lambda s: s.live).alias("__live")).filter("size(__live) > 0")
-    rows = docs.withColumn("__fp", F.xxhash64(text_col)).join(live, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__mark")), "left")
-    # what stands before each span that starts past all spans before it, then the mask; then the rest
-    end = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-
-    def step(done, s):
-        overlap = s.start < done.at
-        return F.struct(
-            F.when(overlap, done.text).otherwise(F.concat(done.text, F.substring(F.col(text_col), (done.at + 1).cast("int"), (s.start - done.at).cast("int")), F.lit(mask))).alias("text"),
-            F.greatest(done.at, s["end"]).alias("at"),
-        )
-
-    masked = F.aggregate("__live", end, step, lambda done: F.concat(done.text, F.substring(F.col(text_col), (done.at + 1).cast("int"), F.lit(1 << 30))))
-    return rows.withColumn(text_col, F.when(F.col("__live").isNotNull(), masked).otherwise(F.col(text_col))).select(*docs.columns)
+    own, mark, live, fp = fresh(docs, "__id", "__mark", "__live", "__fp")
+    side = spans.select(F.col("id").alias(own), F.col("mark").alias(mark), F.transform(F.filter("spans", lambda s: s.live), lambda s: F.struct(s.start, s["end"])).alias(live)).filter(F.size(live) > 0)
+    rows = docs.withColumn(fp, F.xxhash64(text_col)).join(side, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(fp) == F.col(mark)), "left").select(*docs.columns, live)
+    text_at, schema = docs.columns.index(text_col), docs.schema
+
+    def masked(text: str, places: list[dict]) -> str:
+        """What stands before each span that starts past all spans before it, then the mask; then the rest."""
+        out, at = [], 0
+        for s in places:
+            if s["start"] >= at:
+                out += [text[at : s["start"]], mask]
+            at = max(at, s["end"])
+        return "".join([*out, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text_at):
+            texts = batch.column(text_at)
+            places = batch.column(batch.num_columns - 1)
+            if places.null_count < len(places):
+                texts = pa.array([masked(t, x) if x else t for t, x in zip(texts.to_pylist(), places.to_pylist(), strict=True)], texts.type)
+            yield pa.RecordBatch.from_arrays([texts if k == text_at else batch.column(k) for k in range(batch.num_columns - 1)], schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -16,10 +16,10 @@ from wikiloom.llm.textgrid import Grid, mix, prefix, slabs, span_hashes
 
 #: Labelled rows that the classifier is fitted on, of either label.
 EXAMPLES = {1: 5000, 0: 12000}
-#: Terms that the index holds at most and in how many examples a term must be. It must surely (standard errors of the
+#: In how many examples a term of the index must be (so the sample bounds their number). It must surely (standard errors of the
 #: smoothed log odds) be LIFT times as likely in label 1: rare terms count where they are pure, however many rows there
 #: are, common words that are a little more frequent don't.
-TERMS, SEEN, SURE, LIFT = 30_000, 3, 1.64, 1.35
+SEEN, SURE, LIFT = 3, 1.64, 1.35
 #: Neighbours that vote; examples in a block of the index; weight of the prior beside the votes.
 NEAREST, BLOCK, PRIOR = 50, 64, 0.2
 #: A word is a term, and so are its beginnings of these lengths.
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a, b = F.col("ones") + 0.5, F.col("zeros") + 0.5
     odds = F.log(a / (ones + 1) / (b / (zeros + 1)))
     sure = odds - SURE * F.sqrt(1 / a + 1 / b)
-    picked = seen.filter(F.col("ones") + F.col("zeros") >= SEEN).withColumn("sure", sure).filter(F.col("sure") >= math.log(LIFT)).orderBy(F.desc("sure"), "term").limit(TERMS).toPandas()
+    picked = seen.filter(F.col("ones") + F.col("zeros") >= SEEN).withColumn("sure", sure).filter(F.col("sure") >= math.log(LIFT)).toPandas()
     term = np.sort(picked["term"].to_numpy(np.int64))
     by = picked.set_index("term").reindex(term)
     df = by["ones"].to_numpy(float) * (n_of[1][1] / max(ones, 1)) + by["zeros"].to_numpy(float) * (n_of[0][1] / max(zeros, 1))
