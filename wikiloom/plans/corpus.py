@@ -106,6 +106,13 @@ $x = ', CAST(s_suppkey AS STRING), ';
     "web_pages": """SELECT page_id, url, concat(CASE WHEN page_id % 9 = 0 THEN '<p>captcha</p>' WHEN page_id % 9 = 1 THEN '<p>Captcha</p> Access Denied' WHEN page_id % 9 = 2 THEN 'DataDome' WHEN page_id % 9 = 3 THEN '<div id="app"></div><script src="/_next/static/x.js">' ELSE '' END,
   replace(html, '</head>', concat(CASE WHEN page_id % 4 = 0 THEN '<link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="Alternate" type="application/atom+xml" href="atom?a=1&amp;b=2">' WHEN page_id % 4 = 1 THEN '<link rel="alternate" type="application/feed+json" href="//feeds.example/x.json"><link rel="alternate" type="text/html" href="/m">'
   WHEN page_id % 4 = 2 THEN '<script type="application/ld+json">{{}}</script>' ELSE '<meta http-equiv="Refresh" content="1; URL=../next">' END, '</head>'))) AS html FROM {pages}""",
+    # what guides say, one for each brand; rules come from the parts of the brand
+    "guides": """SELECT concat('Guide ', p_brand) AS doc, concat('# Writing', chr(10), 'Never output Markdown. Begin with {{{{SHORTDESC:text}}}}.', chr(10), '## Citations', chr(10), '{{{{Cite web|url=|title=}}}}', chr(10), '  {{{{Cite_book |title=}}}}', chr(10), '{{{{Cite web|again=}}}}', chr(10), '{{{{Cite ', lower(min(p_type)), '|x=}}}}', chr(10),
+  '## 6. Infobox selection', chr(10), '| Subject type | Template |', chr(10), '|---|---|', chr(10), string_agg(DISTINCT concat('| ', p_type, ' ', CAST(p_size % 2 AS STRING), ' | `{{{{Infobox_', CASE WHEN p_size % 2 = 0 THEN 'item' ELSE lower(p_type) END, '}}}}` |', chr(10)), ''), '### Other', chr(10), '| Not | {{{{Read}}}} |', chr(10),
+  '## VI. Unreliable sources', chr(10), string_agg(DISTINCT concat('- Site ', CAST(p_size AS STRING), ' (site', CAST(p_size AS STRING), '.example) — not checked', chr(10)), ''), '- Some Forum — no', chr(10), '- Tube (www.youtube.com)', chr(10),
+  '## Style', chr(10), '**Never use:**', chr(10), '- "Read again" and "said  Again", not "', min(p_brand), '"', chr(10), '### Next', chr(10), '- "not this"', chr(10), '**Watch list — use sparingly or not at all:**', chr(10), '- doubtful, brand , Plain note', chr(10), '### No placeholder content', chr(10), 'Such as `TODO finish` or ``.', chr(10),
+  '## Tags', chr(10), 'Contract: kind=tag; name=t', CAST(count(*) % 3 AS STRING), '; provider=Ext; syntax=<t>; body=required; attributes=a, b,', chr(10), '```', chr(10), '<t>', chr(10), 'Contract: kind=no; name=no', chr(10), '</t>', chr(10), '```', chr(10), 'Contract: kind=function; name=f', chr(10), '## End', chr(10), '```', chr(10), 'none', chr(10), '```', chr(10), 'Contract: kind=x') AS text
+  FROM {part} GROUP BY p_brand""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, rules, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.sources import versions
 from wikiloom.staging import shared_dir, staged
@@ -999,6 +999,72 @@ LEFT JOIN (SELECT query, string_agg(DISTINCT term, ',' ORDER BY term) AS terms F
 LEFT JOIN (SELECT query, string_agg(term, ',' ORDER BY term) AS terms FROM term WHERE (query, term) NOT IN (SELECT (query, term) FROM hit JOIN planned USING (query, contract) WHERE chosen) GROUP BY query) AS l ON q.query = l.query""")
 
 
+# rules of guides and what they meet
+
+_GUIDES = r"""gl AS (SELECT doc, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM guides),
+gs AS (SELECT doc, line, raw, trim(raw) AS t, last_value(CASE WHEN starts_with(trim(raw), '#') THEN trim(raw) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line) AS section FROM gl),
+found AS (SELECT doc, 'citation_template' AS kind, lower(trim(regexp_extract(replace(t, '_', ' '), '^\{\{Cite ([^|]*)\|', 1))) AS key, concat('Template:', trim(regexp_extract(replace(t, '_', ' '), '^\{\{(Cite [^|]*)\|', 1))) AS value, line FROM gs WHERE starts_with(t, '{{Cite ')
+  UNION ALL SELECT doc, 'infobox', trim(split_part(t, '|', 2)), concat('Template:', replace(regexp_extract(t, '\{\{(.*?)\}\}', 1), '_', ' ')), line FROM gs WHERE section = '## 6. Infobox selection' AND contains(t, '{{')
+  UNION ALL SELECT doc, 'unreliable_source', CASE WHEN contains(t, '(') THEN regexp_extract(t, '\((.*?)\)', 1) ELSE lower(trim(split_part(substr(t, 3), '—', 1))) END, trim(split_part(substr(t, 3), '—', 1)), line FROM gs WHERE section = '## VI. Unreliable sources' AND starts_with(t, '- ')
+  UNION ALL SELECT doc, 'banned_phrase', w, w, line FROM (SELECT doc, line, regexp_replace(trim(unnest(regexp_extract_all(t, '"([^"]*)"', 1))), '\s+', ' ', 'g') AS w FROM gs WHERE section = '## Style') AS b
+  UNION ALL SELECT doc, 'watch_term', trim(w), trim(w), line FROM (SELECT doc, line, unnest(string_split(substr(t, 3), ',')) AS w FROM gs WHERE starts_with(t, '- doubtful')) AS c
+  UNION ALL SELECT doc, 'placeholder', 'TODO finish', 'TODO finish', line FROM gs WHERE contains(t, '`TODO finish`')
+  UNION ALL SELECT doc, 'setting', 'forbid_markdown', 'true', line FROM gs WHERE contains(t, 'Never output Markdown') UNION ALL SELECT doc, 'setting', 'short_description', 'true', line FROM gs WHERE contains(t, '{{SHORTDESC:')),
+rule AS (SELECT doc, kind, key, value, line FROM (SELECT *, row_number() OVER (PARTITION BY doc, kind, lower(key) ORDER BY line, key, value) AS k FROM found) WHERE k = 1)"""
+
+
+@query("guides", f"WITH {_GUIDES} SELECT doc, kind, key, value FROM rule")
+def c32_guide_rules(guides):
+    return rules.guide_rules(guides).drop("line")
+
+
+@query("guides", """WITH t AS (SELECT doc, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM guides)
+SELECT doc, CAST(line AS INT) AS line, regexp_extract(raw, 'kind=(\\w+)', 1) AS kind, regexp_extract(raw, 'name=(\\w+)', 1) AS name, regexp_extract(raw, 'provider=(\\w+)', 1) AS provider, regexp_extract(raw, 'syntax=([^;]*)', 1) AS syntax, contains(raw, 'required') AS body_required,
+  CASE WHEN contains(raw, 'attributes') THEN 'a,b' ELSE '' END AS attributes, CASE WHEN contains(raw, 'kind=tag') THEN concat('<t>', chr(10), 'Contract: kind=no; name=no', chr(10), '</t>') ELSE '' END AS example FROM t WHERE contains(raw, 'kind=tag') OR contains(raw, 'kind=function')""")
+def c32_extension_contracts(guides):
+    return rules.extension_contracts(guides).withColumn("attributes", F.array_join("attributes", ","))
+
+
+@query("guides articles", rf"""WITH {_GUIDES}, r AS (SELECT DISTINCT kind, key, list_filter(regexp_split_to_array(lower(key), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS asked FROM rule WHERE kind IN ('banned_phrase', 'watch_term', 'placeholder')),
+w AS (SELECT title, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS have FROM articles), p AS (SELECT title, have, unnest(range(1, len(have) + 1)) AS k FROM w)
+SELECT title, kind, key, count(*) AS n FROM p JOIN r ON p.have[k] = r.asked[1] AND p.have[k : k + len(r.asked) - 1] = r.asked GROUP BY title, kind, key""")
+def k7_phrase_uses(guides, articles):
+    return rules.phrase_uses(articles, rules.guide_rules(guides))
+
+
+@query("guides articles", rf"""WITH {_GUIDES}, {_REFS}, i AS (SELECT DISTINCT key, value, lower(regexp_replace(key, '^www\.', '')) AS e FROM rule WHERE kind = 'unreliable_source')
+SELECT page, CAST(place AS INT) AS place, domain, key, value AS label, CASE WHEN domain = e THEN 'exact' ELSE 'below' END AS match FROM ref JOIN i ON domain = e OR ends_with(domain, concat('.', e))""")
+def k7_source_uses(guides, articles):
+    return rules.source_uses(references.references(articles), rules.guide_rules(guides))
+
+
+def _surface_sql(kind: str, used: str) -> str:
+    return f"""n AS (SELECT lower(template) AS k, count(DISTINCT page) AS pages, min(template) AS t, array_to_string(list_sort(list_distinct(list(page)))[1:6], '; ') AS examples FROM ({used}) GROUP BY lower(template)),
+m AS (SELECT lower(value) AS k, min(value) AS rule, min(key) AS subject FROM rule WHERE kind = '{kind}' GROUP BY lower(value))
+SELECT coalesce(t, rule) AS template, subject, CASE WHEN t IS NULL THEN 'profile' WHEN rule IS NULL THEN 'comparables' ELSE 'both' END AS source, coalesce(pages, 0) AS pages, coalesce(examples, '') AS examples FROM n FULL JOIN m ON n.k = m.k"""
+
+
+_BOXES = "SELECT page, concat('Template:', name) AS template FROM args WHERE starts_with(name, 'Infobox')"
+
+
+@query("guides articles", f"WITH {_GUIDES}, {_CALLS}, {_surface_sql('infobox', _BOXES)}")
+def k7_infobox_surface(guides, articles):
+    used = markup.template_calls(articles).filter(F.startswith("template", F.lit("Template:Infobox")))
+    return rules.template_surface(used, rules.guide_rules(guides), "infobox")
+
+
+@query("guides articles", f"WITH {_GUIDES}, {_REFS}, {_surface_sql('citation_template', 'SELECT page, template FROM ref WHERE template IS NOT NULL')}")
+def k7_citation_surface(guides, articles):
+    used = references.references(articles).filter("template is not null")
+    return rules.template_surface(used, rules.guide_rules(guides), "citation_template")
+
+
+@query("guides articles", f"""WITH {_GUIDES}, {_CALLS}, met AS (SELECT DISTINCT key AS subject, template, page FROM ({_BOXES}) AS b JOIN rule ON kind = 'infobox' AND lower(value) = lower(template))
+SELECT subject, string_agg(DISTINCT template, '; ') AS templates, count(DISTINCT page) AS pages, array_to_string(list_sort(list_distinct(list(page)))[1:6], '; ') AS examples FROM met GROUP BY subject""")
+def k7_subject_hints(guides, articles):
+    return rules.subject_hints(markup.template_calls(articles).filter(F.startswith("template", F.lit("Template:Infobox"))), rules.guide_rules(guides))
+
+
 # tables that change together
 
 _MERGED = f"""gone AS (SELECT title FROM pages WHERE page_key % 17 = 3), fresh AS (SELECT * REPLACE (bytes + 1000 AS bytes) FROM pages WHERE page_key % 19 = 5 AND title NOT IN (SELECT title FROM gone)),
