@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, references, retrieve, rules, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, pack, references, retrieve, rules, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.sources import versions
 from wikiloom.staging import shared_dir, staged
@@ -1065,6 +1065,55 @@ def k7_subject_hints(guides, articles):
     return rules.subject_hints(markup.template_calls(articles).filter(F.startswith("template", F.lit("Template:Infobox"))), rules.guide_rules(guides))
 
 
+# knowledge pack
+
+_LANES = r"""topic AS (SELECT page_key AS query, title FROM pages WHERE namespace = 'Main' AND NOT is_redirect AND page_key % 20 = 1),
+lk AS (SELECT DISTINCT source, target FROM links), near AS (SELECT query, title, target AS page, 160 AS w FROM topic JOIN lk ON source = title UNION ALL SELECT query, title, source, 120 FROM topic JOIN lk ON target = title),
+rel AS (SELECT query, page, sum(w) AS score FROM near WHERE page <> title AND page IN (SELECT title FROM pages WHERE namespace = 'Main' AND NOT is_redirect) GROUP BY query, page),
+related AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS rank FROM rel) WHERE rank <= 8),
+own AS (SELECT query, target AS item FROM topic JOIN lk ON source = title UNION ALL SELECT query, title FROM topic),
+said AS (SELECT query, page, place AS p, text, tokens, row_number() OVER (PARTITION BY query, page ORDER BY place, text, tokens) AS turn FROM related JOIN examples USING (page)),
+told AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY turn, page, p, text, tokens) AS rank FROM said WHERE turn <= 2),
+counted AS (SELECT query, 'templates' AS lane, 6 AS most, template AS item, count(DISTINCT page) AS n FROM related JOIN invocations USING (page) GROUP BY query, template
+  UNION ALL SELECT query, 'links', 10, target, count(DISTINCT page) FROM related JOIN lk ON source = page WHERE (query, target) NOT IN (SELECT (query, item) FROM own) GROUP BY query, target
+  UNION ALL SELECT query, 'categories', 5, target, count(DISTINCT page) FROM related JOIN members ON source = page GROUP BY query, target
+  UNION ALL SELECT query, 'references', 6, regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '^www\.', ''), count(*) FROM related JOIN citations USING (page) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query, lane ORDER BY n DESC, item) AS rank FROM counted),
+lane AS (SELECT query, 'related' AS lane, rank, page AS item, ceil(length(page) / 4) + ceil(length(name) / 4) AS tokens FROM related JOIN pages ON title = page
+  UNION ALL SELECT query, 'passages', rank, concat(page, ': ', text), tokens FROM told WHERE rank <= 12 UNION ALL SELECT query, lane, rank, item, ceil(length(item) / 4) FROM ranked WHERE rank <= most),
+turns AS (SELECT query, CAST(lane AS VARCHAR) AS lane, CAST(rank AS INT) AS rank, item, CAST(tokens AS BIGINT) AS tokens,
+  row_number() OVER (PARTITION BY query ORDER BY rank > 1, list_position(['related', 'passages', 'templates', 'links', 'categories', 'references'], lane), rank) AS turn FROM lane),
+walk(query, turn, used, kept) AS (SELECT DISTINCT query, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE FROM turns
+  UNION ALL SELECT w.query, t.turn, CASE WHEN w.used + t.tokens <= 160 THEN w.used + t.tokens ELSE w.used END, w.used + t.tokens <= 160 FROM walk AS w JOIN turns AS t ON t.query = w.query AND t.turn = w.turn + 1),
+packed AS (SELECT t.query, CAST(t.turn AS INT) AS turn, lane, rank, item, tokens, kept, used FROM turns AS t JOIN walk AS w ON t.query = w.query AND t.turn = w.turn)"""
+
+
+def _pack_sql(rest: str) -> str:
+    return f"WITH RECURSIVE {corpus.with_tables('pages', 'links', 'members', 'invocations', 'citations', 'examples')[5:]}, {_LANES} {rest}"
+
+
+def _pack(pages, rows, members, invocations, citations, examples):
+    topics = pages.filter("namespace = 'Main' and not is_redirect and page_key % 20 = 1").select(F.col("page_key").alias("query"), "title")
+    near = staged(pack.related_pages(topics, rows, pages), "related")
+    passages = examples.select("page", F.col("place").alias("at"), "text", F.col("tokens").alias("cost"))
+    return pack.packed(pack.lanes(topics, near, pages, rows, members, invocations, audit.citations(citations), passages), 160)
+
+
+@query("pages links members invocations citations examples")
+def k2_knowledge_pack(*tables):
+    return _pack(*tables)
+
+
+@query("pages links members invocations citations examples")
+def k9_pack_totals(*tables):
+    return pack.totals(_pack(*tables))
+
+
+_sql["k2_knowledge_pack"] = _pack_sql("SELECT query, turn, lane, rank, item, tokens, kept, used FROM packed")
+_sql["k9_pack_totals"] = _pack_sql("""SELECT query, CASE WHEN grouping(lane) = 1 THEN 'all' ELSE lane END AS lane, count(*) AS items, count(*) FILTER (kept) AS kept, CAST(coalesce(sum(tokens) FILTER (kept), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(tokens) FILTER (NOT kept), 0) AS BIGINT) AS left_out
+FROM packed GROUP BY GROUPING SETS ((query, lane), (query))""")
+
+
 # tables that change together
 
 _MERGED = f"""gone AS (SELECT title FROM pages WHERE page_key % 17 = 3), fresh AS (SELECT * REPLACE (bytes + 1000 AS bytes) FROM pages WHERE page_key % 19 = 5 AND title NOT IN (SELECT title FROM gone)),
