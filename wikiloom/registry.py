@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, fixes, graph, knowledge, links, markup, pack, references, retrieve, rules, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, docs_search, fixes, graph, knowledge, links, markup, pack, references, retrieve, rules, search, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.sources import versions
 from wikiloom.staging import shared_dir, staged
@@ -1214,6 +1214,86 @@ def j4_symbol_lookup(manuals, region):
     return docs_parse.symbol_lookup(asked, docs_parse.docs_symbols(manuals), "config").select("query", "page", "name")
 
 
+_DOC_ROWS = r"""man AS (SELECT title AS page, regexp_extract(text, '\$x = (\d+)', 1) AS x, regexp_extract(text, '(\$wgSetting\d)', 1) AS wg, contains(text, '<pre>') AS pre, CASE WHEN starts_with(title, 'Manual:Hooks/') THEN 'hook_page' WHEN starts_with(title, 'Manual:$wg') THEN 'config_page' ELSE 'extension_page' END AS kind FROM manuals),
+sec AS (SELECT page, 0 AS place, kind, page AS title, '' AS alias, 'About it.' AS text FROM man UNION ALL SELECT page, 1, kind, 'Use', 'Use', concat('Set ', wg, ' or and __NOTOC__ in &lt;tag&gt;.') FROM man UNION ALL SELECT page, 2, kind, 'Code', 'Use > Code', concat('$x = ', x, ';', CASE WHEN pre THEN ' ablonger' ELSE '' END) FROM man),
+sy AS (SELECT page, 'config' AS kind, unnest(list_distinct([wg, regexp_extract(page, '(\$wgSetting\d+)', 1)])) AS title FROM man UNION ALL SELECT page, 'hook', substr(page, 14) FROM man WHERE kind = 'hook_page' UNION ALL SELECT page, unnest(['parser_function', 'magic_word', 'tag']), unnest(['#if', '__NOTOC__', 'tag']) FROM man),
+tier AS (SELECT 'page' AS tier, page, 0 AS place, min(kind) AS kind, page AS title, substr(page, instr(page, ':') + 1) AS alias, 'About it.' AS summary, string_agg(text, ' ' ORDER BY place) AS text FROM sec GROUP BY page
+  UNION ALL SELECT 'section', page, place, kind, title, alias, text, text FROM sec
+  UNION ALL SELECT 'symbol', page, row_number() OVER (PARTITION BY page ORDER BY kind, title) - 1, kind, title, regexp_replace(title, '^[$#]+', ''), '', concat(kind, ' ', title, ' ', page) FROM sy WHERE title <> ''
+  UNION ALL SELECT 'example', page, 0, 'php', '', '', 'php', concat('$x = ', x, ';') FROM man UNION ALL SELECT 'example', page, 2, '', '', '', '', 'longer' FROM man WHERE pre)"""
+
+
+def _tier_sql(tier: str, most: int) -> str:
+    """hits_<tier>, of the queries in `ask` (query, text)."""
+    base, first, weights, times, same_key, same_name, parts = docs_search.TIERS[tier]
+    t, n = f"{tier}_t", most * times
+    key = lambda c: f"lower(regexp_replace(trim(replace({c}, '_', ' ')), '\\s+', ' ', 'g'))"
+    fields = " UNION ALL ".join(f"SELECT page, place, {k} AS field, CAST({w} AS DOUBLE) AS w, {_TOKENS.format(c)} AS have FROM tier WHERE tier = '{tier}'" for k, (c, w) in enumerate(weights.items())).replace("{{", "{").replace("}}", "}")
+    bonus = " + ".join([f"CASE WHEN {key('title')} = {key('q')} THEN {same_key} ELSE 0 END", f"CASE WHEN lower(title) = lower(q) THEN {same_name} ELSE 0 END", *(f"CASE WHEN contains(lower({c}), lower(q)) THEN {b} ELSE 0 END" for c, b in parts.items())])
+    return f"""{t} AS ({fields}), {t}p AS (SELECT page, place, field, w, unnest(have) AS term FROM {t}), {t}f AS (SELECT page, place, term, sum(w) AS tf FROM {t}p GROUP BY page, place, term), {t}l AS (SELECT page, place, count(*) AS length FROM {t}p GROUP BY page, place),
+{t}s AS (SELECT count(*) AS n, avg(length) AS mean FROM {t}l), {t}d AS (SELECT term, count(*) AS df FROM {t}f GROUP BY term),
+{t}m AS (SELECT query, page, place FROM (SELECT query, page, place, count(DISTINCT a.term) AS have FROM aterm AS a JOIN {t}f AS f ON starts_with(f.term, a.term) GROUP BY query, page, place) JOIN aneed USING (query) WHERE have = need
+  UNION SELECT query, page, place FROM {t} JOIN alist ON contains(concat(' ', array_to_string(have, ' '), ' '), concat(' ', array_to_string(t, ' '), ' ')) WHERE len(t) > 0),
+{t}b AS (SELECT query, page, place, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 4) AS score FROM aterm JOIN {t}f USING (term) JOIN {t}d USING (term) JOIN {t}l USING (page, place) CROSS JOIN {t}s GROUP BY query, page, place),
+{t}r AS (SELECT * FROM (SELECT m.query, m.page, m.place, row_number() OVER (PARTITION BY m.query ORDER BY coalesce(score, 0) DESC, m.page, m.place) - 1 AS rank FROM {t}m AS m LEFT JOIN {t}b AS b ON m.query = b.query AND m.page = b.page AND m.place = b.place) WHERE rank < {n}),
+{t}k AS (SELECT query, page, place FROM (SELECT query, page, place, row_number() OVER (PARTITION BY query ORDER BY page, place) AS k FROM ask JOIN tier ON tier = '{tier}' AND contains(lower(concat_ws(chr(10), title, alias, summary, tier.text)), lower(ask.text)) WHERE query NOT IN (SELECT query FROM {t}r)) WHERE k <= {n}),
+{t}u AS (SELECT query, page, place, greatest({first} - 4 * rank, 8) AS bonus FROM {t}r UNION ALL SELECT query, page, place, 0 FROM {t}k),
+hits_{tier} AS (SELECT query, '{tier}' AS tier, page, place, title, CAST({base} + bonus + {bonus} AS BIGINT) AS weight FROM (SELECT u.query, u.bonus, x.*, ask.text AS q FROM {t}u AS u JOIN tier AS x ON x.tier = '{tier}' AND x.page = u.page AND x.place = u.place JOIN ask ON ask.query = u.query))"""
+
+
+_ASK_TERMS = f"""alist AS (SELECT query, {_TOKENS.format("text").replace("{{", "{").replace("}}", "}")} AS t FROM ask), aterm AS (SELECT DISTINCT query, unnest(t) AS term FROM alist), aneed AS (SELECT query, count(*) AS need FROM aterm GROUP BY query)"""
+
+
+def _tiers_sql(most: int) -> str:
+    every = " UNION ALL ".join(f"SELECT * FROM hits_{t}" for t in docs_search.TIERS)
+    return f"""{_ASK_TERMS}, {", ".join(_tier_sql(t, most) for t in docs_search.TIERS)},
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weight DESC, title, page, tier, place) AS rank FROM ({every})) WHERE rank <= {most})"""
+
+
+@query("manuals", f"WITH {_DOC_ROWS} SELECT page, CASE WHEN place = 0 THEN 1 WHEN place = 1 THEN 2 ELSE 3 END AS level, kind, CAST(place AS INT) AS place, nullif(title, page) AS heading, alias AS path, text FROM sec")
+def c21_docs_section_rows(manuals):
+    return docs_parse.docs_sections(manuals).select("page", "level", "kind", "place", "heading", "path", "text")
+
+
+_ASKS = ["concat('$wgSetting', CAST(r_regionkey AS STRING))", "'use'", "'Code'", "concat('x ', CAST(r_regionkey AS STRING))", "'hooks hook'", "'out it'", "'zzz'", "'tag'", "'longer'", "'not settin'"]
+
+
+@query("manuals region", f"""WITH {_DOC_ROWS}, ask AS ({" UNION ALL ".join(f"SELECT r_regionkey * 10 + {k} AS query, {e} AS text FROM region" for k, e in enumerate(_ASKS))}), {_tiers_sql(10)} SELECT query, CAST(rank AS INT) AS rank, tier, page, CAST(place AS INT) AS place, title, weight FROM found""")
+def j1_tier_search(manuals, region):
+    asked = None
+    for k, e in enumerate(_ASKS):
+        one = region.select((F.col("r_regionkey") * 10 + k).alias("query"), F.expr(e).alias("text"))
+        asked = one if asked is None else asked.unionByName(one)
+    return docs_search.search(asked, docs_search.tiers_of(manuals), 10)
+
+
+_DRAFTS = """called AS (SELECT title AS topic, 0 AS part, unnest(range(len(l))) AS ord, concat(unnest(l), ' parser function') AS text FROM (SELECT title, regexp_extract_all(text, '\\{\\{#([A-Za-z0-9_-]+):', 1) AS l FROM articles WHERE k % 10 = 8)
+  UNION ALL SELECT title, 1, unnest(range(len(l))), concat(unnest(l), ' extension tag') FROM (SELECT title, regexp_extract_all(text, '<(gallery|templatestyles)[ >]', 1) AS l FROM articles WHERE k % 10 = 8)),
+tpl AS (SELECT title AS topic, 2 AS part, n AS ord, 'Infobox item' AS text FROM (SELECT title, k, 0 AS n FROM articles) WHERE k % 10 = 8),
+draft AS (SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY part, ord, text) AS INT) AS turn, text FROM (SELECT topic, min(struct_pack(part := part, ord := ord, text := text)) AS x, unnest(min(struct_pack(part := part, ord := ord, text := text))) FROM
+  (SELECT * FROM called UNION ALL SELECT * FROM tpl UNION ALL SELECT DISTINCT topic, 3, 0, 'template parameters' FROM tpl) GROUP BY topic, lower(text)))"""
+
+
+def _drafts(articles):
+    chosen = articles.filter("k % 10 = 8")
+    used = markup.template_calls(chosen).filter("template = 'Template:Infobox item'").select(F.col("page").alias("topic"), "template", F.lit(0).cast("long").alias("ord"))
+    return docs_search.draft_queries(chosen.select(F.col("title").alias("topic"), "text"), used, None, ["gallery", "templatestyles", "ref"])
+
+
+@query("articles", f"WITH {_DRAFTS} SELECT topic, turn, text FROM draft WHERE turn <= 4")
+def k8_draft_queries(articles):
+    return _drafts(articles)
+
+
+@query("articles manuals", f"""WITH {_DRAFTS}, {_DOC_ROWS}, ask AS (SELECT DISTINCT text AS query, text FROM draft WHERE turn <= 4), {_tiers_sql(4)},
+met AS (SELECT topic, tier, page, place, min(struct_pack(turn := turn, title := title, weight := weight)) AS x FROM draft JOIN found ON draft.text = found.query WHERE turn <= 4 GROUP BY topic, tier, page, place),
+nth AS (SELECT *, row_number() OVER (PARTITION BY topic, tier ORDER BY x.weight DESC, x.title, page, place) AS rank FROM met)
+SELECT topic, nth.tier, CAST(rank AS INT) AS rank, nth.page, CAST(nth.place AS INT) AS place, x.title AS title, x.weight AS weight, x.turn AS turn, greatest(CAST(ceil(strlen(tier.text) / 4) AS BIGINT), 1) AS tokens
+FROM nth JOIN tier ON nth.tier = tier.tier AND nth.page = tier.page AND nth.place = tier.place WHERE rank <= CASE nth.tier WHEN 'page' THEN 8 WHEN 'example' THEN 8 ELSE 12 END""")
+def k8_docs_bridge(articles, manuals):
+    return docs_search.bridge(_drafts(articles), docs_search.tiers_of(manuals))
+
+
 # knowledge about topics
 
 
