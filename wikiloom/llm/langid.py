@@ -133,18 +133,20 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
 
     found = _sampled(named, F.col("k")).mapInArrow(run, "lang string, slots binary, times binary, letters long").filter("letters > 0").toArrow()
     names, letters = found.column("lang").to_pylist(), found.column("letters").to_numpy()
+    slots, times = ([np.frombuffer(b, kind) for b in found.column(c).to_pylist()] for c, kind in (("slots", np.uint16), ("times", np.uint32)))
+    del found
     langs = sorted(set(names))
     own = np.searchsorted(langs, names) if langs else np.zeros(0, int)
-    counts = np.zeros((len(names), DIMS), np.float32)
-    for row, slots, times in zip(counts, found.column("slots").to_pylist(), found.column("times").to_pylist(), strict=True):
-        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(times, np.uint32)
-    order = np.lexsort((counts.sum(axis=1), letters, own))  # the same fit in whatever order rows come
-    counts, own = counts[order], own[order]
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+    order = np.lexsort(([t.sum() for t in times], letters, own)) if langs else np.zeros(0, int)  # the same fit in whatever order rows come
+    x = np.zeros((len(names), DIMS), np.float32)
+    for row, i in zip(x, order.tolist(), strict=True):
+        row[slots[i]] = times[i]
+    own = own[order]
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
     model = Model(langs, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(20))
-    at = buckets(counts, 20)
-    x = model.weigh(counts)
-    del counts
+    at = buckets(x, 20)
+    for a in range(0, len(x), 256):  # in place: the driver holds the sample once
+        x[a : a + 256] = model.weigh(x[a : a + 256])
     parts = [cluster(x[own == k], CENTROIDS) for k in range(len(langs))]
     if parts:
         model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts])
