@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import ascii_lower, byte_token_estimate, normal_spaces, retrieval_key
 from wikiloom.operators.docs_parse import docs_examples, docs_sections, docs_symbols
 from wikiloom.operators.links import first_per_group
-from wikiloom.operators.search import bm25, containing, match_any, measured, postings, tokens
+from wikiloom.operators.search import B, K1, containing, match_any, postings, tokens
 from wikiloom.staging import small, staged
 
 # For each tier its base weight, the bonus of its first hit (less FALL by rank, LEAST at the least), what its fields
@@ -43,42 +43,74 @@ def tiers_of(pages: DataFrame) -> dict[str, DataFrame]:
     return {n: staged(t.select(COLUMNS), f"docs-{n}") for n, t in (("page", page), ("section", section), ("symbol", symbol), ("example", example))}
 
 
-def tier_hits(queries: DataFrame, rows: DataFrame, tier: str, most: int) -> DataFrame:
-    """query, tier, page, place, title, weight: rows that hold the query (query, text) as a phrase or words that begin with each of
-    its words, by weighted BM25; rows whose fields contain it for queries that find none so; rescored by place and fields."""
-    base, first, weights, times, same_key, same_name, parts = TIERS[tier]
-    limit = most * times
-    keyed = rows.withColumn("row", F.struct("page", "place"))
-    posts = staged(postings(keyed, "row", weights), f"postings-{tier}")
-    asked = queries.select("query", F.posexplode(tokens(F.col("text"))).alias("ord", "term"))
-    matched = match_any(asked, posts)
-    scored = matched.join(bm25(asked.select("query", "term"), posts, measured(posts)).select("query", "row", "score"), ["query", "row"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 4))
+def _of(tier: Column, values: dict) -> Column:
+    """What `values` has for the tier that a row belongs to."""
+    out = None
+    for name, value in values.items():
+        out = F.when(tier == name, value) if out is None else out.when(tier == name, value)
+    return out
+
+
+def _scored(asked: DataFrame, posts: DataFrame) -> DataFrame:
+    """query, row, score: BM25 as in search.bm25(), with the numbers of each row's own tier; terms name their tier already."""
+    totals = posts.groupBy("row").agg(F.first("length").alias("length")).groupBy(F.col("row.tier").alias("tier")).agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))
+    near = posts.join(small(asked.select("term").distinct()), "term", "left_semi").select("row", "term", "tf", "length")
+    df = near.groupBy("term").agg(F.count("*").alias("df"))
+    told = near.join(df, "term").withColumn("tier", F.col("row.tier")).join(F.broadcast(totals), "tier").join(small(asked.select("query", "term").distinct()), "term")
+    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    return told.groupBy("query", "row").agg(F.round(F.sum(part), 4).alias("score"))
+
+
+def hits(queries: DataFrame, tiers: dict[str, DataFrame], most: int) -> DataFrame:
+    """query, tier, page, place, title, weight: in each tier the rows that hold a query (query, text) as a phrase or words that
+    begin with each of its words, by weighted BM25; rows whose fields contain it for queries that find none so; rescored by
+    place and fields.
+
+    All tiers are searched in one pass: terms and queries carry the tier, so that numbers of rows stay apart.
+    """
+    rows = posts = None
+    for name, t in tiers.items():
+        one = t.withColumn("row", F.struct(F.lit(name).alias("tier"), "page", "place"))
+        post = postings(one, "row", TIERS[name][2]).withColumn("term", F.concat(F.lit(f"{name}:"), "term"))
+        rows, posts = (one, post) if rows is None else (rows.unionByName(one), posts.unionByName(post))
+    posts = staged(posts, "postings-docs")
+    tier = F.col("row.tier")
+    each = queries.select("query", "text", F.explode(F.array(*map(F.lit, tiers))).alias("tier"))
+    asked = each.select(F.struct("query", "tier").alias("query"), "tier", F.posexplode(tokens(F.col("text"))).alias("ord", "term")).withColumn("term", F.concat("tier", F.lit(":"), "term")).drop("tier")
+    limits = {n: most * TIERS[n][3] for n in tiers}
+    scored = match_any(asked, posts).join(_scored(asked, posts), ["query", "row"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "row.page", "row.place")
-    ranked = scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit).select("query", "row", "rank", F.greatest(F.lit(first) - FALL * F.col("rank"), F.lit(LEAST)).alias("bonus"))
-    lost = queries.join(ranked.select("query").distinct(), "query", "left_anti")
+    ranked = scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < _of(tier, limits))
+    ranked = staged(ranked.select("query.query", "row", "rank", F.greatest(_of(tier, {n: TIERS[n][1] for n in tiers}) - FALL * F.col("rank"), F.lit(LEAST)).alias("bonus")), "docs-ranked")
+    found = ranked.select("query", F.col("row.tier").alias("tier")).distinct()
+    lost = each.select("query", F.col("tier").alias("wanted"), ascii_lower(normal_spaces(F.col("text"))).alias("q")).join(found.withColumnRenamed("tier", "wanted"), ["query", "wanted"], "left_anti")
     every = F.concat_ws("\n", *(ascii_lower(F.col(c)) for c in ("title", "alias", "summary", "text")))
-    like = containing(keyed.select("row", *COLUMNS), every, lost.select("query", ascii_lower(normal_spaces(F.col("text"))).alias("q")), F.col("q"))
-    like = first_per_group(like.select("query", "row"), ["query"], [F.asc("row.page"), F.asc("row.place")], limit).select("query", "row", F.lit(0).alias("rank"), F.lit(0).alias("bonus"))
-    found = ranked.unionByName(like).join(keyed.select("row", "title", "alias", "summary", "text", "page", "place"), "row").join(small(queries.select("query", F.col("text").alias("q"))), "query")
-    q = ascii_lower(normal_spaces(F.col("q")))
-    extra = F.when(retrieval_key(F.col("title")) == retrieval_key(F.col("q")), same_key).otherwise(0) + F.when(ascii_lower(F.col("title")) == q, same_name).otherwise(0)
-    for field, bonus in parts.items():
-        extra = extra + F.when(F.contains(ascii_lower(F.col(field)), q), bonus).otherwise(0)
-    return found.select("query", F.lit(tier).alias("tier"), "page", "place", "title", (F.lit(base) + F.col("bonus") + extra).cast("long").alias("weight"))
+    like = containing(rows, every, lost, F.col("q")).filter(tier == F.col("wanted")).select("query", "wanted", "row")
+    at = Window.partitionBy("query", "wanted").orderBy("row.page", "row.place")
+    like = like.withColumn("rank", F.row_number().over(at) - 1).filter(F.col("rank") < _of(F.col("wanted"), limits)).select("query", "row", "rank", F.lit(0).alias("bonus"))
+    told = ranked.unionByName(like).join(rows, "row").join(small(queries.select("query", F.col("text").alias("asked"))), "query")
+    q = ascii_lower(normal_spaces(F.col("asked")))
+    same_key, same_name = retrieval_key(F.col("title")) == retrieval_key(F.col("asked")), ascii_lower(F.col("title")) == q
+
+    def weight(base: int, key: int, name: int, parts: dict) -> Column:
+        out = F.lit(base) + F.when(same_key, key).otherwise(0) + F.when(same_name, name).otherwise(0)
+        for field, bonus in parts.items():
+            out = out + F.when(F.contains(ascii_lower(F.col(field)), q), bonus).otherwise(0)
+        return out
+
+    total = _of(tier, {n: weight(t[0], t[4], t[5], t[6]) for n, t in TIERS.items() if n in tiers})
+    return told.select("query", tier.alias("tier"), "page", "place", "title", (total + F.col("bonus")).cast("long").alias("weight"))
 
 
 def search(queries: DataFrame, tiers: dict[str, DataFrame], most: int = 10, scope: tuple[str, ...] = tuple(TIERS)) -> DataFrame:
-    """query, rank, tier, page, place, title, weight: the best `most` hits of a query (query, text) over the tiers of `scope`."""
-    asked = queries.filter(F.trim("text") != "")
-    every = None
-    for name in scope:
-        hits = tier_hits(asked, tiers[name], name, most)
-        every = hits if every is None else every.unionByName(hits)
+    """query, rank, tier, page, place, title, weight: the best `most` hits of a query (query, text) over the tiers of `scope`.
+    Queries without text find nothing."""
+    every = hits(queries.filter(F.trim("text") != ""), {n: tiers[n] for n in scope}, most)
     at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), "title", "page", "tier", "place"))
     return every.withColumn("rank", at).filter(F.col("rank") <= most).select("query", "rank", "tier", "page", "place", "title", "weight")
 
 
-
 def draft_queries(drafts: DataFrame, templates: DataFrame, functions: list[str] | None = None, tags: list[str] | None = None, most: int = MOST_QUERIES) -> DataFrame:
     """topic, turn, text: what drafts (topic, text) ask of the documentation, the first `most` of each.
 
@@ -107,8 +139,8 @@ def bridge(asked: DataFrame, tiers: dict[str, DataFrame], each: int = 4) -> Data
     first query's hit counts; then each tier is sorted again by weight and cut to SHOWN.
     """
     texts = asked.select("text").distinct()
-    hits = search(texts.select(F.col("text").alias("query"), "text"), tiers, each)
-    found = asked.join(hits.withColumnRenamed("query", "text"), "text").select("topic", "turn", "tier", "page", "place", "title", "weight")
+    got = search(texts.select(F.col("text").alias("query"), "text"), tiers, each)
+    found = asked.join(got.withColumnRenamed("query", "text"), "text").select("topic", "turn", "tier", "page", "place", "title", "weight")
     first = found.groupBy("topic", "tier", "page", "place").agg(F.min(F.struct("turn", "title", "weight")).alias("x")).select("topic", "tier", "page", "place", "x.*")
     at = F.row_number().over(Window.partitionBy("topic", "tier").orderBy(F.desc("weight"), "title", "page", "place"))
     shown = first.withColumn("rank", at).join(F.broadcast(_shown(asked)), "tier").filter(F.col("rank") <= F.col("most"))

@@ -113,6 +113,9 @@ $x = ', CAST(s_suppkey AS STRING), ';
   '## Style', chr(10), '**Never use:**', chr(10), '- "Read again" and "said  Again", not "', min(p_brand), '"', chr(10), '### Next', chr(10), '- "not this"', chr(10), '**Watch list — use sparingly or not at all:**', chr(10), '- doubtful, brand , Plain note', chr(10), '### No placeholder content', chr(10), 'Such as `TODO finish` or ``.', chr(10),
   '## Tags', chr(10), 'Contract: kind=tag; name=t', CAST(count(*) % 3 AS STRING), '; provider=Ext; syntax=<t>; body=required; attributes=a, b,', chr(10), '```', chr(10), '<t>', chr(10), 'Contract: kind=no; name=no', chr(10), '</t>', chr(10), '```', chr(10), 'Contract: kind=function; name=f', chr(10), '## End', chr(10), '```', chr(10), 'none', chr(10), '```', chr(10), 'Contract: kind=x') AS text
   FROM {part} GROUP BY p_brand""",
+    # redirects and calls between pages: trees that run into cycles, some of them in chains
+    "page_edges": """SELECT concat('Part ', CAST(p_partkey AS STRING)) AS source, concat('Part ', CAST((p_partkey * 7 + 30) % 2500 AS STRING)) AS target, 'redirect' AS kind FROM {part} WHERE p_partkey % 10 = 0
+  UNION ALL SELECT concat('Part ', CAST(p_partkey AS STRING)), concat('Part ', CAST((p_partkey * 11 + 4) % 400 AS STRING)), 'transclusion' FROM {part} WHERE p_partkey % 3 = 0""",
     "local_files": """SELECT concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'other/' ELSE 'main/' END, CAST(o_orderkey AS STRING), '.wiki') AS path,
   CASE WHEN o_orderkey % 4 = 0 THEN 'Other' ELSE 'Main' END AS namespace, o_orderkey % 50 = 0 AS is_redirect,
   concat(o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'edited' ELSE '' END, o_orderpriority) AS hash FROM {orders} WHERE o_orderkey % 13 <> 0""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, docs_search, fixes, graph, knowledge, links, markup, pack, references, retrieve, rules, search, sync, templates, usage, web
+from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, docs_search, fixes, graph, knowledge, links, markup, pack, page_passages, references, retrieve, rules, search, surface, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.sources import versions
 from wikiloom.staging import shared_dir, staged
@@ -250,6 +250,21 @@ def n14_cycles(chains):
 
 _sql["n14_cycles"] = f"{_edge_query('chains')} SELECT c.node AS title, 'graph.redirect_loop' AS rule, concat('component_size=', s.size) AS evidence FROM c JOIN s ON c.component = s.component WHERE s.size > 1"
 
+@query("page_edges")
+def g3_page_edges(page_edges):
+    return graph.components(page_edges)
+
+
+@query("page_edges")
+def g4_page_condensation(page_edges):
+    return graph.condensation(page_edges, graph.components(page_edges))
+
+
+_sql["g3_page_edges"] = f"{_edge_query('page_edges')} SELECT c.node, c.component, s.size, s.size > 1 OR EXISTS (SELECT 1 FROM e WHERE e.source = c.node AND e.target = c.node) AS is_cyclic FROM c JOIN s ON c.component = s.component"
+_sql["g4_page_condensation"] = f"""{_edge_query('page_edges')}, b AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c AS x ON e.source = x.node JOIN c AS y ON e.target = y.node WHERE x.component <> y.component)
+SELECT s.component, s.size, (SELECT count(*) FROM b WHERE b.b = s.component) AS n_in, (SELECT count(*) FROM b WHERE b.a = s.component) AS n_out FROM s"""
+
+
 # usage
 
 _KEYS = "SELECT DISTINCT template, page, keys FROM invocations"
@@ -999,6 +1014,39 @@ LEFT JOIN (SELECT query, string_agg(DISTINCT term, ',' ORDER BY term) AS terms F
 LEFT JOIN (SELECT query, string_agg(term, ',' ORDER BY term) AS terms FROM term WHERE (query, term) NOT IN (SELECT (query, term) FROM hit JOIN planned USING (query, contract) WHERE chosen) GROUP BY query) AS l ON q.query = l.query""")
 
 
+# what articles use, one page's passages
+
+_KNOWN = [("template", "Template:Cite web"), ("template", "Template:Never used"), ("module", "Module:tally"), ("tag", "ref"), ("tag", "math"), ("function", "#if"), ("asset", "Template:Part/styles.css")]
+
+
+@query("articles", rf"""WITH {_CALLS}, m AS (SELECT title AS page, {_MASKED} AS t FROM articles),
+used AS (SELECT page, CASE WHEN starts_with(name, '#invoke:') THEN 'module' WHEN starts_with(name, '#') THEN 'function' ELSE 'template' END AS kind, CASE WHEN starts_with(name, '#invoke:') THEN concat('Module:', split_part(name, ':', 2)) WHEN starts_with(name, '#') THEN split_part(name, ':', 1) ELSE concat('Template:', name) END AS name FROM args
+  UNION ALL SELECT page, 'tag', unnest(regexp_extract_all(t, '<([a-z]+)', 1)) FROM m UNION ALL SELECT page, 'asset', concat('Template:', unnest(regexp_extract_all(t, '<templatestyles src="([^"]*)"', 1))) FROM m),
+k(kind, name) AS (VALUES {", ".join(str(x) for x in _KNOWN)}), b AS (SELECT kind, name, page, 1 AS n FROM used UNION ALL SELECT kind, name, NULL, 0 FROM k),
+g AS (SELECT kind, lower(name) AS key, grouping(lower(name)) AS a, coalesce(min(name) FILTER (n = 1), min(name)) AS name, CAST(sum(n) AS BIGINT) AS uses, count(DISTINCT page) AS pages, min(n) = 0 AS known FROM b GROUP BY GROUPING SETS ((kind, lower(name)), (kind))),
+r AS (SELECT *, CASE WHEN a = 1 THEN 0 ELSE row_number() OVER (PARTITION BY kind, a ORDER BY uses DESC, pages DESC, name) END AS rank FROM g) SELECT kind, CAST(rank AS INT) AS rank, CASE WHEN rank > 0 THEN name END AS name, uses, pages, CASE WHEN rank > 0 THEN known END AS known FROM r WHERE rank <= 5""")
+def h14_authoring_surface(articles):
+    known = articles.sparkSession.createDataFrame(_KNOWN, "kind string, name string")
+    return surface.surface(surface.uses(articles), known, 5)
+
+
+_CHUNKED = r"""w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+k AS (SELECT doc_id, w, unnest(range(0, (len(w) + 95) // 96)) AS place FROM w), c AS (SELECT doc_id AS page, place, array_to_string(w[96 * place + 1 : 96 * place + 96], ' ') AS text FROM k),
+terms AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, list_distinct(list_filter(list_transform(string_split(text, ' '), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))), lambda x: length(x) >= 3)) AS have FROM c)"""
+
+
+@query("documents", rf"""WITH {_CHUNKED}, q AS (SELECT page, have[1:1] AS want FROM (SELECT page, list_sort(have) AS have FROM terms WHERE place = 0) WHERE len(have) > 0), met AS (SELECT t.*, row_number() OVER o AS n, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS total FROM terms AS t JOIN q ON t.page = q.page AND list_has_all(have, want) WINDOW o AS (PARTITION BY t.page ORDER BY place))
+SELECT page, CAST(place AS INT) AS place, text, tokens, CAST(n AS INT) AS chosen FROM met WHERE (n = 1 OR total <= 400) AND n <= 3""")
+def f10_page_passages(documents):
+    """In each document the passages that hold its first passage's first term, from an index clustered by document."""
+    spark = documents.sparkSession
+    path = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
+    page_passages.write_index(retrieve.chunks(documents).select(F.col("row").alias("page"), "place", "text", "tokens"), path)
+    index = spark.read.parquet(path)
+    asked = index.filter("place = 0").select(F.col("page").alias("query"), "page", F.get(T.lexical_terms(F.col("text")), 0).alias("asked")).filter("asked is not null")
+    return page_passages.within(index, asked, 3, 400).drop("query")
+
+
 # rules of guides and what they meet
 
 _GUIDES = r"""gl AS (SELECT doc, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM guides),
