@@ -102,7 +102,7 @@ def edit_rows(found: DataFrame) -> DataFrame:
 
 def gathered(pages: DataFrame, edits: DataFrame, id_col: str = "title", text_col: str = "text") -> DataFrame:
     """title, text and edits of edits given as rows (title, start, end, replacement, rule), which meet their pages by title."""
-    by = edits.groupBy("title").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "replacement", "rule"))).alias("edits"))
+    by = edits.groupBy("title").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "replacement", "rule"))).alias("edits"))
     rows = pages.select(F.col(id_col).alias("title"), F.col(text_col).alias("text")).join(by, "title", "left")
     return rows.select("title", "text", F.coalesce("edits", F.array().cast(_EDIT)).alias("edits"))
 
