@@ -15,7 +15,7 @@ def values(spark, f, *inputs):
 def test_titles(spark):
     assert values(spark, T.canonical_title, "image:a_b", "Main page", "category: X ", "Foo:bar", "É:x") == ["File:a b", "Main page", "Category:X", "Foo:bar", "É:x"]
     assert values(spark, T.title_key, "order 1", "template:foo bar", None) == ["Order 1", "Template:Foo bar", None]
-    assert values(spark, T.variant_language, "X/pt-br", "X/ko", "API:Edit/qqq", "X/doc", "X/bar", "X") == ["pt-br", "ko", "qqq", None, None, None]
+    assert values(spark, T.variant_language, "X/pt-br", "X/ko", "API:Edit/qqq", "X/doc", "X/bar", "X", "Page/PT-BR", "X/zh-12", "X/zh-1a", "/ko", "X/Y/ko ") == ["pt-br", "ko", "qqq", None, None, None, "pt-br", None, "zh-1a", None, "ko"]
     assert values(spark, T.template_title, "cite_web", ":Template:Foo", "#if:x", "User:X", " ") == ["Template:cite web", "Template:Foo", None, None, None]
 
 

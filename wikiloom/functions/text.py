@@ -9,8 +9,6 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Namespaces by their lower-case prefix.
 NAMESPACES = {"category": "Category", "file": "File", "image": "File", "user": "User", "template": "Template", "module": "Module", "mediawiki": "MediaWiki"}
-# Last parts of titles that look like language codes and aren't.
-NOT_LANGUAGES = ["doc", "css", "js", "bar", "new", "old", "sub", "api", "faq"]
 # Hosts by kind.
 SOCIAL = ["twitter.com", "x.com", "farcaster.xyz", "instagram.com", "tiktok.com", "mastodon.social"]
 VIDEO = ["youtube.com", "youtu.be", "vimeo.com", "twitch.tv"]
@@ -60,7 +58,7 @@ def title_key(title: Column) -> Column:
     """canonical_title() with the first character of the page name in upper case, by which sync compares."""
     plain = normal_spaces(F.translate(title, "_", " "))
     parts = _once(F.struct(plain.alias("t"), namespace_of(plain).alias("ns")), lambda x: F.struct(x.ns.alias("ns"), F.when(x.ns == "Main", x.t).otherwise(_rest(x.t)).alias("name")))
-    return _once(parts, lambda x: F.concat(F.when(x.ns == "Main", "").otherwise(F.concat(x.ns, F.lit(":"))), F.upper(F.substring(x["name"], 1, 1)), F.substring(x["name"], 2, 1 << 30)))
+    return _once(parts, lambda x: F.concat(F.when(x.ns == "Main", "").otherwise(F.concat(x.ns, F.lit(":"))), F.upper(F.substring(x["name"], 1, 1)), F.substring(x["name"], 2, (1 << 31) - 1)))
 
 
 def short_hash(c: Column) -> Column:
@@ -79,9 +77,10 @@ def redirect_target(c: Column) -> Column:
 
 
 def variant_language(title: Column) -> Column:
-    """The language code that a translated title ends with (`Page/pt-br`), or null."""
-    code = F.regexp_extract(title, r".+/([a-z]{2}(?:-[A-Za-z0-9]{1,8})*|qqq)\z", 1)
-    return F.when((code != "") & ~code.isin(NOT_LANGUAGES), code)
+    """The language code that a translated title ends with (`Page/pt-BR`), in lower case, or null: two letters or digits and
+    further parts, none of digits alone; or qqq. Of no other length are the ends of subpages such as /doc."""
+    code = ascii_lower(F.trim(F.regexp_extract(title, r"(?s)\A\s*\S.*/([^/]*)\z", 1)))
+    return F.when(code.rlike(r"\A(?:[a-z0-9]{2}(?:-(?!\d+(?:-|\z))[a-z0-9]{1,8})*|qqq)\z"), code)
 
 
 def variant_base(title: Column) -> Column:
@@ -215,8 +214,9 @@ def query_terms(c: Column, most: int = 8) -> Column:
     after = F.when(F.locate(":", q) > 0, normal_spaces(F.regexp_replace(q, r"^[^:]*:", "")))
     parts = F.filter(F.split(q, " "), lambda w: F.octet_length(w) >= 4)
     every = F.filter(F.concat(F.array(q, after), parts), lambda x: x.isNotNull() & (x != ""))
-    low = F.transform(every, ascii_lower)
-    return F.slice(F.filter(every, lambda x, i: F.array_position(low, ascii_lower(x)) == i + 1), 1, most)
+    # the first place of each, in either case
+    first = lambda x: F.transform(F.slice(F.array_distinct(x.low), 1, most), lambda k: F.get(x.terms, F.array_position(x.low, k).cast("int") - 1))
+    return _once(F.struct(every.alias("terms"), F.transform(every, ascii_lower).alias("low")), first)
 
 
 # markup within a text

@@ -524,7 +524,7 @@ def _document_passages(documents):
 @query("documents benchmark")
 def f11_retrieval(documents, benchmark):
     sources = documents.select(F.col("doc_id").alias("page"), F.col("source").alias("text"))
-    profiles = documents.select(F.col("doc_id").alias("page"), T.summary(F.coalesce("text", F.lit(""))).alias("text"))
+    profiles = documents.select(F.col("doc_id").alias("page"), F.array_join(T.lexical_terms(F.coalesce("text", F.lit(""))), " ").alias("text"))
     return retrieve.retrieve(_asked(benchmark), _document_passages(documents), profiles, sources)
 
 
@@ -1394,12 +1394,12 @@ def d24_ledger_audit(customer, orders):
 # what else there is: functions and steps on rows of the test tables
 
 
-@query("documents", r"""WITH q AS (SELECT doc_id, trim(regexp_replace(text[1:60], '\s+', ' ', 'g')) AS q FROM documents), p AS (SELECT doc_id, list_filter(list_concat([q], list_filter(string_split(q, ' '), lambda w: strlen(w) >= 4)), lambda x: x <> '') AS a FROM q WHERE NOT contains(q, ':')),
-d AS (SELECT doc_id, list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(list_transform(a[1:i - 1], lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), translate(a[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS keep, a FROM p)
-SELECT doc_id, array_to_string(list_transform(keep, lambda i: a[i])[1:8], '|') AS terms FROM d""")
+@query("documents", r"""WITH q AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS q FROM documents),
+p AS (SELECT doc_id, list_concat([q], CASE WHEN contains(q, ':') THEN [trim(substr(q, instr(q, ':') + 1))] ELSE [] END, list_filter(string_split(q, ' '), lambda w: strlen(w) >= 4)) AS a FROM q),
+u AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM p), f AS (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM u WHERE x <> '' GROUP BY doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f) SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY k) FILTER (k <= 8), '') AS terms FROM documents AS d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
 def b28_query_terms(documents):
-    plain = documents.withColumn("q", F.left("text", F.lit(60))).filter(~F.contains("q", F.lit(":")))
-    return plain.select("doc_id", F.array_join(T.query_terms(F.col("q")), "|").alias("terms"))
+    return documents.select("doc_id", F.array_join(T.query_terms(F.coalesce("text", F.lit(""))), "|").alias("terms"))
 
 
 @query("part", """SELECT p_partkey, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS similarity FROM (SELECT p_partkey, list_filter(list_distinct(string_split(p_name, ' ')), lambda x: length(x) >= 3) AS a, list_filter(list_distinct(string_split(lower(concat(p_type, ' ', p_name)), ' ')), lambda x: length(x) >= 3) AS b FROM part)""")
