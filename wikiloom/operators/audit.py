@@ -67,3 +67,16 @@ def profile_usage(rows: DataFrame, most: int = 3) -> DataFrame:
     hosts = first_per_group(rows.filter("domain is not null").groupBy(*group, "domain").agg(F.count("*").alias("n")), group, [F.desc("n"), F.asc("domain")], most)
     told = hosts.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "domain", "n"))), lambda x: F.concat_ws(":", x.domain, x.n)), ",").alias("domains"))
     return base.join(told, group, "left").select(*group, "citations", "pages", F.coalesce("domains", F.lit("")).alias("domains"), F.col("best.page").alias("example_page"), F.col("best.place").alias("example_place"))
+
+
+def profile_lists(refs: DataFrame, most: int = 6) -> DataFrame:
+    """profile, list, rank, key, n: for each citation profile what its citations (of references.references()) have most of.
+
+    Lists: template, link, domain, authority, identifier_key, identifier and signal; a citation counts once for a key. All are
+    dealt out of one pass and counted by one grouping; ranks are by number, then name.
+    """
+    one = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    lists = {"template": F.col("templates"), "link": F.col("links"), "domain": one("domain"), "authority": one("authority"), "identifier_key": F.col("id_keys"), "identifier": F.col("ids"), "signal": F.col("signals")}
+    each = F.flatten(F.array(*(F.transform(F.array_distinct(keys), lambda k, name=name: F.struct(F.lit(name).alias("list"), k.alias("key"))) for name, keys in lists.items())))
+    n = refs.select("profile", F.explode(each).alias("x")).groupBy("profile", "x.list", "x.key").agg(F.count("*").alias("n"))
+    return first_per_group(n, ["profile", "list"], [F.desc("n"), F.asc("key")], most).select("profile", "list", F.col("place").alias("rank"), "key", "n")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
-from wikiloom.operators import audit, authoring, contracts, discovery, docs, docs_parse, docs_search, fixes, graph, knowledge, links, markup, pack, page_passages, references, retrieve, rules, search, surface, sync, templates, usage, web
+from wikiloom.operators import artifacts, audit, authoring, contracts, discovery, docs, docs_parse, docs_search, fixes, graph, knowledge, links, markup, pack, page_passages, references, retrieve, rules, search, surface, sync, templates, usage, web
 from wikiloom.plans import corpus
 from wikiloom.sources import versions
 from wikiloom.staging import shared_dir, staged
@@ -662,6 +662,13 @@ def c19_authorities(articles):
     return references.authorities(references.references(articles)).groupBy("authority_key").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"))
 
 
+@query("articles", f"""WITH {_REFS}, e AS (SELECT profile, 'template' AS list, template AS key FROM sig UNION ALL SELECT profile, 'link', link FROM sig UNION ALL SELECT profile, 'domain', domain FROM sig UNION ALL SELECT profile, 'authority', authority FROM sig
+  UNION ALL SELECT profile, 'identifier_key', unnest([CASE WHEN doi <> '' THEN 'doi' END, CASE WHEN isbn <> '' THEN 'isbn' END, CASE WHEN domain <> '' THEN 'url' END]) FROM sig UNION ALL SELECT profile, 'identifier', unnest([CASE WHEN doi <> '' THEN concat('doi:', doi) END, CASE WHEN isbn <> '' THEN concat('isbn:', isbn) END]) FROM sig UNION ALL SELECT profile, 'signal', unnest(signals) FROM sig),
+n AS (SELECT profile, list, key, count(*) AS n FROM e WHERE key <> '' GROUP BY profile, list, key) SELECT profile, list, CAST(rank AS INT) AS rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY profile, list ORDER BY n DESC, key) AS rank FROM n) WHERE rank <= 6""")
+def i6_profile_lists(articles):
+    return audit.profile_lists(references.references(articles))
+
+
 @query("articles", rf"""WITH i AS (SELECT title AS page, unnest(regexp_extract_all({_MASKED}, '\[\[(File:[^\[\]]+)\]\]', 1)) AS raw FROM articles), g AS (SELECT title AS page, unnest(string_split(regexp_extract(text, '(?s)<gallery>(.*?)</gallery>', 1), chr(10))) AS raw FROM articles)
 SELECT page, split_part(raw, '|', 1) AS file, 'inline' AS kind, string_split(raw, '|')[-1] AS caption FROM i
 UNION ALL SELECT page, concat('File:', regexp_replace(split_part(raw, '|', 1), '^File:', '')), 'gallery', split_part(raw, '|', 2) FROM g WHERE raw <> ''""")
@@ -669,6 +676,17 @@ def c15_media(articles):
     return markup.media(articles)
 
 
+@query("articles")
+def c16_artifacts(articles):
+    """How many of each kind a page has, from the bundle."""
+    return artifacts.counts(artifacts.indexed(articles))
+
+
+_counted = lambda name, key: f"(SELECT {key} AS title, count(*) AS n FROM ({_sql[name]}) GROUP BY {key})"
+_sql["c16_artifacts"] = f"""{corpus.with_tables("articles")}, {_CALLS} SELECT a.title, coalesce(s.n, 0) AS sections, coalesce(l.n, 0) AS links, coalesce(c.n, 0) AS calls, coalesce(m.n, 0) AS media, coalesce(r.n, 0) AS refs FROM articles AS a LEFT JOIN {_counted("c1_sections", "title")} AS s ON a.title = s.title
+LEFT JOIN {_counted("c4_wikilinks", "source")} AS l ON a.title = l.title LEFT JOIN (SELECT page, count(*) AS n FROM args GROUP BY page) AS c ON a.title = c.page LEFT JOIN {_counted("c15_media", "page")} AS m ON a.title = m.title LEFT JOIN {_counted("c7_references", "page")} AS r ON a.title = r.title"""
+
+
 def _surface(articles):
     """What the wiki of the articles has: templates with their parameters, modules with their functions, no stylesheets."""
     spark = articles.sparkSession
