@@ -77,6 +77,7 @@ def profile_lists(refs: DataFrame, most: int = 6) -> DataFrame:
     """
     one = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
     lists = {"template": F.col("templates"), "link": F.col("links"), "domain": one("domain"), "authority": one("authority"), "identifier_key": F.col("id_keys"), "identifier": F.col("ids"), "signal": F.col("signals")}
-    each = F.flatten(F.array(*(F.transform(F.array_distinct(keys), lambda k, name=name: F.struct(F.lit(name).alias("list"), k.alias("key"))) for name, keys in lists.items())))
+    named = lambda name, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(name).alias("list"), k.alias("key")))
+    each = F.flatten(F.array(*(named(name, keys) for name, keys in lists.items())))
     n = refs.select("profile", F.explode(each).alias("x")).groupBy("profile", "x.list", "x.key").agg(F.count("*").alias("n"))
     return first_per_group(n, ["profile", "list"], [F.desc("n"), F.asc("key")], most).select("profile", "list", F.col("place").alias("rank"), "key", "n")

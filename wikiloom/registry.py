@@ -1384,7 +1384,8 @@ def k3_stub_templates(articles):
 
 
 @query("articles region", rf"""WITH {_LINED}, a AS (SELECT r_regionkey AS query, CAST(g AS INT) AS ord, concat('Part ', r_regionkey * 10 + g) AS title FROM region, (SELECT unnest(range(1, 6)) AS g)),
-h AS (SELECT title, name, row_number() OVER (PARTITION BY title ORDER BY line) AS place, l FROM headed WHERE l BETWEEN 2 AND 6 AND l = r AND name <> '') SELECT query, ord, CAST(place AS INT) AS place, name AS heading FROM a JOIN h ON a.title = h.title WHERE l = 2""")
+h AS (SELECT title, name, line, coalesce(lead(line) OVER (PARTITION BY title ORDER BY line), 1000000) AS until, row_number() OVER (PARTITION BY title ORDER BY line) AS place, l FROM headed WHERE l BETWEEN 2 AND 6 AND l = r AND name <> '')
+SELECT query, ord, CAST(place AS INT) AS place, name AS heading FROM a JOIN h ON a.title = h.title WHERE l = 2 AND EXISTS (SELECT 1 FROM lined AS x WHERE x.title = h.title AND x.line > h.line AND x.line < h.until AND trim(x.t) <> '')""")
 def d20_headings(articles, region):
     asked = region.select(F.col("r_regionkey").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ord"))
     return knowledge.comparable_headings(asked.withColumn("title", F.concat(F.lit("Part "), F.col("query") * 10 + F.col("ord"))), articles)
