@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.functions import text as T
 from wikiloom.operators import artifacts, contracts, discovery, docs_search, fixes, markup, pack, page_passages, references, rules, surface, web
+from wikiloom.plans import corpus
 
 PAGES = [
     ("A", "Lead [[Beta|b]] and [[:Category:X]] in [[Category:Y]].<ref name=\"n\">{{Cite web|title=T|url=https://a.example}}</ref>\n== One ==\n{{Box|a={{In|1}}|b=2}} [[File:P.png|thumb|Cap]]\n=== Two ===\n<gallery>\nG.png|First\n</gallery>\ntext {{#invoke:M|f|x}}\n"),
@@ -36,6 +37,23 @@ def test_a_bundle_gives_what_each_extraction_gives(spark):
     assert "links" in schema and "sections" not in schema and "calls" not in schema
 
 
+def steps(df):
+    """How many steps on text the optimized plan holds."""
+    return df._jdf.queryExecution().optimizedPlan().numberedTreeString().count("regexp_")
+
+
+def test_filters_on_citations_repeat_no_steps(spark):
+    refs = references.references(pages(spark))
+    assert 0 < steps(references.identifiers(refs)) <= steps(refs) + 1  # its own
+    assert references.identifiers(refs).count() == 0 and refs.filter("domain = 'a.example'").count() == 1
+
+
+def test_articles_of_one_small_file_are_dealt_out(spark):
+    made = corpus.frame(spark, "/root/testdata/sf0.01", "articles")
+    assert made.rdd.getNumPartitions() >= 4 and made.select("title").distinct().count() == 2000
+    assert corpus.frame(spark, "/root/testdata/sf0.001", "articles").rdd.getNumPartitions() == 1
+
+
 def test_long_texts_take_time_in_proportion(spark):
     def took(f):
         f()
