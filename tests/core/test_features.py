@@ -48,6 +48,14 @@ def test_filters_on_citations_repeat_no_steps(spark):
     assert references.identifiers(refs).count() == 0 and refs.filter("domain = 'a.example'").count() == 1
 
 
+def test_sources_by_domain_repeat_no_steps(spark):
+    refs = references.references(pages(spark))
+    told = spark.createDataFrame([("G", "unreliable_source", "www.A.example", "A"), ("G", "unreliable_source", "example", "All")], "doc string, kind string, key string, value string")
+    got = rules.source_uses(refs, told)
+    assert steps(got) < 2 * steps(refs)
+    assert sorted((r["page"], r["key"], r["match"]) for r in got.collect()) == [("A", "example", "below"), ("A", "www.A.example", "exact")]
+
+
 def test_articles_of_one_small_file_are_dealt_out(spark):
     made = corpus.frame(spark, "/root/testdata/sf0.01", "articles")
     assert made.rdd.getNumPartitions() >= 4 and made.select("title").distinct().count() == 2000
