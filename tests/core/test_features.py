@@ -212,6 +212,20 @@ def test_documentation_in_tiers(spark):
     assert [r["text"] for r in got] == ["cargo_query parser function", "tabber extension tag", "My box", "Other"]
 
 
+def test_drafts_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for frame in rows:
+            read.add(len(frame))
+            yield frame
+
+    tiers = docs_search.tiers_of(spark.createDataFrame([("Extension:Box", "The alpha box.\n== Alpha ==\ntext\n")], "title string, text string"))
+    asked = spark.createDataFrame([("T", 1, "alpha"), ("U", 1, "alpha"), ("U", 2, "box")], "topic string, turn int, text string").mapInPandas(seen, "topic string, turn int, text string")
+    got = docs_search.bridge(asked, tiers).collect()
+    assert {r["topic"] for r in got} == {"T", "U"} and read.value == 3
+
+
 def test_surface_counts_pages_once(spark):
     rows = pages(spark, [("A", "{{Box}} {{box}} {{#if:x}} <math>"), ("B", "{{Box}}")])
     known = spark.createDataFrame([("template", "template:BOX"), ("tag", "gallery")], "kind string, name string")
