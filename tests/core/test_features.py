@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from wikiloom import registry
 from wikiloom.functions import text as T
 from wikiloom.operators import artifacts, contracts, discovery, docs_search, fixes, markup, pack, page_passages, references, rules, surface, web
 from wikiloom.plans import corpus
@@ -231,3 +232,16 @@ def test_surface_counts_pages_once(spark):
     known = spark.createDataFrame([("template", "template:BOX"), ("tag", "gallery")], "kind string, name string")
     got = {(r["kind"], r["rank"]): tuple(r)[2:] for r in surface.surface(surface.uses(rows), known, 3).collect()}
     assert got["template", 1] == ("Template:Box", 3, 2, True) and got["template", 0] == (None, 3, 2, None) and got["tag", 2] == ("gallery", 0, 0, True) and got["tag", 1] == ("math", 1, 1, False)
+
+
+def test_parts_of_articles_read_them_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for frame in rows:
+            read.add(len(frame))
+            yield frame
+
+    passages, profiles, cited, named = registry._article_parts(pages(spark).mapInPandas(seen, "title string, text string"))
+    assert {r["page"] for r in profiles.collect()} == {"A", "D"} and passages.count() == 4 and cited.count() == 1 and named.count() == 0
+    assert read.value == len(PAGES)
