@@ -245,3 +245,8 @@ def test_parts_of_articles_read_them_once(spark):
     passages, profiles, cited, named = registry._article_parts(pages(spark).mapInPandas(seen, "title string, text string"))
     assert {r["page"] for r in profiles.collect()} == {"A", "D"} and passages.count() == 4 and cited.count() == 1 and named.count() == 0
     assert read.value == len(PAGES)
+
+
+def test_counts_of_artifacts_write_no_bundle(spark, sf):
+    got = registry.queries()["c16_artifacts"](spark, sf)
+    assert all(f.endswith("/part.parquet") for f in got.inputFiles()) and got.count() == 200
