@@ -57,6 +57,30 @@ def test_sources_by_domain_repeat_no_steps(spark):
     assert sorted((r["page"], r["key"], r["match"]) for r in got.collect()) == [("A", "example", "below"), ("A", "www.A.example", "exact")]
 
 
+def test_extractions_are_made_once(spark):
+    bundle = artifacts.artifacts(pages(spark), kinds=("refs",))
+    each = artifacts.rows_of(bundle, "refs")
+    found = [d._jdf.queryExecution().optimizedPlan().numberedTreeString().count("regexp_extract_all") for d in (bundle, each)]
+    assert found == [1, 1]  # no filter that makes the citations anew
+    assert [(r["title"], r["place"]) for r in each.collect()] == [("A", 0)]  # none of an empty or null text
+
+
+def test_citations_work_out_what_is_asked(spark):
+    every = references.references(pages(spark))
+    some = references.references(pages(spark), columns=["page", "place", "domain"])
+    assert same(some, every.select("page", "place", "domain")) and 0 < 2 * steps(some) < steps(every)
+    assert steps(registry.queries()["k7_source_uses"](spark, "/root/testdata/sf0.001")) < steps(every)
+
+
+def test_rules_of_some_kinds(spark):
+    guide = '## VI. Unreliable sources\n- A Blog — why\n## Citations\n{{Cite web|url=}}\n**Never use:**\n- "rich"\nNever output Markdown, or == References ==.\n'
+    guides = spark.createDataFrame([("g", guide)], "doc string, text string")
+    every = rules.guide_rules(guides)
+    assert sorted(r["kind"] for r in every.collect()) == ["banned_phrase", "citation_template", "setting", "setting", "unreliable_source"]
+    for kinds in (("unreliable_source",), ("setting", "banned_phrase")):
+        assert same(rules.guide_rules(guides, kinds), every.filter(F.col("kind").isin(*kinds)))
+
+
 def test_articles_of_one_small_file_are_dealt_out(spark):
     made = corpus.frame(spark, "/root/testdata/sf0.01", "articles")
     assert made.rdd.getNumPartitions() >= 4 and made.select("title").distinct().count() == 2000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +40,9 @@ def guide_lines(guides: DataFrame) -> DataFrame:
     return each.select("doc", "line", "raw", "text", "fenced", last(heading).alias("section"), mark(BANNED, F.startswith("text", F.lit("### "))).alias("banned"), mark(WATCHED, heading).alias("watched"))
 
 
-def guide_rules(guides: DataFrame) -> DataFrame:
-    """doc, kind, key, value, line: each rule once a guide (by kind and key, in either case), where it first stands.
+def guide_rules(guides: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """doc, kind, key, value, line: each rule once a guide (by kind and key, in either case), where it first stands; of `kinds`
+    alone, if given.
 
     citation_template: family, template. infobox: kind of subject, template. unreliable_source: what to look for (within
     parentheses, else the words before the dash), label. banned_phrase, watch_term, placeholder: the words. setting: its name.
@@ -60,22 +64,16 @@ def guide_rules(guides: DataFrame) -> DataFrame:
     words = lambda pattern: rows.withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).withColumn("word", normal_spaces(F.col("word")))
     terms = rows.filter(F.col("watched") & item).withColumn("word", F.explode(F.split(own, ","))).withColumn("word", normal_spaces(F.col("word")))
     word = F.col("word")
-    parts = [
-        told(name != "", "citation_template", ascii_lower(F.regexp_replace(name, r"\ACite ", "")), F.concat(F.lit("Template:"), name)),
-        told((F.col("section") == INFOBOXES) & F.startswith("text", F.lit("|")) & ~F.contains("text", F.lit("Subject type")) & ~subject.startswith("---") & (titled != ""), "infobox", subject, template),
-        told(F.col("section").isin(UNRELIABLE) & item & (label != ""), "unreliable_source", F.when(inner != "", normal_spaces(inner)).otherwise(ascii_lower(label)), label),
-        told(F.col("banned") & item & (word != ""), "banned_phrase", word, word, words(r'"([^"]*)"')),
-        told(word != "", "watch_term", word, word, terms),
-        told(F.col("section").isin(PLACEHOLDERS) & (word != ""), "placeholder", word, word, words("`([^`]*)`")),
-    ]
-    for setting, signs in SETTINGS.items():
-        test = F.lit(False)
-        for s in signs:
-            test = test | F.contains("raw", F.lit(s))
-        parts.append(told(test, "setting", F.lit(setting), F.lit("true")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    parts = {
+        "citation_template": lambda kind: [told(name != "", kind, ascii_lower(F.regexp_replace(name, r"\ACite ", "")), F.concat(F.lit("Template:"), name))],
+        "infobox": lambda kind: [told((F.col("section") == INFOBOXES) & F.startswith("text", F.lit("|")) & ~F.contains("text", F.lit("Subject type")) & ~subject.startswith("---") & (titled != ""), kind, subject, template)],
+        "unreliable_source": lambda kind: [told(F.col("section").isin(UNRELIABLE) & item & (label != ""), kind, F.when(inner != "", normal_spaces(inner)).otherwise(ascii_lower(label)), label)],
+        "banned_phrase": lambda kind: [told(F.col("banned") & item & (word != ""), kind, word, word, words(r'"([^"]*)"'))],
+        "watch_term": lambda kind: [told(word != "", kind, word, word, terms)],
+        "placeholder": lambda kind: [told(F.col("section").isin(PLACEHOLDERS) & (word != ""), kind, word, word, words("`([^`]*)`"))],
+        "setting": lambda kind: [told(reduce(or_, (F.contains("raw", F.lit(s)) for s in signs)), kind, F.lit(setting), F.lit("true")) for setting, signs in SETTINGS.items()],
+    }
+    every = reduce(DataFrame.unionByName, (p for kind, made in parts.items() if kinds is None or kind in kinds for p in made(kind)))
     first = every.groupBy("doc", "kind", ascii_lower(F.col("key")).alias("k")).agg(F.min(F.struct("line", "key", "value")).alias("x"))
     return first.select("doc", "kind", "x.key", "x.value", "x.line")
 
@@ -123,7 +121,7 @@ def source_uses(refs: DataFrame, rules: DataFrame) -> DataFrame:
     index = rules.filter("kind = 'unreliable_source'").select(ascii_lower(F.regexp_replace("key", r"\A(?:https?://)?(?:www\.)?", "")).alias("end"), "key", F.col("value").alias("label")).distinct()
     labels = F.split("domain", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = refs.filter("domain <> ''").select("page", "place", "domain", F.explode(ends).alias("end"))
+    each = refs.filter("domain <> ''").select("page", "place", "domain", F.explode_outer(ends).alias("end"))  # outer: without an inferred filter, that makes the endings anew
     return each.join(small(index), "end").select("page", "place", "domain", "key", "label", F.when(F.col("end") == F.col("domain"), "exact").otherwise("below").alias("match"))
 
 
