@@ -247,3 +247,26 @@ def test_benchmark_too_large_to_broadcast(spark, monkeypatch):
     made = decontam.contamination(docs, bench)
     assert sorted(map(tuple, made.collect()), key=str) == want and sum(r[-1] for r in want) == 7
     assert decontam.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_few_rows_take_one_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 5000), (2, 3), (3, 1)) for i in range(n)], "k long, i long")
+    by_key = spark.createDataFrame([(1, 5000), (2, 3), (4, 9)], "k long, n long")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    few = common.attach(rows, by_key, "k", "n", 5004)
+    assert plan(few).count("Join") == 1 and "broadcast" not in plan(few)
+    monkeypatch.setattr(common, "PLAIN_ROWS", 0)
+    many = common.attach(rows, by_key, "k", "n", 5004)
+    assert plan(many).count("Join") == 3 and few.columns == many.columns
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 5003
+
+
+def test_descriptions_of_plans_are_bounded(spark):
+    key = "spark.sql.maxPlanStringLength"
+    spark.conf.unset(key)
+    common.production(spark)
+    assert int(spark.conf.get(key).rstrip("b")) == common.PLAN_CHARS
+    spark.conf.set(key, "777")  # what the session sets stays
+    common.production(spark)
+    assert spark.conf.get(key).rstrip("b") == "777"
+    spark.conf.unset(key)

@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1 / HOT_KEYS of the rows, so at most HOT_KEYS keys are ever broadcast.
 HOT_KEYS = 1000
+#: Rows of a join up to which hot keys aren't told apart: all of them are little work for one task, and a plan with two joins
+#: and two broadcasts takes more of the driver's memory than a plain join.
+PLAIN_ROWS = 300_000
 
 
 #: Rows of an Arrow batch in the registered queries, unless the session sets another number: batches live beside the heap.
 BATCH_ROWS = 1000
+#: Characters of a plan's description that the driver keeps and logs, for each of the last thousand executions.
+PLAN_CHARS = 20_000
 #: Bytes of texts that a Python worker takes at a time, however long the rows of an Arrow batch are.
 SLICE_BYTES = 8 << 20
 
@@ -36,13 +41,14 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.R
 
 
 def production(spark: SparkSession) -> SparkSession:
-    """The session of a registered query or stage, with smaller Arrow batches than Spark's default where it has that.
+    """The session of a registered query or stage, with smaller Arrow batches and descriptions of plans than Spark's defaults
+    where it has those.
 
     Operators leave the session's settings alone; registered queries own theirs.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.maxPlanStringLength", "2147483632b", PLAN_CHARS)):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -105,7 +111,10 @@ def attach(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int)
     """Inner join of rows with by_key (one row per key, with its row count) that doesn't pile a hot key onto one task.
 
     Keys with more than total / HOT_KEYS rows, HOT_KEYS at most, are broadcast; all other keys are small and shuffled.
+    Up to PLAIN_ROWS rows are joined as they are.
     """
+    if total <= PLAIN_ROWS:
+        return rows.join(by_key, key)
     limit = max(total // HOT_KEYS, 2000)
     hot, cold = by_key.filter(F.col(count) > limit), by_key.filter(F.col(count) <= limit)
     keys = hot.select(F.col(key).alias("__hot"))
