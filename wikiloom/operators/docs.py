@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import ascii_lower, byte_token_estimate
-from wikiloom.operators.search import bm25, measured, postings, tokens
-from wikiloom.staging import small, staged
+from wikiloom.operators.search import ranked, tokens
+from wikiloom.staging import small
 
 # Base weight of a tier's hits, and what its fields weigh.
 TIERS = {"page": (70, {"title": 8.0, "text": 2.0}), "section": (90, {"title": 7.0, "text": 1.0}), "symbol": (120, {"title": 7.0, "text": 2.0}), "example": (80, {"title": 5.0, "text": 2.0})}
@@ -20,11 +20,9 @@ def tier_hits(queries: DataFrame, rows: DataFrame, tier: str, most: int = 20) ->
     """query, tier, page, place, weight: rows (page, place, title, text) of one tier by weighted BM25, then rescored."""
     base, fields = TIERS[tier]
     keyed = rows.withColumn("key", F.struct("page", "place"))
-    posts = staged(postings(keyed, "key", fields), f"postings-{tier}")
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    scored = bm25(asked, posts, measured(posts)).select("query", F.col("row.page").alias("page"), F.col("row.place").alias("place"), F.round("score", 4).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "page", "place")) - 1).filter(F.col("rank") < most)
-    told = ranked.join(rows.select("page", "place", "title"), ["page", "place"]).join(small(queries.select("query", F.col("text").alias("q"))), "query")
+    best = ranked(asked, keyed, "key", fields, most, 4).select("query", F.col("row.page").alias("page"), F.col("row.place").alias("place"), (F.col("rank") - 1).alias("rank"))
+    told = best.join(rows.select("page", "place", "title"), ["page", "place"]).join(small(queries.select("query", F.col("text").alias("q"))), "query")
     t, q = ascii_lower(F.col("title")), ascii_lower(F.col("q"))
     bonus = F.when(t == q, 80).when(F.startswith(t, q), 40).when(F.contains(t, q), 20).otherwise(0)
     weight = F.lit(base) + F.greatest(F.lit(FIRST) - FALL * F.col("rank"), F.lit(LEAST)) + bonus

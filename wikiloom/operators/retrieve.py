@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom.functions.text import ascii_lower, is_noise, leading_prose, lexical_terms, low_signal, normal_spaces, query_terms, summary, token_estimate, variant_language, wordlike, words
-from wikiloom.operators.search import bm25, identifier_search, measured, postings, tokens, top
+from wikiloom.operators.search import identifier_search, ranked, tokens, top
 from wikiloom.staging import small, staged
 
 # Base, step and floor of page weights by lane, and by how much base and floor fall for each further term.
@@ -156,9 +156,8 @@ def related_weights(found: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _lane(terms: DataFrame, rows: DataFrame, lane: str, most: int) -> DataFrame:
     """query, page, weight: for each term of a query the best pages by BM25 over rows (page, text), decayed by rank."""
-    posts = staged(postings(rows, "page", {"text": 1.0}), f"lane-{lane}")
     asked = terms.select(F.struct("query", "term_no").alias("query"), F.explode(F.array_distinct(tokens(F.col("term")))).alias("term"))
-    best = top(bm25(asked, posts, measured(posts)).withColumn("score", F.round("score", 6)), most)
+    best = ranked(asked, rows, "page", {"text": 1.0}, most)
     return decayed(best.select("query.query", "query.term_no", F.col("row").alias("page"), (F.col("rank") - 1).alias("rank")), lane)
 
 
@@ -191,10 +190,9 @@ def retrieve(
     the rest is reranked, interleaved by page and chosen. Passages and their postings are made once.
     """
     held = staged(for_audience(passages, authoring), "passages")
-    posts = staged(postings(held.withColumn("key", F.struct("page", "place")), "key", {"text": 1.0}), "postings")
     terms = queries.select("query", F.posexplode(query_terms(F.col("text"))).alias("term_no", "term"))
     asked = terms.select(F.struct("query", "term_no").alias("query"), F.explode(F.array_distinct(tokens(F.col("term")))).alias("term"))
-    scored = top(bm25(asked, posts, measured(posts)).select("query", "row", F.round("score", 6).alias("score")), per_query)
+    scored = ranked(asked, held.withColumn("key", F.struct("page", "place")), "key", {"text": 1.0}, per_query)
     found = scored.select("query.query", F.col("row.page").alias("page"), F.col("row.place").alias("place")).distinct()
     if profiles is None and authorities is None and identifiers is None:
         profiles = held.groupBy("page").agg(F.min_by(summary(F.col("text")), "place").alias("text"))
