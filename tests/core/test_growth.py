@@ -7,7 +7,7 @@ import random
 import pytest
 
 from wikiloom import registry
-from wikiloom.operators import search
+from wikiloom.operators import fixes, search
 
 
 def stages(spark):
@@ -62,3 +62,10 @@ def test_best_rows_against_plain_python(spark):
         want |= {(q, k, i + 1, scores[k][1]) for i, k in enumerate(order[:7])}
     got = search.ranked(spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query int, term string"), spark.createDataFrame(rows, "k int, t string, u string"), "k", {"t": 1.0, "u": 2.5}, 7, uses=spark.createDataFrame(list(uses.items()), "row int, uses int")).collect()
     assert {(x["query"], x.row, x["rank"], x.n_terms) for x in got} == want
+
+
+def test_edits_are_found_once(spark):
+    found = fixes.edited(spark.createDataFrame([("A", "“x”"), ("B", None)], "title string, text string"), banner="Quality")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("regexp_replace")
+    assert plan(fixes.edit_rows(found)) <= plan(found)
+    assert sorted((r.title, r.start) for r in fixes.edit_rows(found).collect()) == [("A", 0), ("A", 0), ("A", 2), ("B", 0)]
