@@ -32,7 +32,7 @@ def run(spark, sf, name):
     return lambda: registry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
 
 
-@pytest.mark.parametrize("name,most", [("e12_contract_tokens", 4)])
+@pytest.mark.parametrize("name,most", [("e12_contract_tokens", 4), ("e2_phrase_match", 0.5)])
 def test_searches_shuffle_texts_once(spark, sf, name, most):
     assert shuffled(spark, run(spark, sf, name))[1] < most * size(sf, "documents", "conversations")
 
@@ -64,6 +64,15 @@ def test_best_rows_against_plain_python(spark):
     assert {(x["query"], x.row, x["rank"], x.n_terms) for x in got} == want
 
 
+def test_phrases_and_beginnings_where_rows_lie(spark):
+    rows = search.said(spark.createDataFrame([(1, "Alpha beta, gamma"), (2, "beta alpha"), (2, "gamut"), (3, None), (4, ""), (None, "alpha Beta")], "id int, t string"), "id", search.F.col("t"))
+    asked = [(1, "alpha", 0), (1, "beta", 1), (2, "al", 0), (2, "gam", 1), (3, "none", 0), (3, "alpha", 1), (4, "beta", 0), (4, "beta", 1)]
+    asked = spark.createDataFrame(asked, "query int, term string, ord int")
+    assert {(r["query"], r.row) for r in search.with_phrase(asked, rows).collect()} == {(1, 1), (1, None)}
+    assert sorted((r["query"], r.row or 0) for r in search.with_prefixes(asked, rows).collect()) == [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (4, 0), (4, 1), (4, 2)]
+    assert search.with_prefixes(asked.limit(0), rows).count() == search.with_phrase(asked.limit(0), rows).count() == 0
+
+
 def test_edits_are_found_once(spark):
     found = fixes.edited(spark.createDataFrame([("A", "“x”"), ("B", None)], "title string, text string"), banner="Quality")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("regexp_replace")
