@@ -37,6 +37,14 @@ def test_searches_shuffle_texts_once(spark, sf, name, most):
     assert shuffled(spark, run(spark, sf, name))[1] < most * size(sf, "documents", "conversations")
 
 
+@pytest.mark.parametrize("name,most", [("e2_prefix_match", 4)])
+def test_shared_beginnings_make_no_pairs(spark, sf, name, most):
+    """All parts and all queries share the word `brand`."""
+    rows = spark.read.parquet(f"{sf}/part.parquet")
+    asked = rows.selectExpr("substr(p_type, 1, 4)", "p_brand").distinct().count()
+    assert shuffled(spark, run(spark, sf, name))[0] < most * rows.count() + 12 * asked
+
+
 def test_best_rows_against_plain_python(spark):
     """Ties by use and by row, equal queries, terms that no row holds, null and empty texts, two fields."""
     import math
