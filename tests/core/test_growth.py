@@ -37,7 +37,7 @@ def test_searches_shuffle_texts_once(spark, sf, name, most):
     assert shuffled(spark, run(spark, sf, name))[1] < most * size(sf, "documents", "conversations")
 
 
-@pytest.mark.parametrize("name,most", [("e2_prefix_match", 4)])
+@pytest.mark.parametrize("name,most", [("e2_prefix_match", 4), ("e5_pages_by_hits", 12)])
 def test_shared_beginnings_make_no_pairs(spark, sf, name, most):
     """All parts and all queries share the word `brand`."""
     rows = spark.read.parquet(f"{sf}/part.parquet")
