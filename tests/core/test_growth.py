@@ -32,7 +32,7 @@ def run(spark, sf, name):
     return lambda: registry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
 
 
-@pytest.mark.parametrize("name,most", [("e12_contract_tokens", 4), ("e3_bm25", 4), ("e2_phrase_match", 0.5)])
+@pytest.mark.parametrize("name,most", [("e12_contract_tokens", 4), ("e3_bm25", 4), ("j1_docs_search", 4), ("e2_phrase_match", 0.5)])
 def test_searches_shuffle_texts_once(spark, sf, name, most):
     assert shuffled(spark, run(spark, sf, name))[1] < most * size(sf, "documents", "conversations")
 
