@@ -7,7 +7,8 @@ import random
 import pytest
 
 from wikiloom import registry
-from wikiloom.operators import fixes, search
+from wikiloom.functions import text as T
+from wikiloom.operators import fixes, page_passages, search
 
 
 def stages(spark):
@@ -32,8 +33,9 @@ def run(spark, sf, name):
     return lambda: registry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
 
 
-@pytest.mark.parametrize("name,most", [("e12_contract_tokens", 4), ("e3_bm25", 4), ("j1_docs_search", 4), ("e2_phrase_match", 0.5)])
+@pytest.mark.parametrize("name,most", [("e12_contract_tokens", 4), ("e3_bm25", 4), ("j1_docs_search", 4), ("e2_phrase_match", 0.5), ("f11_retrieval", 15)])
 def test_searches_shuffle_texts_once(spark, sf, name, most):
+    """At this size most of what f11_retrieval shuffles are the passages that its queries rerank."""
     assert shuffled(spark, run(spark, sf, name))[1] < most * size(sf, "documents", "conversations")
 
 
@@ -86,3 +88,26 @@ def test_edits_are_found_once(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("regexp_replace")
     assert plan(fixes.edit_rows(found)) <= plan(found)
     assert sorted((r.title, r.start) for r in fixes.edit_rows(found).collect()) == [("A", 0), ("A", 0), ("A", 2), ("B", 0)]
+
+
+def test_passages_of_an_index_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def cut(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k % 7, k, f"word{k % 3} here", 3) for k in range(70)], "page int, place int, text string, tokens int")
+    page_passages.write_index(rows.repartitionByRange("page").mapInArrow(cut, rows.schema), str(tmp_path / "index"), clustered=True)
+    assert made.value == 70
+    assert [r.place for r in page_passages.of_page(spark, str(tmp_path / "index"), 4, "Word1", 3, 80).orderBy("chosen").collect()] == [4, 25, 46]
+
+
+def test_words_are_read_no_further_than_needed(spark):
+    """Passages that say nothing, against plain counts of words and letters."""
+    texts = ["", "a b c d e", "abcdefghij", "one two 3 -- four", "one two three four</ref>", "one two three four five</ref>", "a|b c}}</ref>", "{{[[||==]]}} ab cd", "#REDIRECT [[All the words that follow]]", "ñandú corre muy lejos hoy", "one\u00a0two\tthree words here x", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.is_noise(T.F.col("t")).alias("noise"), T.wordlike(T.F.col("t")).alias("n"), T.lexical_terms(T.F.col("t")).alias("terms")).orderBy("k").collect()
+    assert [r.noise for r in got] == [True, True, True, False, True, False, True, True, True, False, False, True]
+    assert [r.n for r in got] == [0, 5, 1, 4, 4, 5, 2, 2, 6, 5, 5, None]
+    assert got[9].terms == ["and", "corre", "hoy", "lejos", "muy"] and got[10].terms == ["here", "one", "three", "two", "words"] and got[11].terms is None

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wikiloom.functions.text import ascii_lower, is_noise, leading_prose, lexical_terms, low_signal, normal_spaces, query_terms, summary, token_estimate, variant_language, wordlike, words
+from wikiloom.functions.text import ascii_lower, has_words, is_noise, leading_prose, lexical_terms, low_signal, normal_spaces, query_terms, summary, token_estimate, variant_language, words
 from wikiloom.operators.search import identifier_search, ranked, tokens, top
 from wikiloom.staging import small, staged
 
@@ -123,8 +123,9 @@ def for_audience(passages: DataFrame, authoring: bool = True) -> DataFrame:
         return kept
     low = ascii_lower(F.col("text"))
     kept = kept.filter(~low.contains("{{reflist") & ~low.startswith("[[category:") & ~low.startswith("{{see also|"))
-    prose = kept.withColumn("text", leading_prose(F.col("text"))).filter(F.col("text").isNotNull() & (wordlike(F.col("text")) >= 5))
-    return prose.withColumn("tokens", token_estimate(F.col("text")))
+    # a filter on what a generator makes isn't pushed below it, so the prose is cut once
+    prose = kept.withColumn("prose", F.explode_outer(F.array(leading_prose(F.col("text"))))).filter(has_words(F.col("prose"), 5))
+    return prose.withColumn("text", F.col("prose")).drop("prose").withColumn("tokens", token_estimate(F.col("text")))
 
 
 def page_profiles(pages: DataFrame, lists: list[DataFrame]) -> DataFrame:
@@ -197,8 +198,11 @@ def retrieve(
     if profiles is None and authorities is None and identifiers is None:
         profiles = held.groupBy("page").agg(F.min_by(summary(F.col("text")), "place").alias("text"))
     weights = staged(related_pages(queries, profiles, authorities, identifiers), "weights")
-    seeds = weights.select("query", "page").join(held.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("place"))).filter("nth <= 2").select("page", "place"), "page")
-    wanted = found.unionByName(seeds.select("query", "page", "place")).distinct()
-    told = wanted.join(held, ["page", "place"])
+    # related pages and wanted passages are bounded by the queries; where they are few, the passages stay where they lie
+    near = held.select("page", "place").join(small(weights.select("page").distinct()), "page")
+    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("place"))).filter("nth <= 2")
+    seeds = weights.select("query", "page").join(first.select("page", "place"), "page")
+    wanted = staged(found.unionByName(seeds.select("query", "page", "place")).distinct(), "wanted")
+    told = held.join(small(wanted), ["page", "place"])
     ords = terms.select("query", F.col("term_no").alias("ord"), "term")
     return selected(interleaved(reranked(told, queries, ords, weights), max_pages), limit, budget, per_page)
